@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import rans
+from . import mixing, quality, rans, simhash
 
-QUERIES = {"op1_rans": rans.op1_rans}
+QUERIES = {
+    "op1_rans": rans.op1_rans,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
+}
 ORACLE: dict[str, str] = {}
