@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, rans, simhash
+from . import html, mixing, quality, rans, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_rans": rans.op1_rans,
+    "op2_html": html.op2_html,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": quality.op8_quality,
+    "op9_warc": warc.op9_warc,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLE: dict[str, str] = {}
