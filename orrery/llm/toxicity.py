@@ -31,11 +31,11 @@ from . import common
 HASH_BITS = 22
 SAMPLE_ROWS = 16_000
 EPOCHS = 6
-ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+ALPHA, BETA, L2 = 2.0, 1.0, 0.1
 #: L1 at a full sample; it shrinks with the root of a smaller one's size.
-L1_FULL, L1_LEAST = 6.0, 0.5
+L1_FULL, L1_LEAST = 6.0, 4.0
 #: A feature enters the model if so many documents of the sample have it, fewer in small samples.
-INCLUDE_FROM, INCLUDE_LEAST = 8, 2
+INCLUDE_FROM, INCLUDE_LEAST = 8, 3
 THRESHOLD = 0.7
 BATCH_CHARS = 1 << 20
 
