@@ -23,6 +23,8 @@ Documents never span blocks, so a block is as large as its longest document.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,10 +42,12 @@ BITS = 20
 LOW = np.uint64(1 << 31)
 MASK32 = np.uint64(0xFFFFFFFF)
 BLOCK_TOKENS = 1 << 17
-MAX_LANES = 1024
+MAX_LANES = 2048
 CHECK_STEPS = 64
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 2_000_000
 END_ID = 2
+#: A word that a lower-casing tokenizer leaves whole: small Latin-1 letters.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 HEAD = struct.Struct("<4sHHIIIIIIII")
 MAGIC = b"rA1\0"
 
@@ -52,117 +56,207 @@ MAGIC = b"rA1\0"
 
 
 class WordTokenizer:
-    """Whole-text encoding through a cache of white-space separated pieces.
-
-    Exact for tokenizers whose pre-tokenizer never joins text across white
-    space (``path``'s drops it). Pieces are parted at plain blanks only, any
-    other white space stays inside a piece and is left to the library. A new
-    piece is reduced to its lower-case stem with one final ``.`` or ``,`` cut
-    off if it is all Latin-1 letters, as the library does the same; new stems
-    are encoded together, parted by a special token that no piece contains.
+    """Whole-text encoding through a cache of words, vectorised over a batch.
+
+    Exact for tokenizers that lower-case and whose pre-tokenizer drops white
+    space and parts letters from punctuation, as ``path``'s does. Words are
+    parted at plain blanks only; any other white space stays inside a word and
+    is left to the library. Words of Latin-1 letters are lower-cased and a final
+    ``.`` or ``,`` is split off; both is what the library does. New words are
+    encoded by the library, together, parted by a special token. Words of up to
+    24 bytes live in an open-addressing table that compares all their bytes;
+    longer ones in a dictionary. Both are emptied when ``CACHE_WORDS`` is passed.
     """
 
     SEP = "<|startoftext|>"
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # small Latin-1 letters pass the normalizer and the splitting pattern unchanged: the model alone does them
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.stop_id = self.bare.encode(".").ids[0]
         self.sep_id = self.tok.token_to_id(self.SEP)
+        letters = np.zeros(256, bool)
+        letters[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+        self.letters, self.lower = letters, np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {"": 0}
-        self.stems: dict[str, np.ndarray] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts, new = [], {}
-        for p in pieces:
-            cut = p[-1] if len(p) > 1 and p[-1] in ".," else ""
-            stem = p[:-1] if cut else p
-            if stem.isalpha() and max(stem) < "Ā":
-                stem = stem.lower()
-            elif cut:
-                stem, cut = p, ""
-            parts.append((stem, cut))
-            for s in (stem, cut):
-                if s and s not in self.stems:
-                    new[s] = None
-        joined = [s for s in new if "<|" not in s]
-        for s in new:
-            if "<|" in s:
-                self.stems[s] = self._plain(s)
-        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
-        sep = f" {self.SEP} "
-        for names, enc in zip(groups, self.tok.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.sep_id)
-            if len(cuts) != len(names) - 1:  # a piece holds the separator: never seen
-                for s in names:
-                    self.stems[s] = self._plain(s)
-                continue
-            lo = 0
-            for s, hi in zip(names, [*cuts, len(ids)], strict=True):
-                self.stems[s] = ids[lo:hi]
-                lo = hi + 1
-        empty = np.zeros(0, np.uint32)
-        base = len(self.codes) - len(pieces)
-        got = [np.concatenate([self.stems[s], self.stems[c] if c else empty]) for s, c in parts]
-        sizes = np.array([len(g) for g in got], np.int64)
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while base + len(pieces) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + total] = np.concatenate(got) if got else empty
-        self.start[base : base + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.size[base : base + len(pieces)] = sizes
-        self.used += total
+        self.used, self.n_ids, self.long = 0, 0, {}
+        self.table, self.key = np.full(1 << 18, -1, np.int32), np.zeros((4, 1 << 16), np.uint64)
+        self.flat, self.start, self.size = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int) -> np.ndarray:
+        while x.shape[-1] < n:
+            x = np.concatenate([x, np.zeros_like(x)], axis=-1)
+        return x
+
+    def _add(self, words: list[bytes]) -> int:
+        """Encodes new words; the code of the first."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [PLAIN(t) is not None for t in texts]
+        ids_of: list = [None] * len(texts)
+        for tok, sep, sep_id, which in ((self.bare, " . ", self.stop_id, True), (self.tok, f" {self.SEP} ", self.sep_id, False)):
+            own = [i for i, p in enumerate(plain) if p == which]
+            groups = [own[i : i + 256] for i in range(0, len(own), 256)]
+            for group, enc in zip(groups, tok.encode_batch_fast([sep.join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(enc.ids, np.uint32)
+                cuts = np.flatnonzero(ids == sep_id)
+                if len(cuts) == len(group) - 1:
+                    lo = 0
+                    for i, hi in zip(group, [*cuts.tolist(), len(ids)], strict=True):
+                        ids_of[i] = ids[lo:hi]
+                        lo = hi + 1
+                else:  # a word holds the separator itself
+                    for i in group:
+                        ids_of[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        got, sizes = ids_of, [np.array([len(x) for x in ids_of])]
+        size, ids, first = np.concatenate(sizes), np.concatenate(got), self.used
+        self.used, self.n_ids = first + len(words), self.n_ids + len(ids)
+        self.flat, self.start, self.size = self._grown(self.flat, self.n_ids), self._grown(self.start, self.used), self._grown(self.size, self.used)
+        self.flat[self.n_ids - len(ids) : self.n_ids] = ids
+        self.size[first : self.used] = size
+        self.start[first : self.used] = self.n_ids - len(ids) + np.cumsum(size) - size
+        return first
+
+    def _find(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        code, at, todo = np.full(len(h), -1, np.int32), (h & np.uint64(len(self.table) - 1)).view(np.int64), np.arange(len(h))
+        while len(todo):
+            c = self.table[at]
+            some = c >= 0
+            c, at, todo = c[some], at[some], todo[some]
+            hit = np.ones(len(c), bool)
+            for k in range(4):
+                hit &= self.key[k][c] == key[k][todo]
+            code[todo[hit]] = c[hit]
+            at, todo = (at[~hit] + 1) & (len(self.table) - 1), todo[~hit]
+        return code
+
+    def _place(self, first: int, h: np.ndarray) -> None:
+        at, todo = (h & np.uint64(len(self.table) - 1)).view(np.int64), np.arange(first, first + len(h), dtype=np.int32)
+        while len(todo):
+            free = np.flatnonzero(self.table[at] < 0)
+            spot, i = np.unique(at[free], return_index=True)
+            self.table[spot] = todo[free[i]]
+            left = np.ones(len(todo), bool)
+            left[free[i]] = False
+            at, todo = at[left], todo[left]
+            at = np.where(self.table[at] < 0, at, (at + 1) & (len(self.table) - 1))
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        h = key[0] * self.MIX[0]
+        for k in (1, 2, 3):
+            h = (h ^ (h >> np.uint64(31)) ^ key[k]) * self.MIX[k]
+        return h ^ (h >> np.uint64(29))
+
+    def _codes(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The code of each span of the padded buffer."""
+        lanes = np.ndarray((len(buf) - 7,), "<u8", buf.data, 0, (1,))
+        key = np.empty((4, len(start)), np.uint64)
+        for k in range(3):
+            key[k] = lanes[start + 8 * k] & self.MASKS[np.clip(size - 8 * k, 0, 8)]
+        key[3] = size
+        short = size <= 24
+        if short.all():
+            return self._short(buf, start, size, key)
+        code = np.empty(len(start), np.int32)
+        code[short] = self._short(buf, start[short], size[short], key[:, short])
+        rest = np.flatnonzero(~short)
+        words = [buf[s : s + n].tobytes() for s, n in zip(start[rest], size[rest], strict=True)]
+        new = list(dict.fromkeys(w for w in words if w not in self.long))
+        if new:
+            first = self._add(new)
+            self.key = self._grown(self.key, self.used)
+            self.key[3, first : self.used] = 0  # never equal to a short word's
+            self.long.update(zip(new, range(first, self.used), strict=True))
+        code[rest] = [self.long[w] for w in words]
+        return code
+
+    def _short(self, buf, start, size, key) -> np.ndarray:
+        h = self._hash(key)
+        code = self._find(key, h)
+        while len(missing := np.flatnonzero(code < 0)):
+            _, i = np.unique(h[missing], return_index=True)
+            new = missing[i]
+            first = self._add([buf[s : s + n].tobytes() for s, n in zip(start[new].tolist(), size[new].tolist(), strict=True)])
+            self.key = self._grown(self.key, self.used)
+            self.key[:, first : self.used] = key[:, new]
+            if 2 * self.used > len(self.table):
+                self.table = np.full(4 * len(self.table), -1, np.int32)
+                held = np.flatnonzero(self.key[3, : self.used])
+                order = self._hash(self.key[:, : self.used])
+                for lo, hi in _runs(held):
+                    self._place(lo, order[lo:hi])
+            else:
+                self._place(first, h[new])
+            code[missing] = self._find(key[:, missing], h[missing])
+        return code
 
     def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
-        if len(self.codes) > CACHE_WORDS:
+        if self.used > CACHE_WORDS:
             self._clear()
-        codes, words_of, all_codes, fresh = self.codes, [], [], []
-
-        class Known(dict):
-            def __missing__(self, piece):
-                fresh.append(piece)
-                codes[piece] = code = len(codes)
-                return code
-
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-            words_of.append(len(words))
-            got = list(map(codes.get, words))
-            if None in got:
-                known = Known()
-                got = [known[w] if c is None and w not in codes else codes[w] if c is None else c for w, c in zip(words, got, strict=True)]
-            all_codes.append(np.array(got, np.int64))
-        if fresh:
-            self._learn(fresh)
-        code = np.concatenate(all_codes) if all_codes else np.zeros(0, np.int64)
+        raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        text_at = np.cumsum([0] + [len(r) + 1 for r in raw])
+        buf = np.frombuffer(b" ".join(raw) + b" " * 33, np.uint8).copy()
+        # Latin-1 letters; of C3's second bytes 97 and B7 are signs, 80-9E capitals
+        tail = np.zeros(len(buf), bool)
+        tail[1:] = buf[:-1] == 0xC3
+        good = self.letters[buf]
+        good &= ~(tail & ((buf == 0x97) | (buf == 0xB7)))
+        good &= (buf < 0x80) | (buf == 0xC3) | tail
+        blank = (buf == 32) | (buf == 10) | (buf == 9) | (buf == 13)
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(buf) and not blank[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        bad = np.cumsum(~good)
+        cut = ((buf[end - 1] == 46) | (buf[end - 1] == 44)) & (end - start > 1)
+        last = end - cut
+        plain = bad[last - 1] - bad[start] + ~good[start] == 0
+        cut &= plain
+        last = end - cut
+        mark = np.zeros(len(buf) + 1, np.int8)
+        mark[start[plain]] = 1
+        mark[last[plain]] -= 1
+        inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        low = self.lower[buf]
+        low = np.where(tail & (buf >= 0x80) & (buf <= 0x9E), buf + np.uint8(32), low)
+        buf = np.where(inside, low, buf)
+        # a cut-off sign follows its word
+        n = 1 + cut.astype(np.int64)
+        at = np.cumsum(n) - n
+        s, size = np.repeat(start, n), np.ones(int(n.sum()), np.int64)
+        size[at] = last - start
+        s[at[cut] + 1] = last[cut]
+        code = self._codes(buf, s, size) if len(s) else np.zeros(0, np.int32)
         lens, starts = self.size[code], self.start[code]
-        ends = np.cumsum(lens)
-        words_of = np.array(words_of, np.int64)
-        doc_end = np.cumsum(words_of)
-        upto = np.concatenate([[0], ends])
-        n_ids = upto[doc_end] - upto[doc_end - words_of]
-        ids = self.flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        bound = upto[np.searchsorted(s, text_at)]
+        bound[-1] = upto[-1]
+        ids = self.flat[np.repeat(starts - upto[:-1], lens) + np.arange(int(upto[-1]))]
+        n_ids = np.diff(bound)
         if end_id is not None:
-            ids = np.insert(ids, np.cumsum(n_ids), end_id)
+            ids = np.insert(ids, bound[1:], end_id)
             n_ids = n_ids + 1
         return ids, n_ids
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    if not len(x):
+        return []
+    cut = np.flatnonzero(np.diff(x) != 1)
+    return list(zip(x[np.concatenate([[0], cut + 1])].tolist(), (x[np.concatenate([cut, [len(x) - 1]])] + 1).tolist(), strict=True))
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -173,9 +267,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def _small(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _small(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` characters, at least a text each."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= most:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -184,13 +285,14 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
     def run(batches):
         tok, pack = tokenizer(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in _small(batch):
-                ids, n = tok.encode(part.column(1).to_pylist(), end_id)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _small(texts):
+                ids, n = tok.encode(texts[lo:hi], end_id)
                 wide = ids.astype("<u4") if len(ids) and ids.max() > 0xFFFF else ids.astype("<u2")
                 cuts = np.cumsum(n)
                 blobs = [pack.compress(wide[hi - k : hi].tobytes()) for hi, k in zip(cuts, n, strict=True)]
                 size = pa.array(np.full(len(n), wide.dtype.itemsize, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), size, pa.array(blobs, pa.binary())], ["doc_id", "n", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), size, pa.array(blobs, pa.binary())], ["doc_id", "n", "width", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, width int, ids binary")
 
@@ -323,7 +425,7 @@ def decode_run(table: Table, lanes: int, n: int, words: np.ndarray, mark, stop:
         a, b = s * lanes, min(n, (s + 1) * lanes)
         xa = x[: b - a]
         slot = xa & low
-        sym = table.slots[slot]
+        sym = table.slots[slot.view(np.int64)]
         xa = table.freq[sym] * (xa >> bits) + slot - table.cum[sym]
         under = xa < LOW
         k = int(np.count_nonzero(under))
