@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import html, mixing, quality, rans, secrets, simhash, toxicity, warc
+from . import decontaminate, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc
 
 QUERIES = {
     "op1_rans": rans.op1_rans,
     "op2_html": html.op2_html,
+    "op3_urls": urls.op3_urls,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,

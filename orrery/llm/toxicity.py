@@ -173,8 +173,8 @@ def scores(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The named columns of docs with ``score`` added."""
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
+    """The named columns of docs with the score added."""
     at, weight, bias = model(docs, labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weight))
 
@@ -184,10 +184,10 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = S
         dense[at] = weight
         for batch in batches:
             got = scores(batch.column(len(columns)).to_pylist(), dense, bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(got)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(got)], [*columns, name])
 
     picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    return picked.mapInArrow(run, docs.select(*columns, F.lit(0.0).alias("score")).schema)
+    return picked.mapInArrow(run, docs.select(*columns, F.lit(0.0).alias(name)).schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
