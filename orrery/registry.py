@@ -1,6 +1,652 @@
-"""Queries of the engine's own operators and the SQL that states their results."""
+"""Queries of the engine's own operators over the test tables, and the SQL that
+states their results. Documents are the chunks, benchmark items the queries,
+region, nation, supplier and customer the knowledge graph."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import params
+from .functions import text as T
+from .operators import bm25, chunking, entity_graph, kg, metrics, ranking, rerank, vector
+from .plans import agent, search
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__.removeprefix("q_")
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return add
+
+
+def tab(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def chunks(spark, d) -> DataFrame:
+    return tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content"), "lang")
+
+
+def asked(spark, d) -> DataFrame:
+    return tab(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def route_bm25(spark, d) -> DataFrame:
+    return bm25.search(asked(spark, d), chunks(spark, d))
+
+
+def route_words(spark, d) -> DataFrame:
+    """A second route: how many of the query's distinct words a chunk has."""
+    q = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
+    c = chunks(spark, d).select("chunk_id", F.explode(F.array_distinct(T.tokenize(F.col("content")))).alias("term"))
+    scores = c.join(F.broadcast(q) if q.limit(params.BROADCAST_ROWS + 1).count() <= params.BROADCAST_ROWS else q, "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+    return ranking.top_k(scores, params.VECTOR_TOP_K, "vector")
+
+
+def golden(spark, d) -> DataFrame:
+    """(query_id, chunk): chunks that share a sentence of 40 characters or more."""
+    long = lambda x: F.length(x) >= 40
+    q = asked(spark, d).select("query_id", F.explode(F.filter(T.split_sentences(F.col("query")), long)).alias("s"))
+    c = chunks(spark, d).select("chunk_id", F.explode(F.filter(T.split_sentences(F.col("content")), long)).alias("s"))
+    return c.join(q, "s").select("query_id", F.col("chunk_id").alias("source")).distinct()
+
+
+# ---------------------------------------------------------------- SQL parts
+
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+SENT = r"list_filter(list_transform(string_split(regexp_replace({}, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+BM25 = f"""
+d AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents),
+e AS (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM d),
+p AS (SELECT term, chunk_id, length, count(*) AS tf FROM e GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d WHERE len(w) > 0),
+t AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term),
+i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM t) ELSE raw END AS idf FROM t),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM q JOIN i USING (term) JOIN p USING (term), s GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT query_id, chunk_id, 'bm25' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM sc WHERE score > 0) WHERE rank <= 20)"""
+WORDS = f"""
+wq AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark),
+wd AS (SELECT DISTINCT doc_id AS chunk_id, unnest({TOK.format("text")}) AS term FROM documents),
+ws AS (SELECT query_id, chunk_id, CAST(count(*) AS DOUBLE) AS score FROM wq JOIN wd USING (term) GROUP BY ALL),
+ve AS (SELECT * FROM (SELECT query_id, chunk_id, 'vector' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM ws) WHERE rank <= 20)"""
+BOTH = f"WITH {BM25}, {WORDS}, both_routes AS (SELECT * FROM bm UNION ALL SELECT * FROM ve)"
+RRF = f"""{BOTH},
+fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(struct_pack(place := CASE route WHEN 'bm25' THEN 0 ELSE 1 END, r := rank, route := route)) AS seen FROM both_routes GROUP BY ALL),
+rr AS (SELECT query_id, chunk_id, 'rrf' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS INT) AS rank, score, seen.route AS original_source FROM fu)"""
+GOLD = f"""
+gold AS (SELECT DISTINCT b.item_id AS query_id, c.doc_id AS source FROM (SELECT item_id, unnest({SENT.format("text")}) AS s FROM benchmark) b JOIN (SELECT doc_id, unnest({SENT.format("text")}) AS s FROM documents) c ON b.s = c.s WHERE length(b.s) >= 40)"""
+SCORES = f"""{RRF}, {GOLD},
+res AS (SELECT route AS stage, query_id, rank, chunk_id AS source FROM both_routes UNION ALL SELECT 'rrf', query_id, rank, chunk_id FROM rr),
+jud AS (SELECT r.*, g.source IS NOT NULL AS relevant FROM res r LEFT JOIN gold g ON r.query_id = g.query_id AND r.source = g.source),
+per AS (SELECT stage, query_id, min(CASE WHEN relevant AND rank <= 10 THEN rank END) AS first, count(*) FILTER (relevant AND rank <= 5) AS hits, count(*) FILTER (rank <= 5) AS returned, count(DISTINCT CASE WHEN relevant AND rank <= 5 THEN source END) AS found FROM jud GROUP BY ALL),
+pq AS (SELECT s.stage, b.item_id AS query_id, coalesce(1.0 / first, 0.0)::DOUBLE AS mrr, (coalesce(hits, 0) > 0)::INT::DOUBLE AS hit, coalesce(hits / nullif(returned, 0), 0.0)::DOUBLE AS precision, coalesce(found / n_golden, 0.0)::DOUBLE AS recall
+ FROM benchmark b CROSS JOIN (SELECT unnest(['bm25', 'vector', 'rrf']) AS stage) s LEFT JOIN per p ON p.stage = s.stage AND p.query_id = b.item_id LEFT JOIN (SELECT query_id, count(*) AS n_golden FROM gold GROUP BY 1) n ON n.query_id = b.item_id)"""
+CATEGORY = "CASE WHEN length(text) < 150 THEN 'short' WHEN length(text) < 250 THEN 'medium' ELSE 'long' END"
+
+
+# ------------------------------------------------------------------- texts
+
+
+@query(f"SELECT doc_id, CAST(len(w) AS INT) AS n_terms, CAST(len(list_distinct(w)) AS INT) AS n_distinct, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {TOK.format('text')} AS w FROM documents)")
+def q_tokenize(spark, d):
+    w = tab(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_terms"), F.size(F.array_distinct("w")).alias("n_distinct"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS INT) AS n_tokens FROM documents")
+def q_count_tokens(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {SENT.format('text')} AS s FROM documents)")
+def q_split_sentences(spark, d):
+    s = tab(spark, d, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+MARKDOWN = "concat('# Doc ', doc_id, chr(10), text, chr(10), '## Part ', source, chr(10), lang, chr(10), '#no heading', chr(10), '# End')"
+
+
+def _markdown(spark, d):
+    return tab(spark, d, "documents").select("doc_id", F.expr(MARKDOWN).alias("text"))
+
+
+HEADINGS = rf"""l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split({MARKDOWN}, chr(10)) AS x FROM documents)),
+o AS (SELECT doc_id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos FROM l),
+h AS (SELECT doc_id, pos, CAST(length(regexp_extract(line, '^(#+)', 1)) AS INT) AS level, trim(regexp_extract(line, '^#+\s+(.+)$', 1)) AS title FROM o WHERE regexp_matches(line, '^#{{1,6}}\s+\S'))"""
+
+
+@query(f"WITH {HEADINGS} SELECT * FROM h")
+def q_md_headings(spark, d):
+    return _markdown(spark, d).select("doc_id", F.explode(T.md_headings(F.col("text"))).alias("h")).select("doc_id", "h.*")
+
+
+@query(f"WITH {HEADINGS}, e AS (SELECT doc_id, max(pos) - 1 AS upto FROM h GROUP BY 1) SELECT e.doc_id, string_agg(title, ' > ' ORDER BY pos) AS breadcrumb FROM e JOIN h ON h.doc_id = e.doc_id AND pos <= upto AND NOT EXISTS (SELECT 1 FROM h k WHERE k.doc_id = h.doc_id AND k.pos > h.pos AND k.pos <= upto AND k.level <= h.level) GROUP BY 1")
+def q_heading_breadcrumb(spark, d):
+    rows = _markdown(spark, d).select("doc_id", T.md_headings(F.col("text")).alias("h"))
+    return rows.select("doc_id", F.array_join(T.heading_breadcrumb(F.col("h"), F.element_at("h", -1)["pos"] - 1), " > ").alias("breadcrumb"))
+
+
+@query("SELECT doc_id, substring(md5(source || ':' || doc_id), 1, 8) AS chunk_id FROM documents")
+def q_chunk_id(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk_id"))
+
+
+NAMES = "(SELECT DISTINCT name FROM (SELECT o_orderpriority AS name FROM orders UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT concat('  v', p_size, '.1 ', lower(p_brand), ' -- ') FROM part))"
+
+
+def _names(spark, d):
+    part, orders = tab(spark, d, "part"), tab(spark, d, "orders")
+    parts = [part.select(F.col(c).alias("name")) for c in ("p_type", "p_name", "p_brand")]
+    return ranking.append_routes(orders.select(F.col("o_orderpriority").alias("name")), *parts, part.select(F.concat(F.lit("  v"), "p_size", F.lit(".1 "), F.lower("p_brand"), F.lit(" -- ")).alias("name"))).distinct()
+
+
+FIRST = "CASE WHEN regexp_matches({0}, '^[a-z]') THEN upper({0}[1]) || {0}[2:] ELSE {0} END"
+BARE = r"regexp_replace(name, '^\s+|\s+$', '', 'g')"
+SQUEEZED = rf"regexp_replace({BARE}, '\s+', ' ', 'g')"
+ENDS = r"regexp_replace(regexp_replace({}, '-+', '-', 'g'), '^[ _-]+|[ _-]+$', '', 'g')"
+
+
+@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, regexp_replace(regexp_replace({BARE}, '[，。！？、；：]+$', ''), '^[，。！？、；：]+', '') AS t FROM {NAMES})")
+def q_normalize_entity_graph(spark, d):
+    return _names(spark, d).select("name", T.normalize_entity_graph(F.col("name")).alias("entity"))
+
+
+@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, {ENDS.format(chr(114) + 'egexp_replace(' + SQUEEZED + ', ' + chr(39) + chr(92) + 'b(v?' + chr(92) + 'd+(?:' + chr(92) + '.' + chr(92) + 'd+)*)' + chr(92) + 'b' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'gi' + chr(39) + ')')} AS t FROM {NAMES})")
+def q_normalize_entity_kg_query(spark, d):
+    return _names(spark, d).select("name", T.normalize_entity_kg_query(F.col("name")).alias("entity"))
+
+
+BUILT = rf"regexp_replace({SQUEEZED}, '\b(v?\d+(?:\.\d+)*(?:[-_]?\w+)?)\b', '', 'gi')"
+
+
+@query(f"SELECT name, {ENDS.format(BUILT)} AS entity FROM {NAMES}")
+def q_normalize_entity_kg_build(spark, d):
+    return _names(spark, d).select("name", T.normalize_entity_kg_build(F.col("name")).alias("entity"))
+
+
+@query(rf"SELECT name, length(name) >= 2 AND NOT regexp_matches(name, '^[\d.+\-\s]+$') AND NOT regexp_matches(name, '^#+$') AS valid FROM {NAMES}")
+def q_is_valid_entity(spark, d):
+    return _names(spark, d).select("name", T.is_valid_entity(F.col("name")).alias("valid"))
+
+
+@query("SELECT doc_id, substring(text, 1, 500) AS preview FROM documents")
+def q_truncate_text(spark, d):
+    return tab(spark, d, "documents").select("doc_id", T.truncate_text(F.col("text")).alias("preview"))
+
+
+@query()
+def q_parse_judge_score(spark, d):
+    raw = F.concat(F.lit('```json\n{"score": '), (F.col("doc_id") % 30 / 10).cast("string"), F.lit(', "reason": "r"}\n```'))
+    return tab(spark, d, "documents").select("doc_id", T.parse_judge_score(raw).alias("s")).select("doc_id", "s.score", "s.reason")
+
+
+@query("SELECT doc_id, query || CASE WHEN contains(query, '优化') THEN ' 性能提升 优化方向' ELSE '' END || CASE WHEN contains(query, '检索') THEN ' 信息检索 search retrieval' ELSE '' END AS rewritten FROM (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN '优化 ' WHEN 1 THEN '检索优化 ' ELSE '' END, substring(text, 1, 80)) AS query FROM documents)")
+def q_rewrite_query(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, "优化 ").when(F.col("doc_id") % 3 == 1, "检索优化 ").otherwise("")
+    rows = tab(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(head, F.substring("text", 1, 80)).alias("query"))
+    return agent.rewrite_query(rows).select(F.col("query_id").alias("doc_id"), "rewritten")
+
+
+@query()
+def q_sliding_window_chunk(spark, d):
+    rows = chunking.sliding_window(tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+    return chunking.finish(rows, "text").drop("headings")
+
+
+@query()
+def q_process_document(spark, d):
+    named = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    return chunking.process_documents(_markdown(spark, d).select(named.alias("source"), "text"))
+
+
+@query()
+def q_chunk_by_ast(spark, d):
+    code = F.expr("concat('import os', chr(10), 'def f', doc_id, '(x):', chr(10), '    return x', chr(10), 'class C:', chr(10), '    a = 1', chr(10), '    def m(self):', chr(10), '        pass', chr(10), '    def n(self):', chr(10), '        pass')")
+    return chunking.ast_chunks(tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), code.alias("text")))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM i")
+def q_doc_freq_idf(spark, d):
+    c = chunks(spark, d)
+    return bm25.term_stats(bm25.postings(c), bm25.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM s")
+def q_avgdl(spark, d):
+    return bm25.corpus_stats(chunks(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {BM25} SELECT * FROM bm")
+def q_bm25_search(spark, d):
+    return route_bm25(spark, d)
+
+
+@query(f"WITH {WORDS} SELECT * FROM ve")
+def q_topk_per_query(spark, d):
+    return route_words(spark, d)
+
+
+VECTORS = """pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+vs AS (SELECT * FROM (SELECT query_id, chunk_id, 'vector' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM pairs) WHERE rank <= 20)"""
+
+
+def _vectors(spark, d):
+    v = tab(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    return v.filter(F.col("chunk_id") % 100 == 0).withColumnRenamed("chunk_id", "query_id"), v
+
+
+@query(f"WITH {VECTORS} SELECT * FROM vs")
+def q_vector_search(spark, d):
+    return vector.search(*_vectors(spark, d))
+
+
+@query()
+def q_vector_search_lsh(spark, d):
+    return vector.search_lsh(*_vectors(spark, d))
+
+
+@query()
+def q_embed(spark, d):
+    return vector.embed(chunks(spark, d))
+
+
+@query(f"{BOTH} SELECT query_id, chunk_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm")
+def q_normalize_by_max(spark, d):
+    return ranking.normalize_by_max(route_bm25(spark, d)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+MINMAX = "mm AS (SELECT query_id, chunk_id, route, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE score END AS score FROM both_routes WINDOW w AS (PARTITION BY query_id, route))"
+
+
+def _both(spark, d):
+    return ranking.append_routes(route_bm25(spark, d), route_words(spark, d))
+
+
+@query(f"{BOTH}, {MINMAX} SELECT query_id, chunk_id, route, round(score, 6) AS score FROM mm")
+def q_minmax_normalize(spark, d):
+    return ranking.minmax_normalize(_both(spark, d)).select("query_id", "chunk_id", "route", F.round("score", 6).alias("score"))
+
+
+@query(f"{BOTH}, {MINMAX}, b AS (SELECT query_id, chunk_id, max(score) AS score FROM mm GROUP BY ALL) SELECT query_id, chunk_id, round(score, 6) AS score FROM b")
+def q_dedup_concat(spark, d):
+    return ranking.dedup_concat(route_bm25(spark, d), route_words(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{BOTH} SELECT * FROM both_routes")
+def q_append_routes(spark, d):
+    return _both(spark, d)
+
+
+@query(f"{RRF} SELECT * FROM rr")
+def q_rrf_fusion(spark, d):
+    return ranking.rrf(_both(spark, d))
+
+
+@query(f"{BOTH} SELECT query_id, CAST(count(*) FILTER (n = 2) AS BIGINT) AS n_both, count(*) AS n_either FROM (SELECT query_id, chunk_id, count(DISTINCT route) AS n FROM both_routes GROUP BY ALL) GROUP BY ALL")
+def q_route_overlap(spark, d):
+    return ranking.route_overlap(route_bm25(spark, d), route_words(spark, d))
+
+
+CE = f"""{RRF},
+cp AS (SELECT rr.query_id, rr.chunk_id, rr.rank, round(10.0 * len(list_intersect(list_distinct(qw), dw)) / len(list_distinct(qw)), 6) AS score FROM rr JOIN (SELECT item_id, {TOK.format("text")} AS qw FROM benchmark) b ON b.item_id = query_id JOIN (SELECT doc_id, {TOK.format("text")} AS dw FROM documents) c ON c.doc_id = chunk_id),
+ce AS (SELECT * FROM (SELECT query_id, chunk_id, 'cross_encoder' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS INT) AS rank, score FROM cp) WHERE rank <= 5)"""
+
+
+@query(f"{CE} SELECT * FROM ce")
+def q_ce_rerank(spark, d):
+    return rerank.rerank(ranking.rrf(_both(spark, d)), asked(spark, d), chunks(spark, d))
+
+
+@query(f"{CE} SELECT query_id, string_agg('[来源' || rank || ': ' || source || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ce JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY ALL")
+def q_first_k_context(spark, d):
+    return ranking.first_k_context(q_ce_rerank(spark, d), chunks(spark, d))
+
+
+@query(f"{CE} SELECT query_id, string_agg('[来源: ' || source || '] ' || substring(text, 1, 300), chr(10) || chr(10) ORDER BY rank) AS answer FROM ce JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY ALL")
+def q_generate_answer(spark, d):
+    return agent.generate_answer(q_ce_rerank(spark, d), asked(spark, d), chunks(spark, d))
+
+
+@query()
+def q_search_knowledge(spark, d):
+    return search.search_knowledge(asked(spark, d), search.build_index(chunks(spark, d)))
+
+
+@query()
+def q_agent_loop(spark, d):
+    return agent.agent_loop(asked(spark, d), search.build_index(chunks(spark, d)), threshold=8.0)
+
+
+@query("SELECT source, count(*) AS n_chunks FROM documents GROUP BY 1")
+def q_list_documents(spark, d):
+    return search.list_documents(chunks(spark, d))
+
+
+@query("SELECT count(*) AS n_chunks FROM documents")
+def q_get_chunk_count(spark, d):
+    return search.get_chunk_count(chunks(spark, d))
+
+
+@query("SELECT doc_id AS chunk_id, source, text AS content, lang FROM documents WHERE doc_id = 7")
+def q_get_chunk(spark, d):
+    return search.get_chunk(chunks(spark, d), 7)
+
+
+# --------------------------------------------------------------- evaluation
+
+
+def _results(spark, d):
+    both = _both(spark, d)
+    all_ = both.unionByName(ranking.rrf(both).drop("original_source"))
+    return all_.select(F.col("route").alias("stage"), "query_id", "rank", F.col("chunk_id").alias("source"))
+
+
+def _stages(spark):
+    return spark.createDataFrame([("bm25", 1), ("vector", 2), ("rrf", 3)], "stage string, ordinal int")
+
+
+def _scores(spark, d):
+    return metrics.per_query(_results(spark, d), golden(spark, d), _stages(spark), asked(spark, d))
+
+
+def _categories(spark, d):
+    return tab(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(CATEGORY).alias("category"))
+
+
+@query(f"{SCORES} SELECT stage, query_id, round(mrr, 6) AS mrr, hit, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pq")
+def q_retrieval_metrics(spark, d):
+    return _scores(spark, d).select("stage", "query_id", F.round("mrr", 6).alias("mrr"), "hit", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"{SCORES} SELECT stage, round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall FROM pq GROUP BY 1")
+def q_eval_summary(spark, d):
+    return metrics.eval_summary(_scores(spark, d))
+
+
+CATS = f"cat AS (SELECT item_id AS query_id, {CATEGORY} AS category FROM benchmark)"
+
+
+@query(f"{SCORES}, {CATS} SELECT category, round(avg(mrr) FILTER (stage = 'bm25'), 4) AS mrr_bm25, round(avg(mrr) FILTER (stage = 'vector'), 4) AS mrr_vector, round(avg(mrr) FILTER (stage = 'rrf'), 4) AS mrr_rrf, round(avg(mrr) FILTER (stage = 'rrf') - greatest(avg(mrr) FILTER (stage = 'bm25'), avg(mrr) FILTER (stage = 'vector')), 4) AS gain FROM pq JOIN cat USING (query_id) GROUP BY 1")
+def q_category_breakdown(spark, d):
+    return metrics.category_breakdown(_scores(spark, d), _categories(spark, d))
+
+
+@query(f"{SCORES}, {CATS} SELECT coalesce(category, 'overall') AS category, count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit FROM pq JOIN cat USING (query_id) GROUP BY ROLLUP (category)")
+def q_diag_by_category(spark, d):
+    return metrics.diag_by_category(_scores(spark, d), _categories(spark, d))
+
+
+@query(f"{SCORES}, m AS (SELECT stage, CASE stage WHEN 'bm25' THEN 1 WHEN 'vector' THEN 2 ELSE 3 END AS ordinal, round(avg(mrr), 4) AS mrr FROM pq GROUP BY 1) SELECT stage, ordinal, mrr, round(mrr - coalesce(lag(mrr) OVER (ORDER BY ordinal), mrr), 4) AS delta FROM m")
+def q_ablation_delta(spark, d):
+    return metrics.ablation_delta(metrics.eval_summary(_scores(spark, d)), _stages(spark))
+
+
+@query(f"{SCORES} SELECT stage, query_id, min(rank) AS hit_rank FROM jud WHERE relevant GROUP BY ALL")
+def q_hit_rank(spark, d):
+    return metrics.hit_rank(_results(spark, d), golden(spark, d))
+
+
+@query(f"{SCORES} SELECT stage, query_id, rank, source FROM jud WHERE relevant")
+def q_golden_semi(spark, d):
+    return metrics.golden_semi(_results(spark, d), golden(spark, d)).select("stage", "query_id", "rank", "source")
+
+
+@query(f"WITH {GOLD} SELECT query_id, count(*) AS n_golden FROM gold GROUP BY 1 HAVING bool_and(source IN (SELECT doc_id FROM documents WHERE lang = 'en'))")
+def q_filter_golden_subset(spark, d):
+    clean = chunks(spark, d).filter("lang = 'en'").select(F.col("chunk_id").alias("source"))
+    return metrics.filter_golden_subset(golden(spark, d), clean)
+
+
+CASES = "(SELECT d.doc_id, lang AS category, (n_chars % 70) / 10.0 AS score, quality = 1 AS helpful, ((n_chars % 7) - 3) / 10.0 AS delta FROM documents d JOIN labels USING (doc_id))"
+
+
+def _cases(spark, d):
+    rows = tab(spark, d, "documents").join(tab(spark, d, "labels"), "doc_id")
+    return rows.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("category"), (F.col("n_chars") % 70 / 10.0).alias("score"), (F.col("quality") == 1).alias("helpful"), ((F.col("n_chars") % 7 - 3) / 10.0).alias("delta"))
+
+
+SWEEP = f"""sw AS (SELECT threshold, count(*) FILTER (helpful AND score < threshold) AS tp, count(*) FILTER (NOT helpful AND score < threshold) AS fp, count(*) FILTER (NOT helpful AND NOT score < threshold) AS tn, count(*) FILTER (helpful AND NOT score < threshold) AS fn FROM {CASES}, (SELECT (2 + unnest(range(11))) / 2.0::DOUBLE AS threshold) GROUP BY 1),
+pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM sw),
+cs AS (SELECT threshold::DOUBLE AS threshold, tp, fp, tn, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 4) AS f1 FROM pr)"""
+
+
+def _sweep(spark, d):
+    steps = spark.range(11).select(((F.col("id") + 2) / 2.0).alias("threshold"))
+    return metrics.confusion_sweep(_cases(spark, d), steps)
+
+
+@query(f"WITH {SWEEP} SELECT * FROM cs")
+def q_confusion_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query(f"WITH {SWEEP} SELECT threshold, f1 FROM cs WHERE f1 > 0 ORDER BY f1 DESC, threshold LIMIT 1")
+def q_argmax_config(spark, d):
+    return metrics.calibrated(_sweep(spark, d), params.CE_THRESHOLD)
+
+
+@query("SELECT stage, round(m, 2) AS mean_ms, round(lo, 2) AS min_ms, round(hi, 2) AS max_ms FROM (SELECT event_type AS stage, avg(value) AS m, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1 UNION ALL SELECT 'total', sum(m), NULL, NULL FROM (SELECT avg(value) AS m FROM events GROUP BY event_type))")
+def q_latency_stats(spark, d):
+    return metrics.latency_stats(tab(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+
+
+@query(f"WITH u AS (UNPIVOT (SELECT category, score / 7 AS faithfulness, (delta + 0.3) AS relevancy, CAST(helpful AS INT)::DOUBLE AS recall FROM {CASES}) ON faithfulness, relevancy, recall INTO NAME judge VALUE v) SELECT judge, coalesce(category, 'overall') AS category, round(avg(v), 4) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most FROM u GROUP BY GROUPING SETS ((judge, category), (judge))")
+def q_judge_summary(spark, d):
+    rows = _cases(spark, d).select("query_id", "category", (F.col("score") / 7).alias("faithfulness"), (F.col("delta") + 0.3).alias("relevancy"), F.col("helpful").cast("double").alias("recall"))
+    return metrics.judge_summary(rows)
+
+
+@query(f"SELECT category, count(*) AS n, count(*) FILTER (delta > 0) AS helpful, count(*) FILTER (delta < 0) AS degraded, count(*) FILTER (delta = 0) AS unchanged, round(avg((delta > 0)::INT), 4) AS helpful_rate, round(avg(delta), 4) AS mean_delta, round(max(delta) FILTER (delta <> 0), 4)::DOUBLE AS max_delta, round(min(delta) FILTER (delta <> 0), 4)::DOUBLE AS min_delta FROM {CASES} GROUP BY 1")
+def q_rewrite_summary(spark, d):
+    return metrics.rewrite_summary(_cases(spark, d))
+
+
+@query("SELECT size, overlap FROM (SELECT unnest([256, 512, 1024]) AS size), (SELECT unnest([64, 128, 256]) AS overlap) WHERE overlap < size")
+def q_sweep_grid(spark, d):
+    return metrics.sweep_grid(spark.createDataFrame([(s,) for s in (256, 512, 1024)], "size int"), spark.createDataFrame([(o,) for o in (64, 128, 256)], "overlap int"))
+
+
+# ------------------------------------------------------------ entity graph
+
+ENT = f"""d AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+e AS (SELECT chunk_id, length, word, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS word FROM d) GROUP BY ALL),
+i AS (SELECT word, ln(any_value(n) / count(*)) AS idf FROM e, n GROUP BY word),
+v AS (SELECT chunk_id, {FIRST.format("word")} AS entity, round(tf / length * idf, 6) AS weight FROM e JOIN i USING (word) WHERE length(word) >= 2 AND NOT regexp_matches(word, '^[\\d.+\\-\\s]+$')),
+b AS (SELECT chunk_id, entity, max(weight) AS weight FROM v GROUP BY ALL),
+ec AS (SELECT chunk_id, entity, weight FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, entity) AS r FROM b) WHERE r <= 12)"""
+
+
+def _tfidf(spark, d):
+    return entity_graph.entity_tfidf(chunks(spark, d))
+
+
+@query(f"WITH {ENT} SELECT * FROM ec")
+def q_entity_tfidf(spark, d):
+    return _tfidf(spark, d)
+
+
+@query()
+def q_entity_pos_counts(spark, d):
+    return entity_graph.entity_pos_counts(chunks(spark, d))
+
+
+@query(f"WITH {ENT} SELECT entity, round(sum(weight), 4) AS global_weight FROM ec GROUP BY 1")
+def q_entity_weights(spark, d):
+    return entity_graph.entity_nodes(_tfidf(spark, d))
+
+
+EDGES = f"{ENT}, ed AS (SELECT x.entity AS a, y.entity AS b, count(*) AS weight FROM ec x JOIN ec y ON x.chunk_id = y.chunk_id AND x.entity < y.entity GROUP BY ALL)"
+
+
+@query(f"WITH {EDGES} SELECT * FROM ed")
+def q_entity_cooccurrence(spark, d):
+    return entity_graph.cooccurrence(_tfidf(spark, d))
+
+
+HOPS = f"""{EDGES}, se AS (SELECT DISTINCT b.item_id AS query_id, ec.entity FROM (SELECT DISTINCT item_id, unnest({TOK.format("text")}) AS word FROM benchmark) b JOIN ec ON {FIRST.format("b.word")} = ec.entity WHERE length(b.word) >= 6),
+bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+ho AS (SELECT query_id, entity, CAST(min(hop) AS INT) AS hop FROM (SELECT query_id, entity, 0 AS hop FROM se UNION ALL SELECT query_id, bo.b, 1 FROM se JOIN bo ON se.entity = bo.a) GROUP BY ALL)"""
+
+
+def _hops(spark, d):
+    ec = _tfidf(spark, d)
+    words = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("w")).filter(F.length("w") >= 6)
+    seeds = words.select("query_id", T.normalize_entity_graph(F.col("w")).alias("entity")).join(ec.select("entity").distinct(), "entity", "left_semi").select("query_id", "entity")
+    return entity_graph.khop(seeds, entity_graph.cooccurrence(ec)), ec
+
+
+@query(f"WITH {HOPS} SELECT * FROM ho")
+def q_khop_expand(spark, d):
+    return _hops(spark, d)[0]
+
+
+@query(f"WITH {HOPS}, sg AS (SELECT query_id, chunk_id, sum(weight / (1 + hop)) AS score FROM ho JOIN ec USING (entity) GROUP BY ALL) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM sg QUALIFY max(score) OVER (PARTITION BY query_id) > 0")
+def q_score_graph_chunks(spark, d):
+    return entity_graph.score_graph_chunks(*_hops(spark, d))
+
+
+@query()
+def q_map_entities(spark, d):
+    nodes = _tfidf(spark, d).select("entity").distinct()
+    named = asked(spark, d).select("query_id", F.col("query").alias("content"))
+    return entity_graph.map_entities(entity_graph.entities(named, 20, "query_id").select("query_id", "entity"), nodes)
+
+
+@query()
+def q_graph_search(spark, d):
+    c, q = chunks(spark, d), asked(spark, d)
+    ec = entity_graph.entities(c)
+    wanted = entity_graph.entities(q.select("query_id", F.col("query").alias("content")), 20, "query_id").select("query_id", "entity")
+    return entity_graph.search(q, ec, entity_graph.cooccurrence(ec), wanted)
+
+
+# --------------------------------------------------------- knowledge graph
+
+
+def _records(spark, d):
+    """Triples of the relational tables: places of suppliers and customers."""
+    nation, region = tab(spark, d, "nation"), tab(spark, d, "region")
+    s, c = tab(spark, d, "supplier"), tab(spark, d, "customer")
+    t = lambda a, r, b: F.array(F.struct(F.col(a).alias("subject"), F.lit(r).alias("relation"), F.col(b).alias("object")))
+    n = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    one = n.select(F.concat(F.lit("n"), "n_nationkey").alias("chunk_id"), F.lit("nation").alias("source_doc"), t("n_name", "part of", "r_name").alias("triples"))
+    two = s.join(nation, s["s_nationkey"] == nation["n_nationkey"]).select(F.concat(F.lit("s"), "s_suppkey").alias("chunk_id"), F.lit("supplier").alias("source_doc"), t("s_name", "based in", "n_name").alias("triples"))
+    bad = c.join(nation, c["c_nationkey"] == nation["n_nationkey"]).select(F.concat(F.lit("c"), "c_custkey").alias("chunk_id"), F.lit("customer").alias("source_doc"), F.when(F.col("c_custkey") % 5 == 0, t("c_name", "12.5", "n_name")).when(F.col("c_custkey") % 5 == 1, t("c_name", " ", "n_name")).otherwise(t("c_name", " lives with everyone in ", "n_name")).alias("triples"))
+    return one.unionByName(two).unionByName(bad)
+
+
+def _triples(spark, d):
+    return kg.clean_triples(_records(spark, d))
+
+
+CLEAN = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, '\b(v?\d+(?:\.\d+)*)\b', '', 'gi'), '-+', '-', 'g'), '^[ _-]+|[ _-]+$', '', 'g')"
+KG = f"""rec AS (SELECT 'n' || n_nationkey AS chunk_id, 'nation' AS source_doc, n_name AS s, 'part of' AS r, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name, 'based in', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'c' || c_custkey, 'customer', c_name, CASE c_custkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN ' ' ELSE ' lives with everyone in ' END, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+tr AS (SELECT chunk_id, source_doc, {FIRST.format("s2")} AS subject, substring(trim(r), 1, 20) AS relation, {FIRST.format("o2")} AS object FROM (SELECT *, {CLEAN("s")} AS s2, {CLEAN("o")} AS o2 FROM rec) WHERE trim(r) <> '' AND NOT regexp_matches(trim(r), '^[\\d.+\\-\\s]+$') AND length(s2) >= 2 AND length(o2) >= 2 AND NOT regexp_matches(s2, '^[\\d.+\\-\\s]+$') AND NOT regexp_matches(o2, '^[\\d.+\\-\\s]+$'))"""
+
+
+@query(f"WITH {KG} SELECT * FROM tr")
+def q_clean_triples(spark, d):
+    return _triples(spark, d)
+
+
+@query(f"WITH {KG} SELECT subject, object, array_to_string(list_sort(list(DISTINCT relation)), '|') AS relations FROM tr GROUP BY ALL")
+def q_kg_edge_build(spark, d):
+    return kg.edges(_triples(spark, d)).withColumn("relations", F.array_join("relations", "|"))
+
+
+def _kg_chunks(spark, d):
+    """The nation and supplier records' chunks; customers' are unknown but for one."""
+    rows = _records(spark, d).select("chunk_id", F.col("source_doc").alias("source"))
+    return rows.filter("source <> 'customer' or chunk_id = 'c2'")
+
+
+KGC = "kc AS (SELECT DISTINCT chunk_id, source_doc AS source FROM rec WHERE source_doc <> 'customer' OR chunk_id = 'c2')"
+KGX = f"{KG}, {KGC}, en AS (SELECT DISTINCT chunk_id, source_doc, unnest([subject, object]) AS entity FROM tr), kx AS (SELECT DISTINCT entity, chunk_id FROM (SELECT entity, chunk_id FROM en WHERE chunk_id IN (SELECT chunk_id FROM kc) UNION ALL SELECT en.entity, kc.chunk_id FROM en JOIN kc ON kc.source = en.source_doc WHERE en.chunk_id NOT IN (SELECT chunk_id FROM kc)))"
+
+
+@query(f"WITH {KGX} SELECT * FROM kx")
+def q_entity_chunk_index(spark, d):
+    return kg.entity_chunk_index(_triples(spark, d), _kg_chunks(spark, d))
+
+
+def _kg_asked(spark, d):
+    """For each nation: its name, its region's name, and a fragment of it."""
+    n, r = tab(spark, d, "nation"), tab(spark, d, "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    s = tab(spark, d, "supplier")
+    own = rows.select(F.col("n_nationkey").alias("query_id"), F.explode(F.array("r_name", F.lower(F.substring("n_name", 2, 4)))).alias("entity"))
+    sup = s.select(F.col("s_nationkey").alias("query_id"), T.normalize_entity_kg_query(F.col("s_name")).alias("entity"))
+    return own.unionByName(sup).distinct()
+
+
+KGQ = f"""{KGX}, ka AS (SELECT DISTINCT query_id, entity FROM (SELECT n_nationkey AS query_id, unnest([r_name, lower(substring(n_name, 2, 4))]) AS entity FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_nationkey, {FIRST.format("x")} FROM (SELECT s_nationkey, {CLEAN("s_name")} AS x FROM supplier))),
+kn AS (SELECT DISTINCT unnest([subject, object]) AS node FROM tr), ke AS (SELECT DISTINCT subject, object FROM tr),
+m1 AS (SELECT query_id, entity, node FROM ka JOIN kn ON entity = node),
+km AS (SELECT DISTINCT query_id, node FROM (SELECT query_id, node FROM m1 UNION ALL SELECT a.query_id, node FROM ka a JOIN kn ON contains(lower(node), lower(a.entity)) OR contains(lower(a.entity), lower(node)) WHERE (a.query_id, a.entity) NOT IN (SELECT (query_id, entity) FROM m1))),
+p1 AS (SELECT a.query_id, a.node AS source, b.node AS target, NULL::VARCHAR AS mid FROM km a JOIN ke ON subject = a.node JOIN km b ON b.query_id = a.query_id AND b.node = object WHERE a.node <> b.node),
+p2 AS (SELECT a.query_id, a.node AS source, b.node AS target, min(e.object) AS mid FROM km a JOIN ke e ON e.subject = a.node JOIN ke f ON f.subject = e.object JOIN km b ON b.query_id = a.query_id AND b.node = f.object WHERE a.node <> b.node AND e.object <> a.node AND e.object <> b.node AND (a.query_id, a.node, b.node) NOT IN (SELECT (query_id, source, target) FROM p1) GROUP BY ALL),
+kp AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
+
+
+def _matched(spark, d):
+    graph = kg.edges(_triples(spark, d))
+    nodes = graph.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
+    return kg.match_nodes(_kg_asked(spark, d), nodes), graph
+
+
+@query(f"WITH {KGQ} SELECT query_id, node FROM km")
+def q_kg_match_nodes(spark, d):
+    return _matched(spark, d)[0]
+
+
+@query(f"WITH {KGQ} SELECT * FROM kp")
+def q_kg_paths(spark, d):
+    return kg.paths(*_matched(spark, d))
+
+
+KGR = f"{KGQ}, kr AS (SELECT query_id, entity, max(weight) AS weight FROM (SELECT query_id, node AS entity, 1.0::DOUBLE AS weight FROM km UNION ALL SELECT query_id, mid, 0.5::DOUBLE FROM kp WHERE mid IS NOT NULL) GROUP BY ALL), ks AS (SELECT query_id, chunk_id, sum(weight) AS score FROM kr JOIN kx USING (entity) GROUP BY ALL), kz AS (SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM ks)"
+
+
+@query(f"WITH {KGR} SELECT query_id, entity, weight FROM kr")
+def q_relevant_entities(spark, d):
+    matched, graph = _matched(spark, d)
+    return kg.relevant_entities(matched, kg.paths(matched, graph))
+
+
+@query(f"WITH {KGR} SELECT * FROM (SELECT query_id, chunk_id, 'kg' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM kz) WHERE rank <= 20")
+def q_kg_search(spark, d):
+    return kg.search(_kg_asked(spark, d), _triples(spark, d), _kg_chunks(spark, d))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_pending_chunks(spark, d):
+    return kg.pending_chunks(chunks(spark, d).select("chunk_id"), tab(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")))
+
+
+@query("SELECT count(*) AS total, count(quality) AS skipped, count(*) FILTER (quality IS NULL) AS pending, coalesce(sum(quality), 0)::BIGINT AS total_triples, count(*) FILTER (quality = 0) AS failed FROM documents LEFT JOIN labels USING (doc_id)")
+def q_build_stats(spark, d):
+    rows = tab(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.array_repeat(F.lit("t"), F.col("quality")).alias("triples"))
+    return kg.build_stats(chunks(spark, d), rows)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_windowed_counts(spark, d):
+    return incremental.windowed_counts(tab(spark, d, "events")).withColumn("total", F.round("total", 4))
