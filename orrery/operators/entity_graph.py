@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .. import params, session
+from .. import params, session, storage
 from ..functions import text as T
 from . import ranking
 
@@ -74,9 +74,13 @@ def map_entities(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     either way without case; for those still without, the best alike one. The
     later levels compare what is left of the queries' entities with all nodes."""
     names = nodes.select(F.col("entity").alias("node"), F.lower("entity").alias("low_node"))
+    asked = storage.written(asked.select("query_id", "entity").distinct(), "asked")
     exact = asked.join(names, asked["entity"] == names["node"]).select("query_id", "entity", "node", F.lit("exact").alias("level"))
-    left = session.small(asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti").withColumn("low", F.lower("entity")))
+    left = (asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti").withColumn("low", F.lower("entity")))
+    left = storage.written(left, "left")
+    left = session.small(left)
     within = names.join(left, F.contains("low_node", "low") | F.contains("low", "low_node")).select("query_id", "entity", "node", F.lit("substr").alias("level"))
+    within = storage.written(within, "within")
     last = session.small(left.join(within.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_anti").filter(F.length("entity") >= params.FUZZY_LENGTH))
     # the ratio is 2 * matches / both lengths, so lengths alone rule most pairs out
     near = (F.length("node") >= params.FUZZY_LENGTH) & (2 * F.least(F.length("node"), F.length("entity")) >= params.FUZZY_RATIO * (F.length("node") + F.length("entity")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import params
+from .. import params, storage
 from ..functions import text as T
 from ..operators import kg
 from . import search
@@ -86,6 +86,7 @@ def agent_loop(queries: DataFrame, index: search.Index, *, threshold: float = pa
         found = search.fusion_pipeline(search.routes(active, index), active, index.chunks, scorer=scorer)["cross_encoder"]
         best = found.groupBy("query_id").agg(F.max("score").alias("best"))
         now = active.join(best, "query_id", "left").select("query_id", F.lit(attempt).alias("attempt"), "query", F.coalesce("best", F.lit(0.0)).alias("best"))
+        now = storage.written(now, "attempt")
         log = now if log is None else log.unionByName(now)
         if attempt < attempts:
             weak = now.filter(F.col("best") < threshold).select("query_id", "query")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import params
+from .. import params, storage
 from ..functions import text as T
 from ..operators import bm25, entity_graph, kg, ranking, rerank, vector
 
@@ -25,8 +25,9 @@ class Index:
 
 
 def build_index(chunks: DataFrame, graph: bool = False, triples: DataFrame | None = None) -> Index:
-    ec = entity_graph.entities(chunks) if graph else None
-    return Index(chunks, vector.embed(chunks), ec, entity_graph.cooccurrence(ec) if graph else None, triples)
+    ec = storage.written(entity_graph.entities(chunks), "entities") if graph else None
+    vectors = storage.written(vector.embed(chunks), "vectors")
+    return Index(chunks, vectors, ec, storage.written(entity_graph.cooccurrence(ec), "edges") if graph else None, triples)
 
 
 def routes(queries: DataFrame, index: Index) -> dict[str, DataFrame]:
@@ -47,6 +48,7 @@ def routes(queries: DataFrame, index: Index) -> dict[str, DataFrame]:
 def fusion_pipeline(found: dict[str, DataFrame], queries: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, rrf_k: int = params.RRF_K, ce_top_k: int = params.CE_TOP_K, scorer=None) -> dict[str, DataFrame]:
     """{rrf, cross_encoder}: all routes fused, then every fused row rescored."""
     fused = ranking.rrf(ranking.append_routes(*found.values()), weights or {"graph": params.GRAPH_RRF_WEIGHT, "kg": params.KG_RRF_WEIGHT}, rrf_k)
+    fused = storage.written(fused, "fused")  # at most the routes' top k of each query; read by both stages
     return {"rrf": fused, "cross_encoder": rerank.rerank(fused, queries, chunks, ce_top_k, scorer)}
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import params
+from . import params, storage
 from .functions import text as T
 from .operators import bm25, chunking, entity_graph, kg, metrics, ranking, rerank, vector
 from .plans import agent, search
@@ -505,7 +505,7 @@ ho AS (SELECT query_id, entity, CAST(min(hop) AS INT) AS hop FROM (SELECT query_
 
 
 def _hops(spark, d):
-    ec = _tfidf(spark, d)
+    ec = storage.written(_tfidf(spark, d), "entities")
     words = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("w")).filter(F.length("w") >= 6)
     seeds = words.select("query_id", T.normalize_entity_graph(F.col("w")).alias("entity")).join(ec.select("entity").distinct(), "entity", "left_semi").select("query_id", "entity")
     return entity_graph.khop(seeds, entity_graph.cooccurrence(ec)), ec
@@ -523,7 +523,7 @@ def q_score_graph_chunks(spark, d):
 
 @query()
 def q_map_entities(spark, d):
-    nodes = _tfidf(spark, d).select("entity").distinct()
+    nodes = storage.written(_tfidf(spark, d).select("entity").distinct(), "nodes")
     named = asked(spark, d).select("query_id", F.col("query").alias("content"))
     return entity_graph.map_entities(entity_graph.entities(named, 20, "query_id").select("query_id", "entity"), nodes)
 
@@ -531,7 +531,7 @@ def q_map_entities(spark, d):
 @query()
 def q_graph_search(spark, d):
     c, q = chunks(spark, d), asked(spark, d)
-    ec = entity_graph.entities(c)
+    ec = storage.written(entity_graph.entities(c), "entities")
     wanted = entity_graph.entities(q.select("query_id", F.col("query").alias("content")), 20, "query_id").select("query_id", "entity")
     return entity_graph.search(q, ec, entity_graph.cooccurrence(ec), wanted)
 
