@@ -23,6 +23,7 @@ result; other columns are ignored by ``components`` and kept by ``keep_first``.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -42,23 +43,45 @@ LEAF = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = 1 << 16
+#: Wide fingerprints: shingles of five words, and bits that texts of the least
+#: similarity may differ in (a pair at 0.8 differs in 39 +- 6 of 256 bits).
+WIDE_WORDS, WIDE_BUDGET, SIMILARITY, RECALL = 5, 48, 0.8, 0.95
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def fingerprint(text: str | None, n_words: int = WORDS) -> int:
+def shingle_hashes(text: str | None, n_words: int = WORDS) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles, repeats included; none without words."""
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= n_words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    view = memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[: len(words) - n_words + 1].tolist(), ends[n_words - 1 :].tolist(), strict=True)), np.uint64, len(words) - n_words + 1)
+    view, n = memoryview(joined), len(words) - n_words + 1
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[n_words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the hashes; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _STEP):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
+def fingerprint(text: str | None, n_words: int = WORDS) -> int:
+    return majority(shingle_hashes(text, n_words))
+
+
+def wide_fingerprint(text: str | None, n_words: int) -> bytes:
+    """256 bits: the majority of each of four hashes made from a shingle's."""
+    h, out = shingle_hashes(text, n_words), []
+    for k in _MIX:
+        x = (h ^ (h >> np.uint64(32))) * k
+        out.append(majority(x ^ (x >> np.uint64(29))))
+    return np.array(out, ">u8").tobytes()
 
 
 def fingerprints(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,24 +98,22 @@ def fingerprints(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id",
 # --------------------------------------------------------------- trie join
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sorted distinct uint64 arrays ``a`` and ``b`` (or of
-    ``a`` with itself, each pair once) that differ in at most ``budget`` bits.
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sorted distinct fingerprints ``a`` and ``b`` (or of
+    ``a`` with itself, each pair once) that differ in at most ``budget`` bits;
+    a fingerprint is a uint64, or a row of several, sorted by the first first.
 
     A trie node is a range of the sorted array at a depth; all node pairs of a
     depth go down in one vectorised step. Pairs of few fingerprints are compared
     directly."""
     same = b is None
-    b = a if same else b
+    a = a[:, None] if a.ndim == 1 else a
+    b = a if same else b[:, None] if b.ndim == 1 else b
     if not len(a) or not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     front = [np.array([v], np.int64) for v in (0, len(a), 0, len(b), 0)]
     left, right = [], []
-    for depth in range(bits):
+    for depth in range(BITS * a.shape[1]):
         la, ha, lb, hb, err = front
         small = (ha - la) * (hb - lb) <= LEAF
         if small.any():
@@ -102,9 +123,9 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, bits: int = BIT
             la, ha, lb, hb, err = front = [v[~small] for v in front]
         if not len(la):
             break
-        bit = np.uint64(1) << np.uint64(bits - 1 - depth)
+        bit, word = np.uint64(1) << np.uint64(BITS - 1 - depth % BITS), depth // BITS
         # first index of each node whose bit is set
-        ma, mb = _middle(a, la, ha, bit), _middle(b, lb, hb, bit)
+        ma, mb = _middle(a[:, word], la, ha, bit), _middle(b[:, word], lb, hb, bit)
         kids = []
         for x0, x1, y0, y1, more in ((la, ma, lb, mb, 0), (ma, ha, mb, hb, 0), (la, ma, mb, hb, 1), (ma, ha, lb, mb, 1)):
             ok = (x0 < x1) & (y0 < y1) & (err + more <= budget)
@@ -146,7 +167,10 @@ def _leaves(a, b, front, budget):
         node = np.repeat(np.arange(len(n)), n)
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         i, j = la[s][node] + k // tall[s][node], lb[s][node] + k % tall[s][node]
-        ok = _popcount(a[i] ^ b[j]) <= budget
+        far = np.bitwise_count(a[i, 0] ^ b[j, 0]).astype(np.int32)
+        for w in range(1, a.shape[1]):
+            far += np.bitwise_count(a[i, w] ^ b[j, w])
+        ok = far <= budget
         yield i[ok], j[ok]
 
 
@@ -197,54 +221,112 @@ def _grouped(fps: DataFrame, budget: int, group_rows: int) -> DataFrame:
     return plain.unionByName(part).unionByName(pairs)
 
 
-def fingerprint_links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints within the budget.
+def _joined(rows: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links of (fp binary, id, g, side) within each g, those of a
+    spanning forest. One task joins whole groups, which its sort has put side by
+    side; memory is bounded by the largest group."""
 
-    One task joins whole groups, which its sort has put side by side; memory is
-    bounded by the largest group, ``group_rows`` or two chunks of that size."""
+    def ordered(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(x.T[::-1])
+        return x[order], ids[order]
 
-    def join_group(fp: np.ndarray, side: np.ndarray):
+    def join_group(data: list[bytes], ids: np.ndarray, side: np.ndarray):
+        x = np.frombuffer(b"".join(data), ">u8").astype(np.uint64).reshape(len(ids), -1)
         if side[0] < 0:
-            x = np.sort(fp.view(np.uint64))
-            root = forest(len(x), *trie_pairs(x, None, budget))
+            x, ids = ordered(x, ids)
+            i, j = trie_pairs(x, None, budget)
         else:
-            a, b = np.sort(fp[side == 0].view(np.uint64)), np.sort(fp[side == 1].view(np.uint64))
-            x = np.concatenate([a, b])
+            (a, ids_a), (b, ids_b) = (ordered(x[side == k], ids[side == k]) for k in (0, 1))
             i, j = trie_pairs(a, b, budget)
-            root = forest(len(x), i, j + len(a))
-        far = np.flatnonzero(root != np.arange(len(x)))
-        return x[root[far]].view(np.int64), x[far].view(np.int64)
+            ids, j = np.concatenate([ids_a, ids_b]), j + len(a)
+        root = forest(len(ids), i, j)
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[root[far]], ids[far]
 
     def run(batches):
-        held_g, held = None, []
+        held_g, data, ids, side = None, [], [], []
 
         def close():
-            fp, side = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            if len(fp) > 1:
-                return join_group(fp, side)
-            return None
+            i, s = np.concatenate(ids), np.concatenate(side)
+            return join_group(data, i, s) if len(i) > 1 else None
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            fp, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            side = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
+            fp, g = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            own, s = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
             if not len(g):
                 continue
-            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            found = []
+            cuts, found = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]), []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if held and g[lo] != held_g:
+                if ids and g[lo] != held_g:
                     found.append(close())
-                    held = []
+                    data, ids, side = [], [], []
                 held_g = g[lo]
-                held.append((fp[lo:hi], side[lo:hi]))
+                data += fp[lo:hi]
+                ids.append(own[lo:hi])
+                side.append(s[lo:hi])
             found = [f for f in found if f is not None and len(f[0])]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
-        if held and (last := close()) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in last], ["a", "b"])
+                yield batch_of(found)
+        if ids and (last := close()) is not None and len(last[0]):
+            yield batch_of([last])
+
+    placed = rows.repartition("g").sortWithinPartitions("g")
+    return placed.select("fp", "id", "g", "side").mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): links that connect all distinct fingerprints (fp long) within the budget."""
+    rows = _grouped(fps, budget, group_rows)
+    return _joined(rows.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.col("fp").alias("id"), "g", "side"), budget)
+
 
-    rows = _grouped(fps, budget, group_rows).repartition("g").sortWithinPartitions("g")
-    return rows.select("fp", "g", "side").mapInArrow(run, "a long, b long")
+def _tables(n: int) -> np.ndarray:
+    """Bits sampled by each table: as many bits as leave a few of n fingerprints
+    in a bucket, as many tables as find a pair of the least similarity with
+    probability ``RECALL``."""
+    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
+    agree = 1 - math.acos(cosine) / math.pi
+    bits = min(48, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(4 * BITS, bits, replace=False) for _ in range(tables)])
+
+
+def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): links of distinct wide fingerprints (id, fp) within the budget,
+    found where a table's sampled bits agree. Buckets above ``group_rows`` are
+    parted into chunks of which each pair is joined by a task of its own."""
+    picks = _tables(prints.count())
+
+    def run(batches):
+        weight = np.uint64(1) << np.arange(picks.shape[1], dtype=np.uint64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1)
+            for t, pick in enumerate(picks):
+                g = (bits[:, pick] * weight).sum(axis=1, dtype=np.uint64) ^ (np.uint64(t + 1) * _MIX[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(g.view(np.int64))], ["id", "fp", "g"])
+
+    rows = prints.select("id", "fp").mapInArrow(run, "id long, fp binary, g long")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("g", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
+    large = common.written(sizes, "simhash-large")
+    if large.isEmpty():
+        return _joined(rows.withColumn("side", F.lit(None).cast("int")), budget)
+    plain = rows.join(large, "g", "left_anti").select("id", "fp", "g", F.lit(None).cast("int").alias("side"))
+    return _joined(plain.unionByName(_chunked(rows.join(large, "g"))), budget)
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows (id, fp, g, chunks) of a large group, once for each pair of chunks."""
+    own = rows.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
+    pairs = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("c") < F.col("o"), 0).when(F.col("c") > F.col("o"), 1).cast("int")
+    return pairs.select("id", "fp", F.xxhash64("g", F.least("c", "o"), F.greatest("c", "o")).alias("g"), side.alias("side"))
 
 
 # ------------------------------------------------------------- components
@@ -282,17 +364,36 @@ def components(docs: DataFrame, n_words: int = WORDS, budget: int = BUDGET, id_c
     """(doc_id, fp, component_id): a row for each document."""
     prints = common.written(fingerprints(docs, n_words, id_col, text_col), "simhash")
     least = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    labels = connected(fingerprint_links(least.select("fp"), budget, group_rows))
-    named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return _named(prints, least, "fp", fingerprint_links(least.select("fp"), budget, group_rows))
+
+
+def _named(prints: DataFrame, least: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """prints with component_id, from links between the distinct keys."""
+    named = least.join(connected(links).withColumnRenamed("node", key), key, "left").withColumn("label", F.coalesce("label", key))
     lowest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_print = named.join(lowest, "label").select("fp", "component_id")
-    return prints.join(by_print, "fp")
+    return prints.join(named.join(lowest, "label").select(key, "component_id"), key)
+
+
+def similar_components(docs: DataFrame, n_words: int = WIDE_WORDS, budget: int = WIDE_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, id, component_id) by wide fingerprints: texts whose shingles of
+    ``n_words`` have a similarity of about ``SIMILARITY`` or more are linked. A
+    fingerprint goes by a 64-bit hash of its 256 bits."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, n_words) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+
+    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    prints = common.written(wide.withColumn("id", F.xxhash64("fp")), "simhash-wide")
+    least = common.written(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "simhash-distinct")
+    return _named(prints.drop("fp"), least.drop("fp"), "id", wide_links(least, budget, group_rows))
 
 
-def keep_first(docs: DataFrame, n_words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One document of each component, that with the smallest id, with all its
     columns. Of rows that repeat an id one stays; rows with a null id stay."""
-    kept = components(docs, n_words, budget).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = components(docs) if found is None else found
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
