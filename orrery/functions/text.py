@@ -111,4 +111,4 @@ def parse_judge_score(raw: Column, shown: int = 100) -> Column:
     # a missing score is 0, one that is no number can't be read
     row = F.from_json(body, "score string, reason string")
     number = F.when(body.rlike(r"^\{"), F.coalesce(row["score"].try_cast("double"), F.when(~body.rlike(r'"score"\s*:') & body.rlike(r"\}$"), F.lit(0.0))))
-    return F.struct(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.0)).alias("score"), F.when(number.isNotNull(), F.coalesce(row["reason"], F.lit(""))).otherwise(F.concat(F.lit("解析失败: "), F.substring(raw, 1, shown))).alias("reason"))
+    return F.struct(F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(0.0).alias("score"), F.when(number.isNotNull(), F.coalesce(row["reason"], F.lit(""))).otherwise(F.concat(F.lit("解析失败: "), F.substring(raw, 1, shown))).alias("reason"))
