@@ -22,8 +22,9 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash.keep_first(docs)
+    """One document, that of the smallest id, of each group of near copies:
+    texts whose five-word shingles are similar by 0.8 or more."""
+    return simhash.keep_first(docs, simhash.similar_components(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
