@@ -44,7 +44,7 @@ def entities(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: st
 
 
 def entity_nodes(ec: DataFrame) -> DataFrame:
-    return ec.groupBy("entity").agg(F.round(F.sum("weight"), 4).alias("global_weight"))
+    return ec.groupBy("entity").agg(F.round(F.sum(F.col("weight").cast("decimal(18,6)")), 4).cast("double").alias("global_weight"))
 
 
 def cooccurrence(ec: DataFrame) -> DataFrame:

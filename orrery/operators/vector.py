@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,22 @@ def norm(a: Column) -> Column:
 
 
 def embed(chunks: DataFrame, dims: int = 64) -> DataFrame:
-    """The offline embedder: hashed term counts, L2-normalised. (chunk_id, vec)."""
+    """The offline embedder: hashed term counts, L2-normalised. (chunk_id, vec).
+    Words are hashed in the JVM; Arrow batches of their slots are counted at once."""
     hashed = F.transform(T.tokenize(F.col("content")), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(F.col("h"), lambda x: x == i)).cast("double"))
-    raw = chunks.select("chunk_id", hashed.alias("h")).select("chunk_id", counts.alias("v"))
-    return raw.select("chunk_id", F.transform("v", lambda x: F.when(norm(F.col("v")) > 0, x / norm(F.col("v"))).otherwise(0.0)).alias("vec"))
+    rows = chunks.select("chunk_id", hashed.alias("h"))
+
+    def run(batches):
+        for b in batches:
+            slots = b.column(1)
+            ends = slots.offsets.to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            counts = np.bincount(row * dims + slots.values.to_numpy()[ends[0] : ends[-1]], minlength=b.num_rows * dims).reshape(-1, dims)
+            size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vec = counts / np.where(size > 0, size, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * dims, pa.array(vec.ravel()))], ["chunk_id", "vec"])
+
+    return rows.mapInArrow(run, chunks.select("chunk_id", F.array(F.lit(0.0)).alias("vec")).schema)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K) -> DataFrame:

@@ -486,7 +486,7 @@ def q_entity_pos_counts(spark, d):
     return entity_graph.entity_pos_counts(chunks(spark, d))
 
 
-@query(f"WITH {ENT} SELECT entity, round(sum(weight), 4) AS global_weight FROM ec GROUP BY 1")
+@query(f"WITH {ENT} SELECT entity, round(sum(weight::DECIMAL(18,6)), 4)::DOUBLE AS global_weight FROM ec GROUP BY 1")
 def q_entity_weights(spark, d):
     return entity_graph.entity_nodes(_tfidf(spark, d))
 
