@@ -287,7 +287,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col:
         return run
 
     for sent in _slabs(benchmark):
-        part = docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(searcher(sent), schema)
+        part = docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(common.trimmed(searcher(sent)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -307,7 +307,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
         return run
 
     for sent in _slabs(benchmark):
-        docs = docs.mapInArrow(keeper(sent), schema)
+        docs = docs.mapInArrow(common.trimmed(keeper(sent)), schema)
     return docs
 
 

@@ -44,7 +44,7 @@ MASK32 = np.uint64(0xFFFFFFFF)
 BLOCK_TOKENS = 1 << 17
 MAX_LANES = 2048
 CHECK_STEPS = 64
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 END_ID = 2
 #: A word that a lower-casing tokenizer leaves whole: small Latin-1 letters.
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -294,7 +294,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
                 size = pa.array(np.full(len(n), wide.dtype.itemsize, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), size, pa.array(blobs, pa.binary())], ["doc_id", "n", "width", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, width int, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.trimmed(run), "doc_id long, n long, width int, ids binary")
 
 
 def _unpack(unpacker, blob: bytes, width: int, n: int) -> np.ndarray:
@@ -318,7 +318,7 @@ def symbol_counts(ids: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["symbol", "n"])
 
-    return ids.select("ids", "width", "n").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return ids.select("ids", "width", "n").mapInArrow(common.trimmed(run), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def scaled(symbols: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -490,7 +490,7 @@ def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, *, id_col:
             yield flush()
 
     key = F.xxhash64("ids")
-    ids.withColumn("tie", key).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").mapInArrow(run, "part int, seq int, start long, n_tokens long, payload binary").write.parquet(f"{out}/blocks")
+    ids.withColumn("tie", key).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").mapInArrow(common.trimmed(run), "part int, seq int, start long, n_tokens long, payload binary").write.parquet(f"{out}/blocks")
     common.drop_path(spark, stage)
 
 
@@ -518,7 +518,7 @@ def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.join(before, "part").select((F.col("start") + F.col("before")).alias("first"), "payload").mapInArrow(run, schema)
+    return blocks.join(before, "part").select((F.col("start") + F.col("before")).alias("first"), "payload").mapInArrow(common.trimmed(run), schema)
 
 
 def default_tokenizer() -> str:

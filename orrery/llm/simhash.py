@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, n_words: int = WORDS, id_col: str = "doc_id",
             got = np.array([fingerprint(t, n_words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(common.trimmed(run), "doc_id long, fp long")
 
 
 # --------------------------------------------------------------- trie join
@@ -274,7 +274,7 @@ def _joined(rows: DataFrame, budget: int) -> DataFrame:
             yield batch_of([last])
 
     placed = rows.repartition("g").sortWithinPartitions("g")
-    return placed.select("fp", "id", "g", "side").mapInArrow(run, "a long, b long")
+    return placed.select("fp", "id", "g", "side").mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -312,7 +312,7 @@ def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, group_rows: int = G
                 g = (bits[:, pick] * weight).sum(axis=1, dtype=np.uint64) ^ (np.uint64(t + 1) * _MIX[0])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(g.view(np.int64))], ["id", "fp", "g"])
 
-    rows = prints.select("id", "fp").mapInArrow(run, "id long, fp binary, g long")
+    rows = prints.select("id", "fp").mapInArrow(common.trimmed(run), "id long, fp binary, g long")
     sizes = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("g", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
     large = common.written(sizes, "simhash-large")
     if large.isEmpty():
@@ -383,7 +383,7 @@ def similar_components(docs: DataFrame, n_words: int = WIDE_WORDS, budget: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, n_words) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
 
-    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, fp binary")
     prints = common.written(wide.withColumn("id", F.xxhash64("fp")), "simhash-wide")
     least = common.written(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "simhash-distinct")
     return _named(prints.drop("fp"), least.drop("fp"), "id", wide_links(least, budget, group_rows))

@@ -151,7 +151,7 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: st
             w = dense[at]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([b, *w], pa.float64())], ["feature", "weight"])
 
-    got = sample(docs, labels, rows, label).coalesce(1).mapInArrow(run, "feature int, weight double").toPandas()  # bounded by 2**HASH_BITS
+    got = sample(docs, labels, rows, label).coalesce(1).mapInArrow(common.trimmed(run), "feature int, weight double").toPandas()  # bounded by 2**HASH_BITS
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(1e-9))
     bias = got["feature"] < 0
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = S
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(got)], [*columns, name])
 
     picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    return picked.mapInArrow(run, docs.select(*columns, F.lit(0.0).alias(name)).schema)
+    return picked.mapInArrow(common.trimmed(run), docs.select(*columns, F.lit(0.0).alias(name)).schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
