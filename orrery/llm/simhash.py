@@ -341,10 +341,14 @@ def connected(links: DataFrame) -> DataFrame:
     path; sums and minima are pre-aggregated, and joins are plain equi-joins
     that adaptive execution splits where a node is hot."""
     edges = common.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    # a node that many groups tie to different roots keeps its smallest one, and
+    # its other roots are tied to that: about a link a node is left
+    for _ in range(2):
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        roots = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        edges = common.written(low.withColumnRenamed("m", "b").unionByName(roots).distinct(), "cc-stars")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
-    del nodes
     while True:
         jumped = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.least("label", "up").alias("label"))
         jumped = common.written(jumped, "cc-jump")
