@@ -8,9 +8,10 @@ a document is kept if it passes the base rules and no rate lies beyond its
 group's fence.
 
 Defined results: null text has no words and fails the base rules; null lang or
-source form groups of their own; a group's fence never falls below the floors of
-``FLOORS``, so small or uniform groups reject nothing by chance; repeated ids
-are separate rows; an empty table gives no rows; other columns are ignored.
+source form groups of their own; a fence is a value of its group or lies beyond
+one, so a uniform group rejects nothing, nor does one of fewer rows than make
+its tail (under ten at 0.9); repeated ids are separate rows; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-#: The fence of a rate: median + REACH * (upper quartile - median), at least the floor.
+#: The fence of a rate, from its group alone: the tail quantile of TAILS, or
+#: median + REACH * (upper quartile - median) where that lies beyond it.
 REACH = 6.0
 SKETCH_K = 400
-#: rate: least fence
-FLOORS = {"symbol_rate": 0.1, "dup_line_rate": 0.3, "repeat_rate": 0.2, "word_length": 12.0}
+TAILS = {"symbol_rate": 0.9, "dup_line_rate": 0.99, "repeat_rate": 0.99, "word_length": 0.9}
 
 
 def _let(value, body):
@@ -85,11 +86,11 @@ def rates(c: DataFrame) -> DataFrame:
 
 def thresholds(measured: DataFrame, by=("lang", "source"), k: int = SKETCH_K) -> DataFrame:
     """A row for each group: the fence of every rate, from its sketch."""
-    sketches = measured.groupBy(*by).agg(*[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in FLOORS])
+    sketches = measured.groupBy(*by).agg(*[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in TAILS])
     fence = []
-    for r, least in FLOORS.items():
-        mid, upper = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.5, 0.75))
-        fence.append(F.greatest(F.lit(least), mid + REACH * (upper - mid)).alias(f"{r}_fence"))
+    for r, q in TAILS.items():
+        mid, upper, tail = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(x)) for x in (0.5, 0.75, q))
+        fence.append(F.greatest(tail, mid + REACH * (upper - mid)).alias(f"{r}_fence"))
     return sketches.select(*by, *fence)
 
 
@@ -97,11 +98,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The counts and rates with base_failed and kept."""
     measured = rates(common.written(counts(docs, id_col, text_col), "quality-counts"))
     fences = thresholds(measured)
-    f = fences.select(F.coalesce("lang", F.lit("")).alias("l"), F.col("lang").isNull().alias("nl"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("ns"), *[f"{r}_fence" for r in FLOORS])
+    f = fences.select(F.coalesce("lang", F.lit("")).alias("l"), F.col("lang").isNull().alias("nl"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("ns"), *[f"{r}_fence" for r in TAILS])
     m = measured.withColumns({"l": F.coalesce("lang", F.lit("")), "nl": F.col("lang").isNull(), "s": F.coalesce("source", F.lit("")), "ns": F.col("source").isNull()})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     within = F.lit(True)
-    for r in FLOORS:
+    for r in TAILS:
         within = within & (F.col(r) <= F.col(f"{r}_fence"))
     return m.join(f, ["l", "nl", "s", "ns"]).drop("l", "nl", "s", "ns").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
 

@@ -349,6 +349,17 @@ def test_op8(spark, odd, empty, sf):
     assert quality.judged(empty).count() == 0
 
 
+def test_op8_rejects_the_outliers_of_each_group(spark):
+    def text(k, size, symbols):
+        return " ".join([f"{i}{'x' * (size - 1 + (i + k) % 2)}"[:size + (i + k) % 2] + "#" * (i < 100 + symbols) for i in range(100, 160)])
+
+    rows = [(k, text(k, 5, 0), "en", "a") for k in range(40)] + [(100, text(0, 9, 0), "en", "a"), (101, text(0, 5, 3), "en", "a")]
+    rows += [(200 + k, text(k, 9, 30), "en", "b") for k in range(40)]  # what is odd in a is usual in b
+    rows += [(300 + k, text(k, 5 + 2 * k, k), "de", "c") for k in range(5)]  # too few to judge
+    kept = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d for d, k in kept.items() if not k} == {100, 101}
+
+
 # ------------------------------------------------------------------- op9
 
 
