@@ -43,9 +43,9 @@ LEAF = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = 1 << 16
-#: Wide fingerprints: shingles of five words, and bits that texts of the least
-#: similarity may differ in (a pair at 0.8 differs in 39 +- 6 of 256 bits).
-WIDE_WORDS, WIDE_BUDGET, SIMILARITY, RECALL = 5, 48, 0.8, 0.95
+#: Wide fingerprints: shingles of five words, and bits that candidates may differ
+#: in (a pair at 0.8 differs in 39 +- 6 of 256 bits, so 60 lets nearly all pass).
+WIDE_WORDS, WIDE_BUDGET, SIMILARITY, RECALL = 5, 60, 0.8, 0.99
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -75,9 +75,9 @@ def fingerprint(text: str | None, n_words: int = WORDS) -> int:
     return majority(shingle_hashes(text, n_words))
 
 
-def wide_fingerprint(text: str | None, n_words: int) -> bytes:
+def wide_fingerprint(h: np.ndarray) -> bytes:
     """256 bits: the majority of each of four hashes made from a shingle's."""
-    h, out = shingle_hashes(text, n_words), []
+    out = []
     for k in _MIX:
         x = (h ^ (h >> np.uint64(32))) * k
         out.append(majority(x ^ (x >> np.uint64(29))))
@@ -221,9 +221,30 @@ def _grouped(fps: DataFrame, budget: int, group_rows: int) -> DataFrame:
     return plain.unionByName(part).unionByName(pairs)
 
 
-def _joined(rows: DataFrame, budget: int) -> DataFrame:
-    """(a, b): links of (fp binary, id, g, side) within each g, those of a
-    spanning forest. One task joins whole groups, which its sort has put side by
+def _tree(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Indexes of pairs (i, j) that form a spanning forest of n nodes, the pairs
+    of the least ``far`` first (Boruvka's rounds)."""
+    rank = np.empty(len(i), np.int64)
+    order = np.lexsort((j, i, far))
+    rank[order] = np.arange(len(i))
+    root, live, kept = np.arange(n), np.arange(len(i)), []
+    while True:
+        live = live[root[i[live]] != root[j[live]]]
+        if not len(live):
+            return np.concatenate(kept) if kept else live
+        best = np.full(n, len(i))
+        np.minimum.at(best, root[i[live]], rank[live])
+        np.minimum.at(best, root[j[live]], rank[live])
+        own = order[np.unique(best[best < len(i)])]
+        kept.append(own)
+        root = forest(n, i[own], j[own], root)
+
+
+def _joined(rows: DataFrame, budget: int, every: bool | None = None) -> DataFrame:
+    """(a, b): links of (fp binary, id, g, side) within each g. By default they
+    tie the members of a component to its first; with ``every`` false they are
+    pairs within the budget that form a spanning forest, the nearest first, with
+    ``every`` true all pairs within the budget. One task joins whole groups, which its sort has put side by
     side; memory is bounded by the largest group."""
 
     def ordered(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +260,13 @@ def _joined(rows: DataFrame, budget: int) -> DataFrame:
             (a, ids_a), (b, ids_b) = (ordered(x[side == k], ids[side == k]) for k in (0, 1))
             i, j = trie_pairs(a, b, budget)
             ids, j = np.concatenate([ids_a, ids_b]), j + len(a)
+        if every is not None:
+            if not every:
+                x = x if side[0] < 0 else np.concatenate([a, b])
+                far = np.concatenate([np.bitwise_count(x[i[k : k + _STEP]] ^ x[j[k : k + _STEP]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), _STEP)] or [i])
+                keep = _tree(len(ids), i, j, far)
+                i, j = i[keep], j[keep]
+            return ids[i], ids[j]
         root = forest(len(ids), i, j)
         far = np.flatnonzero(root != np.arange(len(ids)))
         return ids[root[far]], ids[far]
@@ -295,11 +323,12 @@ def _tables(n: int) -> np.ndarray:
     return np.stack([rng.choice(4 * BITS, bits, replace=False) for _ in range(tables)])
 
 
-def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links of distinct wide fingerprints (id, fp) within the budget,
-    found where a table's sampled bits agree. Buckets above ``group_rows`` are
+def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, group_rows: int = GROUP_ROWS, *, every: bool = False, picks: np.ndarray | None = None) -> DataFrame:
+    """(a, b): candidates among distinct texts (id, fp): pairs within the budget,
+    found where a table's sampled bits agree, all of them or those of a bucket's
+    spanning forest. Buckets above ``group_rows`` are
     parted into chunks of which each pair is joined by a task of its own."""
-    picks = _tables(prints.count())
+    picks = _tables(prints.count()) if picks is None else picks
 
     def run(batches):
         weight = np.uint64(1) << np.arange(picks.shape[1], dtype=np.uint64)
@@ -316,9 +345,9 @@ def wide_links(prints: DataFrame, budget: int = WIDE_BUDGET, group_rows: int = G
     sizes = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("g", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
     large = common.written(sizes, "simhash-large")
     if large.isEmpty():
-        return _joined(rows.withColumn("side", F.lit(None).cast("int")), budget)
+        return _joined(rows.withColumn("side", F.lit(None).cast("int")), budget, every)
     plain = rows.join(large, "g", "left_anti").select("id", "fp", "g", F.lit(None).cast("int").alias("side"))
-    return _joined(plain.unionByName(_chunked(rows.join(large, "g"))), budget)
+    return _joined(plain.unionByName(_chunked(rows.join(large, "g"))), budget, every)
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
@@ -378,19 +407,72 @@ def _named(prints: DataFrame, least: DataFrame, key: str, links: DataFrame) -> D
     return prints.join(named.join(lowest, "label").select(key, "component_id"), key)
 
 
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two sorted sets of hashes have a Jaccard similarity of at least ``SIMILARITY``."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """(a, b, ok) of each distinct pair of texts' ids, by their exact shingle sets."""
+
+    def sets(batches):
+        for batch in batches:
+            h = [np.unique(shingle_hashes(t, n_words)).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in h], pa.int64()), pa.array(h, pa.binary())], ["id", "s"])
+
+    def run(batches):
+        for batch in batches:
+            ok = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "simhash-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("text").cast("string")).mapInArrow(common.trimmed(sets), "id long, s binary")
+    texts = common.written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "simhash-sets")
+    sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return common.written(sided.select("a", "b", "x", "y").mapInArrow(common.trimmed(run), "a long, b long, ok boolean"), "simhash-verified")
+
+
+def _set_id(s: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s, SEED)).view(np.int64))
+
+
 def similar_components(docs: DataFrame, n_words: int = WIDE_WORDS, budget: int = WIDE_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, id, component_id) by wide fingerprints: texts whose shingles of
-    ``n_words`` have a similarity of about ``SIMILARITY`` or more are linked. A
-    fingerprint goes by a 64-bit hash of its 256 bits."""
+    """(doc_id, id, component_id): texts whose sets of ``n_words`` shingles have a
+    Jaccard similarity of at least ``SIMILARITY`` are linked. A text goes by a
+    64-bit hash of its set.
+
+    Wide fingerprints of the sets only propose links; each is verified on the
+    sets. First a spanning forest of each bucket's candidates is; where all of a
+    component's hold, it is done. In the others every candidate pair between
+    parts that aren't tied yet is verified, too."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, n_words) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+            sets = [np.unique(shingle_hashes(t, n_words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(h) for h in sets], pa.binary()), pa.array([_set_id(h.tobytes()) for h in sets], pa.int64())], ["doc_id", "fp", "id"])
 
-    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, fp binary")
-    prints = common.written(wide.withColumn("id", F.xxhash64("fp")), "simhash-wide")
+    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, fp binary, id long")
+    prints = common.written(wide, "simhash-wide")
     least = common.written(prints.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "simhash-distinct")
-    return _named(prints.drop("fp"), least.drop("fp"), "id", wide_links(least, budget, group_rows))
+    picks = _tables(least.count())
+    tried = _verified(wide_links(least, budget, group_rows, picks=picks), docs, n_words)
+    links = tried.filter("ok").select("a", "b")
+    if not tried.filter("not ok").isEmpty():
+        loose, tied = connected(tried.select("a", "b")), connected(links)
+        open_ = loose.join(tried.filter("not ok").select(F.col("a").alias("node")), "node").select("label").distinct()
+        part = loose.join(open_, "label", "left_semi").select("node").join(tied, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("part"))
+        part = common.written(part, "simhash-parts")
+        more = wide_links(least.join(part, "id").select("id", "fp"), budget, group_rows, every=True, picks=picks)
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = more.join(part.select(F.col("id").alias("a"), F.col("part").alias("p")), "a").join(part.select(F.col("id").alias("b"), F.col("part").alias("q")), "b").filter("p <> q")
+        more = more.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(_verified(more, docs, n_words).filter("ok").select("a", "b"))
+    return _named(prints.drop("fp"), least.drop("fp"), "id", links)
 
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -427,3 +427,28 @@ def test_similar_components(spark, odd, empty):
         assert all(c // 10 == d // 10 for d, c in got.items())  # unrelated texts stay apart
         assert sum(c == d // 10 * 10 for d, c in got.items()) >= 0.95 * len(rows)
     assert simhash.similar_components(odd).count() == len(ODD) and simhash.similar_components(empty).count() == 0
+
+
+def test_similar_components_are_exact(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 9**6, 300)]
+        rows.append((10 * k, " ".join(base)))
+        for c, share in enumerate((0.06, 0.10, 0.14, 0.17, 0.20), 1):  # another end: similarity 0.89 down to 0.67
+            n = int(300 * share)
+            rows.append((10 * k + c, " ".join(base[: 300 - n] + [f"v{x}" for x in rng.integers(0, 9**6, n)])))
+    rows += [(1000 + k, "again and again and again and again " * 60 + " ".join(f"u{x}" for x in rng.integers(0, 9**6, 60))) for k in range(4)]  # alike in repeats only
+    sets = {d: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    for x in sets:
+        for y in sets:
+            if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(frame).collect()}
+    assert {d for d in sets if find(d) != d} and all(find(got[d]) == find(d) for d in sets)  # none is tied that must not be
+    assert sum(got[d] != find(d) for d in sets) <= 2
