@@ -9,8 +9,9 @@ of the text, begun at any word, is a candidate for the items that agree with it
 at all of them. Positions are looked at in order through a trie of the items'
 values, and a window is dropped at its first value that no item has there, which
 changes nothing in the outcome. Repetitions are added until simulated edits of
-the items themselves, ``DESIGN_EDITS`` of their words, are found with
-probability ``RECALL``. Candidates are then verified by the exact word-level
+the items themselves, ``MOST_EDITS`` of their words, are found with probability
+``RECALL``; where ``MORE_AFTER`` of them don't reach it, as with long items, the
+next ones have a sample less. Candidates are then verified by the exact word-level
 edit distance between the item and the best-ending window at that start.
 
 Words that no item has are one symbol, which leaves every edit distance to an
@@ -42,10 +43,9 @@ from . import common
 from .toxicity import word_hashes
 
 MOST_EDITS = 0.2
-DESIGN_EDITS = 0.1
 RECALL = 0.95
 SAMPLES = 4
-MOST_REPETITIONS = 64
+MORE_AFTER = 64
 TRIALS = 256
 SEED = 11
 SLAB_CHARS = 1 << 24
@@ -65,16 +65,19 @@ class Class:
         self.reps = []
         trials = self._edited(np.random.default_rng([SEED, low, 1]))
         missed = np.ones(len(trials), bool)
-        while len(self.reps) < MOST_REPETITIONS and (not self.reps or missed.mean() > 1 - RECALL):
-            self.reps.append(Repetition(self, rng))
+        while not self.reps or missed.mean() > 1 - RECALL:
+            samples = SAMPLES - len(self.reps) // MORE_AFTER
+            if not samples:
+                raise RuntimeError(f"items of {low} words and more: {missed.mean():.0%} of simulated edits are missed")
+            self.reps.append(Repetition(self, rng, samples))
             missed &= ~self.reps[-1].found(trials)
 
     def _edited(self, rng) -> list[tuple[int, np.ndarray]]:
-        """Items with the design's share of random edits, and words behind."""
+        """Items with as many random edits as may be, and words behind."""
         out, v = [], self.index.oov
         for i in rng.choice(self.items, TRIALS).tolist():
             x = self.index.words[i].tolist()
-            for _ in range(int(len(x) * DESIGN_EDITS)):
+            for _ in range(int(len(x) * MOST_EDITS)):
                 at, kind = int(rng.integers(len(x))), int(rng.integers(3))
                 new = v if rng.random() < 0.5 else int(rng.integers(v))
                 x[at : at + (kind != 1)] = [new] if kind != 2 else []
@@ -83,10 +86,10 @@ class Class:
 
 
 class Repetition:
-    def __init__(self, cls: Class, rng):
+    def __init__(self, cls: Class, rng, samples: int = SAMPLES):
         v = cls.index.oov + 1
         self.steps = cls.steps
-        self.at = np.sort(rng.choice(cls.steps, min(SAMPLES, cls.steps), replace=False))
+        self.at = np.sort(rng.choice(cls.steps, min(samples, cls.steps), replace=False))
         self.bits = rng.integers(0, 1 << 63, (-(-cls.steps // 63), v), dtype=np.uint64)
         self.v, self.levels = v, []
         # the items' values at the sampled positions, item past its end: no value

@@ -452,3 +452,20 @@ def test_similar_components_are_exact(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_components(frame).collect()}
     assert {d for d in sets if find(d) != d} and all(find(got[d]) == find(d) for d in sets)  # none is tied that must not be
     assert sum(got[d] != find(d) for d in sets) <= 2
+
+
+@pytest.mark.parametrize(("n", "count"), [(24, 100), (50, 100), (600, 20)])
+def test_op4_recall_at_most_edits(n, count):
+    rng = np.random.default_rng(n)
+    items = [rng.choice(3000, n).tolist() for _ in range(count)]
+    docs = []
+    for x in items:
+        y = list(x)
+        for _ in range(int(n * decontaminate.MOST_EDITS)):
+            at, kind = int(rng.integers(len(y))), int(rng.integers(3))
+            y[at : at + (kind != 1)] = [int(rng.integers(4000))] if kind != 2 else []
+        docs.append(rng.integers(0, 4000, 20).tolist() + y + rng.integers(0, 4000, 20).tolist())
+    text = lambda t: " ".join(f"w{v}" for v in t)
+    doc, item, *_ = decontaminate.Index(list(range(count)), [text(x) for x in items]).search([text(d) for d in docs])
+    assert all(brute_edit(items[k], docs[k][20:]) <= n * decontaminate.MOST_EDITS for k in range(3))
+    assert sum(d == i for d, i in zip(doc.tolist(), item.tolist(), strict=True)) >= 0.9 * count
