@@ -469,3 +469,13 @@ def test_op4_recall_at_most_edits(n, count):
     doc, item, *_ = decontaminate.Index(list(range(count)), [text(x) for x in items]).search([text(d) for d in docs])
     assert all(brute_edit(items[k], docs[k][20:]) <= n * decontaminate.MOST_EDITS for k in range(3))
     assert sum(d == i for d, i in zip(doc.tolist(), item.tolist(), strict=True)) >= 0.9 * count
+
+
+def test_op3_mines_all_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    host = F.concat(F.lit("http://h"), (F.col("id") % 40).cast("string"), F.lit(".net/p"))
+    label = F.when(F.col("id") % 2 == 1, "block").otherwise("allow")
+    pages = spark.range(40).select(F.col("id").alias("page_id"), host.alias("url"))
+    got = urls.judged(pages, labels=spark.range(600_000).select(host.alias("url"), label.alias("label"))).collect()
+    assert all(r.by == "mined" and r.verdict == ("block" if r.page_id % 2 else "allow") for r in got) and len(got) == 40
