@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,8 +52,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K)
     return ranking.top_k(scored.filter("score is not null"), k, "vector")
 
 
-def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K, *, radius: float = 1.2, length: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
-    """Approximate top k through bucketed random projections; queries may be many."""
+def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K, *, radius: float = math.inf, length: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
+    """Approximate top k through bucketed random projections; queries may be many.
+    The buckets choose the candidates, of whatever distance by default; queries
+    with fewer than k of them are searched exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -60,7 +64,9 @@ def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TO
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(v)
     near = model.approxSimilarityJoin(q, v, radius, distCol="distance")
     scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
-    return ranking.top_k(scored, k, "vector")
+    found = ranking.top_k(scored, k, "vector")
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(search(queries.join(full, "query_id", "left_anti"), vectors, k))
 
 
 def store(vectors: DataFrame, path: str) -> None:

@@ -132,6 +132,14 @@ def test_vectors(spark):
     assert vector.search_lsh(q, v, 3, radius=2.0).first().chunk_id == 2
 
 
+def test_lsh_recall_of_the_registered_query(spark, sf):
+    from orrery import registry
+
+    for d in (sf, sf.replace("sf0.001", "sf0.01")):
+        want, got = ({(r.query_id, r.chunk_id) for r in registry.QUERIES[q](spark, d).collect()} for q in ("vector_search", "vector_search_lsh"))
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 RANKS = [(1, "a", "bm25", 1, 5.0), (1, "b", "bm25", 2, 3.0), (1, "b", "vector", 1, 0.9), (1, "c", "vector", 2, 0.4)]
 
 
