@@ -7,8 +7,8 @@ lines behind. Block-level tags part the rest into lines. The lengths of
 ``WINDOW`` neighbouring lines are summed; where the sum surges from nothing to
 at least ``SURGE`` characters a run of text opens, where it dives to zero the
 run ends. With an ``article`` or ``main`` element only its lines count, and all
-its runs are kept; otherwise the longest run is, with others of a like length
-that aren't mostly links.
+its runs are kept; otherwise all from the first run to the last is, lines of
+mostly links not opening any, with the headings right before.
 
 Defined results: null and empty html give an empty text; html without any
 markup is its own text; unclosed elements end with their parent or the page; an
@@ -28,7 +28,6 @@ from . import common
 
 WINDOW = 3
 SURGE = 80
-SHARE = 0.2
 LINKS = 0.5
 
 #: Fixed lists of HTML element names and of furniture's usual names.
@@ -44,6 +43,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert dial
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations widget toolbar pagination pager comment comments commentlist reply replies respond disqus skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEEPS = frozenset("html body article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
@@ -68,10 +68,10 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in the article) of each line; furniture
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, in the article, in a heading) of each line; furniture
     leaves ``WINDOW`` empty lines."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # (tag, hides)
     hidden = article = links = 0
     text: list[str] = []
@@ -82,7 +82,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, linked, article > 0))
+            out.append((line, linked, article > 0, any(t in HEADINGS for t, _ in stack)))
         text.clear()
         linked = 0
 
@@ -116,7 +116,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 was = hidden
                 pop_to(k)
                 if was and not hidden:
-                    out.extend([("", 0, article > 0)] * WINDOW)
+                    out.extend([("", 0, article > 0, False)] * WINDOW)
             continue
         if tag in RAW:
             over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos) if not attrs.rstrip().endswith("/") or tag not in ("svg", "math") else None
@@ -144,7 +144,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         hides = not hidden and _furniture(tag, attrs, article > 0)
         if hides:
             close_line()
-            out.extend([("", 0, article > 0)] * WINDOW)
+            out.extend([("", 0, article > 0, False)] * WINDOW)
         stack.append((tag, hides))
         hidden += hides
         article += tag in ("article", "main")
@@ -176,16 +176,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    if any(inside and text for text, _, inside in rows):
-        rows = [r if r[2] else ("", 0, False) for r in rows]
-        kept = runs([len(r[0]) for r in rows], surge=1)
-    else:
-        rows = [r if r[1] <= LINKS * len(r[0]) else ("", 0, False) for r in rows]
-        lengths = [len(r[0]) for r in rows]
-        kept = runs(lengths) or runs(lengths, surge=1)
-        size = {k: sum(lengths[k[0] : k[1]]) for k in kept}
-        kept = [k for k in kept if size[k] >= SHARE * max(size.values())]
-    return " ".join(rows[i][0] for lo, hi in kept for i in range(lo, hi) if rows[i][0])
+    if any(row[0] and row[2] for row in rows):
+        return " ".join(row[0] for row in rows if row[2] and row[0])
+    lengths = [len(r[0]) if r[1] <= LINKS * len(r[0]) else 0 for r in rows]
+    kept = runs(lengths) or runs(lengths, surge=1)
+    if not kept:
+        return ""
+    first, last = kept[0][0], kept[-1][1]
+    # furniture inside the block ends nothing, nor does it part the text from its heading
+    for i in range(first - 1, -1, -1):
+        if lengths[i] and rows[i][3]:
+            first = i
+        elif rows[i][0]:
+            break
+    return " ".join(row[0] for row in rows[first:last] if row[0])
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

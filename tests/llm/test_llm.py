@@ -471,6 +471,12 @@ def test_op4_recall_at_most_edits(n, count):
     assert sum(d == i for d, i in zip(doc.tolist(), item.tolist(), strict=True)) >= 0.9 * count
 
 
+def test_main_text_without_article_goes_on_behind_an_advert():
+    body, close = "long text of the body. " * 180, "closing words. " * 30
+    page = f"<body><nav>menu</nav><h1>Title</h1><div class=share>share</div><p>{body}</p><div class=ad>buy</div><p>See</p><div class=ad>buy</div><p>{close}</p><footer>no</footer>"
+    assert html.main_text(page) == " ".join(f"Title {body} See {close}".split())
+
+
 def test_op3_mines_all_labelled_rows(spark):
     from pyspark.sql import functions as F
 
