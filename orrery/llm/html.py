@@ -4,21 +4,28 @@ A page is cut into tags and text. Elements that are page furniture by their tag,
 role or class (menus, headers and footers of the page, sidebars, notices,
 adverts, forms, reader comments) and everything without visible text leave empty
 lines behind. Block-level tags part the rest into lines. The lengths of
-``WINDOW`` neighbouring lines are summed; where the sum surges from nothing to
-at least ``SURGE`` characters a run of text opens, where it dives to zero the
-run ends. With an ``article`` or ``main`` element only its lines count, and all
-its runs are kept; otherwise all from the first run to the last is, lines of
-mostly links not opening any, with the headings right before.
+``WINDOW`` neighbouring lines are summed; where the sum leaves zero and surges to
+at least ``SURGE`` characters (or to the page's highest sum, if that is less) a
+run of text opens, where it dives to zero the run ends. On every page the text is
+what lies between the first surge and the last dive, with the headings right
+before. Elements only decide which lines count zero: furniture does, and on pages
+with text in an ``article`` or ``main`` element all lines outside of it, while
+furniture inside of it goes without leaving a gap; elsewhere lines of mostly links
+open nothing.
 
 Defined results: null and empty html give an empty text; html without any
 markup is its own text; unclosed elements end with their parent or the page; an
-unclosed comment or script hides the rest of the page; nothing is cut short.
+unclosed comment or script hides the rest of the page; nothing is cut short; rows
+that repeat an id or a page are extracted each for itself; an empty table gives an
+empty table; other columns stay, but one called ``text`` gives way to the result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +47,32 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "html", "body"}
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
+#: Names that mean furniture as any part of a class or id, and those that do as the
+#: whole of it, or with a word of BOXES (``related-posts``, not ``related-work``).
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations widget toolbar pagination pager comment comments commentlist reply replies respond disqus skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall sharing toolbar pagination pager comments commentlist disqus".split()
 )
+WEAK = frozenset("promo promotion banner side menu notice notices notification alert share social related recommended recommendations widget comment reply replies respond skip".split())
+BOXES = frozenset("area bar block body box buttons column content form icons item items links list module panel posts section stories widget wrap wrapper container link to".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-KEEPS = frozenset("html body article main".split())
+KEEPS_TEXT = frozenset("article main".split())
+KEEPS = frozenset("html body".split()) | KEEPS_TEXT
+#: An open paragraph or item behind one of these isn't ended by what is inside.
+HOLDS = frozenset("ul ol dl table div section article main nav body aside form footer header".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[a-z]+")
+_BODY = re.compile(r"<body[\s>]", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(word: str) -> bool:
+    """Whether a class or id says that its element is furniture."""
+    parts = _PART.findall(word)
+    return not NAMES.isdisjoint(parts) or any(p in WEAK for p in parts) and all(p in WEAK or p in BOXES for p in parts)
+
+
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
@@ -61,7 +82,7 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and not NAMES.isdisjoint(_PART.findall(value.lower())):
+        if name in ("class", "id") and any(_named(word) for word in value.lower().split()):
             return True
         if name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -70,10 +91,12 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, in the article, in a heading) of each line; furniture
-    leaves ``WINDOW`` empty lines."""
+    outside an article leaves ``WINDOW`` empty lines."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # (tag, hides)
-    hidden = article = links = 0
+    hidden = article = links = headings = 0
+    opened: Counter[str] = Counter()
+    never: set[str] = set()  # elements that nothing closes from here on
     text: list[str] = []
     linked = 0
     pos, end = 0, len(page)
@@ -82,17 +105,33 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, linked, article > 0, any(t in HEADINGS for t, _ in stack)))
+            out.append((line, linked, article > 0, headings > 0))
         text.clear()
         linked = 0
 
+    def gap() -> None:
+        if not article:
+            out.extend([("", 0, False, False)] * WINDOW)
+
     def pop_to(k: int) -> None:
-        nonlocal hidden, article, links
+        nonlocal hidden, article, links, headings
         while len(stack) > k:
             tag, hides = stack.pop()
+            opened[tag] -= 1
             hidden -= hides
-            article -= tag in ("article", "main")
+            article -= tag in KEEPS_TEXT
             links -= tag == "a"
+            headings -= tag in HEADINGS
+
+    def last_open(tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> int | None:
+        """Where the innermost open element of these is, none behind a stop."""
+        if any(opened[t] for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    return k
+                if stack[k][0] in stop:
+                    break
+        return None
 
     while pos < end:
         m = _TOKEN.match(page, pos)
@@ -111,64 +150,64 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCK and not hidden:
             close_line()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = last_open((tag,))
             if k is not None:
                 was = hidden
                 pop_to(k)
                 if was and not hidden:
-                    out.extend([("", 0, article > 0, False)] * WINDOW)
+                    gap()
             continue
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos) if not attrs.rstrip().endswith("/") or tag not in ("svg", "math") else None
+            if attrs.rstrip().endswith("/") and tag in ("svg", "math"):
+                continue
+            over = None if tag in never else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             if over:
                 pos = over.end()
-            elif not (attrs.rstrip().endswith("/") and tag in ("svg", "math")):
-                if tag == "head":  # an unclosed head ends where the body begins
-                    body = re.compile(r"<body[\s>]", re.I).search(page, pos)
-                    pos = body.start() if body else pos
-                else:
-                    pos = end
+            elif tag != "head":
+                pos = end
+            elif tag not in never:  # an unclosed head ends where the body begins
+                never.add(tag)
+                body = _BODY.search(page, pos)
+                pos = body.start() if body else pos
             continue
         if tag in VOID:
             continue
         if tag in ENDS_P or tag in ITEMS:
-            same = ("p",) if tag in ENDS_P else ()
-            same += ITEMS.get(tag, ())
-            stop = ("ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "body", "aside", "form", "footer", "header")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    pop_to(k)
-                    break
-                if stack[k][0] in stop:
-                    break
+            k = last_open((("p",) if tag in ENDS_P else ()) + ITEMS.get(tag, ()), HOLDS)
+            if k is not None:
+                pop_to(k)
         hides = not hidden and _furniture(tag, attrs, article > 0)
         if hides:
             close_line()
-            out.extend([("", 0, article > 0, False)] * WINDOW)
+            gap()
         stack.append((tag, hides))
+        opened[tag] += 1
         hidden += hides
-        article += tag in ("article", "main")
+        article += tag in KEEPS_TEXT
         links += tag == "a"
+        headings += tag in HEADINGS
     close_line()
     return out
 
 
+def window_sums(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """The characters in each line and the window - 1 lines behind it."""
+    upto = [0, *accumulate(lengths)]
+    return [upto[min(i + window, len(lengths))] - upto[i] for i in range(len(lengths))]
+
+
 def runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """(first, past last) lines of each run: it opens where the window's sum
     leaves zero, closes where it is zero again, and counts if it surges."""
-    out, n, first = [], len(lengths), None
-    total, top = sum(lengths[:window]), 0
-    for i in range(n + 1):
-        if first is None and i < n and lengths[i]:
+    out, first, top = [], None, 0
+    for i, total in enumerate([*window_sums(lengths, window), 0]):
+        if first is None and total and lengths[i]:
             first, top = i, 0
-        if first is not None:
-            top = max(top, total)
-            if total == 0 or i == n:
-                if top >= surge:
-                    out.append((first, i))
-                first = None
-        if i < n:
-            total += (lengths[i + window] if i + window < n else 0) - lengths[i]
+        top = max(top, total)
+        if first is not None and not total:
+            if top >= max(surge, 1):
+                out.append((first, i))
+            first = None
     return out
 
 
@@ -176,10 +215,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    if any(row[0] and row[2] for row in rows):
-        return " ".join(row[0] for row in rows if row[2] and row[0])
-    lengths = [len(r[0]) if r[1] <= LINKS * len(r[0]) else 0 for r in rows]
-    kept = runs(lengths) or runs(lengths, surge=1)
+    if any(row[0] and row[2] for row in rows):  # what is outside the article counts zero
+        rows = [row if row[2] else ("", 0, False, False) for row in rows]
+        lengths = [len(row[0]) for row in rows]
+    else:
+        lengths = [len(row[0]) if row[1] <= LINKS * len(row[0]) else 0 for row in rows]
+    sums = window_sums(lengths)
+    kept = runs(lengths, surge=min(SURGE, max(sums, default=0)))
     if not kept:
         return ""
     first, last = kept[0][0], kept[-1][1]
