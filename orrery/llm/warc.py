@@ -5,19 +5,21 @@ smallest id is a ``response`` and the others are ``revisit`` records that name
 it. A payload's digest and size are grouped in narrow rows; the texts then move
 through one shuffle, the join on the digest, which adaptive execution splits
 where copies are many. Every task of that join writes one archive, a gzip member
-a record, under a temporary name that is renamed when complete, so a task that
-runs again only replaces its own file by an equal one. The index (file, offset,
-length, page, url, digest, type) is what the writing job returns.
+a record, in a file named by its partition and attempt: an attempt never touches
+another's bytes, and the index (file, offset, length, page, url, digest, type),
+which the writing job returns and Spark commits for one attempt of each task,
+names the files that count. Files of attempts that didn't are deleted.
 
 Reading takes index rows, sorts them by file and offset, joins ranges whose gaps
 are small into spans of bounded size, reads each span once and checks every
-record's digest.
+record's digest. Its tasks are as many as the bytes to be read ask for, each
+reading whole sections of ``GROUP_BYTES``.
 
 Defined results: null html is an empty payload; a null url leaves out the target
 line; rows that repeat both the smallest id and the payload are responses each;
 a row with a null id is a revisit if an equal payload has an id, else a response;
-payloads below ``least_bytes`` are all responses; an empty table gives an empty
-index; other columns are ignored.
+payloads below ``least_bytes`` are all responses; a payload of any length is one
+record; an empty table gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ from . import common
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 GAP_BYTES = 1 << 16
-SPAN_BYTES = 1 << 23
-GROUP_BYTES = 1 << 25
+SPAN_BYTES = 1 << 22
+GROUP_BYTES = 1 << 23
+MOST_TASKS = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
@@ -97,17 +100,27 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = LEAST_BY
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = _open(folder)
-        store.create_dir(root, recursive=True)
-        name = f"part-{task.partitionId():06d}.warc.gz"
-        temp = f"{root}/.{name}.{task.taskAttemptId()}"
-        at, out = 0, None
+        return archived(batches, folder, f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz")
+
+    rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    drop_orphans(folder, {r.file for r in index.select("file").distinct().collect()})  # a name for each task
+    return index
+
+
+def archived(batches, folder: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Writes rows (page_id, url, payload, digest, refers_to) to the file and gives
+    their index rows. A failure leaves no file."""
+    store, root = _open(folder)
+    at, out = 0, None
+    try:
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(5)]
             offsets, lengths = [], []
             for page, url, data, digest, ref in zip(*cols, strict=True):
                 if out is None:
-                    out = store.open_output_stream(temp)
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)  # members are packed already
                 member = _record(page, url, data, digest, ref)
                 out.write(member)
                 offsets.append(at)
@@ -115,12 +128,23 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = LEAST_BY
                 at += len(member)
             kinds = ["response" if r is None else "revisit" for r in cols[4]]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(kinds), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.string()), batch.column(4)], ["file", "offset", "length", "page_id", "url", "digest", "record_type", "refers_to"])
+    except BaseException:
         if out is not None:
             out.close()
-            store.move(temp, f"{root}/{name}")
+            store.delete_file(f"{root}/{name}")
+        raise
+    if out is not None:
+        out.close()
 
-    rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
-    return spark.read.schema(INDEX).parquet(f"{folder}/index")
+
+def drop_orphans(folder: str, named: set[str]) -> None:
+    """Deletes archives that the index doesn't name, of attempts that were lost."""
+    from pyarrow import fs
+
+    store, root = _open(folder)
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.endswith(".warc.gz") and info.base_name not in named:
+            store.delete_file(info.path)
 
 
 def spans(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = SPAN_BYTES) -> list[tuple[int, int, int]]:
@@ -180,7 +204,9 @@ def read_records(index: DataFrame, folder: str, *, with_payload: bool = False) -
             file.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return ranges.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, schema)
+    held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, min(MOST_TASKS, -(-held // GROUP_BYTES)))
+    return ranges.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
