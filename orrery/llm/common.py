@@ -4,6 +4,8 @@ scratch folder and the word pattern that all contracts use."""
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -19,16 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-    Only where the session names none (tests, local runs) a folder is set."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that driver and executors share, as the session names it, by
+    ``spark.checkpoint.dir`` or ``setCheckpointDir``. Only a local session may go
+    without: driver and executors are one process there, and a folder is set."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not re.match(r"local($|\[)", context.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

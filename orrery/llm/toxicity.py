@@ -6,17 +6,21 @@ word apart, each present or absent. The model is trained online, document by
 document, with per-coordinate learning rates; L1 leaves most weights at zero, so
 what is broadcast is at most 2**HASH_BITS numbers and in practice some thousand.
 
-Training reads at most about ``SAMPLE_ROWS`` labelled documents, chosen by a
-hash of their id and visited in that order, so runs agree. Rows of the held-out
+Training reads about ``SAMPLE_ROWS`` labelled documents, chosen by a hash of
+their id and visited in that order, so runs agree. Their features are taken where
+the documents are; one task then learns from at most ``SAMPLE_FEATURES`` features
+in all, in that order, whatever the texts' lengths. Rows of the held-out
 fold (crc32 of the id as text, modulo 3, is 1) are never learned from. Counts of
 words and documents play no part: a document of 20,000 words is judged by which
 features it has.
 
 Defined results: null and empty texts have no feature and score what the bias
 alone gives; a null id is never held out and never trained on; of several labels
-of an id the highest holds; labels that are null are not used; without labels,
-or with one kind only, every score is that share (0 without any); repeated ids
-are separate rows; an empty table gives no rows; other columns are ignored.
+of an id the highest holds; of several documents of a labelled id one is learned
+from, that of the smallest text hash; labels that are null are not used; without
+labels, or with one kind only, every score is that share (0 without any); repeated
+ids are separate rows, each scored; an empty table gives no rows; other columns are
+ignored, or kept if named, but one called as the score is gives way to it.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ from pyspark.sql import functions as F
 from . import common
 
 HASH_BITS = 22
+#: Bounds of what training reads: labelled documents, and features of all of them.
 SAMPLE_ROWS = 16_000
+SAMPLE_FEATURES = 1 << 25
 EPOCHS = 6
-ALPHA, BETA, L2 = 2.0, 1.0, 0.1
-#: L1 at a full sample; it shrinks with the root of a smaller one's size.
-L1_FULL, L1_LEAST = 6.0, 4.0
-#: A feature enters the model if so many documents of the sample have it, fewer in small samples.
-INCLUDE_FROM, INCLUDE_LEAST = 8, 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+#: A feature enters the model if so many documents of the sample have it.
+INCLUDE_FROM = 3
 THRESHOLD = 0.7
 BATCH_CHARS = 1 << 20
 
@@ -87,71 +91,100 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) >> shift).astype(np.int32), np.concatenate(docs)
 
 
-def train(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights, bias) after EPOCHS passes in the given order."""
+def sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct features of each text, ascending."""
+    f, d = features(texts)
+    pairs = np.unique(d.astype(np.int64) << HASH_BITS | f)
+    cut = np.searchsorted(pairs >> HASH_BITS, np.arange(len(texts) + 1))
+    return [(pairs[a:b] & ((1 << HASH_BITS) - 1)).astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def batches_of(texts: list[str | None]):
+    """(first, past last) of runs of about ``BATCH_CHARS`` characters, a text at least."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= BATCH_CHARS or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+
+
+def train(own: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALPHA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least: int = INCLUDE_FROM) -> tuple[np.ndarray, float]:
+    """(weights, bias) after ``epochs`` passes over the documents' features, in the given order."""
     size = 1 << HASH_BITS
     z, n = np.zeros(size), np.zeros(size)
     bias = float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
-    own = []
-    for i in range(0, len(texts), 200):
-        f, d = features(texts[i : i + 200])
-        pairs = np.unique(d.astype(np.int64) << HASH_BITS | f)
-        cut = np.searchsorted(pairs >> HASH_BITS, np.arange(min(200, len(texts) - i) + 1))
-        own += [(pairs[a:b] & (size - 1)).astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
     often = np.zeros(size, np.int32)
     for x in own:
         often[x] += 1
-    least = max(INCLUDE_LEAST, min(INCLUDE_FROM, len(texts) // 500))
-    l1 = max(L1_LEAST, L1_FULL * min(1.0, len(texts) / SAMPLE_ROWS) ** 0.5)
     own = [x[often[x] >= least] for x in own]
     bias_n = 1.0
 
     def weights(zi, ni):
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / alpha + l2))
 
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for x, y in zip(own, labels, strict=True):
             zi, ni = z[x], n[x]
             w = weights(zi, ni)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - y
             bias_n += g * g
-            bias -= ALPHA * g / (BETA + np.sqrt(bias_n))
+            bias -= alpha * g / (BETA + np.sqrt(bias_n))
             if abs(g) < 1e-4:
                 continue
             more = ni + g * g
-            z[x] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
+            z[x] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / alpha * w
             n[x] = more
     return weights(z, n), bias
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic") -> DataFrame:
-    """(text, label) of about ``rows`` labelled documents outside the held-out
-    fold; the ids are chosen before any text is read."""
+    """(order, label, features) of about ``rows`` labelled documents outside the
+    held-out fold, one an id; the ids are chosen before any text is read."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.filter(F.col("order") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else known
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("order", "text", "label")  # about SAMPLE_ROWS rows
+    picked = texts.join(F.broadcast(chosen), "doc_id").select("order", "label", F.xxhash64("text").alias("tie"), "text")  # about SAMPLE_ROWS rows
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for lo, hi in batches_of(texts):
+                got = sets(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:3], pa.array(got, pa.list_(pa.int32()))], ["order", "label", "tie", "features"])
+
+    found = picked.mapInArrow(common.trimmed(run), "order long, label int, tie long, features array<int>")
+    return found.groupBy("order").agg(F.min_by(F.struct("label", "features"), "tie").alias("one")).select("order", "one.*")
 
 
 def model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias): the non-zero weights, trained in one task."""
 
     def run(batches):
-        held = [(o, t or "", y) for b in batches for o, t, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
-        held.sort()
-        y = np.array([h[2] for h in held], float)
+        own, marks, held = [], [], 0
+        for batch in batches:  # by their hash order
+            ends = batch.column(1).offsets.to_numpy()
+            flat, y = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(0).to_pylist()
+            for k in range(batch.num_rows):
+                held += int(ends[k + 1] - ends[k])
+                if held <= SAMPLE_FEATURES:
+                    own.append(flat[ends[k] : ends[k + 1]].copy())
+                    marks.append(y[k])
+        y = np.array(marks, float)
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0
             at, w, b = [], [], float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         else:
-            dense, b = train([h[1] for h in held], y)
+            dense, b = train(own, y)
             at = np.flatnonzero(dense)
             w = dense[at]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([b, *w], pa.float64())], ["feature", "weight"])
 
-    got = sample(docs, labels, rows, label).coalesce(1).mapInArrow(common.trimmed(run), "feature int, weight double").toPandas()  # bounded by 2**HASH_BITS
+    # the scan keeps its tasks; only the sample's features move to one
+    rows_ = sample(docs, labels, rows, label).repartition(1).sortWithinPartitions("order").select("label", "features")
+    got = rows_.mapInArrow(common.trimmed(run), "feature int, weight double").toPandas()  # bounded by 2**HASH_BITS
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(1e-9))
     bias = got["feature"] < 0
@@ -160,21 +193,17 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: st
 
 def scores(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarray:
     total = np.full(len(texts), bias)
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) if t else 0
-        if held >= BATCH_CHARS or i == len(texts) - 1:
-            f, d = features(texts[lo : i + 1])
-            w = dense[f]
-            some = np.flatnonzero(w)  # a few features of each document
-            pairs = np.unique(d[some].astype(np.int64) << HASH_BITS | f[some])
-            total[lo : i + 1] += np.bincount(pairs >> HASH_BITS, dense[pairs & ((1 << HASH_BITS) - 1)], i + 1 - lo)
-            lo, held = i + 1, 0
+    for lo, hi in batches_of(texts):
+        f, d = features(texts[lo:hi])
+        some = np.flatnonzero(dense[f])  # a few features of each document
+        pairs = np.unique(d[some].astype(np.int64) << HASH_BITS | f[some])
+        total[lo:hi] += np.bincount(pairs >> HASH_BITS, dense[pairs & ((1 << HASH_BITS) - 1)], hi - lo)
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS, name: str = "score") -> DataFrame:
-    """The named columns of docs with the score added."""
+    """The named columns of docs with the score added as ``name``."""
+    columns = [c for c in columns if c != name]
     at, weight, bias = model(docs, labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weight))
 
