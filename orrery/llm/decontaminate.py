@@ -17,17 +17,27 @@ edit distance between the item and the best-ending window at that start.
 Words that no item has are one symbol, which leaves every edit distance to an
 item as it is; a window that begins with such a word can't beat the one that
 begins behind it and is not tried. Items are walked in classes of like size, so
-windows are item-sized.
-
-A pass is a map over the documents: nothing is shuffled. Items are sent to the
-tasks in slabs of at most ``SLAB_CHARS`` characters, each slab a pass.
+windows are item-sized. An item of more than ``PIECE`` words is parted into pieces
+of nearly equal size: of a match with at most ``MOST_EDITS`` of the words in edits
+one piece at least has no more than that share, so the pieces are searched for like
+items of their own, verified, and the whole item is then aligned around each hit
+with both ends free. Windows and walks are bounded, whatever the items' lengths.
+
+A walk's random bits are a hash of repetition, step and word, so a repetition is a
+few numbers and its trie. A pass is a map over the documents: nothing is shuffled.
+Items are dealt by a hash into slabs of about ``SLAB_WORDS`` words, each a pass; a
+slab's words, pieces and tries, which the driver builds in array operations, are
+what is broadcast, about ``(16 + 40 * repetitions / words an item)`` bytes a word:
+under 300 MB for the shortest items, 30 MB for those of 50 words.
 
 Defined results: null and empty texts and items match nothing, nor do items of
-no words; an item matches with at most ``MOST_EDITS`` of its words in edits, so
-very short ones must be exact; per document row and item the window with the
-fewest edits is reported, the first of several; repeated document ids are
-searched as separate rows, repeated items as separate items; empty tables give
-no rows; other columns are ignored.
+fewer than ``least_words`` words (1 by default; a one-word item is found wherever
+its word is, so corpora are cleaned with ``LEAST_WORDS``); an item matches with at
+most ``MOST_EDITS`` of its words in edits, so very short ones must be exact; per
+document row and item the window with the fewest edits is reported, the first of
+several; repeated document ids are searched as separate rows, repeated items as
+separate items; empty tables give no rows; of the documents' columns those named
+are kept, one called as a column of the result with ``doc_`` before its name.
 """
 
 from __future__ import annotations
@@ -48,57 +58,52 @@ SAMPLES = 4
 MORE_AFTER = 64
 TRIALS = 256
 SEED = 11
-SLAB_CHARS = 1 << 24
+PIECE = 63
+LEAST_WORDS = 5
+SLAB_WORDS = 1 << 20
 BATCH_CHARS = 1 << 20
 CHUNK = 1 << 16
+CELLS = 1 << 22
 
 COLUMNS = "item_id long, start_word long, n_words long, edits int, item_words int"
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-class Class:
-    """Items of n words with low <= n < 2 * low, and their repetitions."""
-
-    def __init__(self, low: int, items: list[int], index: Index):
-        self.low, self.items, self.index = low, items, index
-        self.steps = max(1, int(2 * low - 2 * math.sqrt(low))) if low > 1 else 1
-        rng = np.random.default_rng([SEED, low])
-        self.reps = []
-        trials = self._edited(np.random.default_rng([SEED, low, 1]))
-        missed = np.ones(len(trials), bool)
-        while not self.reps or missed.mean() > 1 - RECALL:
-            samples = SAMPLES - len(self.reps) // MORE_AFTER
-            if not samples:
-                raise RuntimeError(f"items of {low} words and more: {missed.mean():.0%} of simulated edits are missed")
-            self.reps.append(Repetition(self, rng, samples))
-            missed &= ~self.reps[-1].found(trials)
-
-    def _edited(self, rng) -> list[tuple[int, np.ndarray]]:
-        """Items with as many random edits as may be, and words behind."""
-        out, v = [], self.index.oov
-        for i in rng.choice(self.items, TRIALS).tolist():
-            x = self.index.words[i].tolist()
-            for _ in range(int(len(x) * MOST_EDITS)):
-                at, kind = int(rng.integers(len(x))), int(rng.integers(3))
-                new = v if rng.random() < 0.5 else int(rng.integers(v))
-                x[at : at + (kind != 1)] = [new] if kind != 2 else []
-            out.append((i, np.array(x + rng.integers(0, v + 1, self.steps).tolist(), np.int64)))
-        return out
+def _bits(h: np.ndarray, key: np.uint64) -> np.ndarray:
+    """64 random bits of each word, those of 64 steps of a walk."""
+    x = (h ^ key) * _MIX[0]
+    x ^= x >> np.uint64(32)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class Repetition:
-    def __init__(self, cls: Class, rng, samples: int = SAMPLES):
-        v = cls.index.oov + 1
-        self.steps = cls.steps
-        self.at = np.sort(rng.choice(cls.steps, min(samples, cls.steps), replace=False))
-        self.bits = rng.integers(0, 1 << 63, (-(-cls.steps // 63), v), dtype=np.uint64)
+    """A walk, the steps sampled, and the trie of the items' values there."""
+
+    def __init__(self, steps: int, rng, samples: int):
+        self.steps = steps
+        self.at = np.sort(rng.choice(steps, min(samples, steps), replace=False))
+        self.keys = rng.integers(0, 1 << 63, -(-steps // 64), dtype=np.uint64)
+
+    def values(self, sym: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Symbols that the walks along each row of sym, with its words' hashes,
+        stand on at the sampled steps; -1 behind the row's end, as sym has there."""
+        m, width = sym.shape
+        flat, base, p, out = sym.ravel(), np.arange(m) * width, np.zeros(m, np.int64), []
+        moves, j = None, 0
+        for at in self.at.tolist():
+            while j < at:
+                if j % 64 == 0:
+                    moves = _bits(h, self.keys[j // 64]).ravel()
+                p += (moves[base + p] >> np.uint64(j % 64) & np.uint64(1)).view(np.int64)
+                j += 1
+            out.append(flat[base + p])
+        return np.stack(out, axis=1)
+
+    def plant(self, values: np.ndarray, items: np.ndarray, v: int) -> None:
+        """The trie of the items whose every value is a word."""
         self.v, self.levels = v, []
-        # the items' values at the sampled positions, item past its end: no value
-        values = []
-        for i in cls.items:
-            x = cls.index.words[i]
-            values.append(self._embedded(np.concatenate([x, np.full(self.steps + 1, -1)])))
-        values = np.array(values, np.int64)
-        items = np.array(cls.items, np.int64)
         whole = (values >= 0).all(axis=1)
         values, items = values[whole], items[whole]
         node = np.zeros(len(items), np.int64)
@@ -106,72 +111,60 @@ class Repetition:
             keys, node = np.unique(node * v + values[:, level], return_inverse=True)
             self.levels.append(keys)
         order = np.argsort(node, kind="stable")
-        self.items, self.first = items[order], np.searchsorted(node[order], np.arange(len(self.levels[-1]) + 1))
-
-    def _embedded(self, x: np.ndarray) -> np.ndarray:
-        p, out, j = 0, [], 0
-        for at in self.at.tolist():
-            while j < at:
-                p += int(self.bits[j // 63][x[p]] >> np.uint64(j % 63) & np.uint64(1)) if x[p] >= 0 else 1
-                j += 1
-            out.append(int(x[p]))
-        return np.array(out)
+        self.items, self.first = items[order].astype(np.int32), np.searchsorted(node[order], np.arange(len(self.levels[-1]) + 1)).astype(np.int32)
 
-    def candidates(self, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs of windows that agree with an item at all samples;
-        sym is padded by ``steps`` symbols."""
+    def candidates(self, sym: np.ndarray, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of windows that agree with a piece at all samples; sym
+        and h are padded by ``steps`` symbols."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.items):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        moves = [b[sym] for b in self.bits]
+            return none
+        moves = [_bits(h, k) for k in self.keys]
+        table = np.full(self.v, -1, np.int64)  # the first level: all symbols at once
+        table[self.levels[0]] = np.arange(len(self.levels[0]))
         found_s, found_i = [], []
         for lo in range(0, len(starts), CHUNK):
             p = starts[lo : lo + CHUNK].copy()
             s, node, j = p.copy(), None, 0
             for level, at in enumerate(self.at.tolist()):
                 while j < at:
-                    step = moves[j // 63].take(p)
-                    step >>= np.uint64(j % 63)
+                    step = moves[j // 64].take(p)
+                    step >>= np.uint64(j % 64)
                     step &= np.uint64(1)
                     p += step.view(np.int64)
                     j += 1
-                key = sym.take(p)
-                if node is not None:
-                    key = node * self.v + key
-                keys = self.levels[level]
-                if node is None:  # a direct table of all symbols
-                    table = np.full(self.v, -1, np.int64)
-                    table[keys] = np.arange(len(keys))
+                key, keys = sym.take(p), self.levels[level]
+                if node is None:
                     node = table[key]
                     ok = np.flatnonzero(node >= 0)
                 else:
+                    key = node * self.v + key
                     node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     ok = np.flatnonzero(keys[node] == key)
                 p, s, node = p[ok], s[ok], node[ok]
                 if not len(p):
                     break
             if len(p):
-                n = self.first[node + 1] - self.first[node]
+                first = self.first.astype(np.int64)
+                n = first[node + 1] - first[node]
                 found_s.append(np.repeat(s, n))
-                found_i.append(self.items[np.repeat(self.first[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        if not found_s:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_s), np.concatenate(found_i)
-
-    def found(self, edited: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Which of the edited items this repetition finds at their start."""
-        size = max(len(x) for _, x in edited) + self.steps + 1
-        flat = np.concatenate([np.concatenate([x, np.full(size - len(x), self.v - 1)]) for _, x in edited])
-        starts, items = self.candidates(flat, np.arange(len(edited)) * size)
-        got = np.zeros(len(edited), bool)
-        owner = np.array([i for i, _ in edited])
-        got[(starts // size)[owner[starts // size] == items]] = True
-        return got
+                found_i.append(self.items[np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return (np.concatenate(found_s), np.concatenate(found_i).astype(np.int64)) if found_s else none
+
+
+def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """The rows side by side, -1 behind their ends."""
+    out = np.full((len(rows), width), -1, np.int64)
+    sizes = np.array([len(r) for r in rows])
+    if len(rows):
+        out[np.arange(width) < sizes[:, None]] = np.concatenate(rows)
+    return out
 
 
 class Index:
-    """The items of one slab: symbols, classes, repetitions."""
+    """The items of one slab: symbols, pieces, repetitions by class of size."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], least_words: int = 1):
         h, ends = word_hashes(texts)
         self.vocab = np.unique(h)
         self.oov = len(self.vocab)
@@ -180,11 +173,53 @@ class Index:
         self.ids = ids
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.most = (self.sizes * MOST_EDITS).astype(np.int64)
-        by: dict[int, list[int]] = {}
+        # pieces: item, first word, words
+        rows = []
         for i, n in enumerate(self.sizes.tolist()):
-            if n:
-                by.setdefault(1 << (n.bit_length() - 1), []).append(i)
-        self.classes = [Class(low, items, self) for low, items in sorted(by.items())]
+            if n >= max(1, least_words):
+                k = -(-n // PIECE)
+                cuts = [n * c // k for c in range(k + 1)]
+                rows += [(i, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.pieces = np.array(rows, np.int64).reshape(-1, 3)
+        low = 1 << np.frexp(np.maximum(self.pieces[:, 2], 1))[1].astype(np.int64) - 1
+        self.reps = [rep for c in np.unique(low).tolist() for rep in self._repetitions(c, np.flatnonzero(low == c))]
+
+    def piece(self, k: int) -> np.ndarray:
+        i, first, n = self.pieces[k].tolist()
+        return self.words[i][first : first + n]
+
+    def _repetitions(self, low: int, own: np.ndarray) -> list[Repetition]:
+        """As many as find a piece of low to 2 * low - 1 words with ``MOST_EDITS``
+        of them in edits, as simulated with random edits and words behind."""
+        steps = max(1, int(2 * low - 2 * math.sqrt(low))) if low > 1 else 1
+        rng, dice = np.random.default_rng([SEED, low]), np.random.default_rng([SEED, low, 1])
+        width = max(2 * low, steps) + 1
+        rows = _padded([self.piece(k) for k in own.tolist()], width)
+        owner, edited = dice.choice(len(own), TRIALS), []
+        for k in own[owner].tolist():
+            x = self.piece(k).tolist()
+            for _ in range(int(len(x) * MOST_EDITS)):
+                at, kind = int(dice.integers(len(x))), int(dice.integers(3))
+                new = self.oov if dice.random() < 0.5 else int(dice.integers(self.oov))
+                x[at : at + (kind != 1)] = [new] if kind != 2 else []
+            edited.append(np.array(x + dice.integers(0, self.oov + 1, steps + 1).tolist(), np.int64))
+        trials = _padded(edited, max(map(len, edited)))
+        hashes, trial_hashes = self.hashes(rows), self.hashes(trials)
+        reps, missed = [], np.ones(TRIALS, bool)
+        while not reps or missed.mean() > 1 - RECALL:
+            samples = SAMPLES - len(reps) // MORE_AFTER
+            if not samples:
+                raise RuntimeError(f"items of {low} words and more: {missed.mean():.0%} of simulated edits are missed")
+            rep = Repetition(steps, rng, samples)
+            values = rep.values(rows, hashes)
+            missed &= ((rep.values(trials, trial_hashes) != values[owner]) | (values[owner] < 0)).any(axis=1)
+            rep.plant(values, own, self.oov + 1)
+            reps.append(rep)
+        return reps
+
+    def hashes(self, sym: np.ndarray) -> np.ndarray:
+        """The words' hashes; words that no item has share one."""
+        return np.append(self.vocab, np.uint64(0))[sym]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         if not self.oov:
@@ -197,66 +232,115 @@ class Index:
         h, ends = word_hashes(texts)
         sym = self.symbols(h)
         known = np.flatnonzero(sym < self.oov)
-        pad = max((c.steps for c in self.classes), default=0) + 1
-        padded = np.concatenate([sym, np.full(pad, self.oov)])
+        padded = np.concatenate([sym, np.full(max((r.steps for r in self.reps), default=0) + 1, self.oov)])
+        hashes, n = self.hashes(padded), max(1, len(self.pieces))
         pairs = [np.zeros(0, np.int64)]
-        for c in self.classes:
-            for rep in c.reps:
-                s, i = rep.candidates(padded, known)
-                pairs.append(s * len(self.words) + i)
+        for rep in self.reps:
+            s, k = rep.candidates(padded, hashes, known)
+            pairs.append(np.unique(s * n + k))
         pairs = np.unique(np.concatenate(pairs))
-        s, i = pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+        s, k = pairs // n, pairs % n
         doc = np.searchsorted(ends, s, side="right")
-        out = [[] for _ in range(5)]
-        for n in np.unique(self.sizes[i]).tolist():
-            k = np.flatnonzero(self.sizes[i] == n)
-            for lo in range(0, len(k), 4096):
-                q = k[lo : lo + 4096]
-                x = np.stack([self.words[j] for j in i[q].tolist()])
-                edits, length = edit_distances(x, sym, s[q], ends[doc[q]], int(self.most[i[q[0]]]))
-                ok = edits <= self.most[i[q]]
-                for a, v in zip(out, (doc[q], i[q], s[q], length, edits), strict=True):
-                    a.append(v[ok])
-        doc, i, s, length, edits = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in out)
+        first = np.concatenate([[0], ends])
+        most = (self.pieces[k, 2] * MOST_EDITS).astype(np.int64)
+        edits, length = self._aligned(k, self.piece, self.pieces[k, 2], most, sym, s, ends[doc])
+        ok = edits <= most
+        doc, k, s, length, edits = (v[ok] for v in (doc, k, s, length, edits))
+        i = self.pieces[k, 0]
+        part = self.pieces[k, 2] < self.sizes[i]
+        whole = self._wholes(doc[part], i[part], s[part] - self.pieces[k[part], 1], sym, first)
+        doc, i, s, length, edits = (np.concatenate([a[~part], b]) for a, b in zip((doc, i, s, length, edits), whole, strict=True))
         order = np.lexsort((s, edits, i, doc))
         doc, i, s, length, edits = (v[order] for v in (doc, i, s, length, edits))
         best = np.ones(len(doc), bool)
         best[1:] = (doc[1:] != doc[:-1]) | (i[1:] != i[:-1])
-        first = np.concatenate([[0], ends])[doc[best]] if len(doc) else np.zeros(0, np.int64)
-        return doc[best], i[best], s[best] - first, length[best], edits[best]
-
-
-def edit_distances(x: np.ndarray, sym: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        return doc[best], i[best], s[best] - first[doc[best]], length[best], edits[best]
+
+    @staticmethod
+    def _aligned(k: np.ndarray, words, sizes: np.ndarray, most: np.ndarray, sym, start, stop):
+        """Edits and window words of each (piece, start), those of one size together."""
+        edits, length = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            e = int(most[at[0]])
+            step = max(1, min(4096, CELLS // (2 * e + 1)))
+            for lo in range(0, len(at), step):
+                q = at[lo : lo + step]
+                edits[q], length[q] = edit_distances(np.stack([words(j) for j in k[q].tolist()]), sym, start[q], stop[q], e)
+        return edits, length
+
+    def _wholes(self, doc, i, start, sym, first):
+        """Rows of whole items around hits of their pieces: starts that differ by
+        less than half the edits allowed are one alignment, its band that wider."""
+        out = [[] for _ in range(5)]
+        if len(doc):
+            wide = np.maximum(1, self.most[i] // 2)
+            keys = np.unique(np.stack([doc, i, start // wide], axis=1), axis=0)
+            for d, item, at in keys.tolist():
+                most, step = int(self.most[item]), max(1, int(self.most[item]) // 2)
+                band = most + step
+                x, lo, hi = self.words[item], int(first[d]), int(first[d + 1])
+                found = free_alignment(x, sym[lo:hi], at * step - lo, band, most)
+                if found:
+                    for a, v in zip(out, (d, item, found[0] + lo, found[1], found[2]), strict=True):
+                        a.append(v)
+        return [np.array(a, np.int64) for a in out]
+
+
+def free_alignment(x: np.ndarray, text: np.ndarray, start: int, band: int, most: int) -> tuple[int, int, int] | None:
+    """(first word, words, edits) of the window of text that x differs from
+    least, begun and ended within the band around start; None beyond ``most``."""
+
+    def ends(x: np.ndarray, text: np.ndarray, start: int, free: bool) -> tuple[int, int]:
+        """The least edits of a path through the band and where it ends."""
+        edits, length = edit_distances(x[None], text, np.array([start]), np.array([len(text)]), band, free=free, most=most)
+        return int(edits[0]), start + int(length[0])
+
+    edits, end = ends(x, text, start, True)
+    if edits > most:
+        return None
+    # the same window from its end, which tells where it begins
+    edits, back = ends(x[::-1], text[:end][::-1], 0, False)
+    return (end - back, back, edits) if edits <= most else None
+
+
+def edit_distances(x: np.ndarray, sym: np.ndarray, start: np.ndarray, stop: np.ndarray, band: int, *, free: bool = False, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Least edits, and the window's words, between each row of x and the text
-    from start on, ending anywhere before stop: a band of ``most`` on each side.
-    Distances above ``most`` come out as some number above it."""
+    from start on, ending anywhere before stop: a band of ``band`` on each side.
+    With ``free`` the window may begin anywhere in the band, too, a negative start
+    counting from before the text. Distances above ``most`` (the band by default)
+    come out as some number above it."""
     m, n = x.shape
-    w, left = np.arange(2 * most + 1), (stop - start)[:, None]
-    far = 2 * (n + most + 1)
+    most = band if most is None else most
+    w, left = np.arange(2 * band + 1), (stop - start)[:, None]
+    far = 2 * (n + band + 1)
+    least = (-start if free else np.zeros(m, np.int64))[:, None]  # the first column that is in the text, or the window
 
     def valid(row: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.where((j >= 0) & (j <= left), row, far)
+        return np.where((j >= least) & (j <= left), row, far)
 
-    # row i of the table at columns j = i + w - most
-    row = valid(np.broadcast_to(w - most, (m, len(w))).astype(np.int64), w - most)
+    # row i of the table at columns j = i + w - band
+    row = valid(np.broadcast_to(0 if free else np.abs(w - band), (m, len(w))).astype(np.int64), w - band)
     for i in range(1, n + 1):
-        j = i + w - most
-        same = sym[np.clip(start[:, None] + j - 1, 0, len(sym) - 1)] == x[:, i - 1 : i]
-        best = np.where(j >= 1, row + ~same, far)
+        j = i + w - band
+        same = sym[np.clip(start[:, None] + j - 1, 0, len(sym) - 1)] == x[:, i - 1 : i] if len(sym) else np.zeros((m, len(w)), bool)
+        best = np.where(j >= least + 1, row + ~same, far)
         best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
         row = valid(np.minimum.accumulate(valid(best, j) - w, axis=1) + w, j)
+        if i % 64 == 0 and row.min() > most:  # minima of rows never fall
+            break
     end = row.argmin(axis=1)
-    return row[np.arange(m), end], n + end - most
+    return row[np.arange(m), end], n + end - band
 
 
-def _slabs(benchmark: DataFrame):
-    """The benchmark's indexes, each of about SLAB_CHARS characters, broadcast."""
+def _slabs(benchmark: DataFrame, least_words: int):
+    """The benchmark's indexes, each of about SLAB_WORDS words, broadcast."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // SLAB_CHARS))
+    words = items.agg(F.coalesce(F.sum(common.word_count(F.col("text"))), F.lit(0))).first()[0]
+    n = max(1, -(-words // SLAB_WORDS))
     for slab in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == slab).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == slab).orderBy("item_id", "text").collect()  # a slab's words
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least_words))
 
 
 def _searched(batch: pa.RecordBatch, column: int, index: Index):
@@ -271,11 +355,19 @@ def _searched(batch: pa.RecordBatch, column: int, index: Index):
             lo, held = k + 1, 0
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", least_words: int = 1) -> DataFrame:
     """The named columns of each document that holds an item, with item_id,
     start_word, n_words (of the window), edits and item_words."""
-    n, schema = len(columns), docs.select(*columns).schema
-    for field in docs.sparkSession.createDataFrame([], COLUMNS).schema:
+    found = docs.sparkSession.createDataFrame([], COLUMNS).schema
+    kept = []
+    for c in columns:
+        name = c
+        while name in found.names or name in kept:
+            name = f"doc_{name}"
+        kept.append(name)
+    picked = docs.select(*[F.col(c).alias(k) for c, k in zip(columns, kept, strict=True)], F.col(text_col).cast("string").alias("__text"))
+    n, schema = len(columns), picked.drop("__text").schema
+    for field in found:
         schema = schema.add(field)
     names, out = schema.names, None
 
@@ -289,13 +381,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col:
 
         return run
 
-    for sent in _slabs(benchmark):
-        part = docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(common.trimmed(searcher(sent)), schema)
+    for sent in _slabs(benchmark, least_words):
+        part = picked.mapInArrow(common.trimmed(searcher(sent)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = 1) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     columns, schema = docs.columns, docs.schema
 
@@ -309,10 +401,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
         return run
 
-    for sent in _slabs(benchmark):
+    for sent in _slabs(benchmark, least_words):
         docs = docs.mapInArrow(common.trimmed(keeper(sent)), schema)
     return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"], least_words=LEAST_WORDS)
