@@ -62,6 +62,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value, body) -> F.Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

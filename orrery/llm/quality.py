@@ -2,15 +2,17 @@
 
 One pass gives each document its counts. Quantile sketches (KLL) of four rates
 are built by language and source; being mergeable, every task sends one small
-sketch a group, so a hot source costs no more than any other. Their quantiles
+sketch a group, so a hot source costs no more than any other, and the sketch of a
+language is merged from those of its sources. Their quantiles
 are the thresholds that the joined filter applies in place of fixed cut-offs:
 a document is kept if it passes the base rules and no rate lies beyond its
-group's fence.
+group's fence. A group of fewer than ``LEAST_GROUP`` rows takes its language's
+fences; rates are not compared across languages.
 
 Defined results: null text has no words and fails the base rules; null lang or
 source form groups of their own; a fence is a value of its group or lies beyond
-one, so a uniform group rejects nothing, nor does one of fewer rows than make
-its tail (under ten at 0.9); repeated ids are separate rows; an empty table gives
+one, so a uniform group rejects nothing, nor does a language of fewer rows than
+make a tail (under ten at 0.9); repeated ids are separate rows; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -29,15 +31,12 @@ WINDOW = 3
 #: The fence of a rate, from its group alone: the tail quantile of TAILS, or
 #: median + REACH * (upper quartile - median) where that lies beyond it.
 REACH = 6.0
-SKETCH_K = 400
+#: Sketches are exact up to so many values; beyond, ranks are off by about 0.25 %.
+SKETCH_K = 1024
+LEAST_GROUP = 30
 TAILS = {"symbol_rate": 0.9, "dup_line_rate": 0.99, "repeat_rate": 0.99, "word_length": 0.9}
 
 
-def _let(value, body):
-    """body(value), with value computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeated(words, n):
     """Words covered by windows of three that the text has twice or more.
 
@@ -55,20 +54,18 @@ def _repeated(words, n):
         steps = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    found = _let(F.array_sort(windows(words)), lambda s: _let(F.array_sort(repeats(s)), covered))
+    found = common.let(F.array_sort(windows(words)), lambda s: common.let(F.array_sort(repeats(s)), covered))
     return F.when(n >= WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(common.WORD))
     base = docs.select(F.col(id_col).alias("doc_id"), "lang", "source", text.alias("text"))
     bare = F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    row = _let(words_of("text"), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w, F.size(w)).alias("r")))
-    del words
-    dup = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    row = common.let(words_of("text"), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w, F.size(w)).alias("r")))
+    dup = common.let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     return base.select(
         "doc_id", "lang", "source", row.alias("row"), bare.cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), dup.alias("n_dup_lines"),
@@ -84,14 +81,19 @@ def rates(c: DataFrame) -> DataFrame:
     return c.withColumns({"symbol_rate": F.col("n_symbols") / n, "dup_line_rate": F.col("n_dup_lines") * 10 / n, "repeat_rate": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n})
 
 
-def thresholds(measured: DataFrame, by=("lang", "source"), k: int = SKETCH_K) -> DataFrame:
-    """A row for each group: the fence of every rate, from its sketch."""
-    sketches = measured.groupBy(*by).agg(*[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in TAILS])
-    fence = []
+def thresholds(measured: DataFrame, k: int = SKETCH_K, least: int = LEAST_GROUP) -> DataFrame:
+    """A row for each language and source: the fence of every rate, from its own
+    sketch if that has ``least`` rows, else from its language's."""
+    names = list(TAILS)
+    own = common.written(measured.groupBy("lang", "source").agg(F.count("*").alias("rows"), *[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in names]), "quality-sketches")
+    spoken = own.groupBy(F.col("lang").alias("l")).agg(*[F.kll_merge_agg_double(r, F.lit(k)).alias(f"{r}_all") for r in names])
+    both = own.join(spoken, F.col("lang").eqNullSafe(F.col("l")))
+    fences = []
     for r, q in TAILS.items():
-        mid, upper, tail = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(x)) for x in (0.5, 0.75, q))
-        fence.append(F.greatest(tail, mid + REACH * (upper - mid)).alias(f"{r}_fence"))
-    return sketches.select(*by, *fence)
+        sketch = F.when(F.col("rows") >= least, F.col(r)).otherwise(F.col(f"{r}_all"))
+        mid, upper, tail = (F.kll_sketch_get_quantile_double(sketch, F.lit(x)) for x in (0.5, 0.75, q))
+        fences.append(F.greatest(tail, mid + REACH * (upper - mid)).alias(f"{r}_fence"))
+    return both.select("lang", "source", *fences)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

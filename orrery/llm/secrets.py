@@ -47,10 +47,6 @@ MOST_DECADES = 12
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _let(value, body):
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _total(a):
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
@@ -70,13 +66,13 @@ def _before(lens):
                 def each(t):
                     return F.transform(a, lambda _, i: F.get(t, (i / step).cast("int")) + _total(F.slice(a, (i / step).cast("int") * step + 1, i % step)))
 
-                return _let(tops, each)
+                return common.let(tops, each)
 
-            return _let(sums, places)
+            return common.let(sums, places)
 
-        return _let(b, chunks)
+        return common.let(b, chunks)
 
-    return F.when(F.size(lens) > 0, _let(lens, levels)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(lens) > 0, common.let(lens, levels)).otherwise(F.array().cast("array<int>"))
 
 
 def spans(text, pattern: str, kind: str, group: int | None = None, least: int = 0):
@@ -96,13 +92,13 @@ def spans(text, pattern: str, kind: str, group: int | None = None, least: int =
                 if group is None:
                     return out
                 inner = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length)
-                return _let(inner, lambda n: F.filter(out, lambda _, i: F.get(n, i) >= least))
+                return common.let(inner, lambda n: F.filter(out, lambda _, i: F.get(n, i) >= least))
 
-            return _let(_before(lens), rows)
+            return common.let(_before(lens), rows)
 
-        return _let(step, placed)
+        return common.let(step, placed)
 
-    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, p, F.lit(0)), build)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), common.let(F.regexp_extract_all(text, p, F.lit(0)), build)).otherwise(F.array().cast(SPAN))
 
 
 def _upper(z):
@@ -146,17 +142,17 @@ def p_random(token):
                 return F.when(power > 0, 2 * _upper(F.abs(near / power + 1 / n) * F.sqrt(n))).otherwise(0.0)
 
             logs = F.lit(0.0)
-            for p in (p_cells, _let(high, run_test), _let(dev, serial)):
+            for p in (p_cells, common.let(high, run_test), common.let(dev, serial)):
                 logs = logs - F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
-            return _let(logs, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+            return common.let(logs, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-        return _let(_total(x) / n, measured)
+        return common.let(_total(x) / n, measured)
 
     def under(name: str):
         _, alphabet, cells = ENCODINGS[name]
         text = F.lower(token) if name in ("hex", "base36") else F.translate(token, "-_=", "+/")
         values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-        return _let(values, lambda x: tests(x, len(alphabet), cells))
+        return common.let(values, lambda x: tests(x, len(alphabet), cells))
 
     out = F.lit(None).cast("double")
     for name, (pattern, _, _) in reversed(ENCODINGS.items()):
