@@ -7,6 +7,8 @@ sizes before them: sums per segment are added up along each source, and a window
 inside each segment adds the rest. A source's budget is then whole epochs plus a
 remainder that is cut at its exact word: the document at the cut is taken in
 part. No window ever holds more than a segment, or the segment sums of a source.
+Sources themselves, if there are many, are range-sorted and given prefix sums in
+the same way, ``SOURCE_ROWS`` to a window.
 
 Defined results: null text has size 0; null sources are one source, sorted last;
 null and repeated ids are separate documents, ordered by key, id and size (ties
@@ -29,6 +31,20 @@ SEED = 17
 #: Documents a segment holds on average, and the most segments of a source (a power of 2).
 SEGMENT_ROWS = 64
 MOST_SEGMENTS = 1 << 16
+SOURCE_ROWS = 100_000
+
+
+def before(df: DataFrame, order: list[str], rows: int, **sums) -> DataFrame:
+    """df with the sums of each value over all rows before, in the given order:
+    range-sorted into parts of about ``SOURCE_ROWS`` rows, whose sums are added up."""
+    parts = max(1, -(-rows // SOURCE_ROWS))
+    placed = common.written(df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "mix-parts")
+    along = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
+    held = placed.groupBy("__part").agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in sums])
+    ahead = held.select("__part", *[F.coalesce(F.sum(f"__{k}").over(along), F.lit(0)).alias(f"__{k}_ahead") for k in sums])
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = placed.withColumns({k: F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)) for k in sums}).join(ahead, "__part")
+    return out.select(*df.columns, *[(F.col(k) + F.col(f"__{k}_ahead")).alias(k) for k in sums])
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -39,21 +55,23 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     level L with sum(min(weight * L, ceiling)) = total. Sorted by ceiling over
     weight, the sources below the level come first; L is found where the capped
     ones' ceilings and the rest's weights meet the total."""
-    order = W.orderBy(F.col("source").isNull(), "source")
-    ranked = sources.withColumn("i", F.row_number().over(order) - 1)
+    sources = common.written(sources.withColumn("no_source", F.col("source").isNull()), "mix-sources")
+    n = sources.count()
+    ranked = before(sources, ["no_source", "source"], n, i=F.lit(1))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("i") % len(weights) + 1).cast("int"))).withColumn("ceiling", most * F.col("source_size"))
-    full = W.orderBy(F.col("ceiling") / F.col("weight"), "i").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing).partitionBy()
-    filled = (
-        ranked.withColumn("capped", F.coalesce(F.sum("ceiling").over(full), F.lit(0.0)))
-        .withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(full), F.lit(0.0)))
-        .withColumn("total", share * F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("weights_left"))
-        # the first source, in this order, that the level doesn't fill sets it
-        .withColumn("level", F.min(F.when(F.col("weight") * F.col("level") <= F.col("ceiling"), F.struct(F.col("ceiling") / F.col("weight"), "i", "level"))).over(everything)["level"])
-    )
-    return filled.select("source", "rows", "source_size", F.least("ceiling", F.coalesce(F.col("weight") * F.col("level"), F.col("ceiling"))).alias("target"))
+    filled = before(ranked.withColumn("ratio", F.col("ceiling") / F.col("weight")), ["ratio", "i"], n, capped=F.col("ceiling"), weighed=F.col("weight"))
+    whole = filled.agg((share * F.sum("source_size")).alias("total"), F.sum("weight").alias("weights"))
+    filled = common.written(filled.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("total") - F.col("capped")) / (F.col("weights") - F.col("weighed"))), "mix-levels")
+    # the first source, in this order, that the level doesn't fill sets it
+    level = filled.agg(F.min(F.when(F.col("weight") * F.col("level") <= F.col("ceiling"), F.struct("ratio", "i", "level")))["level"].alias("set"))
+    return filled.crossJoin(F.broadcast(level)).select("source", "rows", "source_size", F.least("ceiling", F.coalesce(F.col("weight") * F.col("set"), F.col("ceiling"))).alias("target"))
+
+
+def key_of(seed: int):
+    """A document's hash-random key: 60 bits of an MD5, from 0 on."""
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -71,15 +89,15 @@ def taken_words(rows: DataFrame, sized: DataFrame, weights=WEIGHTS, share: float
     flat = [F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src")]
 
     def keyed(df: DataFrame) -> DataFrame:
-        position = F.floor((F.col("key") / F.lit(float(2**64)) + 0.5) * F.col("segments")).cast("int")  # the order of the signed key
-        return df.select("*", *flat, F.xxhash64("doc_id", "size", F.lit(seed)).alias("key")).join(targets.select(*flat, "source_size", "target", "segments"), ["src", "no_src"]).withColumn("segment", F.least(position, F.col("segments") - 1))
+        position = F.floor(F.col("key") / F.lit(float(2**60)) * F.col("segments")).cast("int")
+        return df.select("*", *flat, key_of(seed).alias("key")).join(targets.select(*flat, "source_size", "target", "segments"), ["src", "no_src"]).withColumn("segment", F.least(position, F.col("segments") - 1))
 
     sums = keyed(sized).groupBy("src", "no_src", "segment").agg(F.sum("size").alias("held"))
     along = W.partitionBy("src", "no_src").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select("src", "no_src", "segment", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("before"))
+    ahead = sums.select("src", "no_src", "segment", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("before"))
     order = ["key", "doc_id", "size"] + (["tie"] if "tie" in rows.columns else [])
     inside = W.partitionBy("src", "no_src", "segment").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed(rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["src", "no_src", "segment"])
+    placed = keyed(rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["src", "no_src", "segment"])
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")

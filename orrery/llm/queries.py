@@ -16,4 +16,51 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLE: dict[str, str] = {}
+
+#: Words of the contracts, as DuckDB reads the class.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
+
+
+def _quality_sql() -> str:
+    """Counts by definition; fences by exact ranks, which sketches of up to
+    ``SKETCH_K`` values give, too."""
+    q = quality
+    lists = ", ".join(f"list_sort(list({r})) AS {r}" for r in _RATES)
+    ranked = lambda r, p: f"{r}[greatest(1, ceil({p} * n))::INT]"
+    fence = ", ".join(f"greatest({ranked(r, q.TAILS[r])}, {ranked(r, 0.5)} + {q.REACH} * ({ranked(r, 0.75)} - {ranked(r, 0.5)})) AS {r}" for r in _RATES)
+    pick = ", ".join(f"CASE WHEN g.n >= {q.LEAST_GROUP} THEN g.{r} ELSE l.{r} END AS {r}" for r in _RATES)
+    within = " AND ".join(f"c.{r} <= f.{r}" for r in _RATES)
+    return rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+k AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT rid, count(DISTINCT i + d) AS n FROM (SELECT rid, i FROM k QUALIFY count(*) OVER (PARTITION BY rid, k) > 1), (SELECT unnest(range(3)) AS d) GROUP BY rid),
+b AS (SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(translate(text, '{q.SYMBOLS}', '')))::BIGINT AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ln FROM t),
+m AS (SELECT b.* EXCLUDE (ln), (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN r USING (rid)),
+c AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_rate, n_dup_lines * 10 / greatest(n_words, 1) AS dup_line_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS word_length FROM m),
+g AS (SELECT lang, source, n, {fence} FROM (SELECT lang, source, count(*) AS n, {lists} FROM c GROUP BY ALL)),
+l AS (SELECT lang, n, {fence} FROM (SELECT lang, count(*) AS n, {lists} FROM c GROUP BY ALL)),
+f AS (SELECT g.lang, g.source, {pick} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang),
+v AS (SELECT c.*, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed, {within} AS within FROM c JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM v"""
+
+
+def _mixing_sql() -> str:
+    m = mixing
+    weights = "[" + ", ".join(str(w) for w in m.WEIGHTS) + "]"
+    return rf"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT *, {m.MOST} * source_size AS ceiling, {weights}[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(m.WEIGHTS)}]::DOUBLE AS weight, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1)),
+l AS (SELECT *, ((SELECT {m.SHARE} * sum(source_size) FROM s)::DOUBLE - coalesce(sum(ceiling) OVER w, 0)) / ((SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER w, 0)) AS level FROM s WINDOW w AS (ORDER BY ceiling / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT level AS fixed FROM l WHERE weight * level <= ceiling ORDER BY ceiling / weight, i LIMIT 1),
+t AS (SELECT source, source_size, least(ceiling, coalesce(weight * (SELECT fixed FROM v), ceiling))::DOUBLE AS target FROM s),
+k AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substring(md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, ''), d.size::VARCHAR, '{m.SEED}')), 1, 15), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(size, budget % source_size - ahead)) END::BIGINT AS taken FROM k"""
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+q AS (SELECT *, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: '{_BASE32}'[1 + ((('0x' || substring(h, 5 * (k // 4)::INT + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31)]), '') AS payload_digest, page_id IS DISTINCT FROM first AND first IS NOT NULL AND strlen(html) >= {warc.LEAST_BYTES} AS again FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM q"""
+
+#: The statements of the operators that SQL can express; the others are tested by brute force.
+ORACLE: dict[str, str] = {"op5_mixing": _mixing_sql(), "op8_quality": _quality_sql(), "op9_warc": _WARC}
