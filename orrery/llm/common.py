@@ -59,7 +59,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def same(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, a selection of a written table's columns, as that table's."""
+    df._written = of._written
+    return df
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a written table that no plan reads any more."""
+    drop_path(df.sparkSession, df._written)
 
 
 def let(value, body) -> F.Column:

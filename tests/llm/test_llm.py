@@ -485,3 +485,42 @@ def test_op3_mines_all_labelled_rows(spark):
     pages = spark.range(40).select(F.col("id").alias("page_id"), host.alias("url"))
     got = urls.judged(pages, labels=spark.range(600_000).select(host.alias("url"), label.alias("label"))).collect()
     assert all(r.by == "mined" and r.verdict == ("block" if r.page_id % 2 else "allow") for r in got) and len(got) == 40
+
+
+def test_keep_first_loses_no_text_and_keeps_one_of_equal_rows(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text with other words in each of its places here"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, a, "y"), (3, b, "z"), (4, "alone at last", "q"), (4, "alone at last", "q"), (None, a, "n"), (None, "no id and no like in all of this table", "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for found in (simhash.components(frame), simhash.similar_components(frame)):
+        kept = sorted((r.doc_id or 0, r.text, r.source) for r in simhash.keep_first(frame, found).collect())
+        assert [k[:2] for k in kept] == sorted([(0, rows[8][1]), (1, a), (1, b), (4, "alone at last")])
+        again = sorted((r.doc_id or 0, r.text, r.source) for r in simhash.keep_first(frame.repartition(5), found).collect())
+        assert again == kept
+
+
+@pytest.mark.parametrize("words", [40, 400])
+def test_near_copies_of_one_text_link_as_pairs_do(spark, words):
+    """A large group with outliers: parts, marks and the rest of the pairs."""
+    import random
+
+    rng = random.Random(words)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for d in range(120):
+        x = list(base)
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2)) * words // 100 + rng.choice((0, 0, 1))):
+            x[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        rows.append((d, " ".join(x)))
+    sets = {d: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    for x in sets:
+        for y in sets:
+            if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=50).collect()}
+    assert 1 < len({find(d) for d in sets}) < 100
+    assert all(find(got[d]) == find(d) for d in sets) and sum(got[d] != find(d) for d in sets) <= 3
