@@ -16,7 +16,8 @@ edit distance between the item and the best-ending window at that start.
 
 Words that no item has are one symbol, which leaves every edit distance to an
 item as it is; a window that begins with such a word can't beat the one that
-begins behind it and is not tried. Items are walked in classes of like size, so
+begins behind it and is not tried, nor is one with too few words of items for any
+match. Items are walked in classes of like size, so
 windows are item-sized. An item of more than ``PIECE`` words is parted into pieces
 of nearly equal size: of a match with at most ``MOST_EDITS`` of the words in edits
 one piece at least has no more than that share, so the pieces are searched for like
@@ -182,7 +183,23 @@ class Index:
                 rows += [(i, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pieces = np.array(rows, np.int64).reshape(-1, 3)
         low = 1 << np.frexp(np.maximum(self.pieces[:, 2], 1))[1].astype(np.int64) - 1
-        self.reps = [rep for c in np.unique(low).tolist() for rep in self._repetitions(c, np.flatnonzero(low == c))]
+        #: the sizes of each class's pieces, and its repetitions
+        self.classes = [(np.unique(self.pieces[low == c, 2]).tolist(), self._repetitions(c, np.flatnonzero(low == c))) for c in np.unique(low).tolist()]
+
+    @property
+    def reps(self) -> list[Repetition]:
+        return [rep for _, reps in self.classes for rep in reps]
+
+    @staticmethod
+    def dense(sizes: list[int], sym: np.ndarray, oov: int, known: np.ndarray) -> np.ndarray:
+        """The starts whose windows have words enough that some item has: a piece of
+        n words with at most m edits keeps n - m of them within n + m words."""
+        upto = np.concatenate([[0], np.cumsum(sym < oov)])
+        ok = np.zeros(len(known), bool)
+        for n in sizes:
+            most = int(n * MOST_EDITS)
+            ok |= upto[np.minimum(known + n + most, len(sym))] - upto[known] >= n - most
+        return known[ok]
 
     def piece(self, k: int) -> np.ndarray:
         i, first, n = self.pieces[k].tolist()
@@ -235,9 +252,11 @@ class Index:
         padded = np.concatenate([sym, np.full(max((r.steps for r in self.reps), default=0) + 1, self.oov)])
         hashes, n = self.hashes(padded), max(1, len(self.pieces))
         pairs = [np.zeros(0, np.int64)]
-        for rep in self.reps:
-            s, k = rep.candidates(padded, hashes, known)
-            pairs.append(np.unique(s * n + k))
+        for sizes, reps in self.classes:
+            starts = self.dense(sizes, sym, self.oov, known)
+            for rep in reps:
+                s, k = rep.candidates(padded, hashes, starts)
+                pairs.append(np.unique(s * n + k))
         pairs = np.unique(np.concatenate(pairs))
         s, k = pairs // n, pairs % n
         doc = np.searchsorted(ends, s, side="right")
