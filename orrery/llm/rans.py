@@ -11,14 +11,18 @@ independent blocks. A block is one binary record:
 
 Token t of a block belongs to lane ``t % lanes``; all lanes share one word
 stream, so numpy steps all of them together. A checkpoint holds the lane
-states and the word offset at a step, so decoding may begin there: blocks, and
-runs between checkpoints inside one block, decode in parallel. Both checksums
-are verified on reading.
+states and the word offset at a step, so decoding may begin there: an ordinary
+block has three. Reading decodes the runs between them: the blocks' by a task
+each, but a block of ``LONG_TOKENS`` or more, as a very long document makes one,
+is parted into its runs, which are dealt out and decoded by tasks of their own; a
+document's checksum is then combined from its runs'. Single documents are decoded
+from the checkpoint before them. Both checksums are verified on reading.
 
 Defined results: null text counts as empty (its document holds the end id
 alone); null ids sort first; repeated ids keep one entry each, ordered by their
-content; an empty table gives no blocks and no rows; other columns are ignored.
-Documents never span blocks, so a block is as large as its longest document.
+content, and rows equal in both may be parted over tasks; an empty table gives no
+blocks and no rows; other columns are ignored. Documents never span blocks, so a
+block is as large as its longest document.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ from . import common
 BITS = 20
 LOW = np.uint64(1 << 31)
 MASK32 = np.uint64(0xFFFFFFFF)
-BLOCK_TOKENS = 1 << 17
-MAX_LANES = 2048
+BLOCK_TOKENS = 1 << 18
+MAX_LANES = 1024
 CHECK_STEPS = 64
+LONG_TOKENS = 1 << 20
 CACHE_WORDS = 1_000_000
 END_ID = 2
 #: A word that a lower-casing tokenizer leaves whole: small Latin-1 letters.
@@ -437,23 +442,59 @@ def decode_run(table: Table, lanes: int, n: int, words: np.ndarray, mark, stop:
     return out
 
 
+def _runs_of(lanes: int, n: int, marks: list) -> list[tuple]:
+    """(mark, step past the last) of each run."""
+    return list(zip(marks, [m[0] for m in marks[1:]] + [-(-n // lanes)], strict=True))
+
+
 def decode_block(data: bytes, table: Table):
     """(doc ids, null flags, lengths, ids) of a block; every run between two
     checkpoints is decoded on its own, and both checksums are verified."""
     _, lanes, doc_ids, nulls, lengths, n, ids_crc, marks, words = read_block(data)
-    ends = [m[0] for m in marks[1:]] + [-(-n // lanes)]
-    ids = np.concatenate([decode_run(table, lanes, n, words, m, e) for m, e in zip(marks, ends, strict=True)]) if n else np.zeros(0, np.uint32)
+    ids = np.concatenate([decode_run(table, lanes, n, words, m, e) for m, e in _runs_of(lanes, n, marks)]) if n else np.zeros(0, np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("decoded ids don't match the block's checksum")
     return doc_ids, nulls, lengths, ids
 
 
+def decode_range(block: tuple, table: Table, lo: int, hi: int) -> np.ndarray:
+    """Ids lo to hi of a block that was read, decoded from the checkpoint before lo."""
+    _, lanes, _, _, _, n, _, marks, words = block
+    mark = max((m for m in marks if m[0] * lanes <= lo), key=lambda m: m[0])
+    ids = decode_run(table, lanes, n, words, mark, -(-hi // lanes))
+    return ids[lo - mark[0] * lanes : hi - mark[0] * lanes]
+
+
+def _times(matrix: list[int], v: int) -> int:
+    out, k = 0, 0
+    while v:
+        if v & 1:
+            out ^= matrix[k]
+        v, k = v >> 1, k + 1
+    return out
+
+
+def crc32_joined(first: int, second: int, size: int) -> int:
+    """The crc32 of two byte strings one after the other, from theirs and the
+    second's size: the first's is moved on by that many zero bytes, each of which
+    is a linear map over bits, squared for every power of two."""
+    move = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
+    for _ in range(3):
+        move = [_times(move, row) for row in move]
+    while size:
+        if size & 1:
+            first = _times(move, first)
+        size >>= 1
+        move = [_times(move, row) for row in move]
+    return first ^ second
+
+
 # ----------------------------------------------------------------- dataset
 
 
 def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes ``out/table`` (symbol, freq) and ``out/blocks`` (part, seq,
-    start, n_tokens, payload), blocks in ascending order of document id."""
+    """Writes ``out/table`` (symbol, freq) and ``out/blocks`` (part, seq, start,
+    n_tokens, first_id, last_id, payload), blocks in ascending order of document id."""
     spark = docs.sparkSession
     stage = common.scratch(spark, "rans-ids")
     tokenised(docs, tokenizer_path, id_col, text_col, end_id).write.parquet(stage)
@@ -471,7 +512,8 @@ def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, *, id_col:
         def flush():
             nonlocal seq, start, held
             data = encode_block(np.concatenate(chunks), np.array(d, np.int64), np.array(z), np.array(n), table)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "start", "n_tokens", "payload"])
+            ends = [pa.array([None if z[k] else d[k]], pa.int64()) for k in (0, -1)]
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), *ends, pa.array([data], pa.binary())], ["part", "seq", "start", "n_tokens", "first_id", "last_id", "payload"])
             seq, start, held = seq + 1, start + held, 0
             for x in (d, z, n, chunks):
                 x.clear()
@@ -489,36 +531,118 @@ def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, *, id_col:
         if d:
             yield flush()
 
-    key = F.xxhash64("ids")
-    ids.withColumn("tie", key).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie").mapInArrow(common.trimmed(run), "part int, seq int, start long, n_tokens long, payload binary").write.parquet(f"{out}/blocks")
+    # rows that are equal may be parted anywhere, so that none of them are many in one range
+    keys = ["doc_id", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("place")]
+    placed = ids.select("n", "width", "ids", *keys).repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
+    placed.mapInArrow(common.trimmed(run), "part int, seq int, start long, n_tokens long, first_id long, last_id long, payload binary").write.parquet(f"{out}/blocks")
     common.drop_path(spark, stage)
 
 
-def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) decoded from the files, in parallel by block."""
+def _documents(doc_ids, nulls, starts, lengths, crcs, ids=None) -> pa.RecordBatch:
+    cols = [pa.array(doc_ids, pa.int64(), mask=nulls.astype(bool)), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if ids is not None:
+        cols.append(pa.array([c.astype(np.int32) for c in ids], pa.list_(pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
+def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False, only: list[int] | None = None, long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) decoded from the files, in parallel
+    by block and, of long ones, by run. ``only`` reads the documents of these ids,
+    from the blocks that may hold them."""
     blocks = spark.read.parquet(f"{path}/blocks")
     pairs = spark.read.parquet(f"{path}/table").orderBy("symbol").toPandas()
     symbols, freq = pairs["symbol"].to_numpy(np.int64), pairs["freq"].to_numpy(np.int64)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = parts.select("part", F.expr("sum(held) over (order by part) - held").alias("before"))  # a row for each written part
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
         table = Table(symbols, freq)
         for batch in batches:
             for first, data in zip(batch.column("first").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                doc_ids, nulls, lengths, ids = decode_block(data, table)
+                if only is None:
+                    doc_ids, nulls, lengths, ids = decode_block(data, table)
+                    ends = np.cumsum(lengths.astype(np.int64))
+                    cuts = [ids[e - k : e] for e, k in zip(ends, lengths, strict=True)]
+                else:
+                    block = read_block(data)
+                    ends = np.cumsum(block[4].astype(np.int64))
+                    at = np.flatnonzero(np.isin(block[2], only) & (block[3] == 0))
+                    doc_ids, nulls, lengths, ends = block[2][at], block[3][at], block[4][at], ends[at]
+                    cuts = [decode_range(block, table, int(e) - int(k), int(e)) for e, k in zip(ends, lengths, strict=True)]
+                crcs = [zlib.crc32(c.astype("<u4").tobytes()) for c in cuts]
+                yield _documents(doc_ids, nulls, first + ends - lengths, lengths, crcs, cuts if with_ids else None)
+
+    placed = blocks.join(F.broadcast(before), "part").withColumn("first", F.col("start") + F.col("before"))
+    if only is not None:
+        wanted = F.array(*[F.lit(int(i)).cast("long") for i in only])
+        held = placed.filter(F.exists(wanted, lambda i: (F.coalesce("first_id", F.lit(-(2**63))) <= i) & (i <= F.col("last_id"))))
+        return held.select("first", "payload").mapInArrow(common.trimmed(run), schema)
+    out = placed.filter(F.col("n_tokens") < long_tokens).select("first", "payload").mapInArrow(common.trimmed(run), schema)
+    if blocks.filter(F.col("n_tokens") >= long_tokens).isEmpty():
+        return out
+    return out.unionByName(_read_long(placed.filter(F.col("n_tokens") >= long_tokens), symbols, freq, with_ids))
+
+
+def _read_long(blocks: DataFrame, symbols: np.ndarray, freq: np.ndarray, with_ids: bool) -> DataFrame:
+    """The documents of long blocks: each block parted into runs, which are decoded
+    by tasks of their own, and its documents put together from their pieces."""
+    run_schema = "block long, run int, lanes int, n long, step int, stop int, state binary, words binary, pieces binary"
+
+    def parted(batches):
+        for batch in batches:
+            for part, seq, first, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "first", "payload")), strict=True):
+                _, lanes, doc_ids, nulls, lengths, n, ids_crc, marks, words = read_block(data)
                 ends = np.cumsum(lengths.astype(np.int64))
-                raw = ids.astype("<u4")
-                cuts = [raw[e - k : e] for e, k in zip(ends, lengths, strict=True)]
-                cols = [pa.array(doc_ids, mask=nulls.astype(bool)), pa.array(first + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(c.tobytes()) for c in cuts], pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    cols.append(pa.array([c.astype(np.int32) for c in cuts], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
+                for k, (mark, stop) in enumerate(_runs_of(lanes, n, marks)):
+                    lo, hi = mark[0] * lanes, min(n, stop * lanes)
+                    a, b = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(ends, hi, side="left")) + 1
+                    at = np.arange(a, min(b, len(ends)))
+                    begin = ends[at] - lengths[at]
+                    rows = np.stack([at, doc_ids[at], nulls[at], first + begin, lengths[at], np.minimum(ends[at], hi) - np.maximum(begin, lo)], axis=1).astype("<i8")
+                    # the block as a whole, to verify its checksum
+                    rows = np.concatenate([rows, np.array([[-1, ids_crc, 0, 0, n, hi - lo]], "<i8")])
+                    past = marks[k + 1][1] if k + 1 < len(marks) else len(words)
+                    cells = (part << 32 | seq, k, lanes, n, mark[0], stop, mark[2].tobytes(), words[mark[1] : past].tobytes(), rows.tobytes())
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["block", "run", "lanes", "n", "step", "stop", "state", "words", "pieces"])
+
+    piece_schema = "block long, at long, id long, null long, start long, n_tokens long, run int, size long, crc long, ids binary"
+
+    def decoded(batches):
+        table = Table(symbols, freq)
+        for batch in batches:
+            for block, run, lanes, n, step, stop, state, words, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = decode_run(table, lanes, n, np.frombuffer(words, "<u4"), (step, 0, np.frombuffer(state, "<u8")), stop).astype("<u4")
+                rows = np.frombuffer(pieces, "<i8").reshape(-1, 6)
+                cut = np.concatenate([[0], np.cumsum(rows[:-1, 5])])
+                own = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] + [ids.tobytes()]
+                crcs = [zlib.crc32(x) for x in own]
+                blobs = [x if with_ids else b"" for x in own[:-1]] + [b""]
+                cols = [pa.array([block] * len(rows)), *[pa.array(rows[:, c]) for c in range(5)], pa.array([run] * len(rows), pa.int32()), pa.array(rows[:, 5]), pa.array(crcs, pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "at", "id", "null", "start", "n_tokens", "run", "size", "crc", "ids"])
+
+    def joined(batches):
+        for batch in batches:
+            rows = []
+            for at, key, null, start, n, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                crc = 0
+                for p in pieces:
+                    crc = crc32_joined(crc, p["crc"], 4 * p["size"])
+                if at >= 0:
+                    rows.append((key, null, start, n, crc, np.frombuffer(b"".join(p["ids"] for p in pieces), "<u4")))
+                elif crc != key:
+                    raise ValueError("decoded ids don't match the block's checksum")
+            cols = [np.array([r[k] for r in rows], np.int64) for k in range(5)]
+            yield _documents(cols[0], cols[1], cols[2], cols[3], cols[4], [r[5] for r in rows] if with_ids else None)
+
+    runs = blocks.select("part", "seq", "first", "payload").mapInArrow(common.trimmed(parted), run_schema)
+    pieces = runs.repartition("block", "run").mapInArrow(common.trimmed(decoded), piece_schema)
+    whole = pieces.groupBy("block", "at", "id", "null", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("run", "size", "crc", "ids"))).alias("pieces"))  # those of one document
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.join(before, "part").select((F.col("start") + F.col("before")).alias("first"), "payload").mapInArrow(common.trimmed(run), schema)
+    return whole.select("at", "id", "null", "start", "n_tokens", "pieces").mapInArrow(common.trimmed(joined), schema)
 
 
 def default_tokenizer() -> str:
