@@ -28,8 +28,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no item of ``benchmark`` is found."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents in which no item of ``benchmark`` of ``LEAST_WORDS`` or more is found."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), least_words=decontaminate.LEAST_WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
