@@ -27,3 +27,31 @@ def test_stages(spark, sf):
 
 def test_run_has_the_last_stage_rows(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, tie string, edits int, item_id long, words int, fp string, component long"
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark, sf):
+    bench = common.table(spark, sf, "benchmark").first().text
+    long = "".join(f"word{i} " for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, "the same text in two rows of one id, word for word"), (3, "the same text in two rows of one id, word for word"), (3, "another text under that id, which shares no shingle with it"), (None, "a text that has no id at all but goes on for some words"), (7, long), (8, long + "end"), (9, f"before it {bench} after it")]
+    rows = [(i, t, None, "s" if k % 2 else None, 0, 0.5, 1, "t", 2, 3, 4, "f", 5) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASH)
+    want = {"toxicity": 9, "simhash": 6, "decontaminate": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns == (docs.columns if name != "rans" else ["doc_id", "start", "n_tokens", "ids_crc32"])
+        out = common.written(out, "test-odd")
+        if name in want:  # 1 and 2 have equal texts, 7 and 8 similar ones
+            assert out.count() == want[name]
+            assert name != "simhash" or sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3, 3, 7, 9]
+        docs = out if name != "rans" else docs
+    assert all(r.source in (None, "s") and r.edits == 2 and r.fp == "f" for r in docs.collect())
+
+
+def test_stages_take_empty_tables(spark, sf):
+    docs = common.table(spark, sf, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0
