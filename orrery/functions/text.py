@@ -11,7 +11,7 @@ from .. import params
 STOP_WORDS = (
     "的 了 是 在 和 与 或 不 也 都 就 要 会 可以 能够 这个 那个 一个 一种 其中 使用 进行 通过 以及 用于 对于 基于 利用 此外 同时 因此 所以 但是 然而 虽然 如果 基本 说 来 去 做 让 把 被 从 到 等 该 并 而 且 所 上 下 中 内"
 ).split()
-MARKS = "，。！？、；："
+MARKS = "，。！？、；：'"
 BRACKETS = "（）()【】"
 TOKEN = r"[\p{L}\p{N}]+"
 COUNTED = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -22,8 +22,19 @@ BUILD_VERSION = r"(?iU)\b(v?\d+(?:\.\d+)*(?:[-_]?\w+)?)\b"
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-case letter and digit runs; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """Letter and digit runs, their case kept; null has none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def counted(words: Column) -> Column:
+    """array<struct<word, n>> of an array's distinct words: runs of the sorted array."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(firsts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n"))))
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
 
 
 def count_tokens(text: Column) -> Column:

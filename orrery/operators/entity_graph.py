@@ -12,35 +12,45 @@ from pyspark.sql.types import DoubleType
 
 from .. import params, session, storage
 from ..functions import text as T
-from . import ranking
+from . import bm25, ranking
+
+
+#: Letters of a piece by which names meet.
+GRAM = 3
+
+
+def _top(rows: DataFrame, top_n: int, name: str) -> DataFrame:
+    """The best entities of each chunk, from the chunk's own rows."""
+    best = rows.groupBy(name, "entity").agg(F.max("weight").alias("weight"))
+    return best.withColumn("r", F.row_number().over(W.partitionBy(name).orderBy(F.desc("weight"), "entity"))).filter(F.col("r") <= top_n).drop("r")
 
 
 def entity_tfidf(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id") -> DataFrame:
     """(chunk_id, entity, weight): the best tf-idf words of each chunk, with the
-    corpus's own idf in place of a segmenter's table."""
-    words = chunks.select(name, T.tokenize(F.col("content")).alias("w"))
-    each = words.select(name, F.size("w").alias("len"), F.explode("w").alias("word")).groupBy(name, "len", "word").agg(F.count("*").alias("tf"))
+    corpus's own idf in place of a segmenter's table. Words are counted once and
+    written; each distinct one is normalised and checked once."""
+    post = storage.written(bm25.postings(chunks, name), "entity-words")
     n = chunks.filter("content is not null").agg(F.count("*").alias("n"))
-    idf = each.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", F.log(F.col("n") / F.col("df")).alias("idf"))
-    entity = T.normalize_entity_graph(F.col("word"))
-    rows = each.join(idf, "word").select(name, entity.alias("entity"), F.round(F.col("tf") / F.col("len") * F.col("idf"), 6).alias("weight")).filter(T.is_valid_entity(F.col("entity")))
-    best = rows.groupBy(name, "entity").agg(F.max("weight").alias("weight"))
-    return best.withColumn("r", F.row_number().over(W.partitionBy(name).orderBy(F.desc("weight"), "entity"))).filter(F.col("r") <= top_n).drop("r")
+    words = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    words = words.select("term", F.log(F.col("n") / F.col("df")).alias("idf"), T.normalize_entity_graph(F.col("term")).alias("entity"))
+    words = storage.written(words, "entity-idf")
+    words = storage.written(words.filter(T.is_valid_entity(F.col("entity"))), "entity-names")
+    rows = post.join(session.small(words), "term").select(name, "entity", F.round(F.col("tf") / F.col("length") * F.col("idf"), 6).alias("weight"))
+    return _top(rows, top_n, name)
 
 
 def entity_pos_counts(chunks: DataFrame, name: str = "chunk_id") -> DataFrame:
     """(chunk_id, entity, weight): counts of name-like words (a capital inside a
     sentence, letters and digits mixed), over the chunk's highest, halved."""
     found = F.regexp_extract_all("content", F.lit(r"(?:(?<=[\p{L},;] )\p{Lu}\p{L}+|\b\p{L}+\p{N}[\p{L}\p{N}]*)"), F.lit(0))
-    words = chunks.select(name, F.explode(found).alias("word")).select(name, T.normalize_entity_graph(F.col("word")).alias("entity")).filter(T.is_valid_entity(F.col("entity")))
-    count = words.groupBy(name, "entity").agg(F.count("*").alias("n"))
+    words = chunks.select(name, F.explode(T.counted(F.coalesce(found, F.array().cast("array<string>")))).alias("t")).select(name, T.normalize_entity_graph(F.col("t.word")).alias("entity"), F.col("t.n").alias("n"))
+    words = storage.written(words, "entity-named")
+    count = words.filter(T.is_valid_entity(F.col("entity"))).groupBy(name, "entity").agg(F.sum("n").alias("n"))
     return count.select(name, "entity", F.round(F.col("n") / F.max("n").over(W.partitionBy(name)) * params.POS_COEFFICIENT, 6).alias("weight"))
 
 
 def entities(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id") -> DataFrame:
-    both = entity_tfidf(chunks, top_n, name).unionByName(entity_pos_counts(chunks, name))
-    best = both.groupBy(name, "entity").agg(F.max("weight").alias("weight"))
-    return best.withColumn("r", F.row_number().over(W.partitionBy(name).orderBy(F.desc("weight"), "entity"))).filter(F.col("r") <= top_n).drop("r")
+    return _top(entity_tfidf(chunks, top_n, name).unionByName(entity_pos_counts(chunks, name)), top_n, name)
 
 
 def entity_nodes(ec: DataFrame) -> DataFrame:
@@ -69,24 +79,63 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): names of ``short`` (s) inside names of ``long`` (l), without case. Names
+    meet by a piece of ``GRAM`` letters: the short name's rarest among the long
+    ones', which any name that holds it has; shorter names are looked up whole among
+    all pieces of their length. Both are joins on equality, then a check."""
+    s = short.select("s", F.lower("s").alias("low_s"))
+    l = long.select("l", F.lower("l").alias("low_l")).filter(F.length("low_l") > 0)
+
+    def grams(c, n):
+        return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[grams(F.col("low_l"), n) for n in range(1, GRAM + 1)])))
+    held = storage.written(l.select("l", "low_l", F.explode(pieces).alias("piece")), "pieces")
+    uses = held.filter(F.length("piece") == GRAM).groupBy("piece").agg(F.count("*").alias("uses"))
+    own = s.filter(F.length("low_s") > 0).select("s", "low_s", F.explode(F.when(F.length("low_s") >= GRAM, grams(F.col("low_s"), GRAM)).otherwise(F.array("low_s"))).alias("piece"))
+    # a piece that no long name has rules the name out; else the rarest stands for it
+    ranked = own.join(uses, "piece", "left").withColumn("uses", F.when(F.length("low_s") >= GRAM, F.coalesce("uses", F.lit(0))).otherwise(1))
+    rarest = ranked.groupBy("s", "low_s").agg(F.min(F.struct("uses", "piece")).alias("r")).filter("r.uses > 0").select("s", "low_s", F.col("r.piece").alias("piece"))
+    return held.join(session.small(rarest), "piece").filter(F.contains("low_l", "low_s")).select("s", "l").distinct()
+
+
 def map_entities(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, entity, node, level): equality; for those without, containment
-    either way without case; for those still without, the best alike one. The
-    later levels compare what is left of the queries' entities with all nodes."""
-    names = nodes.select(F.col("entity").alias("node"), F.lower("entity").alias("low_node"))
+    either way without case; for those still without, the best alike one. Each
+    level compares distinct names that are left; containment is a join on pieces
+    of names, likeness one on lengths and letters, then an exact check."""
+    names = storage.written(nodes.select(F.col("entity").alias("node")).distinct(), "names")
     asked = storage.written(asked.select("query_id", "entity").distinct(), "asked")
     exact = asked.join(names, asked["entity"] == names["node"]).select("query_id", "entity", "node", F.lit("exact").alias("level"))
-    left = (asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti").withColumn("low", F.lower("entity")))
-    left = storage.written(left, "left")
-    left = session.small(left)
-    within = names.join(left, F.contains("low_node", "low") | F.contains("low", "low_node")).select("query_id", "entity", "node", F.lit("substr").alias("level"))
-    within = storage.written(within, "within")
-    last = session.small(left.join(within.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_anti").filter(F.length("entity") >= params.FUZZY_LENGTH))
-    # the ratio is 2 * matches / both lengths, so lengths alone rule most pairs out
-    near = (F.length("node") >= params.FUZZY_LENGTH) & (2 * F.least(F.length("node"), F.length("entity")) >= params.FUZZY_RATIO * (F.length("node") + F.length("entity")))
-    alike = names.join(last, near).withColumn("ratio", _ratio("low", "low_node")).filter(F.col("ratio") >= params.FUZZY_RATIO)
-    best = alike.groupBy("query_id", "entity").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "node"))["node"].alias("node")).select("query_id", "entity", "node", F.lit("fuzzy").alias("level"))
-    return exact.unionByName(within).unionByName(best)
+    left = storage.written(asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti"), "left")
+    open_ = left.select("entity").distinct()
+    inside = contained(open_.select(F.col("entity").alias("s")), names.select(F.col("node").alias("l"))).select(F.col("s").alias("entity"), F.col("l").alias("node"))
+    around = contained(names.select(F.col("node").alias("s")), open_.select(F.col("entity").alias("l"))).select(F.col("l").alias("entity"), F.col("s").alias("node"))
+    within = storage.written(inside.unionByName(around).distinct(), "within")
+    last = open_.join(within.select("entity").distinct(), "entity", "left_anti").filter(F.length("entity") >= params.FUZZY_LENGTH)
+    best = alike(last, names)
+    level = lambda df, name: left.join(df, "entity").select("query_id", "entity", "node", F.lit(name).alias("level"))
+    return exact.unionByName(level(within, "substr")).unionByName(level(best, "fuzzy"))
+
+
+def alike(last: DataFrame, names: DataFrame) -> DataFrame:
+    """(entity, node): the most alike node of each entity, of a ratio of at least
+    ``FUZZY_RATIO``, the first by name of several. The ratio is twice the matched
+    letters m over both lengths a and b. Matched letters lie in blocks, of which
+    there are no more than letters unmatched and one, so the names have at least
+    3m - a - b - 1 neighbouring pairs in common: a join on pairs finds all that count."""
+    pairs = lambda c: T.counted(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, 2)))
+    wanted = last.select("entity", F.lower("entity").alias("low")).filter(F.length("low") >= 2)
+    wanted = wanted.select("entity", "low", F.explode(pairs(F.col("low"))).alias("p")).select("entity", "low", F.col("p.word").alias("pair"), F.col("p.n").alias("n"))
+    held = names.filter(F.length("node") >= params.FUZZY_LENGTH).select("node", F.lower("node").alias("low_node")).filter(F.length("low_node") >= 2)
+    held = held.select("node", "low_node", F.explode(pairs(F.col("low_node"))).alias("q")).select("node", "low_node", F.col("q.word").alias("pair"), F.col("q.n").alias("m"))
+    both = F.length("low") + F.length("low_node")
+    near = 2 * F.least(F.length("low_node"), F.length("low")) >= params.FUZZY_RATIO * both
+    met = held.join(session.small(wanted), "pair").filter(near).groupBy("entity", "low", "node", "low_node").agg(F.sum(F.least("n", "m")).alias("common"))
+    met = met.filter(F.col("common") >= (1.5 * params.FUZZY_RATIO - 1) * both - 1)
+    rows = met.repartition("low_node").withColumn("ratio", _ratio("low", "low_node")).filter(F.col("ratio") >= params.FUZZY_RATIO)
+    return rows.groupBy("entity").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "node"))["node"].alias("node"))
 
 
 def route_multi_entity(mapped: DataFrame, least: int = 2) -> DataFrame:

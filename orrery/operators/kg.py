@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import params, session
+from .. import params, storage
 from ..functions import text as T
-from . import ranking
+from . import entity_graph, ranking
 
 
 def clean_triples(records: DataFrame) -> DataFrame:
@@ -42,9 +42,12 @@ def match_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, node): equal names, else those that contain each other."""
     names = nodes.select(F.col("entity").alias("node"))
     exact = asked.join(names, asked["entity"] == names["node"]).select("query_id", "entity", "node")
-    left = session.small(asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti"))
-    within = names.join(left, F.contains(F.lower("node"), F.lower("entity")) | F.contains(F.lower("entity"), F.lower("node"))).select("query_id", "entity", "node")
-    return exact.unionByName(within).select("query_id", "node").distinct()
+    left = storage.written(asked.join(exact.select("query_id", "entity"), ["query_id", "entity"], "left_anti"), "kg-left")
+    open_ = left.select("entity").distinct()
+    inside = entity_graph.contained(open_.select(F.col("entity").alias("s")), names.select(F.col("node").alias("l"))).select(F.col("s").alias("entity"), F.col("l").alias("node"))
+    around = entity_graph.contained(names.select(F.col("node").alias("s")), open_.select(F.col("entity").alias("l"))).select(F.col("l").alias("entity"), F.col("s").alias("node"))
+    within = left.join(inside.unionByName(around).distinct(), "entity")
+    return exact.select("query_id", "node").unionByName(within.select("query_id", "node")).distinct()
 
 
 def paths(matched: DataFrame, graph: DataFrame, max_hop: int = params.KG_MAX_HOP) -> DataFrame:
@@ -91,6 +94,15 @@ def filter_valid_triples(triples):
     return F.filter(triples, lambda t: (F.coalesce(t["subject"], F.lit("")) != "") & (F.coalesce(t["relation"], F.lit("")) != "") & (F.coalesce(t["object"], F.lit("")) != ""))
 
 
+def load_cache(spark, path: str) -> DataFrame:
+    """The triple records at path (JSON Lines), each chunk once, by its fullest record; none if nothing is there."""
+    schema = "chunk_id string, source_doc string, status string, triples array<struct<subject:string,relation:string,object:string>>"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("source_doc", "status", "triples"), F.coalesce(F.size("triples"), F.lit(0))).alias("r")).select("chunk_id", "r.*")
+
+
 def build_stats(chunks: DataFrame, records: DataFrame) -> DataFrame:
     """One row: chunks, those cached, those left, triples, records without any."""
     c = chunks.select("chunk_id").join(records.select("chunk_id", F.size("triples").alias("n")), "chunk_id", "left")

@@ -75,3 +75,8 @@ def first_k_context(r: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     part = F.concat(F.lit("[来源"), F.col("rank").cast("string"), F.lit(": "), F.coalesce("source", F.lit("unknown")), F.lit("] "), F.col("content"))
     parts = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("context"))
+
+
+def ordered_dedup(rows: DataFrame, value: str, order: str = "position") -> DataFrame:
+    """Each query's values at their first place only: (query_id, value, position)."""
+    return rows.groupBy("query_id", value).agg(F.min(order).alias(order))

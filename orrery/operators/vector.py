@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import params, session
+from .. import params, storage
 from ..functions import text as T
 from . import ranking
 
@@ -25,8 +25,9 @@ def norm(a: Column) -> Column:
 
 def embed(chunks: DataFrame, dims: int = 64) -> DataFrame:
     """The offline embedder: hashed term counts, L2-normalised. (chunk_id, vec).
-    Words are hashed in the JVM; Arrow batches of their slots are counted at once."""
-    hashed = F.transform(T.tokenize(F.col("content")), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
+    Words are hashed in the JVM (32 bits of an MD5); Arrow batches of their slots
+    are counted at once."""
+    hashed = F.transform(T.tokenize(F.col("content")), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
     rows = chunks.select("chunk_id", hashed.alias("h"))
 
     def run(batches):
@@ -42,14 +43,28 @@ def embed(chunks: DataFrame, dims: int = 64) -> DataFrame:
     return rows.mapInArrow(run, chunks.select("chunk_id", F.array(F.lit(0.0)).alias("vec")).schema)
 
 
+#: Queries scored against all vectors at once.
+BLOCK = 4096
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K) -> DataFrame:
     """Exact top k of (query_id, vec) against (chunk_id, vec). Every pair is
-    scored, as exact search must; queries are the small side and are sent to the
-    vectors, and partial top-k limits keep the shuffle at k rows a query and task."""
-    q = session.small(queries.select("query_id", F.col("vec").alias("query_vec")))
+    scored, as exact search must be. Queries are cut into blocks by a hash, a block
+    being a table of bounded size that is sent to the vectors; partial top-k limits
+    keep the shuffle at k rows a query and task."""
+    q = queries.select("query_id", F.col("vec").alias("query_vec"))
+    n = q.count()
+    blocks = max(1, -(-n // BLOCK))
+    if blocks > 1:
+        q = storage.written(q.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-blocks")
     sim = dot(F.col("query_vec"), F.col("vec")) / (norm(F.col("query_vec")) * norm(F.col("vec")))
-    scored = vectors.select("chunk_id", "vec").join(q).select("query_id", "chunk_id", F.round(sim, 6).alias("score"))
-    return ranking.top_k(scored.filter("score is not null"), k, "vector")
+    out = None
+    for b in range(blocks):
+        own = q if blocks == 1 else q.filter(F.col("__block") == b).drop("__block")
+        scored = vectors.select("chunk_id", "vec").join(F.broadcast(own)).select("query_id", "chunk_id", F.round(sim, 6).alias("score"))  # about BLOCK rows
+        part = ranking.top_k(scored.filter("score is not null"), k, "vector")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K, *, radius: float = math.inf, length: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:

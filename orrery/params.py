@@ -18,5 +18,8 @@ FUZZY_RATIO, FUZZY_LENGTH = 0.8, 4
 MAX_ATTEMPTS = 2
 PREVIEW_CHARS = 500
 RELATION_CHARS = 20
-#: Sides below this many rows may be broadcast by hint; above it the planner chooses.
+#: Sides of at most so many rows and bytes may be broadcast by hint; beyond, the planner chooses.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 1 << 26
+#: Cases below which a calibrated threshold is marked as of low confidence.
+LOW_CASES = 30

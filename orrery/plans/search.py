@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params, storage
@@ -14,11 +14,12 @@ from ..operators import bm25, entity_graph, kg, ranking, rerank, vector
 
 @dataclass
 class Index:
-    """What is built once: chunks (chunk_id, source, content), vectors, and the
-    optional graph and triples."""
+    """What is built once: chunks (chunk_id, source, content), words, vectors, and
+    the optional graph and triples."""
 
     chunks: DataFrame
     vectors: DataFrame
+    words: bm25.Index
     entities: DataFrame | None = None
     edges: DataFrame | None = None
     triples: DataFrame | None = None
@@ -27,13 +28,33 @@ class Index:
 def build_index(chunks: DataFrame, graph: bool = False, triples: DataFrame | None = None) -> Index:
     ec = storage.written(entity_graph.entities(chunks), "entities") if graph else None
     vectors = storage.written(vector.embed(chunks), "vectors")
-    return Index(chunks, vectors, ec, storage.written(entity_graph.cooccurrence(ec), "edges") if graph else None, triples)
+    return Index(chunks, vectors, bm25.build(chunks), ec, storage.written(entity_graph.cooccurrence(ec), "edges") if graph else None, triples)
+
+
+def _tables(index: Index) -> dict[str, DataFrame | None]:
+    words = {"postings": index.words.postings, "terms": index.words.terms, "stats": index.words.stats}
+    return {"chunks": index.chunks, "vectors": index.vectors, **words, "entities": index.entities, "edges": index.edges, "triples": index.triples}
+
+
+def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, graph: bool = False, triples: DataFrame | None = None) -> Index:
+    """The index at ``path``; it is built and stored there first if it isn't whole.
+    A marker is written last, so what a lost run has left is not taken for one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/whole")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        parts = _tables(build_index(chunks, graph, triples))
+        for name, df in parts.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame([(n,) for n, df in parts.items() if df is not None], "name string").write.mode("overwrite").parquet(f"{path}/whole")
+    held = {r.name for r in spark.read.parquet(f"{path}/whole").collect()}  # the tables' names
+    read = lambda n: spark.read.parquet(f"{path}/{n}") if n in held else None
+    return Index(read("chunks"), read("vectors"), bm25.Index(read("postings"), read("terms"), read("stats")), read("entities"), read("edges"), read("triples"))
 
 
 def routes(queries: DataFrame, index: Index) -> dict[str, DataFrame]:
     """The rankings of every route the index has, for all queries at once."""
     asked = vector.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).select(F.col("chunk_id").alias("query_id"), "vec")
-    out = {"bm25": bm25.search(queries, index.chunks), "vector": vector.search(asked, index.vectors)}
+    out = {"bm25": bm25.search(queries, index.words), "vector": vector.search(asked, index.vectors)}
     if index.entities is not None or index.triples is not None:
         named = queries.select("query_id", F.col("query").alias("content"))
         wanted = entity_graph.entities(named, params.KG_QUERY_ENTITIES, "query_id").select("query_id", "entity")
@@ -52,6 +73,13 @@ def fusion_pipeline(found: dict[str, DataFrame], queries: DataFrame, chunks: Dat
     return {"rrf": fused, "cross_encoder": rerank.rerank(fused, queries, chunks, ce_top_k, scorer)}
 
 
+def stages(queries: DataFrame, index: Index, scorer=None) -> dict[str, DataFrame]:
+    """The ranking of every stage, as a front end shows them side by side: the
+    routes that the index has, their fusion, and the reranked rows."""
+    found = routes(queries, index)
+    return {**found, **fusion_pipeline(found, queries, index.chunks, scorer=scorer)}
+
+
 def search_knowledge(queries: DataFrame, index: Index, top_k: int = params.CE_TOP_K, scorer=None) -> DataFrame:
     """The tool's rows: ranked chunks with source, preview and scores."""
     done = fusion_pipeline(routes(queries, index), queries, index.chunks, ce_top_k=top_k, scorer=scorer)

@@ -64,15 +64,16 @@ def golden(spark, d) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL parts
 
-TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+TOK = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+')"
 SENT = r"list_filter(list_transform(string_split(regexp_replace({}, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 BM25 = f"""
 d AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents),
 e AS (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM d),
-p AS (SELECT term, chunk_id, length, count(*) AS tf FROM e GROUP BY ALL),
+p AS MATERIALIZED (SELECT term, chunk_id, length, count(*) AS tf FROM e GROUP BY ALL),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d WHERE len(w) > 0),
-t AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term),
-i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM t) ELSE raw END AS idf FROM t),
+t AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term),
+a AS MATERIALIZED (SELECT avg(raw) AS mean FROM t),
+i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM t, a),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 sc AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM q JOIN i USING (term) JOIN p USING (term), s GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT query_id, chunk_id, 'bm25' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM sc WHERE score > 0) WHERE rank <= 20)"""
@@ -87,12 +88,22 @@ fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score, min
 rr AS (SELECT query_id, chunk_id, 'rrf' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS INT) AS rank, score, seen.route AS original_source FROM fu)"""
 GOLD = f"""
 gold AS (SELECT DISTINCT b.item_id AS query_id, c.doc_id AS source FROM (SELECT item_id, unnest({SENT.format("text")}) AS s FROM benchmark) b JOIN (SELECT doc_id, unnest({SENT.format("text")}) AS s FROM documents) c ON b.s = c.s WHERE length(b.s) >= 40)"""
-SCORES = f"""{RRF}, {GOLD},
-res AS (SELECT route AS stage, query_id, rank, chunk_id AS source FROM both_routes UNION ALL SELECT 'rrf', query_id, rank, chunk_id FROM rr),
+
+
+def scores_sql(stages: dict[str, str]) -> str:
+    """CTEs res, jud, per and pq: metrics of each stage's table (query_id, rank, chunk_id) by query."""
+    res = " UNION ALL ".join(f"SELECT '{name}' AS stage, query_id, rank, chunk_id AS source FROM {table}" for name, table in stages.items())
+    names = ", ".join(f"'{name}'" for name in stages)
+    return f"""{GOLD},
+res AS ({res}),
 jud AS (SELECT r.*, g.source IS NOT NULL AS relevant FROM res r LEFT JOIN gold g ON r.query_id = g.query_id AND r.source = g.source),
 per AS (SELECT stage, query_id, min(CASE WHEN relevant AND rank <= 10 THEN rank END) AS first, count(*) FILTER (relevant AND rank <= 5) AS hits, count(*) FILTER (rank <= 5) AS returned, count(DISTINCT CASE WHEN relevant AND rank <= 5 THEN source END) AS found FROM jud GROUP BY ALL),
 pq AS (SELECT s.stage, b.item_id AS query_id, coalesce(1.0 / first, 0.0)::DOUBLE AS mrr, (coalesce(hits, 0) > 0)::INT::DOUBLE AS hit, coalesce(hits / nullif(returned, 0), 0.0)::DOUBLE AS precision, coalesce(found / n_golden, 0.0)::DOUBLE AS recall
- FROM benchmark b CROSS JOIN (SELECT unnest(['bm25', 'vector', 'rrf']) AS stage) s LEFT JOIN per p ON p.stage = s.stage AND p.query_id = b.item_id LEFT JOIN (SELECT query_id, count(*) AS n_golden FROM gold GROUP BY 1) n ON n.query_id = b.item_id)"""
+ FROM benchmark b CROSS JOIN (SELECT unnest([{names}]) AS stage) s LEFT JOIN per p ON p.stage = s.stage AND p.query_id = b.item_id LEFT JOIN (SELECT query_id, count(*) AS n_golden FROM gold GROUP BY 1) n ON n.query_id = b.item_id)"""
+
+
+SCORES = f"{RRF}, {scores_sql({'bm25': 'bm', 'vector': 've', 'rrf': 'rr'})}"
+MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in ("mrr", "hit", "precision", "recall"))
 CATEGORY = "CASE WHEN length(text) < 150 THEN 'short' WHEN length(text) < 250 THEN 'medium' ELSE 'long' END"
 
 
@@ -144,13 +155,13 @@ def q_chunk_id(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk_id"))
 
 
-NAMES = "(SELECT DISTINCT name FROM (SELECT o_orderpriority AS name FROM orders UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT concat('  v', p_size, '.1 ', lower(p_brand), ' -- ') FROM part))"
+NAMES = "(SELECT DISTINCT name FROM (SELECT o_orderpriority AS name FROM orders UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT concat('  v', p_size, '.1 ', lower(p_brand), ' -- ') FROM part UNION ALL SELECT concat('''', lower(p_brand), '''，') FROM part))"
 
 
 def _names(spark, d):
     part, orders = tab(spark, d, "part"), tab(spark, d, "orders")
     parts = [part.select(F.col(c).alias("name")) for c in ("p_type", "p_name", "p_brand")]
-    return ranking.append_routes(orders.select(F.col("o_orderpriority").alias("name")), *parts, part.select(F.concat(F.lit("  v"), "p_size", F.lit(".1 "), F.lower("p_brand"), F.lit(" -- ")).alias("name"))).distinct()
+    return ranking.append_routes(orders.select(F.col("o_orderpriority").alias("name")), *parts, part.select(F.concat(F.lit("  v"), "p_size", F.lit(".1 "), F.lower("p_brand"), F.lit(" -- ")).alias("name")), part.select(F.concat(F.lit("'"), F.lower("p_brand"), F.lit("'，")).alias("name"))).distinct()
 
 
 FIRST = "CASE WHEN regexp_matches({0}, '^[a-z]') THEN upper({0}[1]) || {0}[2:] ELSE {0} END"
@@ -159,12 +170,16 @@ SQUEEZED = rf"regexp_replace({BARE}, '\s+', ' ', 'g')"
 ENDS = r"regexp_replace(regexp_replace({}, '-+', '-', 'g'), '^[ _-]+|[ _-]+$', '', 'g')"
 
 
-@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, regexp_replace(regexp_replace({BARE}, '[，。！？、；：]+$', ''), '^[，。！？、；：]+', '') AS t FROM {NAMES})")
+@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, regexp_replace(regexp_replace({BARE}, '[，。！？、；：'']+$', ''), '^[，。！？、；：'']+', '') AS t FROM {NAMES})")
 def q_normalize_entity_graph(spark, d):
     return _names(spark, d).select("name", T.normalize_entity_graph(F.col("name")).alias("entity"))
 
 
-@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, {ENDS.format(chr(114) + 'egexp_replace(' + SQUEEZED + ', ' + chr(39) + chr(92) + 'b(v?' + chr(92) + 'd+(?:' + chr(92) + '.' + chr(92) + 'd+)*)' + chr(92) + 'b' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'gi' + chr(39) + ')')} AS t FROM {NAMES})")
+MARKED = "[，。！？、；：''（）()【】]+"
+UNVERSIONED = rf"regexp_replace(regexp_replace(regexp_replace({SQUEEZED}, '^{MARKED}', ''), '{MARKED}$', ''), '\b(v?\d+(?:\.\d+)*)\b', '', 'gi')"
+
+
+@query(f"SELECT name, {FIRST.format('t')} AS entity FROM (SELECT name, {ENDS.format(UNVERSIONED)} AS t FROM {NAMES})")
 def q_normalize_entity_kg_query(spark, d):
     return _names(spark, d).select("name", T.normalize_entity_kg_query(F.col("name")).alias("entity"))
 
@@ -187,20 +202,33 @@ def q_truncate_text(spark, d):
     return tab(spark, d, "documents").select("doc_id", T.truncate_text(F.col("text")).alias("preview"))
 
 
-@query()
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 4 THEN 0.0 WHEN 5 THEN 0.0 ELSE least(1.0, (doc_id % 30) / 10.0) END::DOUBLE AS score, CASE doc_id % 6 WHEN 5 THEN '解析失败: ' || substring('said: ' || text, 1, 100) ELSE text END AS reason FROM documents""")
 def q_parse_judge_score(spark, d):
-    raw = F.concat(F.lit('```json\n{"score": '), (F.col("doc_id") % 30 / 10).cast("string"), F.lit(', "reason": "r"}\n```'))
+    """Answers of five shapes that quote the whole text: fenced, bare fence, plain, without a score, and no JSON."""
+    kind, score = F.col("doc_id") % 6, (F.col("doc_id") % 30 / 10).alias("score")
+    body = F.to_json(F.struct(score, F.col("text").alias("reason")))
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(kind == 4, F.to_json(F.struct(F.col("text").alias("reason")))).when(kind == 5, F.concat(F.lit("said: "), "text")).otherwise(body)
     return tab(spark, d, "documents").select("doc_id", T.parse_judge_score(raw).alias("s")).select("doc_id", "s.score", "s.reason")
 
 
-@query("SELECT doc_id, query || CASE WHEN contains(query, '优化') THEN ' 性能提升 优化方向' ELSE '' END || CASE WHEN contains(query, '检索') THEN ' 信息检索 search retrieval' ELSE '' END AS rewritten FROM (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN '优化 ' WHEN 1 THEN '检索优化 ' ELSE '' END, substring(text, 1, 80)) AS query FROM documents)")
+@query("SELECT doc_id, query || CASE WHEN contains(query, '优化') THEN ' 性能提升 优化方向' ELSE '' END || CASE WHEN contains(query, '检索') THEN ' 信息检索 search retrieval' ELSE '' END AS rewritten FROM (SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN '优化 ' WHEN 1 THEN '检索优化 ' ELSE '' END, text) AS query FROM documents)")
 def q_rewrite_query(spark, d):
     head = F.when(F.col("doc_id") % 3 == 0, "优化 ").when(F.col("doc_id") % 3 == 1, "检索优化 ").otherwise("")
-    rows = tab(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(head, F.substring("text", 1, 80)).alias("query"))
+    rows = tab(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(head, "text").alias("query"))
     return agent.rewrite_query(rows).select(F.col("query_id").alias("doc_id"), "rewritten")
 
 
-@query()
+N_TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
+WINDOWS = rf"""WITH RECURSIVE s AS (SELECT doc_id::VARCHAR AS source, {SENT.format("text")} AS raw FROM documents),
+c AS (SELECT source, raw, list_transform(raw, lambda x: {N_TOKENS.format("x")}) AS n FROM s WHERE len(raw) > 0),
+u AS (SELECT source, len(n) AS size, list_transform(list_zip(raw, n), lambda x: CASE WHEN x[2] > {params.CHUNK_SIZE} THEN substring(x[1], 1, greatest(1, (length(x[1]) * {params.CHUNK_SIZE}) // x[2])::INT) ELSE x[1] END) AS parts, list_transform(range(len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)::BIGINT) AS upto FROM c),
+w AS (SELECT source, 0 AS chunk_index, 0::BIGINT AS i, greatest(len(list_filter(upto, lambda x: x <= {params.CHUNK_SIZE})) - 1, 1)::BIGINT AS j FROM u
+UNION ALL SELECT source, chunk_index + 1, a, greatest(len(list_filter(upto, lambda x: x <= upto[a + 1] + {params.CHUNK_SIZE})) - 1, a + 1)::BIGINT FROM (SELECT w.source, w.chunk_index, u.upto, greatest(w.i + 1, len(list_filter(u.upto, lambda x: x <= u.upto[w.j + 1] - {params.CHUNK_OVERLAP})) - 1)::BIGINT AS a FROM w JOIN u USING (source) WHERE w.j < u.size)),
+x AS (SELECT source, chunk_index, array_to_string(parts[i + 1:j], '') AS content FROM w JOIN u USING (source))
+SELECT substring(md5(source || ':' || chunk_index), 1, 8) AS chunk_id, content, source, chunk_index, CAST({N_TOKENS.format("content")} AS INT) AS token_count, 'text' AS source_type, 1 AS start_line, 1 AS end_line, NULL::VARCHAR AS heading_breadcrumb FROM x"""
+
+
+@query(WINDOWS)
 def q_sliding_window_chunk(spark, d):
     rows = chunking.sliding_window(tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
     return chunking.finish(rows, "text").drop("headings")
@@ -214,8 +242,13 @@ def q_process_document(spark, d):
 
 @query()
 def q_chunk_by_ast(spark, d):
-    code = F.expr("concat('import os', chr(10), 'def f', doc_id, '(x):', chr(10), '    return x', chr(10), 'class C:', chr(10), '    a = 1', chr(10), '    def m(self):', chr(10), '        pass', chr(10), '    def n(self):', chr(10), '        pass')")
-    return chunking.ast_chunks(tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), code.alias("text")))
+    """Modules that hold the whole text, as one constant and, by sentences, as the statements of a function."""
+    docs = tab(spark, d, "documents")
+    quoted = lambda c: F.expr(f"substring(to_json(struct({c} as t)), 6, length(to_json(struct({c} as t))) - 6)")
+    said = F.array_join(F.transform(T.split_sentences(F.col("text")), lambda s: F.concat(F.lit("    say("), F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", ""), F.lit(")"))), "\n")
+    head = F.concat(F.lit("import os\nTEXT = "), quoted("text"), F.lit("\ndef f"), F.col("doc_id").cast("string"), F.lit("(say):\n    pass\n"))
+    code = F.concat(head, said, F.lit("\nclass C:\n    a = 1\n    def m(self):\n        pass\n    def n(self):\n        pass"))
+    return chunking.ast_chunks(docs.select(F.col("doc_id").cast("string").alias("source"), code.alias("text")))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -223,13 +256,12 @@ def q_chunk_by_ast(spark, d):
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM i")
 def q_doc_freq_idf(spark, d):
-    c = chunks(spark, d)
-    return bm25.term_stats(bm25.postings(c), bm25.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.build(chunks(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM s")
 def q_avgdl(spark, d):
-    return bm25.corpus_stats(chunks(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.corpus_stats(bm25.postings(chunks(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {BM25} SELECT * FROM bm")
@@ -261,9 +293,12 @@ def q_vector_search_lsh(spark, d):
     return vector.search_lsh(*_vectors(spark, d))
 
 
-@query()
+@query(rf"""WITH h AS (SELECT doc_id AS chunk_id, list_transform({TOK.format("text")}, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT % 64) AS h FROM documents),
+c AS (SELECT chunk_id, list_transform(range(64), lambda k: len(list_filter(h, lambda x: x = k))::DOUBLE) AS c FROM h)
+SELECT chunk_id, array_to_string(list_transform(c, lambda x: printf('%.6f', x / greatest(sqrt(list_inner_product(c, c)), 1e-9))), ' ') AS vec FROM c""")
 def q_embed(spark, d):
-    return vector.embed(chunks(spark, d))
+    shown = F.array_join(F.transform("vec", lambda x: F.format_string("%.6f", x)), " ")
+    return vector.embed(chunks(spark, d)).select("chunk_id", shown.alias("vec"))
 
 
 @query(f"{BOTH} SELECT query_id, chunk_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm")
@@ -303,9 +338,19 @@ def q_route_overlap(spark, d):
     return ranking.route_overlap(route_bm25(spark, d), route_words(spark, d))
 
 
-CE = f"""{RRF},
-cp AS (SELECT rr.query_id, rr.chunk_id, rr.rank, round(10.0 * len(list_intersect(list_distinct(qw), dw)) / len(list_distinct(qw)), 6) AS score FROM rr JOIN (SELECT item_id, {TOK.format("text")} AS qw FROM benchmark) b ON b.item_id = query_id JOIN (SELECT doc_id, {TOK.format("text")} AS dw FROM documents) c ON c.doc_id = chunk_id),
-ce AS (SELECT * FROM (SELECT query_id, chunk_id, 'cross_encoder' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS INT) AS rank, score FROM cp) WHERE rank <= 5)"""
+def ce_sql(name: str, fused: str, k: int = params.CE_TOP_K) -> str:
+    """CTE ``name``: the k best of a fused table by the offline scorer."""
+    return f"""{name}_p AS (SELECT r.query_id, r.chunk_id, r.rank, round(10.0 * len(list_intersect(list_distinct(qw), dw)) / len(list_distinct(qw)), 6) AS score FROM {fused} r JOIN (SELECT item_id, {TOK.format("text")} AS qw FROM benchmark) b ON b.item_id = query_id JOIN (SELECT doc_id, {TOK.format("text")} AS dw FROM documents) c ON c.doc_id = chunk_id),
+{name} AS (SELECT * FROM (SELECT query_id, chunk_id, 'cross_encoder' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS INT) AS rank, score FROM {name}_p) WHERE rank <= {k})"""
+
+
+def rrf_sql(name: str, rows: str, k: int = params.RRF_K) -> str:
+    """CTE ``name``: the unweighted fusion of a table of routes."""
+    return f"""{name}_f AS (SELECT query_id, chunk_id, round(sum(1.0 / ({k} + rank)), 6) AS score, min(struct_pack(place := CASE route WHEN 'bm25' THEN 0 WHEN 'vector' THEN 1 ELSE 2 END, r := rank)) AS seen FROM {rows} GROUP BY ALL),
+{name} AS (SELECT query_id, chunk_id, 'rrf' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS INT) AS rank, score FROM {name}_f)"""
+
+
+CE = f"{RRF}, {ce_sql('ce', 'rr')}"
 
 
 @query(f"{CE} SELECT * FROM ce")
@@ -318,19 +363,39 @@ def q_first_k_context(spark, d):
     return ranking.first_k_context(q_ce_rerank(spark, d), chunks(spark, d))
 
 
-@query(f"{CE} SELECT query_id, string_agg('[来源: ' || source || '] ' || substring(text, 1, 300), chr(10) || chr(10) ORDER BY rank) AS answer FROM ce JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY ALL")
+@query(f"{CE} SELECT query_id, '[本地 LLM 未连接] 基于检索结果 (共 1 次检索, Top-' || any_value(total) || ' 结果):' || chr(10) || chr(10) || string_agg('--- 来源 ' || rank || ': ' || source || ' | CE Score: ' || printf('%.4f', score) || ' ---' || chr(10) || substring(text, 1, 300) || chr(10) || chr(10), '' ORDER BY rank) AS answer FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM ce) JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY query_id")
 def q_generate_answer(spark, d):
     return agent.generate_answer(q_ce_rerank(spark, d), asked(spark, d), chunks(spark, d))
 
 
+@query(f"{CE} SELECT query_id, string_agg('[来源: ' || source || '] ' || substring(text, 1, 300), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 2) AS answer, string_agg('[来源' || rank || ': ' || source || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ce JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY ALL")
+def q_retrieve_and_generate(spark, d):
+    index = search.Index(chunks(spark, d), None, None)
+    return agent.retrieve_and_generate(asked(spark, d), index, found=q_ce_rerank(spark, d))
+
+
+def _doc_records(spark, d) -> DataFrame:
+    """Triple records of documents: each one's best words, chained."""
+    best = entity_graph.entity_tfidf(chunks(spark, d), 4)
+    e = best.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "entity"))), lambda x: x["entity"]).alias("e"))
+    pairs = F.transform(F.slice("e", 1, F.greatest(F.size("e") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("subject"), F.lit("near").alias("relation"), F.get("e", i + 1).alias("object")))
+    return e.join(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc")), "chunk_id").select("chunk_id", "source_doc", pairs.alias("triples"))
+
+
+def _index(spark, d) -> search.Index:
+    """All four routes over the documents."""
+    return search.build_index(chunks(spark, d), graph=True, triples=storage.written(kg.clean_triples(_doc_records(spark, d)), "triples"))
+
+
 @query()
 def q_search_knowledge(spark, d):
-    return search.search_knowledge(asked(spark, d), search.build_index(chunks(spark, d)))
+    return search.search_knowledge(asked(spark, d), _index(spark, d))
 
 
 @query()
 def q_agent_loop(spark, d):
-    return agent.agent_loop(asked(spark, d), search.build_index(chunks(spark, d)), threshold=8.0)
+    run = agent.run_queries(asked(spark, d), search.build_index(chunks(spark, d)), threshold=8.0)
+    return run.answers.join(run.chunks.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.max("score").alias("best")), "query_id", "left")
 
 
 @query("SELECT source, count(*) AS n_chunks FROM documents GROUP BY 1")
@@ -352,7 +417,7 @@ def q_get_chunk(spark, d):
 
 
 def _results(spark, d):
-    both = _both(spark, d)
+    both = storage.written(_both(spark, d), "routes")
     all_ = both.unionByName(ranking.rrf(both).drop("original_source"))
     return all_.select(F.col("route").alias("stage"), "query_id", "rank", F.col("chunk_id").alias("source"))
 
@@ -464,12 +529,12 @@ def q_sweep_grid(spark, d):
 
 # ------------------------------------------------------------ entity graph
 
-ENT = f"""d AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
-e AS (SELECT chunk_id, length, word, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS word FROM d) GROUP BY ALL),
-i AS (SELECT word, ln(any_value(n) / count(*)) AS idf FROM e, n GROUP BY word),
-v AS (SELECT chunk_id, {FIRST.format("word")} AS entity, round(tf / length * idf, 6) AS weight FROM e JOIN i USING (word) WHERE length(word) >= 2 AND NOT regexp_matches(word, '^[\\d.+\\-\\s]+$')),
-b AS (SELECT chunk_id, entity, max(weight) AS weight FROM v GROUP BY ALL),
-ec AS (SELECT chunk_id, entity, weight FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, entity) AS r FROM b) WHERE r <= 12)"""
+ENT = f"""gd AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), gn AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+ge AS MATERIALIZED (SELECT chunk_id, length, word, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS word FROM gd) GROUP BY ALL),
+gi AS (SELECT word, ln(any_value(n) / count(*)) AS idf FROM ge, gn GROUP BY word),
+gv AS (SELECT chunk_id, {FIRST.format("word")} AS entity, round(tf / length * idf, 6) AS weight FROM ge JOIN gi USING (word) WHERE length(word) >= 2 AND NOT regexp_matches(word, '^[\d.+\-\s]+$')),
+gb AS (SELECT chunk_id, entity, max(weight) AS weight FROM gv GROUP BY ALL),
+ec AS MATERIALIZED (SELECT chunk_id, entity, weight FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, entity) AS r FROM gb) WHERE r <= 12)"""
 
 
 def _tfidf(spark, d):
@@ -499,14 +564,14 @@ def q_entity_cooccurrence(spark, d):
     return entity_graph.cooccurrence(_tfidf(spark, d))
 
 
-HOPS = f"""{EDGES}, se AS (SELECT DISTINCT b.item_id AS query_id, ec.entity FROM (SELECT DISTINCT item_id, unnest({TOK.format("text")}) AS word FROM benchmark) b JOIN ec ON {FIRST.format("b.word")} = ec.entity WHERE length(b.word) >= 6),
+HOPS = f"""{EDGES}, se AS (SELECT DISTINCT b.item_id AS query_id, ec.entity FROM (SELECT DISTINCT item_id, unnest({TOK.format("text")}) AS word FROM benchmark) b JOIN ec ON {FIRST.format("b.word")} = ec.entity),
 bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
 ho AS (SELECT query_id, entity, CAST(min(hop) AS INT) AS hop FROM (SELECT query_id, entity, 0 AS hop FROM se UNION ALL SELECT query_id, bo.b, 1 FROM se JOIN bo ON se.entity = bo.a) GROUP BY ALL)"""
 
 
 def _hops(spark, d):
     ec = storage.written(_tfidf(spark, d), "entities")
-    words = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("w")).filter(F.length("w") >= 6)
+    words = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("w"))
     seeds = words.select("query_id", T.normalize_entity_graph(F.col("w")).alias("entity")).join(ec.select("entity").distinct(), "entity", "left_semi").select("query_id", "entity")
     return entity_graph.khop(seeds, entity_graph.cooccurrence(ec)), ec
 

@@ -20,6 +20,23 @@ def local(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def small(df: DataFrame, rows: int = params.BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; as it is beyond."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame):
+    """About how many bytes a row holds, by its columns' types."""
+    total = F.lit(0)
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f.name)
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind.startswith("array<") and kind[6:-1] in ("int", "bigint", "float", "double", "long"):
+            total = total + 8 * F.greatest(F.size(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def small(df: DataFrame, rows: int = params.BROADCAST_ROWS, most: int = params.BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; as it is beyond."""
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("held")).first()
+    return F.broadcast(df) if got.n <= rows and got.held <= most else df

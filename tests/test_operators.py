@@ -168,7 +168,9 @@ def test_rerank_with_injected_scorer(spark):
     mine = rerank.rerank(fused, queries, chunks, 1, scorer=lambda q, t: [float(len(x)) * (x != "beta alpha") for x in t]).collect()
     assert [(r.chunk_id, r.rank) for r in mine] == [("a", 1)]
     said = agent.generate_answer(rerank.rerank(fused, queries, chunks), queries.unionByName(spark.createDataFrame([(2, "x")], queries.schema)), chunks)
-    assert dict(tuple(r) for r in said.collect()) == {1: "[来源: s] beta alpha\n\n[来源: s] alpha\n\n[来源: s] none", 2: agent.NO_RESULT}
+    head = "[本地 LLM 未连接] 基于检索结果 (共 1 次检索, Top-3 结果):\n\n"
+    parts = [f"--- 来源 {i}: s | CE Score: {x} ---\n{t}\n\n" for i, x, t in ((1, "10.0000", "beta alpha"), (2, "5.0000", "alpha"), (3, "0.0000", "none"))]
+    assert dict(tuple(r) for r in said.collect()) == {1: head + "".join(parts), 2: agent.NO_RESULT}
 
 
 # --------------------------------------------------------------------- graphs

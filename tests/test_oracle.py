@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from orrery import registry
+from orrery import registry_runs
+
+registry = registry_runs.R  # with the runs in it
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
