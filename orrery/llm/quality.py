@@ -6,7 +6,8 @@ sketch a group, so a hot source costs no more than any other, and the sketch of
 language is merged from those of its sources. Their quantiles
 are the thresholds that the joined filter applies in place of fixed cut-offs:
 a document is kept if it passes the base rules and no rate lies beyond its
-group's fence. A group of fewer than ``LEAST_GROUP`` rows takes its language's
+group's fence, a counted one by more than a standard deviation of such a count
+(``NOISE``), so a single symbol in a group without any is no outlier. A group of fewer than ``LEAST_GROUP`` rows takes its language's
 fences; rates are not compared across languages.
 
 Defined results: null text has no words and fails the base rules; null lang or
@@ -31,6 +32,7 @@ WINDOW = 3
 #: The fence of a rate, from its group alone: the tail quantile of TAILS, or
 #: median + REACH * (upper quartile - median) where that lies beyond it.
 REACH = 6.0
+NOISE = 1.0
 #: Sketches are exact up to so many values; beyond, ranks are off by about 0.25 %.
 SKETCH_K = 1024
 LEAST_GROUP = 30
@@ -103,9 +105,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     f = fences.select(F.coalesce("lang", F.lit("")).alias("l"), F.col("lang").isNull().alias("nl"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("ns"), *[f"{r}_fence" for r in TAILS])
     m = measured.withColumns({"l": F.coalesce("lang", F.lit("")), "nl": F.col("lang").isNull(), "s": F.coalesce("source", F.lit("")), "ns": F.col("source").isNull()})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    within = F.lit(True)
+    n, within = F.greatest(F.col("n_words"), F.lit(1)), F.lit(True)
+    sure = lambda c: F.col(c) - NOISE * F.sqrt(F.col(c).cast("double"))
+    least = {"symbol_rate": sure("n_symbols") / n, "dup_line_rate": sure("n_dup_lines") * 10 / n, "repeat_rate": sure("n_repeat_words") / n, "word_length": F.col("word_length")}
     for r in TAILS:
-        within = within & (F.col(r) <= F.col(f"{r}_fence"))
+        within = within & (least[r] <= F.col(f"{r}_fence"))
     return m.join(f, ["l", "nl", "s", "ns"]).drop("l", "nl", "s", "ns").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
 
 

@@ -30,7 +30,9 @@ def _quality_sql() -> str:
     ranked = lambda r, p: f"{r}[greatest(1, ceil({p} * n))::INT]"
     fence = ", ".join(f"greatest({ranked(r, q.TAILS[r])}, {ranked(r, 0.5)} + {q.REACH} * ({ranked(r, 0.75)} - {ranked(r, 0.5)})) AS {r}" for r in _RATES)
     pick = ", ".join(f"CASE WHEN g.n >= {q.LEAST_GROUP} THEN g.{r} ELSE l.{r} END AS {r}" for r in _RATES)
-    within = " AND ".join(f"c.{r} <= f.{r}" for r in _RATES)
+    sure = lambda c: f"({c} - {q.NOISE} * sqrt({c}::DOUBLE))"
+    least = {"symbol_rate": f"{sure('n_symbols')} / greatest(n_words, 1)", "dup_line_rate": f"{sure('n_dup_lines')} * 10 / greatest(n_words, 1)", "repeat_rate": f"{sure('n_repeat_words')} / greatest(n_words, 1)", "word_length": "c.word_length"}
+    within = " AND ".join(f"{least[r]} <= f.{r}" for r in _RATES)
     return rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 k AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
 r AS (SELECT rid, count(DISTINCT i + d) AS n FROM (SELECT rid, i FROM k QUALIFY count(*) OVER (PARTITION BY rid, k) > 1), (SELECT unnest(range(3)) AS d) GROUP BY rid),

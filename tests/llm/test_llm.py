@@ -524,3 +524,15 @@ def test_near_copies_of_one_text_link_as_pairs_do(spark, words):
     got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=50).collect()}
     assert 1 < len({find(d) for d in sets}) < 100
     assert all(find(got[d]) == find(d) for d in sets) and sum(got[d] != find(d) for d in sets) <= 3
+
+
+def test_op8_moves_with_the_distribution_and_small_groups_with_their_language(spark):
+    def text(k, size, symbols):
+        return " ".join([f"{i}{'x' * (size - 3 + (i + k) % 2)}" for i in range(100, 160)]) + " " + "#" * symbols
+
+    def kept(usual, odd):
+        rows = [(k, text(k, usual, 0), "en", "a") for k in range(40)] + [(100, text(0, odd, 0), "en", "a"), (101, text(0, usual, 1), "en", "a"), (102, text(0, odd, 0), "en", "tiny"), (103, text(1, usual, 0), "en", "tiny"), (104, text(1, odd, 0), None, "tiny")]
+        return {r.doc_id for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r.kept}
+
+    assert {100, 102} & kept(5, 11) == set() and {101, 103, 104} <= kept(5, 11)  # a single symbol is noise
+    assert {100, 101, 102, 103, 104} <= kept(11, 11)  # the same texts where they are usual
