@@ -644,9 +644,12 @@ def similar_components(docs: DataFrame, n_words: int = WIDE_WORDS, budget: int =
     more = _apart(seen.join(tried, ["a", "b"], "left_anti"), _parts(tried.filter("ok")))
     tried = tried.unionByName(_verified(more, sets))
     if not tried.filter("not ok").isEmpty():
-        loose, tied = connected(seen.select("a", "b")), _parts(tried.filter("ok"))
-        failed = tried.filter("not ok").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        open_ = loose.join(loose.join(failed, "node", "left_semi").select("label").distinct(), "label", "left_semi").select(F.col("node").alias("id"))
+        # an untried link of two parts lay in a bucket whose forest joined them by
+        # links of which some failed: both parts have an end of one that did
+        tied = _parts(tried.filter("ok"))
+        failed = tried.filter("not ok").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        failed = common.written(failed.join(tied, "id", "left").select("id", F.coalesce("part", "id").alias("part")), "simhash-failed")
+        open_ = tied.join(failed.select("part").distinct(), "part", "left_semi").select("id").unionByName(failed.select("id")).distinct()
         part = common.written(open_.join(tied, "id", "left").select("id", F.coalesce("part", "id").alias("part")), "simhash-parts")
         marked = common.written(least.select("id", "fp", "n").join(part, "id").join(_marked(sets), "id"), "simhash-marked")
         n = marked.count()
