@@ -179,6 +179,16 @@ def q_load_document(spark, d):
     return files.load_documents(tab(spark, d, "documents").select(F.concat("doc_id", F.lit(".md")).alias("source"), data.alias("content")))
 
 
+@query("SELECT doc_id::VARCHAR || '.pdf' AS source, text || chr(10) || chr(10) || lang AS text FROM documents")
+def q_load_pdf(spark, d):
+    """Whole texts as PDF files of two pages."""
+    stream = lambda n, c: F.concat(F.lit(f"{n} 0 obj<</Length 0>>stream\nBT <FEFF"), F.hex(F.encode(c, "UTF-16BE")), F.lit("> Tj ET\nendstream endobj\n"))
+    head = "%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R 4 0 R]/Count 2>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 5 0 R>>endobj\n4 0 obj<</Type/Page/Parent 2 0 R/Contents[6 0 R]>>endobj\n"
+    data = F.encode(F.concat(F.lit(head), stream(5, "text"), stream(6, "lang"), F.lit("%%EOF")), "UTF-8")
+    found = files.load_documents(tab(spark, d, "documents").select(F.concat("doc_id", F.lit(".pdf")).alias("source"), data.alias("content")))
+    return found.select("source", "text")
+
+
 @query("SELECT upper(source) AS line, count(*) AS n FROM documents GROUP BY 1")
 def q_scan_directory(spark, d):
     """A folder of text files, listed, decoded and cut into lines."""

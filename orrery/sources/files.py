@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import pages as pdf_pages
+
 SUFFIXES = (".pdf", ".md", ".markdown", ".txt", ".py")
 #: Tried in this order; the last always succeeds.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "latin-1")
@@ -33,15 +35,16 @@ def scan_directory(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(name.alias("source"), "path", "content").filter(F.lower(F.regexp_extract("source", r"(\.[^.]*)$", 1)).isin(*SUFFIXES)).orderBy("source")
 
 
-def load_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+def load_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
     """(source, encoding, text) of (source, content): decoded with the first
     encoding that fits, line ends unified. PDF pages come from the extractor
-    given, joined by blank lines; without one, or where it fails, they are empty."""
+    given, by default one for simple files, joined by blank lines; where it fails
+    the text is empty."""
 
     def text_of(name: str, data: bytes | None) -> tuple[str | None, str]:
         if name.lower().endswith(".pdf"):
             try:
-                return None, "\n\n".join(pdf(data)) if pdf else ""
+                return None, "\n\n".join(pdf(data))
             except Exception:
                 return None, ""
         encoding = detect_encoding(data or b"")

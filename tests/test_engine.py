@@ -236,3 +236,15 @@ def test_ordered_dedup_and_streamed_windows(spark, tmp_path):
     got = [(r.n, r.total) for r in spark.table("win").orderBy("start").collect()]
     assert got == [(2, 3.0)]  # the later window is still open
     assert metrics.eval_summary(spark.createDataFrame([("s", 1, 1.0, 1.0, 1.0, 1.0)], "stage string, query_id int, mrr double, hit double, precision double, recall double")).count() == 1
+
+
+def test_pdf_pages():
+    import zlib
+
+    from orrery.sources import pdf
+
+    packed = zlib.compress(b"BT /F1 12 Tf 72 700 Td (A \\(b\\) \\101) Tj 0 -14 Td [(c) -250 (d)] TJ T* <6566> Tj ET")
+    data = b"%PDF-1.4\n3 0 obj<</Type /Page /Contents [4 0 R 5 0 R]>>endobj\n4 0 obj<</Filter/FlateDecode/Length 9>>stream\n" + packed + b"\nendstream endobj\n5 0 obj<</Length 1>>stream\nBT (more) Tj ET\nendstream endobj\n6 0 obj<</Type/Page>>endobj\n7 0 obj<</Type/Pages>>endobj"
+    assert pdf.pages(data) == ["A (b) A\ncd\nef\nmore", ""]
+    with pytest.raises(ValueError):
+        pdf.pages(b"no pdf")
