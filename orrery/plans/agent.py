@@ -36,6 +36,7 @@ RUBRICS = {
     "context_recall": ("golden_answer", "context", "Does the context hold the points of the reference answer?", ("all of them", "all but a minor one", "the main ones, but two or more are missing", "a few of them", "none of them")),
     "fidelity": ("query", "rewritten", "Does the rewritten query ask for what the original asks for?", ("it does, fully", "it does, with a shift of stress", "it loses or adds a condition", "it only shares the topic", "it asks for something else")),
 }
+GENERATE = "Answer from the documents alone."
 BANDS = ("1.0", "0.7 to 0.9", "0.4 to 0.6", "0.1 to 0.3", "0.0")
 MISSING = {"faithfulness": "无检索上下文", "context_recall": "缺少上下文或参考答案"}
 
@@ -106,7 +107,7 @@ def retrieve_and_generate(queries: DataFrame, index: search.Index, model: Model
     plain = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("ps"))
     plain = plain.select("query_id", F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("plain"))
     asked = queries.select("query_id", "query").join(context, "query_id", "left").join(plain, "query_id", "left")
-    asked = asked.withColumn("prompt", F.concat_ws("\n\n", F.lit("Answer from the documents alone."), "context", "query"))
+    asked = asked.withColumn("prompt", F.concat_ws("\n\n", F.lit(GENERATE), "context", "query"))
     said = call_model(asked, "prompt", "said", model)
     answer = F.when(F.col("context").isNull(), NO_HITS).when(F.trim("said") != "", F.col("said")).otherwise(F.col("plain"))
     return said.select("query_id", answer.alias("answer"), F.coalesce("context", F.lit("")).alias("context"))
@@ -155,11 +156,16 @@ def agent_loop(queries: DataFrame, index: search.Index, **how) -> DataFrame:
     return run_queries(queries, index, **how).log
 
 
+def rubric(kind: str) -> str:
+    """What a judge is told before its inputs."""
+    _, _, question, bands = RUBRICS[kind]
+    return "\n".join([question, *(f"{n}: {text}" for n, text in zip(BANDS, bands, strict=True)), 'Reply with JSON alone: {"score": a number from 0 to 1, "reason": one sentence}'])
+
+
 def judge(rows: DataFrame, kind: str, model: Model | None) -> DataFrame:
     """rows with ``kind`` as struct<score, reason>; a missing input scores 0."""
-    a, b, question, bands = RUBRICS[kind]
-    rubric = "\n".join([question, *(f"{n}: {text}" for n, text in zip(BANDS, bands, strict=True)), 'Reply with JSON alone: {"score": a number from 0 to 1, "reason": one sentence}'])
-    asked = rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(rubric), F.lit(f"## {a}"), F.col(a), F.lit(f"## {b}"), F.col(b)))
+    a, b, *_ = RUBRICS[kind]
+    asked = rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(rubric(kind)), F.lit(f"## {a}"), F.col(a), F.lit(f"## {b}"), F.col(b)))
     said = call_model(asked, "prompt", "said", model)
     missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
     return said.withColumn(kind, F.when(missing, F.struct(F.lit(0.0).alias("score"), F.lit(MISSING.get(kind, "缺少输入")).alias("reason"))).otherwise(T.parse_judge_score(F.col("said")))).drop("prompt", "said")
