@@ -219,13 +219,25 @@ def q_rewrite_query(spark, d):
 
 
 N_TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
-WINDOWS = rf"""WITH RECURSIVE s AS (SELECT doc_id::VARCHAR AS source, {SENT.format("text")} AS raw FROM documents),
-c AS (SELECT source, raw, list_transform(raw, lambda x: {N_TOKENS.format("x")}) AS n FROM s WHERE len(raw) > 0),
-u AS (SELECT source, len(n) AS size, list_transform(list_zip(raw, n), lambda x: CASE WHEN x[2] > {params.CHUNK_SIZE} THEN substring(x[1], 1, greatest(1, (length(x[1]) * {params.CHUNK_SIZE}) // x[2])::INT) ELSE x[1] END) AS parts, list_transform(range(len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)::BIGINT) AS upto FROM c),
-w AS (SELECT source, 0 AS chunk_index, 0::BIGINT AS i, greatest(len(list_filter(upto, lambda x: x <= {params.CHUNK_SIZE})) - 1, 1)::BIGINT AS j FROM u
-UNION ALL SELECT source, chunk_index + 1, a, greatest(len(list_filter(upto, lambda x: x <= upto[a + 1] + {params.CHUNK_SIZE})) - 1, a + 1)::BIGINT FROM (SELECT w.source, w.chunk_index, u.upto, greatest(w.i + 1, len(list_filter(u.upto, lambda x: x <= u.upto[w.j + 1] - {params.CHUNK_OVERLAP})) - 1)::BIGINT AS a FROM w JOIN u USING (source) WHERE w.j < u.size)),
-x AS (SELECT source, chunk_index, array_to_string(parts[i + 1:j], '') AS content FROM w JOIN u USING (source))
-SELECT substring(md5(source || ':' || chunk_index), 1, 8) AS chunk_id, content, source, chunk_index, CAST({N_TOKENS.format("content")} AS INT) AS token_count, 'text' AS source_type, 1 AS start_line, 1 AS end_line, NULL::VARCHAR AS heading_breadcrumb FROM x"""
+
+
+def windows_sql(texts: str, kind: str, headings: str = "") -> str:
+    """Sentences with their places, greedy windows by recursion, and for each window
+    the titles above its first sentence; ``texts`` selects (source, text)."""
+    size, overlap, ends = params.CHUNK_SIZE, params.CHUNK_OVERLAP, "。！？.!?"
+    crumb = "(SELECT string_agg(title, ' > ' ORDER BY pos) FROM h WHERE h.source = x.source AND h.pos <= x.at AND NOT EXISTS (SELECT 1 FROM h k WHERE k.source = h.source AND k.pos > h.pos AND k.pos <= x.at AND k.level <= h.level))" if headings else "NULL::VARCHAR"
+    return rf"""WITH RECURSIVE d AS ({texts}){headings},
+g AS (SELECT source, string_split(regexp_replace(text, '([{ends}])\s+', '\1' || chr(1), 'g'), chr(1)) AS p, list_transform(regexp_extract_all(text, '[{ends}](\s+)', 1), lambda x: length(x)) AS gap FROM d),
+y AS (SELECT source, list_filter(list_transform(p, lambda x, i: struct_pack(s := regexp_replace(x, '^\s+|\s+$', '', 'g'), at := coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z))), 0) + coalesce(list_sum(gap[1:i - 1]), 0) + length(regexp_extract(x, '^\s+')))), lambda x: x.s <> '') AS raw FROM g),
+c AS (SELECT source, raw, list_transform(raw, lambda x: {N_TOKENS.format("x.s")}) AS n FROM y WHERE len(raw) > 0),
+u AS (SELECT source, len(n) AS size, raw, list_transform(list_zip(raw, n), lambda x: CASE WHEN x[2] > {size} THEN substring(x[1].s, 1, greatest(1, (length(x[1].s) * {size}) // x[2])::INT) ELSE x[1].s END) AS parts, list_transform(range(len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)::BIGINT) AS upto FROM c),
+w AS (SELECT source, 0 AS chunk_index, 0::BIGINT AS i, greatest(len(list_filter(upto, lambda x: x <= {size})) - 1, 1)::BIGINT AS j FROM u
+UNION ALL SELECT source, chunk_index + 1, a, greatest(len(list_filter(upto, lambda x: x <= upto[a + 1] + {size})) - 1, a + 1)::BIGINT FROM (SELECT w.source, w.chunk_index, u.upto, greatest(w.i + 1, len(list_filter(u.upto, lambda x: x <= u.upto[w.j + 1] - {overlap})) - 1)::BIGINT AS a FROM w JOIN u USING (source) WHERE w.j < u.size)),
+x AS (SELECT source, chunk_index, array_to_string(parts[i + 1:j], '') AS content, raw[i + 1].at AS at FROM w JOIN u USING (source))
+SELECT substring(md5(source || ':' || chunk_index), 1, 8) AS chunk_id, content, source, chunk_index, CAST({N_TOKENS.format("content")} AS INT) AS token_count, '{kind}' AS source_type, 1 AS start_line, 1 AS end_line, {crumb} AS heading_breadcrumb FROM x"""
+
+
+WINDOWS = windows_sql("SELECT doc_id::VARCHAR AS source, text FROM documents", "text")
 
 
 @query(WINDOWS)
@@ -234,10 +246,15 @@ def q_sliding_window_chunk(spark, d):
     return chunking.finish(rows, "text").drop("headings")
 
 
-@query()
+LINES = rf""", ln AS (SELECT source, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT source, string_split(text, chr(10)) AS x FROM d)),
+lo AS (SELECT source, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY source ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos FROM ln),
+h AS (SELECT source, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_extract(line, '^#+\s+(.+)$', 1)) AS title FROM lo WHERE regexp_matches(line, '^#{{1,6}}\s+\S'))"""
+
+
+@query(windows_sql(f"SELECT doc_id || '.md' AS source, {MARKDOWN} AS text FROM documents", "markdown", LINES))
 def q_process_document(spark, d):
     named = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
-    return chunking.process_documents(_markdown(spark, d).select(named.alias("source"), "text"))
+    return chunking.process_documents(_markdown(spark, d).select(named.alias("source"), "text")).drop("headings")
 
 
 @query()
