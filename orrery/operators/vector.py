@@ -57,7 +57,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K)
     blocks = max(1, -(-n // BLOCK))
     if blocks > 1:
         q = storage.written(q.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-blocks")
-    sim = dot(F.col("query_vec"), F.col("vec")) / (norm(F.col("query_vec")) * norm(F.col("vec")))
+    sim = F.try_divide(dot(F.col("query_vec"), F.col("vec")), norm(F.col("query_vec")) * norm(F.col("vec")))  # null where a vector is zero
     out = None
     for b in range(blocks):
         own = q if blocks == 1 else q.filter(F.col("__block") == b).drop("__block")

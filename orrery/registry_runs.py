@@ -142,7 +142,18 @@ def q_run_llm_evaluation(spark, d):
     return evaluate.run_llm_evaluation(_cases(spark, d), index, _says, found=R.q_ce_rerank(spark, d))[1]
 
 
-@query()
+def _rewrites_sql() -> str:
+    both = {"original": "ce_o", "rewritten": "ce_r"}
+    shown = ", ".join(f"round({n[0]}.{m}, 4) AS {m}_{n}" for m in evaluate.METRICS for n in both)
+    gains = ", ".join(f"round(r.{m} - o.{m}, 4) AS delta_{m}" for m in evaluate.METRICS[:3])
+    return f"""WITH {R._INDEX}, oq AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN '检索 ' ELSE '' END || text AS query, {R.CATEGORY} AS category FROM benchmark),
+rq AS (SELECT query_id, query || CASE WHEN contains(query, '优化') THEN ' 性能提升 优化方向' ELSE '' END || CASE WHEN contains(query, '检索') THEN ' 信息检索 search retrieval' ELSE '' END AS query FROM oq),
+{R.routes_sql("o", "oq")}, {R.routes_sql("r", "rq")}, {R.scores_sql(both)}
+SELECT oq.query_id, oq.category, oq.query AS original_query, rq.query AS rewritten_query, coalesce(round(b.score, 4), 0.0) AS ce_score_original, {shown}, {gains}, 0.0::DOUBLE AS fidelity_score, '解析失败: ' AS fidelity_reason, round(r.mrr - o.mrr, 4) > 0 AS helpful
+FROM oq JOIN rq USING (query_id) LEFT JOIN ce_o b ON b.query_id = oq.query_id AND b.rank = 1 JOIN pq o ON o.query_id = oq.query_id AND o.stage = 'original' JOIN pq r ON r.query_id = oq.query_id AND r.stage = 'rewritten'"""
+
+
+@query(_rewrites_sql())
 def q_evaluate_rewrites(spark, d):
     cases = _cases(spark, d).withColumn("query", F.concat(F.when(F.col("query_id") % 2 == 0, "检索 ").otherwise(""), "query"))
     return evaluate.evaluate_rewrites(cases, R.golden(spark, d), search.build_index(_chunks(spark, d)))
