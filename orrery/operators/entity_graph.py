@@ -116,7 +116,7 @@ def map_entities(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     last = open_.join(within.select("entity").distinct(), "entity", "left_anti").filter(F.length("entity") >= params.FUZZY_LENGTH)
     best = alike(last, names)
     level = lambda df, name: left.join(df, "entity").select("query_id", "entity", "node", F.lit(name).alias("level"))
-    return exact.unionByName(level(within, "substr")).unionByName(level(best, "fuzzy"))
+    return storage.written(exact.unionByName(level(within, "substr")).unionByName(level(best, "fuzzy")), "mapped")
 
 
 def alike(last: DataFrame, names: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def match_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = entity_graph.contained(open_.select(F.col("entity").alias("s")), names.select(F.col("node").alias("l"))).select(F.col("s").alias("entity"), F.col("l").alias("node"))
     around = entity_graph.contained(names.select(F.col("node").alias("s")), open_.select(F.col("entity").alias("l"))).select(F.col("l").alias("entity"), F.col("s").alias("node"))
     within = left.join(inside.unionByName(around).distinct(), "entity")
-    return exact.select("query_id", "node").unionByName(within.select("query_id", "node")).distinct()
+    return storage.written(exact.select("query_id", "node").unionByName(within.select("query_id", "node")).distinct(), "kg-matched")
 
 
 def paths(matched: DataFrame, graph: DataFrame, max_hop: int = params.KG_MAX_HOP) -> DataFrame:
@@ -79,7 +79,7 @@ def score_chunks(relevant: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def search(asked: DataFrame, triples: DataFrame, chunks: DataFrame, k: int = params.KG_TOP_K) -> DataFrame:
-    graph = edges(triples)
+    graph = storage.written(edges(triples), "kg-edges")
     nodes = graph.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
     matched = match_nodes(asked, nodes)
     return ranking.top_k(score_chunks(relevant_entities(matched, paths(matched, graph)), entity_chunk_index(triples, chunks)), k, "kg")

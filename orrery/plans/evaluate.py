@@ -232,7 +232,7 @@ def kg_diagnostics(cases: DataFrame, golden: DataFrame, chunks: DataFrame, tripl
     named = cases.select("query_id", F.col("query").alias("content"))
     wanted = entity_graph.entities(named, params.KG_QUERY_ENTITIES, "query_id").select("query_id", "entity")
     asked = storage.written(wanted.select("query_id", T.normalize_entity_kg_query(F.col("entity")).alias("entity")).distinct(), "kg-asked")
-    graph = kg.edges(triples)
+    graph = storage.written(kg.edges(triples), "kg-edges")
     nodes = graph.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
     found = storage.written(kg.search(asked, triples, chunks, k), "kg-found")
     rows = results({"kg": found}, chunks)

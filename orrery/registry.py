@@ -711,7 +711,7 @@ kp AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
 
 
 def _matched(spark, d):
-    graph = kg.edges(_triples(spark, d))
+    graph = storage.written(kg.edges(_triples(spark, d)), "kg-edges")
     nodes = graph.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
     return kg.match_nodes(_kg_asked(spark, d), nodes), graph
 
