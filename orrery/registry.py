@@ -585,7 +585,13 @@ def q_entity_tfidf(spark, d):
     return _tfidf(spark, d)
 
 
-@query()
+# a blank behind a letter, comma or semicolon becomes a mark, which stands for looking behind
+NAMED = rf"""t AS (SELECT doc_id AS chunk_id, regexp_replace(text, '([\p{{L}},;]) ', '\1' || chr(1), 'g') AS t FROM documents),
+w AS (SELECT chunk_id, replace(unnest(regexp_extract_all(t, '\x01\p{{Lu}}\p{{L}}+|\b\p{{L}}+\p{{N}}[\p{{L}}\p{{N}}]*')), chr(1), '') AS word FROM t),
+n AS (SELECT chunk_id, {FIRST.format("word")} AS entity, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY ALL)"""
+
+
+@query(f"WITH {NAMED} SELECT chunk_id, entity, round(n / max(n) OVER (PARTITION BY chunk_id) * {params.POS_COEFFICIENT}, 6) AS weight FROM n")
 def q_entity_pos_counts(spark, d):
     return entity_graph.entity_pos_counts(chunks(spark, d))
 
