@@ -37,7 +37,7 @@ HASH_BITS = 22
 SAMPLE_ROWS = 16_000
 SAMPLE_FEATURES = 1 << 25
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.1
 #: A feature enters the model if so many documents of the sample have it.
 INCLUDE_FROM = 3
 THRESHOLD = 0.7
