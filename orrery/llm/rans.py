@@ -285,19 +285,27 @@ def _small(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the ids as zstd-packed little-endian uint32."""
+    """(doc_id, n, width, ids): the ids as zstd-packed little-endian integers of so
+    many bytes; a task's last row, of width 0, has the counts of all its ids."""
 
     def run(batches):
-        tok, pack = tokenizer(path), zstandard.ZstdCompressor(level=1)
+        tok, pack, total = tokenizer(path), zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in _small(texts):
                 ids, n = tok.encode(texts[lo:hi], end_id)
+                got = np.bincount(ids)
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[: len(got)] += got
                 wide = ids.astype("<u4") if len(ids) and ids.max() > 0xFFFF else ids.astype("<u2")
                 cuts = np.cumsum(n)
                 blobs = [pack.compress(wide[hi - k : hi].tobytes()) for hi, k in zip(cuts, n, strict=True)]
                 size = pa.array(np.full(len(n), wide.dtype.itemsize, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), size, pa.array(blobs, pa.binary())], ["doc_id", "n", "width", "ids"])
+        some = np.flatnonzero(total)
+        held = np.stack([some, total[some]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(some)], pa.int64()), pa.array([0], pa.int32()), pa.array([held], pa.binary())], ["doc_id", "n", "width", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.trimmed(run), "doc_id long, n long, width int, ids binary")
 
@@ -310,20 +318,15 @@ def _unpack(unpacker, blob: bytes, width: int, n: int) -> np.ndarray:
 
 
 def symbol_counts(ids: DataFrame) -> DataFrame:
-    """(symbol, n) over all documents; at most one row a symbol and task is shuffled."""
+    """(symbol, n) over all documents, from the tasks' counts: one row a symbol and task is shuffled."""
 
     def run(batches):
-        unpack, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for blob, width, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "width", "n")), strict=True):
-                got = np.bincount(_unpack(unpack, blob, width, n))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["symbol", "n"])
+            for held in batch.column(0).to_pylist():
+                symbols, counts = np.frombuffer(held, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(symbols.astype(np.int32)), pa.array(counts)], ["symbol", "n"])
 
-    return ids.select("ids", "width", "n").mapInArrow(common.trimmed(run), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return ids.filter("width = 0").select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def scaled(symbols: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -533,7 +536,7 @@ def encode_documents(docs: DataFrame, out: str, tokenizer_path: str, *, id_col:
 
     # rows that are equal may be parted anywhere, so that none of them are many in one range
     keys = ["doc_id", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("place")]
-    placed = ids.select("n", "width", "ids", *keys).repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
+    placed = ids.filter("width > 0").select("n", "width", "ids", *keys).repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
     placed.mapInArrow(common.trimmed(run), "part int, seq int, start long, n_tokens long, first_id long, last_id long, payload binary").write.parquet(f"{out}/blocks")
     common.drop_path(spark, stage)
 
