@@ -75,6 +75,17 @@ def forget(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._written)
 
 
+def spread(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """rows joined to the one row of keys with the same ``on``; ``weight`` is how many
+    rows have it, total how many there are. Keys with over a thousandth of all rows
+    are fewer than a thousand, so these are broadcast; the others are shuffled, and
+    no task gets more than that thousandth for one of them."""
+    most = max(64, total // 1000)
+    hot = F.broadcast(keys.filter(F.col(weight) >= most))
+    rest = rows.join(F.broadcast(keys.filter(F.col(weight) >= most).select(on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(keys.filter(F.col(weight) < most), on))
+
+
 def let(value, body) -> F.Column:
     """body(value), with value computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc
+from . import decontaminate, dedup, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc
 
 QUERIES = {
     "op1_rans": rans.op1_rans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
+    "op11_dedup": dedup.op11_dedup,
 }
 
 #: Words of the contracts, as DuckDB reads the class.
@@ -124,5 +125,9 @@ al AS (SELECT r, kind, start, stop FROM b UNION ALL SELECT r, 3, start, stop FRO
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg({text}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY start, kind), '') AS spans FROM d LEFT JOIN al USING (r) GROUP BY d.r, doc_id"""
 
 
+_DEDUP = """SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))"""
+
+
 #: The statements of the operators that SQL can express; the others are tested by brute force.
-ORACLE: dict[str, str] = {"op3_urls": _urls_sql(), "op5_mixing": _mixing_sql(), "op8_quality": _quality_sql(), "op9_warc": _WARC, "op10_secrets": _secrets_sql()}
+ORACLE: dict[str, str] = {"op3_urls": _urls_sql(), "op5_mixing": _mixing_sql(), "op8_quality": _quality_sql(), "op9_warc": _WARC, "op10_secrets": _secrets_sql(), "op11_dedup": _DEDUP}
