@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc
+from . import decontaminate, dedup, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_rans": rans.op1_rans,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
     "op11_dedup": dedup.op11_dedup,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 #: Words of the contracts, as DuckDB reads the class.
