@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, html, mixing, quality, rans, secrets, simhash, toxicity, urls, warc, whitening
+from . import decontaminate, dedup, html, mixing, prefix_trie, quality, rans, secrets, simhash, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_rans": rans.op1_rans,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_dedup": dedup.op11_dedup,
     "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 #: Words of the contracts, as DuckDB reads the class.
@@ -130,5 +131,20 @@ _DEDUP = """SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS gro
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))"""
 
 
+#: Paths as lists of keys; every node's ancestors are the heads of its list.
+_TRIE = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, sha256(strlen(role)::VARCHAR || ':' || role || text) AS k, strlen(text)::BIGINT AS b FROM c),
+o AS (SELECT conv_id, list({{'k': k, 'b': b}} ORDER BY turn NULLS FIRST, k) AS s FROM k GROUP BY conv_id),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || list_transform(range(8), lambda z: 0::BIGINT), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+h AS (SELECT o.*, conv_id - conv_id % {prefix_trie.GROUP} AS base, (xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda v, x: xor(tab[(xor(v, x) & 255) + 1], v >> 8)), 4294967295) % {prefix_trie.SHARED})::BIGINT AS h FROM o, tab),
+r AS (SELECT h.conv_id, coalesce(g.s[1:h], []) || h.s[h + 1:] AS s FROM h LEFT JOIN o AS g ON g.conv_id = base),
+x AS (SELECT conv_id, d, d = len(s) AS ends, list_transform(s[1:d], lambda z: z.k) AS p, CASE WHEN d = 0 THEN 0 ELSE s[d].b END AS b FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM x GROUP BY p, d),
+ch AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (p)),
+be AS (SELECT p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS k FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, be.n_leaves, be.saved_tokens, f.ends_sha256 FROM f JOIN be ON be.p = f.p LEFT JOIN f AS g ON f.d > 0 AND g.p = f.p[1:f.d - 1]"""
+
+
 #: The statements of the operators that SQL can express; the others are tested by brute force.
-ORACLE: dict[str, str] = {"op3_urls": _urls_sql(), "op5_mixing": _mixing_sql(), "op8_quality": _quality_sql(), "op9_warc": _WARC, "op10_secrets": _secrets_sql(), "op11_dedup": _DEDUP}
+ORACLE: dict[str, str] = {"op3_urls": _urls_sql(), "op5_mixing": _mixing_sql(), "op8_quality": _quality_sql(), "op9_warc": _WARC, "op10_secrets": _secrets_sql(), "op11_dedup": _DEDUP, "op13_prefix_trie": _TRIE}
