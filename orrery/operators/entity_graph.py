@@ -25,12 +25,18 @@ def _top(rows: DataFrame, top_n: int, name: str) -> DataFrame:
     return best.withColumn("r", F.row_number().over(W.partitionBy(name).orderBy(F.desc("weight"), "entity"))).filter(F.col("r") <= top_n).drop("r")
 
 
-def entity_tfidf(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id") -> DataFrame:
+def entity_tfidf(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id", post: DataFrame | None = None) -> DataFrame:
     """(chunk_id, entity, weight): the best tf-idf words of each chunk, with the
     corpus's own idf in place of a segmenter's table. Words are counted once and
-    written; each distinct one is normalised and checked once."""
-    post = storage.written(bm25.postings(chunks, name), "entity-words")
+    written, unless the chunks' postings are given; each distinct one is normalised
+    and checked once."""
+    post = storage.written(bm25.postings(chunks, name), "entity-words") if post is None else post
     n = chunks.filter("content is not null").agg(F.count("*").alias("n"))
+    return best_words(post, n, top_n, name)
+
+
+def best_words(post: DataFrame, n: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id") -> DataFrame:
+    """entity_tfidf of postings, n being one row with the number of chunks."""
     words = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     words = words.select("term", F.log(F.col("n") / F.col("df")).alias("idf"), T.normalize_entity_graph(F.col("term")).alias("entity"))
     words = storage.written(words, "entity-idf")
@@ -42,15 +48,27 @@ def entity_tfidf(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name
 def entity_pos_counts(chunks: DataFrame, name: str = "chunk_id") -> DataFrame:
     """(chunk_id, entity, weight): counts of name-like words (a capital inside a
     sentence, letters and digits mixed), over the chunk's highest, halved."""
+    return named_weights(storage.written(named_words(chunks, name), "entity-named"), name)
+
+
+def named_words(chunks: DataFrame, name: str = "chunk_id") -> DataFrame:
+    """(chunk_id, entity, n): name-like words of each chunk and how often it has them."""
     found = F.regexp_extract_all("content", F.lit(r"(?:(?<=[\p{L},;] )\p{Lu}\p{L}+|\b\p{L}+\p{N}[\p{L}\p{N}]*)"), F.lit(0))
-    words = chunks.select(name, F.explode(T.counted(F.coalesce(found, F.array().cast("array<string>")))).alias("t")).select(name, T.normalize_entity_graph(F.col("t.word")).alias("entity"), F.col("t.n").alias("n"))
-    words = storage.written(words, "entity-named")
+    return chunks.select(name, F.explode(T.counted(F.coalesce(found, F.array().cast("array<string>")))).alias("t")).select(name, T.normalize_entity_graph(F.col("t.word")).alias("entity"), F.col("t.n").alias("n"))
+
+
+def named_weights(words: DataFrame, name: str = "chunk_id") -> DataFrame:
     count = words.filter(T.is_valid_entity(F.col("entity"))).groupBy(name, "entity").agg(F.sum("n").alias("n"))
     return count.select(name, "entity", F.round(F.col("n") / F.max("n").over(W.partitionBy(name)) * params.POS_COEFFICIENT, 6).alias("weight"))
 
 
-def entities(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id") -> DataFrame:
-    return _top(entity_tfidf(chunks, top_n, name).unionByName(entity_pos_counts(chunks, name)), top_n, name)
+def entities(chunks: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N, name: str = "chunk_id", post: DataFrame | None = None) -> DataFrame:
+    return _top(entity_tfidf(chunks, top_n, name, post).unionByName(entity_pos_counts(chunks, name)), top_n, name)
+
+
+def entities_of(post: DataFrame, named: DataFrame, n: DataFrame, top_n: int = params.GRAPH_ENTITY_TOP_N) -> DataFrame:
+    """The entities of chunks whose postings, name-like words and number are stored."""
+    return _top(best_words(post, n, top_n).unionByName(named_weights(named)), top_n, "chunk_id")
 
 
 def entity_nodes(ec: DataFrame) -> DataFrame:
@@ -119,21 +137,72 @@ def map_entities(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     return storage.written(exact.unionByName(level(within, "substr")).unionByName(level(best, "fuzzy")), "mapped")
 
 
+def least_matched(both):
+    """Letters that two names of so many in all must match for ``FUZZY_RATIO``."""
+    return F.ceil(F.round(both * params.FUZZY_RATIO / 2, 6)).cast("int")
+
+
+def _shared(a, b):
+    """Neighbouring pairs that alike names of these lengths have in common at least."""
+    return 3 * least_matched(a + b) - a - b - 1
+
+
+def _pair_places(low):
+    return F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.struct(F.substring(low, i, 2).alias("pair"), i.cast("int").alias("place")))
+
+
+def _rarest_first(rows: DataFrame, uses: DataFrame, *names: str) -> DataFrame:
+    """rows with ``pairs``, an array of (uses, pair, place) by rarity; a pair that
+    no node has comes first."""
+    each = rows.select(*names, F.explode(_pair_places(F.col(names[-1]))).alias("p")).select(*names, "p.*")
+    ranked = each.join(session.small(uses), "pair", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    return ranked.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("uses", "pair", "place"))).alias("pairs"))
+
+
+def pair_uses(held: DataFrame) -> DataFrame:
+    """(pair, uses): nodes that have each neighbouring pair."""
+    return held.select(F.explode(F.array_distinct(F.transform(_pair_places(F.col("low_node")), lambda p: p["pair"]))).alias("pair")).groupBy("pair").agg(F.count("*").alias("uses"))
+
+
+def fuzzy_index(held: DataFrame) -> DataFrame:
+    """(pair, length, place, node, low_node): each node's rarest pairs, as many as
+    the shortest partner that can be alike calls for."""
+    b = F.length("low_node")
+    shortest = F.ceil(F.round(params.FUZZY_RATIO * b / (2 - params.FUZZY_RATIO), 6)).cast("int")
+    longest = F.floor(F.round((2 - params.FUZZY_RATIO) * b / params.FUZZY_RATIO, 6)).cast("int")
+    least = F.array_min(F.transform(F.sequence(shortest, longest), lambda a: _shared(a, b)))
+    rows = _rarest_first(held, pair_uses(held), "node", "low_node")
+    return rows.select("node", "low_node", b.alias("length"), F.explode(F.slice("pairs", F.lit(1), F.greatest(b - least, F.lit(1)))).alias("p")).select("p.pair", "length", "p.place", "node", "low_node")
+
+
+def fuzzy_probes(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(pair, length, place, entity, low): where a node alike each name would be found."""
+    a, b = F.length("low"), F.col("length")
+    shortest = F.ceil(F.round(params.FUZZY_RATIO * a / (2 - params.FUZZY_RATIO), 6)).cast("int")
+    longest = F.floor(F.round((2 - params.FUZZY_RATIO) * a / params.FUZZY_RATIO, 6)).cast("int")
+    rows = _rarest_first(wanted, pair_uses(held), "entity", "low").withColumn("length", F.explode(F.sequence(shortest, longest)))
+    first = F.slice("pairs", F.lit(1), F.greatest(a - _shared(a, b), F.lit(1)))
+    rows = rows.select("entity", "low", "length", F.explode(F.filter(first, lambda p: p["uses"] > 0)).alias("p"))
+    least = least_matched(a + b)
+    places = F.sequence(F.greatest(F.col("p.place") - (a - least), F.lit(1)), F.least(F.col("p.place") + (b - least), b - 1))
+    return rows.filter(F.greatest(F.col("p.place") - (a - least), F.lit(1)) <= F.least(F.col("p.place") + (b - least), b - 1)).select("p.pair", "length", F.explode(places).alias("place"), "entity", "low")
+
+
 def alike(last: DataFrame, names: DataFrame) -> DataFrame:
     """(entity, node): the most alike node of each entity, of a ratio of at least
-    ``FUZZY_RATIO``, the first by name of several. The ratio is twice the matched
-    letters m over both lengths a and b. Matched letters lie in blocks, of which
-    there are no more than letters unmatched and one, so the names have at least
-    3m - a - b - 1 neighbouring pairs in common: a join on pairs finds all that count."""
-    pairs = lambda c: T.counted(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, 2)))
+    ``FUZZY_RATIO``, the first by name of several. A prefix-filtered
+    join proposes candidates, an exact ratio decides.
+
+    The ratio is twice the matched letters m over both lengths a and b, so m is at
+    least ``least_matched``. Matched letters lie in blocks, of which there are no more
+    than letters unmatched and one, so the names share t = 3m - a - b - 1 or more
+    neighbouring pairs, in the same order and moved by no more places than letters
+    are unmatched. With pairs ordered by how many names have them, the rarest shared
+    one is among the first (length - t) of either name: only these are indexed and
+    looked up, under the pair, the node's length and its place."""
     wanted = last.select("entity", F.lower("entity").alias("low")).filter(F.length("low") >= 2)
-    wanted = wanted.select("entity", "low", F.explode(pairs(F.col("low"))).alias("p")).select("entity", "low", F.col("p.word").alias("pair"), F.col("p.n").alias("n"))
     held = names.filter(F.length("node") >= params.FUZZY_LENGTH).select("node", F.lower("node").alias("low_node")).filter(F.length("low_node") >= 2)
-    held = held.select("node", "low_node", F.explode(pairs(F.col("low_node"))).alias("q")).select("node", "low_node", F.col("q.word").alias("pair"), F.col("q.n").alias("m"))
-    both = F.length("low") + F.length("low_node")
-    near = 2 * F.least(F.length("low_node"), F.length("low")) >= params.FUZZY_RATIO * both
-    met = held.join(session.small(wanted), "pair").filter(near).groupBy("entity", "low", "node", "low_node").agg(F.sum(F.least("n", "m")).alias("common"))
-    met = met.filter(F.col("common") >= (1.5 * params.FUZZY_RATIO - 1) * both - 1)
+    met = fuzzy_index(held).join(session.small(fuzzy_probes(wanted, held)), ["pair", "length", "place"]).select("entity", "low", "node", "low_node").distinct()
     rows = met.repartition("low_node").withColumn("ratio", _ratio("low", "low_node")).filter(F.col("ratio") >= params.FUZZY_RATIO)
     return rows.groupBy("entity").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "node"))["node"].alias("node"))
 
@@ -147,9 +216,13 @@ def khop(seeds: DataFrame, edges: DataFrame, hops: int = params.GRAPH_HOP) -> Da
     """(query_id, entity, hop): the least hops from any seed (query_id, entity)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     reached = seeds.select("query_id", "entity").distinct().withColumn("hop", F.lit(0))
+    if hops > 1:  # each hop reads the one before it from its table, not by its plan
+        both, reached = storage.written(both, "khop-edges"), storage.written(reached, "khop")
     front = reached
     for h in range(1, hops + 1):
         front = front.join(both, front["entity"] == both["a"]).select("query_id", F.col("b").alias("entity")).distinct().join(reached.select("query_id", "entity"), ["query_id", "entity"], "left_anti").withColumn("hop", F.lit(h))
+        if h < hops:
+            front = storage.written(front, "khop")
         reached = reached.unionByName(front)
     return reached
 

@@ -26,9 +26,10 @@ class Index:
 
 
 def build_index(chunks: DataFrame, graph: bool = False, triples: DataFrame | None = None) -> Index:
-    ec = storage.written(entity_graph.entities(chunks), "entities") if graph else None
+    words = bm25.build(chunks)
+    ec = storage.written(entity_graph.entities(chunks, post=words.postings), "entities") if graph else None
     vectors = storage.written(vector.embed(chunks), "vectors")
-    return Index(chunks, vectors, bm25.build(chunks), ec, storage.written(entity_graph.cooccurrence(ec), "edges") if graph else None, triples)
+    return Index(chunks, vectors, words, ec, storage.written(entity_graph.cooccurrence(ec), "edges") if graph else None, triples)
 
 
 def _tables(index: Index) -> dict[str, DataFrame | None]:
