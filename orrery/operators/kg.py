@@ -20,6 +20,7 @@ def clean_triples(records: DataFrame) -> DataFrame:
     relation = F.regexp_replace("relation", r"(?U)^\s+|\s+$", "")
     rows = rows.withColumn("relation", relation).filter(~F.col("relation").rlike("(?U)" + T.NUMERIC)).withColumn("relation", F.substring("relation", 1, params.RELATION_CHARS))
     rows = rows.withColumns({c: T.normalize_entity_kg_query(F.col(c)) for c in ("subject", "object")})
+    rows = storage.written(rows, "kg-normalised")  # else each check of an end normalises it again
     return rows.filter(T.is_valid_entity(F.col("subject"), graph=False) & T.is_valid_entity(F.col("object"), graph=False)).select("chunk_id", "source_doc", "subject", "relation", "object")
 
 
@@ -51,25 +52,56 @@ def match_nodes(asked: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def paths(matched: DataFrame, graph: DataFrame, max_hop: int = params.KG_MAX_HOP) -> DataFrame:
-    """(query_id, source, target, mid): ordered pairs of matched nodes joined by
-    one edge, else by two; of several middles the smallest."""
-    e = graph.select("subject", "object")
-    start = matched.select("query_id", F.col("node").alias("subject"))
-    out = start.join(e, "subject")
-    goal = matched.select("query_id", F.col("node").alias("object"))
-    one = out.filter("subject <> object").join(goal, ["query_id", "object"], "left_semi").select("query_id", F.col("subject").alias("source"), F.col("object").alias("target"), F.lit(None).cast("string").alias("mid"))
-    if max_hop < 2:
-        return one
-    second = e.select(F.col("subject").alias("mid"), F.col("object").alias("target"))
-    two = out.select("query_id", F.col("subject").alias("source"), F.col("object").alias("mid")).join(second, "mid").filter("source <> target and mid <> source and mid <> target")
-    two = two.join(matched.select("query_id", F.col("node").alias("target")), ["query_id", "target"], "left_semi").join(one.select("query_id", "source", "target"), ["query_id", "source", "target"], "left_anti")
-    return one.unionByName(two.groupBy("query_id", "source", "target").agg(F.min("mid").alias("mid")))
+    """(query_id, source, target, mid, inner): ordered pairs of a query's matched
+    nodes that a path of at most max_hop edges joins, with the inner nodes of the
+    shortest one (of several, that whose nodes sort first) and the first of these.
+
+    Sources and targets are expanded from both sides, each for all queries at once;
+    every round writes its frontier, keeps for each node reached its first path, and
+    leaves out what earlier rounds reached. A pair is done when its sides meet; only
+    ends of pairs still open go on."""
+    e = storage.written(graph.select("subject", "object").distinct(), "path-edges")
+    own = matched.select("query_id", F.col("node").alias("source"))
+    pairs = storage.written(own.join(matched.select("query_id", F.col("node").alias("target")), "query_id").filter("source <> target").distinct(), "path-pairs")
+    open_ = storage.written(pairs.select("source", "target").distinct(), "path-open")
+    none = F.array().cast("array<string>")
+    forth = [storage.written(open_.select("source").distinct().select("source", F.col("source").alias("node"), none.alias("inner")), "path-0")]
+    back = [storage.written(open_.select("target").distinct().select("target", F.col("target").alias("node"), none.alias("inner")), "path-0")]
+    found = None
+    for hops in range(1, max_hop + 1):
+        if open_.isEmpty():
+            break
+        if len(forth) == len(back):
+            forth.append(_further(forth, e.select(F.col("subject").alias("node"), F.col("object").alias("next")), "source", open_))
+        else:
+            back.append(_further(back, e.select(F.col("object").alias("node"), F.col("subject").alias("next")), "target", open_))
+        a, b = forth[hops - hops // 2], back[hops // 2]
+        middle = F.array("node") if hops > 1 else none
+        met = open_.join(a.withColumnRenamed("inner", "first"), "source").join(b.withColumnRenamed("inner", "last"), ["target", "node"])
+        met = met.groupBy("source", "target").agg(F.min(F.concat("first", middle, "last")).alias("inner"))
+        met = storage.written(met, "path-met")
+        found = met if found is None else found.unionByName(met)
+        open_ = storage.written(open_.join(met, ["source", "target"], "left_anti"), "path-open")
+    if found is None:
+        found = open_.limit(0).withColumn("inner", none)
+    return pairs.join(found, ["source", "target"]).select("query_id", "source", "target", F.get("inner", F.lit(0)).alias("mid"), "inner")
+
+
+def _further(layers: list[DataFrame], step: DataFrame, end: str, open_: DataFrame) -> DataFrame:
+    """The next layer of one side: (end, node, inner), inner in the path's direction."""
+    last = layers[-1].join(open_.select(end).distinct(), end, "left_semi")
+    on = F.col("node") == F.col(end)  # an end itself is no inner node
+    inner = F.when(on, F.col("inner")).otherwise(F.concat("inner", F.array("node")) if end == "source" else F.concat(F.array("node"), "inner"))
+    out = last.join(step, "node").select(end, F.col("next").alias("node"), inner.alias("inner")).groupBy(end, "node").agg(F.min("inner").alias("inner"))
+    for seen in layers:
+        out = out.join(seen.select(end, "node"), [end, "node"], "left_anti")
+    return storage.written(out, "path-layer")
 
 
 def relevant_entities(matched: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, entity, weight): matched nodes 1.0, nodes on paths 0.5."""
     direct = matched.select("query_id", F.col("node").alias("entity"), F.lit(1.0).alias("weight"))
-    between = found.filter("mid is not null").select("query_id", F.col("mid").alias("entity"), F.lit(0.5).alias("weight"))
+    between = found.select("query_id", F.explode("inner").alias("entity"), F.lit(0.5).alias("weight"))
     return direct.unionByName(between).groupBy("query_id", "entity").agg(F.max("weight").alias("weight"))
 
 
@@ -78,11 +110,11 @@ def score_chunks(relevant: DataFrame, index: DataFrame) -> DataFrame:
     return ranking.normalize_by_max(rows).withColumn("score", F.round("score", 6))
 
 
-def search(asked: DataFrame, triples: DataFrame, chunks: DataFrame, k: int = params.KG_TOP_K) -> DataFrame:
+def search(asked: DataFrame, triples: DataFrame, chunks: DataFrame, k: int = params.KG_TOP_K, max_hop: int = params.KG_MAX_HOP) -> DataFrame:
     graph = storage.written(edges(triples), "kg-edges")
     nodes = graph.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
     matched = match_nodes(asked, nodes)
-    return ranking.top_k(score_chunks(relevant_entities(matched, paths(matched, graph)), entity_chunk_index(triples, chunks)), k, "kg")
+    return ranking.top_k(score_chunks(relevant_entities(matched, paths(matched, graph, max_hop)), entity_chunk_index(triples, chunks)), k, "kg")
 
 
 def pending_chunks(chunks: DataFrame, cache: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def embed(chunks: DataFrame, dims: int = 64) -> DataFrame:
+def embed(chunks: DataFrame, dims: int = 64, terms: Column | None = None) -> DataFrame:
     """The offline embedder: hashed term counts, L2-normalised. (chunk_id, vec).
-    Words are hashed in the JVM (32 bits of an MD5); Arrow batches of their slots
-    are counted at once."""
-    hashed = F.transform(T.tokenize(F.col("content")), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+    Words (those of the content unless given) are hashed in the JVM (32 bits of an
+    MD5); Arrow batches of their slots are counted at once."""
+    hashed = F.transform(T.tokenize(F.col("content")) if terms is None else terms, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
     rows = chunks.select("chunk_id", hashed.alias("h"))
 
     def run(batches):
@@ -79,7 +79,7 @@ def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TO
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(v)
     near = model.approxSimilarityJoin(q, v, radius, distCol="distance")
     scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
-    found = ranking.top_k(scored, k, "vector")
+    found = storage.written(ranking.top_k(scored, k, "vector"), "lsh-found")  # else the join runs for each use
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
     return found.join(full, "query_id", "left_semi").unionByName(search(queries.join(full, "query_id", "left_anti"), vectors, k))
 

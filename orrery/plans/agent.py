@@ -41,26 +41,43 @@ BANDS = ("1.0", "0.7 to 0.9", "0.4 to 0.6", "0.1 to 0.3", "0.0")
 MISSING = {"faithfulness": "无检索上下文", "context_recall": "缺少上下文或参考答案"}
 
 
-def call_model(rows: DataFrame, prompt: str, out: str, model: Model | None, attempts: int = 3) -> DataFrame:
-    """rows with the model's answer to ``prompt`` as ``out``; failures retry in
-    place with growing pauses and end as an empty string."""
+def answered(model: Model, prompts: list[str], attempts: int) -> list[str | None]:
+    """The model's answers, None for a prompt that fails. A batch that fails is tried
+    again with growing pauses, then halved until the prompts that fail stand alone;
+    what succeeded is kept. Too many or too few answers are a failure."""
+    for attempt in range(attempts):
+        try:
+            got = list(model(prompts))
+            if len(got) != len(prompts):
+                raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+            return [g or "" for g in got]
+        except Exception:
+            if attempt + 1 < attempts:
+                time.sleep(2**attempt)
+    if len(prompts) < 2:
+        return [None] * len(prompts)
+    half = len(prompts) // 2
+    return answered(model, prompts[:half], 1) + answered(model, prompts[half:], 1)
+
+
+def call_model(rows: DataFrame, prompt: str, out: str, model: Model | None, attempts: int = 3, failed: str | None = None) -> DataFrame:
+    """rows with the model's answer to ``prompt`` as ``out``, an empty string where it
+    failed for that prompt; with ``failed``, a column of that name tells where."""
     if model is None:
-        return rows.withColumn(out, F.lit(""))
+        done = rows.withColumn(out, F.lit(""))
+        return done.withColumn(failed, F.lit(False)) if failed else done
     names = rows.columns
 
     def run(batches):
         for b in batches:
-            got = [""] * b.num_rows
-            for attempt in range(attempts):
-                try:
-                    got = model(b.column(names.index(prompt)).to_pylist())
-                    break
-                except Exception:
-                    if attempt + 1 < attempts:
-                        time.sleep(2**attempt)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g or "" for g in got], pa.string())], [*names, out])
+            got = answered(model, b.column(names.index(prompt)).to_pylist(), attempts) if b.num_rows else []
+            columns = [*b.columns, pa.array([g or "" for g in got], pa.string())]
+            if failed:
+                columns.append(pa.array([g is None for g in got], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, out, failed][: len(columns)])
 
-    return rows.mapInArrow(run, rows.withColumn(out, F.lit("")).schema)
+    schema = rows.withColumn(out, F.lit(""))
+    return rows.mapInArrow(run, (schema.withColumn(failed, F.lit(False)) if failed else schema).schema)
 
 
 def rewrite_rule(query):
@@ -142,7 +159,8 @@ def run_queries(queries: DataFrame, index: search.Index, *, threshold: float = p
         found = ranked if found is None else found.unionByName(ranked)
         if attempt < attempts:
             weak = now.filter(F.col("best") < threshold).select("query_id", "query")
-            active = rewrite_query(weak, model).select("query_id", F.col("rewritten").alias("query"))
+            # written: the model is asked once, and all routes search what it said then
+            active = storage.written(rewrite_query(weak, model).select("query_id", F.col("rewritten").alias("query")), "rewritten")
     last = log.groupBy("query_id").agg(F.max("attempt").alias("attempts"))
     of = F.lit(1) if use == "first" else F.col("attempts")
     chosen = found.join(last, "query_id").filter(F.col("attempt") == of).select("query_id", "attempt", "chunk_id", "rank", "score")
@@ -173,10 +191,15 @@ def judge(rows: DataFrame, kind: str, model: Model | None) -> DataFrame:
 
 def extract_triples(chunks: DataFrame, model: Model | None) -> DataFrame:
     """Triple records of chunks: the model's fenced or plain JSON, checked and normalised."""
-    said = call_model(chunks.withColumn("prompt", F.concat(F.lit("提取 (subject, relation, object) 三元组, JSON 数组:\n"), F.col("content"))), "prompt", "said", model)
+    return _extracted(chunks, model).drop("failed")
+
+
+def _extracted(chunks: DataFrame, model: Model | None) -> DataFrame:
+    """extract_triples with ``failed``: whether the model failed for the chunk."""
+    said = call_model(chunks.withColumn("prompt", F.concat(F.lit("提取 (subject, relation, object) 三元组, JSON 数组:\n"), F.col("content"))), "prompt", "said", model, failed="failed")
     body = F.when(F.col("said").contains("```"), F.regexp_extract("said", r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)).otherwise(F.col("said"))
     triples = F.coalesce(F.from_json(body, "array<struct<subject:string,relation:string,object:string>>"), F.array().cast("array<struct<subject:string,relation:string,object:string>>"))
-    return said.select("chunk_id", F.col("source").alias("source_doc"), T.normalize_triple(kg.filter_valid_triples(triples)).alias("triples"))
+    return said.select("chunk_id", F.col("source").alias("source_doc"), T.normalize_triple(kg.filter_valid_triples(triples)).alias("triples"), "failed")
 
 
 def build_knowledge_graph(chunks: DataFrame, cache: DataFrame, model: Model | None) -> DataFrame:
@@ -187,14 +210,15 @@ def build_knowledge_graph(chunks: DataFrame, cache: DataFrame, model: Model | No
 def run_kg_build(chunks: DataFrame, path: str, model: Model | None, *, retry_failed: bool = False) -> DataFrame:
     """The build as a job: chunks that the cache at ``path`` doesn't have are
     extracted and their records appended, with a ``status`` (ok, or failed where no
-    triple came out; ``retry_failed`` takes those up again). Returns the statistics.
-    Without a model nothing is done."""
+    triple came out; ``retry_failed`` takes those up again). A chunk for which the
+    model failed gets no record and is pending for the next run. Returns the
+    statistics. Without a model nothing is done."""
     spark = chunks.sparkSession
     if model is None:
         raise ValueError("building needs a model")
     cache = kg.load_cache(spark, path)
     done = cache.filter("status is null or status <> 'failed'") if retry_failed else cache
-    new = build_knowledge_graph(chunks, storage.written(done.select("chunk_id"), "kg-done"), model)
+    new = _extracted(kg.pending_chunks(chunks, storage.written(done.select("chunk_id"), "kg-done")), model).filter("NOT failed").drop("failed")
     new = storage.written(new.withColumn("status", F.when(F.size("triples") > 0, "ok").otherwise("failed")), "kg-new")
     sinks.sink_append_jsonl(new, path)
     return kg.build_stats(chunks, kg.load_cache(spark, path))

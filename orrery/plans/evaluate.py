@@ -114,14 +114,16 @@ def rebuild_and_evaluate(files: DataFrame, cases: DataFrame, golden: DataFrame,
 
 
 def full_sweep(files: DataFrame, cases: DataFrame, golden: DataFrame, sizes=(256, 512, 1024), overlaps=(64, 128, 256), scorer=None) -> DataFrame:
-    """(chunk_size, overlap, each metric): an index for each pair with overlap < size."""
-    out = None
-    for size in sizes:
-        for overlap in overlaps:
-            if overlap < size:
-                row = rebuild_and_evaluate(files, cases, golden, size, overlap, scorer)
-                out = row if out is None else out.unionByName(row)
-    return out
+    """(chunk_size, overlap, each metric) for each pair with overlap < size, as an
+    index built for each would give it, in one pass: see ``plans.sweep``."""
+    from . import sweep
+
+    pairs = [(s, o) for s in sizes for o in overlaps if o < s]
+    chunks, found = sweep.search(files, cases.select("query_id", "query"), pairs, scorer)
+    rows = found.join(chunks.select("chunk_id", "source"), "chunk_id").select(F.col("query_id.config").cast("string").alias("stage"), F.col("query_id.query_id").alias("query_id"), "rank", "source")
+    named = chunks.sparkSession.createDataFrame([(str(i), i, *p) for i, p in enumerate(pairs)], "stage string, ordinal int, chunk_size int, overlap int")
+    scores = storage.written(metrics.per_query(rows, golden, named, cases), "scores")
+    return metrics.eval_summary(scores).join(named, "stage").select("chunk_size", "overlap", *METRICS)
 
 
 def best_config(sweep: DataFrame, *order: str) -> DataFrame:
@@ -129,10 +131,13 @@ def best_config(sweep: DataFrame, *order: str) -> DataFrame:
     return sweep.orderBy(F.desc("mrr"), *order).limit(1)
 
 
-def latency_profile(cases: DataFrame, index: search.Index, scorer=None, runs: int = 3) -> DataFrame:
-    """(stage, mean_ms, min_ms, max_ms) a query, and their total: each stage of a
-    batch is run ``runs`` times, and its time shared by the queries."""
-    n, rows = max(1, cases.count()), []
+def latency_profile(cases: DataFrame, index: search.Index, scorer=None, runs: int = 3, batches: int = 1) -> DataFrame:
+    """(stage, mean_ms, min_ms, max_ms) a query, and their total: cases are dealt to
+    so many batches, each stage of a batch is run ``runs`` times, and its time shared
+    by the batch's queries; as many batches as cases time each query alone."""
+    rows = []
+    cases = storage.written(cases.withColumn("__batch", (F.row_number().over(metrics.W.orderBy("query_id")) - 1) % batches), "profiled")  # a set of cases
+    parts = [cases.filter(F.col("__batch") == b).drop("__batch") for b in range(batches)]
 
     def timed(stage: str, df: DataFrame) -> DataFrame:
         began = time.perf_counter()
@@ -140,10 +145,13 @@ def latency_profile(cases: DataFrame, index: search.Index, scorer=None, runs: in
         rows.append((stage, (time.perf_counter() - began) * 1000 / n))
         return out
 
-    for _ in range(runs):
-        found = {name: timed(f"{name}_search_ms", df) for name, df in search.routes(cases, index).items()}
+    for part in parts * runs:
+        n = part.count()
+        if not n:
+            continue
+        found = {name: timed(f"{name}_search_ms", df) for name, df in search.routes(part, index).items()}
         both = timed("rrf_fusion_ms", ranking.rrf(ranking.append_routes(*found.values())))
-        timed("ce_rerank_ms", rerank.rerank(both, cases, index.chunks, scorer=scorer))
+        timed("ce_rerank_ms", rerank.rerank(both, part, index.chunks, scorer=scorer))
     return metrics.latency_stats(cases.sparkSession.createDataFrame(rows, "stage string, ms double"))
 
 

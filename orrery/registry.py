@@ -271,7 +271,12 @@ def q_chunk_by_ast(spark, d):
 # ---------------------------------------------------------------- retrieval
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM i")
+@query(rf"""WITH p AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({TOK.format("text")}) AS term FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+t AS MATERIALIZED (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM t, s),
+a AS MATERIALIZED (SELECT avg(raw) AS mean FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, a""")
 def q_doc_freq_idf(spark, d):
     return bm25.build(chunks(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -423,6 +428,89 @@ def _index(spark, d) -> search.Index:
     return search.build_index(chunks(spark, d), graph=True, triples=storage.written(kg.clean_triples(_doc_records(spark, d)), "triples"))
 
 
+def entities_sql(tag: str, rows: str, top: int) -> str:
+    """CTE ``ec_tag`` (id, entity, weight): the best entities of rows (id, content)."""
+    weight = f"row_number() OVER (PARTITION BY id ORDER BY weight DESC, entity) <= {top}"
+    return rf"""xd_{tag} AS MATERIALIZED (SELECT id, content, {TOK.format("content")} AS w FROM ({rows})),
+xe_{tag} AS MATERIALIZED (SELECT id, length, word, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS word FROM xd_{tag}) GROUP BY ALL),
+xi_{tag} AS MATERIALIZED (SELECT word, ln((SELECT count(content) FROM xd_{tag}) / count(*)) AS idf FROM xe_{tag} GROUP BY word),
+xv_{tag} AS (SELECT id, {FIRST.format("word")} AS entity, max(round(tf / length * idf, 6)) AS weight FROM xe_{tag} JOIN xi_{tag} USING (word) WHERE length(word) >= 2 AND NOT regexp_matches(word, '^[\d.+\-\s]+$') GROUP BY ALL),
+xt_{tag} AS MATERIALIZED (SELECT * FROM xv_{tag} QUALIFY {weight}),
+xw_{tag} AS (SELECT id, replace(unnest(regexp_extract_all(regexp_replace(content, '([\p{{L}},;]) ', '\1' || chr(1), 'g'), '\x01\p{{Lu}}\p{{L}}+|\b\p{{L}}+\p{{N}}[\p{{L}}\p{{N}}]*')), chr(1), '') AS word FROM xd_{tag}),
+xp_{tag} AS (SELECT id, entity, round(n / max(n) OVER (PARTITION BY id) * {params.POS_COEFFICIENT}, 6) AS weight FROM (SELECT id, {FIRST.format("word")} AS entity, count(*) AS n FROM xw_{tag} WHERE length(word) >= 2 GROUP BY ALL)),
+ec_{tag} AS MATERIALIZED (SELECT * FROM (SELECT id, entity, max(weight) AS weight FROM (SELECT * FROM xt_{tag} UNION ALL SELECT * FROM xp_{tag}) GROUP BY ALL) QUALIFY {weight})"""
+
+
+# how alike two names are: the longest block in common, then those on either side of it
+_PREFIX = "coalesce(list_position(list_transform(range(least(ahi - i, bhi - j)::BIGINT), lambda t: a[(i + t + 1)::INT] = b[(j + t + 1)::INT]), false) - 1, least(ahi - i, bhi - j))"
+_BLOCK = f"list_aggregate(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: struct_pack(k := ({_PREFIX})::BIGINT, i := -i, j := -j)))), 'max')"
+
+
+def mapped_sql(asked: str, nodes: str) -> str:
+    """CTE ``mp`` (query_id, entity, node, level) of tables asked (query_id, entity) and nodes (node)."""
+    ratio, least = params.FUZZY_RATIO, params.FUZZY_LENGTH
+    return f"""mx AS MATERIALIZED (SELECT query_id, entity, node FROM {asked} JOIN {nodes} ON entity = node),
+mo AS MATERIALIZED (SELECT DISTINCT entity FROM {asked} WHERE entity NOT IN (SELECT entity FROM mx)),
+ms AS MATERIALIZED (SELECT entity, node FROM mo, {nodes} WHERE entity <> '' AND node <> '' AND (contains(lower(node), lower(entity)) OR contains(lower(entity), lower(node)))),
+fc AS MATERIALIZED (SELECT entity, node, lower(entity) AS a, lower(node) AS b FROM mo, {nodes} WHERE entity NOT IN (SELECT entity FROM ms) AND length(entity) >= {least} AND length(node) >= {least} AND 2 * least(length(entity), length(node)) >= {ratio} * (length(entity) + length(node)) AND 2 * list_sum(list_transform(list_distinct(string_split(lower(entity), '')), lambda c: least(length(lower(entity)) - length(replace(lower(entity), c, '')), length(lower(node)) - length(replace(lower(node), c, ''))))) >= {ratio} * (length(entity) + length(node)) - 1e-9),
+fz AS (SELECT entity, node, a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi, 0::BIGINT AS got FROM fc
+UNION ALL SELECT entity, node, a, b, s.alo, s.ahi, s.blo, s.bhi, s.got FROM (SELECT entity, node, a, b, unnest([struct_pack(alo := alo, ahi := -m.i, blo := blo, bhi := -m.j, got := m.k), struct_pack(alo := m.k - m.i, ahi := ahi, blo := m.k - m.j, bhi := bhi, got := 0::BIGINT)]) AS s FROM (SELECT *, {_BLOCK} AS m FROM fz WHERE alo < ahi AND blo < bhi) WHERE m.k > 0)),
+fr AS MATERIALIZED (SELECT entity, node, 2.0::DOUBLE * sum(got) / (length(any_value(a)) + length(any_value(b))) AS ratio FROM fz GROUP BY ALL),
+fb AS (SELECT entity, node FROM fr WHERE ratio >= {ratio} QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ratio DESC, node) = 1),
+mp AS MATERIALIZED (SELECT *, 'exact' AS level FROM mx UNION ALL SELECT query_id, entity, node, 'substr' FROM {asked} JOIN ms USING (entity) UNION ALL SELECT query_id, entity, node, 'fuzzy' FROM {asked} JOIN fb USING (entity))"""
+
+
+def graph_sql(chunks: str, queries: str) -> str:
+    """CTEs ``gr`` (the graph's ranking) and what it needs, of chunks (id, content) and queries."""
+    return f"""{entities_sql("c", chunks, params.GRAPH_ENTITY_TOP_N)}, {entities_sql("q", queries, params.KG_QUERY_ENTITIES)},
+nq AS MATERIALIZED (SELECT DISTINCT id AS query_id, entity FROM ec_q), nn AS MATERIALIZED (SELECT DISTINCT entity AS node FROM ec_c),
+{mapped_sql("nq", "nn")},
+gq AS (SELECT query_id FROM mp GROUP BY 1 HAVING count(DISTINCT entity) >= 2),
+gs AS MATERIALIZED (SELECT DISTINCT query_id, node AS entity FROM mp WHERE query_id IN (SELECT query_id FROM gq)),
+ge AS MATERIALIZED (SELECT DISTINCT x.entity AS a, y.entity AS b FROM ec_c x JOIN ec_c y ON x.id = y.id AND x.entity <> y.entity WHERE x.entity IN (SELECT entity FROM gs)),
+gh AS MATERIALIZED (SELECT query_id, entity, min(hop) AS hop FROM (SELECT query_id, entity, 0 AS hop FROM gs UNION ALL SELECT DISTINCT query_id, b, 1 FROM gs JOIN ge ON a = entity) GROUP BY ALL),
+gt AS (SELECT query_id, id AS chunk_id, sum(weight / (1 + hop)) AS score FROM gh JOIN ec_c USING (entity) GROUP BY ALL),
+gz AS (SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM gt QUALIFY max(score) OVER (PARTITION BY query_id) > 0),
+gr AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, 'graph' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM gz) WHERE rank <= {params.GRAPH_TOP_K})"""
+
+
+def triples_sql(source: str = "source") -> str:
+    """CTEs ``rec`` and ``tr``: the documents' best words, chained (after graph_sql or entities_sql("c"))."""
+    return rf"""wk AS (SELECT id, list(entity ORDER BY weight DESC, entity) AS e FROM (SELECT * FROM xv_c QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, entity) <= 4) GROUP BY id),
+rec AS (SELECT id AS chunk_id, {source} AS source_doc, e[i] AS s, e[i + 1] AS o FROM (SELECT id, e, unnest(range(1, len(e))) AS i FROM wk) JOIN documents ON doc_id = id),
+tr AS MATERIALIZED (SELECT chunk_id, source_doc, {FIRST.format("s2")} AS subject, 'near' AS relation, {FIRST.format("o2")} AS object FROM (SELECT *, {CLEAN("s")} AS s2, {CLEAN("o")} AS o2 FROM rec) WHERE length(s2) >= 2 AND length(o2) >= 2 AND NOT regexp_matches(s2, '^[\d.+\-\s]+$') AND NOT regexp_matches(o2, '^[\d.+\-\s]+$'))"""
+
+
+def kg_route_sql(k: int = params.KG_TOP_K) -> str:
+    """CTE ``kgr``: the knowledge graph's ranking of the queries' entities ``nq`` (after triples_sql)."""
+    return f"""ka AS MATERIALIZED (SELECT DISTINCT query_id, {FIRST.format("x")} AS entity FROM (SELECT query_id, {CLEAN("entity")} AS x FROM nq)),
+kx AS MATERIALIZED (SELECT DISTINCT unnest([subject, object]) AS entity, chunk_id FROM tr),
+{KGQ[KGQ.index("kn AS (SELECT"):].replace("a JOIN kn ON contains", "a JOIN kn ON a.entity <> '' AND contains").replace("OR contains(lower(a.entity), lower(node)) WHERE", "OR a.entity <> '' AND contains(lower(a.entity), lower(node)) WHERE")},
+{KGR[len(KGQ) + 2:]},
+kgr AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, 'kg' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, score FROM kz) WHERE rank <= {k})"""
+
+
+_DOCS = "SELECT doc_id AS id, text AS content FROM documents"
+_ASKED = "SELECT item_id AS id, text AS content FROM benchmark"
+
+
+def four_routes_sql() -> str:
+    """All four routes over documents: ``bm_x``, ``ve_x``, ``gr``, ``kgr`` and their weighted fusion ``fu4``."""
+    weight = f"CASE route WHEN 'graph' THEN {params.GRAPH_RRF_WEIGHT} WHEN 'kg' THEN {params.KG_RRF_WEIGHT} ELSE 1.0 END::DOUBLE"
+    place = "CASE route WHEN 'bm25' THEN 0 WHEN 'vector' THEN 1 WHEN 'graph' THEN 2 ELSE 3 END"
+    return f"""WITH RECURSIVE {_INDEX}, aq AS (SELECT item_id AS query_id, text AS query FROM benchmark), {routes_sql("x", "aq")},
+{graph_sql(_DOCS, _ASKED)}, {triples_sql()}, {kg_route_sql()},
+four AS MATERIALIZED (SELECT * FROM both_x UNION ALL SELECT * FROM gr UNION ALL SELECT * FROM kgr),
+f4 AS (SELECT query_id, chunk_id, round(sum({weight} / ({params.RRF_K} + rank)), 6) AS score, min(struct_pack(place := {place}, r := rank, route := route)) AS seen FROM four GROUP BY ALL),
+fu4 AS MATERIALIZED (SELECT query_id, chunk_id, 'rrf' AS route, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS INT) AS rank, score, seen.route AS original_source FROM f4)"""
+
+
+def _search_knowledge_sql() -> str:
+    return f"""{four_routes_sql()}, {ce_sql("ce4", "fu4")}
+SELECT c.query_id, c.rank, c.chunk_id, coalesce(d.source, 'unknown') AS source, substring(d.text, 1, {params.PREVIEW_CHARS}) AS content, round(c.score, 4) AS ce_score, round(f.score, 6) AS rrf_score, f.original_source FROM ce4 c JOIN fu4 f USING (query_id, chunk_id) JOIN documents d ON d.doc_id = c.chunk_id"""
+
+
+# its SQL is added below, where that of the knowledge graph is known
 @query()
 def q_search_knowledge(spark, d):
     return search.search_knowledge(asked(spark, d), _index(spark, d))
@@ -568,7 +656,7 @@ def q_sweep_grid(spark, d):
 
 # ------------------------------------------------------------ entity graph
 
-ENT = f"""gd AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), gn AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+ENT = rf"""gd AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), gn AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
 ge AS MATERIALIZED (SELECT chunk_id, length, word, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS word FROM gd) GROUP BY ALL),
 gi AS (SELECT word, ln(any_value(n) / count(*)) AS idf FROM ge, gn GROUP BY word),
 gv AS (SELECT chunk_id, {FIRST.format("word")} AS entity, round(tf / length * idf, 6) AS weight FROM ge JOIN gi USING (word) WHERE length(word) >= 2 AND NOT regexp_matches(word, '^[\d.+\-\s]+$')),
@@ -631,14 +719,14 @@ def q_score_graph_chunks(spark, d):
     return entity_graph.score_graph_chunks(*_hops(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {ENT}, nn AS MATERIALIZED (SELECT DISTINCT entity AS node FROM ec), {entities_sql('q', _ASKED, 20)}, nq AS MATERIALIZED (SELECT DISTINCT id AS query_id, entity FROM ec_q), {mapped_sql('nq', 'nn')} SELECT * FROM mp")
 def q_map_entities(spark, d):
     nodes = storage.written(_tfidf(spark, d).select("entity").distinct(), "nodes")
     named = asked(spark, d).select("query_id", F.col("query").alias("content"))
     return entity_graph.map_entities(entity_graph.entities(named, 20, "query_id").select("query_id", "entity"), nodes)
 
 
-@query()
+@query(f"WITH RECURSIVE {graph_sql(_DOCS, _ASKED)} SELECT * FROM gr")
 def q_graph_search(spark, d):
     c, q = chunks(spark, d), asked(spark, d)
     ec = storage.written(entity_graph.entities(c), "entities")
@@ -729,7 +817,7 @@ def q_kg_match_nodes(spark, d):
 
 @query(f"WITH {KGQ} SELECT * FROM kp")
 def q_kg_paths(spark, d):
-    return kg.paths(*_matched(spark, d))
+    return kg.paths(*_matched(spark, d)).select("query_id", "source", "target", "mid")
 
 
 KGR = f"{KGQ}, kr AS (SELECT query_id, entity, max(weight) AS weight FROM (SELECT query_id, node AS entity, 1.0::DOUBLE AS weight FROM km UNION ALL SELECT query_id, mid, 0.5::DOUBLE FROM kp WHERE mid IS NOT NULL) GROUP BY ALL), ks AS (SELECT query_id, chunk_id, sum(weight) AS score FROM kr JOIN kx USING (entity) GROUP BY ALL), kz AS (SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM ks)"
@@ -746,6 +834,38 @@ def q_kg_search(spark, d):
     return kg.search(_kg_asked(spark, d), _triples(spark, d), _kg_chunks(spark, d))
 
 
+ORACLE["search_knowledge"] = _search_knowledge_sql()
+
+
+_LAYERS = 5
+
+
+def _paths_sql() -> str:
+    """Layer by layer from every source: each node's first path, nodes reached before left out."""
+    parts = ["l0 AS (SELECT DISTINCT node AS source, node, []::VARCHAR[] AS via FROM pm)"]
+    for n in range(1, _LAYERS + 1):
+        step = "CASE WHEN l.node = l.source THEN l.via ELSE l.via || [l.node] END"
+        seen = " UNION ALL ".join(f"SELECT source, node FROM l{k}" for k in range(n))
+        parts.append(f"l{n} AS MATERIALIZED (SELECT source, node, min(via) AS via FROM (SELECT l.source, pe.object AS node, {step} AS via FROM l{n - 1} l JOIN pe ON pe.subject = l.node) WHERE (source, node) NOT IN ({seen}) GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT source, node AS target, {n} AS hops, via FROM l{n}" for n in range(1, _LAYERS + 1))
+    return f"""WITH {entities_sql("c", _DOCS, 4)}, {triples_sql()},
+pe AS MATERIALIZED (SELECT DISTINCT subject, object FROM tr), pn AS (SELECT DISTINCT unnest([subject, object]) AS node FROM pe),
+pm AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, node FROM (SELECT item_id, {FIRST.format("word")} AS node FROM (SELECT item_id, unnest({TOK.format("text")}) AS word FROM benchmark)) JOIN pn USING (node)),
+{", ".join(parts)}, ev AS ({every})
+SELECT a.query_id, ev.source, ev.target, ev.hops::INT AS hops, array_to_string(ev.via, '>') AS via FROM pm a JOIN ev ON ev.source = a.node JOIN pm b ON b.query_id = a.query_id AND b.node = ev.target WHERE ev.source <> ev.target"""
+
+
+@query(_paths_sql())
+def q_kg_paths_any_bound(spark, d):
+    """Paths of up to five edges between the nodes that each benchmark item names, in the documents' graph."""
+    graph = storage.written(kg.edges(kg.clean_triples(_doc_records(spark, d))), "kg-edges")
+    nodes = graph.select(F.explode(F.array("subject", "object")).alias("node")).distinct()
+    words = asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("w"))
+    matched = storage.written(words.select("query_id", T.normalize_entity_graph(F.col("w")).alias("node")).distinct().join(nodes, "node", "left_semi"), "kg-matched")
+    found = kg.paths(matched, graph, _LAYERS)
+    return found.select("query_id", "source", "target", (F.size("inner") + 1).alias("hops"), F.array_join("inner", ">").alias("via"))
+
+
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_pending_chunks(spark, d):
     return kg.pending_chunks(chunks(spark, d).select("chunk_id"), tab(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")))

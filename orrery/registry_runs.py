@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from . import registry as R
 from . import storage
-from .operators import entity_graph, kg, ranking, rerank, vector
-from .plans import agent, evaluate, search
+from .operators import entity_graph, ivf, kg, ranking, rerank, vector
+from .plans import agent, evaluate, search, segments
 from .sources import files, sinks
 from .streaming import incremental
 
@@ -49,12 +49,22 @@ def q_run_evaluation(spark, d):
     return evaluate.run_evaluation(found, _cases(spark, d), R.golden(spark, d), _chunks(spark, d))[1]
 
 
-@query()
+def _six_sql() -> str:
+    """The four routes' SQL without the entity graph's, then six stages judged."""
+    hybrid = f"""hf AS (SELECT query_id, chunk_id, round(sum(CASE route WHEN 'kg' THEN {R.params.KG_RRF_WEIGHT} ELSE 1.0 END::DOUBLE / ({R.params.RRF_K} + rank)), 6) AS score, min(struct_pack(place := CASE route WHEN 'bm25' THEN 0 WHEN 'vector' THEN 1 ELSE 3 END, r := rank)) AS seen FROM (SELECT * FROM both_x UNION ALL SELECT * FROM kgr) GROUP BY ALL),
+hy AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS INT) AS rank FROM hf)"""
+    stages = {"bm25": "bm_x", "vector": "ve_x", "rrf": "rr_x", "graph": "kgr", "hybrid": "hy", "cross_encoder": "ce_x"}
+    return f"""WITH {R._INDEX}, aq AS (SELECT item_id AS query_id, text AS query FROM benchmark), {R.routes_sql("x", "aq")},
+{R.entities_sql("c", R._DOCS, R.params.GRAPH_ENTITY_TOP_N)}, {R.entities_sql("q", R._ASKED, R.params.KG_QUERY_ENTITIES)}, nq AS MATERIALIZED (SELECT DISTINCT id AS query_id, entity FROM ec_q),
+{R.triples_sql()}, {R.kg_route_sql()}, {hybrid}, {R.scores_sql(stages)} SELECT stage, {R.MEANS} FROM pq GROUP BY 1"""
+
+
+@query(_six_sql())
 def q_run_evaluation_graph(spark, d):
     """Six stages, the knowledge graph's route among them."""
-    index = R._index(spark, d)
+    index = search.build_index(R.chunks(spark, d), triples=storage.written(kg.clean_triples(R._doc_records(spark, d)), "triples"))
     cases = _cases(spark, d)
-    found = {k: storage.written(v, "route") for k, v in search.routes(cases.select("query_id", "query"), index).items() if k != "graph"}
+    found = {k: storage.written(v, "route") for k, v in search.routes(cases.select("query_id", "query"), index).items()}
     return evaluate.run_evaluation(found, cases, R.golden(spark, d), _chunks(spark, d))[1]
 
 
@@ -97,17 +107,71 @@ def q_best_config(spark, d):
     return evaluate.best_config(_quick(spark, d), "rrf_k", "ce_top_k")
 
 
-@query()
+#: The pairs of the full sweep.
+PAIRS = [(s, o) for s in (256, 512, 1024) for o in (64, 128, 256) if o < s]
+
+
+def rebuilt_sql(pairs: list[tuple[int, int]]) -> str:
+    """Documents chunked under every pair, each chunking indexed, searched and judged by itself."""
+    ends, tok, count = "。！？.!?", R.TOK.format("content"), R.N_TOKENS.format("x.s")
+    return rf"""WITH RECURSIVE cf AS (SELECT unnest({[f"{s}:{o}" for s, o in pairs]}) AS stage),
+cg AS (SELECT stage, split_part(stage, ':', 1)::BIGINT AS size, split_part(stage, ':', 2)::BIGINT AS overlap FROM cf),
+d AS (SELECT doc_id || '.txt' AS source, text FROM documents WHERE trim(coalesce(text, '')) <> ''),
+g AS (SELECT source, string_split(regexp_replace(text, '([{ends}])\s+', '' || chr(1), 'g'), chr(1)) AS p FROM d),
+y AS (SELECT source, list_filter(list_transform(p, lambda x: struct_pack(s := regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x.s <> '') AS raw FROM g),
+c AS (SELECT source, raw, list_transform(raw, lambda x: {count}) AS n FROM y WHERE len(raw) > 0),
+k AS MATERIALIZED (SELECT source, raw, n, list_transform(range(len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)::BIGINT) AS upto FROM c),
+w AS (SELECT stage, size, overlap, source, 0 AS chunk_index, 0::BIGINT AS i, greatest(len(list_filter(upto, lambda x: x <= size)) - 1, 1)::BIGINT AS j FROM k, cg
+UNION ALL SELECT stage, size, overlap, source, chunk_index + 1, a, greatest(len(list_filter(upto, lambda x: x <= upto[a + 1] + size)) - 1, a + 1)::BIGINT FROM (SELECT w.*, k.upto, greatest(w.i + 1, len(list_filter(k.upto, lambda x: x <= k.upto[w.j + 1] - w.overlap)) - 1)::BIGINT AS a FROM w JOIN k USING (source) WHERE w.j < len(k.n))),
+x AS MATERIALIZED (SELECT stage, source, stage || '|' || substring(md5(source || ':' || chunk_index), 1, 8) AS chunk_id, array_to_string(list_transform(list_zip(raw[i + 1:j], n[i + 1:j]), lambda z: CASE WHEN z[2] > size THEN substring(z[1].s, 1, greatest(1, (length(z[1].s) * size) // z[2])::INT) ELSE z[1].s END), '') AS content FROM w JOIN k USING (source)),
+tk AS MATERIALIZED (SELECT stage, source, chunk_id, {tok} AS w FROM x),
+po AS MATERIALIZED (SELECT stage, chunk_id, length, term, count(*) AS tf FROM (SELECT stage, chunk_id, len(w) AS length, unnest(w) AS term FROM tk) GROUP BY ALL),
+st AS MATERIALIZED (SELECT stage, count(*) AS n, avg(len(w)) AS avgdl FROM tk WHERE len(w) > 0 GROUP BY stage),
+ra AS MATERIALIZED (SELECT stage, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po JOIN st USING (stage) GROUP BY ALL),
+idf AS (SELECT stage, term, CASE WHEN raw < 0 THEN {R.params.BM25_EPSILON} * avg(raw) OVER (PARTITION BY stage) ELSE raw END AS idf FROM ra),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({R.TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+bs AS (SELECT stage, query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN po USING (stage, term) JOIN st USING (stage) GROUP BY ALL),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY score DESC, chunk_id) AS rank, 0 AS place FROM bs WHERE score > 0 QUALIFY rank <= 20),
+hv AS (SELECT stage, chunk_id, list_transform(w, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT % 64) AS h FROM tk),
+cv AS MATERIALIZED (SELECT stage, chunk_id, list_transform(range(64), lambda k: len(list_filter(h, lambda x: x = k))::DOUBLE) AS c FROM hv),
+qv AS MATERIALIZED (SELECT query_id, list_transform(range(64), lambda k: len(list_filter(h, lambda x: x = k))::DOUBLE) AS c FROM (SELECT item_id AS query_id, list_transform({R.TOK.format("text")}, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT % 64) AS h FROM benchmark)),
+vs AS (SELECT stage, query_id, chunk_id, round(list_inner_product(qv.c, cv.c) / nullif(sqrt(list_inner_product(qv.c, qv.c)) * sqrt(list_inner_product(cv.c, cv.c)), 0), 6) AS score FROM qv, cv),
+v2 AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY score DESC, chunk_id) AS rank, 1 AS place FROM vs WHERE score IS NOT NULL QUALIFY rank <= 20),
+fu AS (SELECT stage, query_id, chunk_id, round(sum(1.0 / ({R.params.RRF_K} + rank)), 6) AS score, min(struct_pack(place := place, r := rank)) AS seen FROM (SELECT * FROM b2 UNION ALL SELECT * FROM v2) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY score DESC, seen.place, seen.r, chunk_id) AS fused FROM fu),
+cp AS (SELECT stage, query_id, chunk_id, source, fused, coalesce(round(10.0 * len(list_intersect(list_distinct(qw), w)) / nullif(len(list_distinct(qw)), 0), 6), 0.0) AS score FROM fr JOIN tk USING (stage, chunk_id) JOIN (SELECT item_id AS query_id, {R.TOK.format("text")} AS qw FROM benchmark) USING (query_id)),
+ce AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY score DESC, fused, chunk_id) AS rank FROM cp QUALIFY rank <= {R.params.CE_TOP_K}),
+{R.GOLD.strip()}, gl AS (SELECT query_id, source || '.txt' AS source FROM gold),
+ju AS (SELECT ce.*, gl.source IS NOT NULL AS relevant FROM ce LEFT JOIN gl USING (query_id, source)),
+pe AS (SELECT stage, query_id, min(CASE WHEN relevant AND rank <= 10 THEN rank END) AS first, count(*) FILTER (relevant AND rank <= 5) AS hits, count(*) FILTER (rank <= 5) AS returned, count(DISTINCT CASE WHEN relevant AND rank <= 5 THEN source END) AS found FROM ju GROUP BY ALL),
+ng AS (SELECT query_id, count(*) AS n_golden FROM gl GROUP BY 1),
+pq AS (SELECT cg.size, cg.overlap, coalesce(1.0 / first, 0.0)::DOUBLE AS mrr, (coalesce(hits, 0) > 0)::INT::DOUBLE AS hit, coalesce(hits / nullif(returned, 0), 0.0)::DOUBLE AS precision, coalesce(found / n_golden, 0.0)::DOUBLE AS recall FROM cg CROSS JOIN benchmark b LEFT JOIN pe ON pe.stage = cg.stage AND pe.query_id = b.item_id LEFT JOIN ng ON ng.query_id = b.item_id)
+SELECT size::INT AS chunk_size, overlap::INT AS overlap, {R.MEANS} FROM pq GROUP BY size, overlap"""
+
+
+def _texts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents as files, and golden sources by file."""
+    texts = tab(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("source"), "text")
+    return texts, R.golden(spark, d).select("query_id", F.concat("source", F.lit(".txt")).alias("source"))
+
+
+@query(rebuilt_sql([(256, 64)]))
 def q_rebuild_and_evaluate(spark, d):
     """One pair of the full sweep: documents chunked anew, golden by the chunk's document."""
-    texts = tab(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("source"), "text")
-    golden = R.golden(spark, d).select("query_id", F.concat("source", F.lit(".txt")).alias("source"))
+    texts, golden = _texts(spark, d)
     return evaluate.rebuild_and_evaluate(texts, _cases(spark, d), golden, 256, 64)
 
 
+@query(rebuilt_sql(PAIRS))
+def q_full_sweep(spark, d):
+    """All eight pairs in one pass."""
+    texts, golden = _texts(spark, d)
+    return evaluate.full_sweep(texts, _cases(spark, d), golden)
+
+
 @query()
 def q_latency_profile(spark, d):
-    return evaluate.latency_profile(_cases(spark, d), search.build_index(_chunks(spark, d)), runs=1)
+    return evaluate.latency_profile(_cases(spark, d), search.build_index(_chunks(spark, d)))
 
 
 @query(f"{R.BOTH}, b5 AS (SELECT * FROM both_routes WHERE rank <= 5 AND query_id IN (1, 3, 5)), {R.rrf_sql('rr', 'b5')}, {R.ce_sql('ce', 'rr')}, st AS (SELECT route AS stage, query_id, chunk_id, rank, score FROM b5 UNION ALL SELECT 'rrf', query_id, chunk_id, rank, score FROM rr UNION ALL SELECT 'cross_encoder', query_id, chunk_id, rank, score FROM ce), {R.GOLD.strip()}, ju AS (SELECT st.*, g.source IS NOT NULL AS relevant FROM st LEFT JOIN gold g ON st.query_id = g.query_id AND st.chunk_id = g.source) SELECT query_id, stage, rank, round(score, 4) AS score, chunk_id AS source, '' AS headings, relevant, substring(text, 1, 80) AS preview, round(coalesce(1.0 / min(CASE WHEN relevant AND rank <= 10 THEN rank END) OVER (PARTITION BY query_id, stage), 0.0), 4)::DOUBLE AS mrr FROM ju JOIN documents ON doc_id = chunk_id QUALIFY rank <= 5")
@@ -164,13 +228,33 @@ def q_calibrate_threshold(spark, d):
     return evaluate.calibrate_threshold(R._cases(spark, d).withColumnRenamed("score", "ce_score_original"))
 
 
-@query()
+def _diag_sql(control: bool) -> str:
+    """What the knowledge graph alone finds; with control over English documents and
+    the cases whose golden documents are all English."""
+    usable = "ok AS (SELECT query_id FROM gold GROUP BY 1 HAVING bool_and(source IN (SELECT doc_id FROM documents WHERE lang = 'en')))"
+    asked = "SELECT item_id AS id, text AS content FROM benchmark" + (" WHERE item_id IN (SELECT query_id FROM ok)" if control else "")
+    triples = R.triples_sql("id").replace("JOIN documents ON doc_id = id", "JOIN documents ON doc_id = id AND lang = 'en'") if control else R.triples_sql()
+    head = f"""WITH {R.GOLD.strip()}, {usable}, {R.entities_sql("c", R._DOCS, R.params.GRAPH_ENTITY_TOP_N)}, {R.entities_sql("q", asked, R.params.KG_QUERY_ENTITIES)}, nq AS MATERIALIZED (SELECT DISTINCT id AS query_id, entity FROM ec_q),
+{triples}, {R.kg_route_sql(5)}"""
+    if control:
+        scores = R.scores_sql({"kg": "kgr"}).replace(R.GOLD + ",\n", "", 1)
+        return f"{head}, {scores}, {R.CATS} SELECT coalesce(category, 'overall') AS category, count(*) AS n, round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit FROM pq JOIN cat USING (query_id) JOIN ok USING (query_id) GROUP BY ROLLUP (category)"
+    return f"""{head}, la AS (SELECT query_id, string_agg(entity, '|' ORDER BY entity) AS query_entities FROM ka GROUP BY 1), lm AS (SELECT query_id, string_agg(node, '|' ORDER BY node) AS matched_nodes FROM km GROUP BY 1),
+lt AS (SELECT query_id, string_agg(chunk_id::VARCHAR, '|' ORDER BY rank) AS top_sources, string_agg(printf('%.4f', round(score, 4)), '|' ORDER BY rank) AS top_scores FROM kgr GROUP BY 1),
+lh AS (SELECT query_id, min(rank) AS hit_rank FROM kgr JOIN gold ON gold.query_id = kgr.query_id AND gold.source = kgr.chunk_id GROUP BY ALL)
+SELECT b.item_id AS query_id, {R.CATEGORY} AS category, b.text AS query, query_entities, matched_nodes, top_sources, top_scores, coalesce(hit_rank, 0) AS hit_rank FROM benchmark b LEFT JOIN la ON la.query_id = item_id LEFT JOIN lm ON lm.query_id = item_id LEFT JOIN lt ON lt.query_id = item_id LEFT JOIN lh ON lh.query_id = item_id""".replace("lh AS (SELECT query_id,", "lh AS (SELECT kgr.query_id,")
+
+
+@query(_diag_sql(False))
 def q_kg_diag(spark, d):
     triples = storage.written(kg.clean_triples(R._doc_records(spark, d)), "triples")
-    return evaluate.kg_diagnostics(_cases(spark, d), R.golden(spark, d), _chunks(spark, d), triples)[0]
+    rows = evaluate.kg_diagnostics(_cases(spark, d), R.golden(spark, d), _chunks(spark, d), triples)[0]
+    shown = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in ("query_entities", "matched_nodes", "top_sources")}
+    rows = rows.withColumn("hit_rank", F.coalesce("hit_rank", F.lit(0)))  # 0: none found
+    return rows.withColumns(shown).withColumn("top_scores", F.array_join(F.transform("top_scores", lambda x: F.format_string("%.4f", x)), "|"))
 
 
-@query()
+@query(_diag_sql(True))
 def q_kg_diag_control(spark, d):
     clean = tab(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("source"))
     records = R._doc_records(spark, d).withColumn("source_doc", F.col("chunk_id"))
@@ -195,6 +279,53 @@ def q_normalize_triple(spark, d):
     return rows.select("chunk_id", F.explode("t").alias("t")).select("chunk_id", "t.*")
 
 
+# -------------------------------------------------------- indexes that are stored
+
+
+def _grown_sql() -> str:
+    """The routes over the documents that are live in the end."""
+    routes = f"""{R._INDEX}, aq AS (SELECT item_id AS query_id, text AS query FROM benchmark), {R.routes_sql("x", "aq")}, {R.graph_sql(R._DOCS, R._ASKED)}"""
+    live = "kept AS MATERIALIZED (SELECT * FROM documents WHERE NOT (doc_id % 10 = 7 AND doc_id % 3 <> 2))"
+    return f"WITH RECURSIVE {live}, {routes.replace('FROM documents', 'FROM kept')} SELECT * FROM both_x UNION ALL SELECT * FROM gr"
+
+
+@query(_grown_sql())
+def q_incremental_index(spark, d):
+    """Documents added in three batches to a stored index, some deleted after the
+    first and the second, some of these added again with the third; then all but two
+    segments joined, and every route of the index asked."""
+    store, docs = segments.Store(spark, storage.fresh(spark, "segments")), R.chunks(spark, d)
+    batch, ending = (lambda k: F.col("chunk_id") % 3 == k), (lambda k: F.col("chunk_id") % 10 == k)
+    store.add(docs.filter(batch(0)))
+    store.delete(docs.filter(ending(3)))
+    store.add(docs.filter(batch(1)))
+    store.delete(docs.filter(ending(7)))
+    store.add(docs.filter(batch(2) | batch(0) & ending(3)))
+    store.compact(2)
+    found = search.routes(R.asked(spark, d), store.index(graph=True))
+    return ranking.append_routes(*found.values())
+
+
+def _cells(spark, d):
+    queries, vectors = R._vectors(spark, d)
+    return queries, vectors, ivf.build(vectors, storage.fresh(spark, "ivf"))
+
+
+@query()
+def q_vector_search_ivf(spark, d):
+    queries, _, index = _cells(spark, d)
+    return ivf.search(queries, index)
+
+
+@query("SELECT count(*) * 20 AS wanted, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def q_vector_ivf_recall(spark, d):
+    """Whether nine tenths of the exact neighbours are found."""
+    queries, vectors, index = _cells(spark, d)
+    true = vector.search(queries, vectors).select("query_id", "chunk_id", F.lit(1).alias("wanted"))
+    both = true.join(ivf.search(queries, index).select("query_id", "chunk_id", F.lit(1).alias("got")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.sum("wanted").alias("wanted"), (F.sum("got") >= 0.9 * F.sum("wanted")).alias("recall_reached"))
+
+
 # ------------------------------------------------------------ sources and sinks
 
 
