@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import registry as R
 from . import storage
-from .operators import entity_graph, ivf, kg, ranking, rerank, vector
+from .operators import entity_graph, ivf, kg, ranking, rerank, segment, vector
 from .plans import agent, evaluate, search, segments
 from .sources import files, sinks
 from .streaming import incremental
@@ -279,6 +279,40 @@ def q_normalize_triple(spark, d):
     return rows.select("chunk_id", F.explode("t").alias("t")).select("chunk_id", "t.*")
 
 
+# ------------------------------------------------------------ unspaced text
+
+
+def _unspaced(spark, d) -> DataFrame:
+    """Whole texts without their blanks."""
+    return tab(spark, d, "documents").select("doc_id", F.regexp_replace("text", " ", "").alias("text"))
+
+
+_GRAMS = rf"""r AS (SELECT chr(1) || unnest(regexp_extract_all(replace(text, ' ', ''), '\p{{L}}+')) || chr(1) AS e FROM documents),
+p AS (SELECT e, unnest(range(1, length(e) + 1)) AS i FROM (SELECT e FROM r)),
+g AS MATERIALIZED (SELECT gram, count(*) AS n FROM (SELECT e[i:i + k - 1] AS gram FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= length(e)) GROUP BY gram HAVING count(*) >= 20 OR length(gram) = 1)"""
+
+
+@query(rf"""WITH {_GRAMS}, pl AS MATERIALIZED (SELECT * FROM g WHERE NOT contains(gram, chr(1))), le AS (SELECT sum(n) AS letters FROM pl WHERE length(gram) = 1),
+ri AS (SELECT gram[1:-2] AS gram, sum(n * ln(n)) AS c FROM g WHERE length(gram) > 1 GROUP BY 1), lf AS (SELECT gram[2:] AS gram, sum(n * ln(n)) AS c FROM g WHERE length(gram) > 1 GROUP BY 1),
+w AS (SELECT gram, n FROM pl LEFT JOIN ri USING (gram) LEFT JOIN lf USING (gram) WHERE length(gram) IN (2, 3) AND ln(n) - coalesce(ri.c, 0) / n >= {segment.ENTROPY} AND ln(n) - coalesce(lf.c, 0) / n >= {segment.ENTROPY}),
+s AS (SELECT gram, n, unnest(range(1, length(gram))) AS k FROM w)
+SELECT s.gram, any_value(s.n)::BIGINT AS n FROM s JOIN pl a ON a.gram = s.gram[1:k] JOIN pl b ON b.gram = s.gram[k + 1:], le GROUP BY s.gram HAVING min(ln(s.n) + ln(letters) - ln(a.n) - ln(b.n)) >= {segment.COHESION}""")
+def q_segment_candidates(spark, d):
+    """Words of two and three letters that whole unspaced texts give."""
+    found = storage.written(segment.runs(_unspaced(spark, d), r"\p{L}+"), "runs")
+    return segment.candidates(storage.written(segment.ngrams(found, 3, 20), "grams"), 3)
+
+
+@query()
+def q_segment(spark, d):
+    """Whole texts, and the same without blanks, as what a lexicon is learnt from;
+    then the words of each text without blanks."""
+    bare = storage.written(_unspaced(spark, d), "unspaced")
+    lexicon = segment.learn(tab(spark, d, "documents").select("text").unionByName(bare.select("text")), r"\p{L}+")
+    words = R.T.tokenize(F.col("text"))
+    return segment.spaced(bare, "text", lexicon).select("doc_id", F.size(words).alias("n_words"), F.md5(F.array_join(words, " ")).alias("digest"))
+
+
 # -------------------------------------------------------- indexes that are stored
 
 

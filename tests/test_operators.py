@@ -291,3 +291,97 @@ def test_agent_and_graph_search(spark):
     assert [(r.query_id, r.attempt) for r in log] == [(1, 1), (2, 1), (2, 2)] and log[-1].query.endswith("优化方向")
     found = search.search_knowledge(queries, index, 2).filter("query_id = 1").orderBy("rank").collect()
     assert found[0].chunk_id == 0 and found[0].ce_score == 10.0
+
+
+def test_paths_of_any_bound_by_brute_force(spark):
+    import random
+    from itertools import pairwise
+
+    rng = random.Random(4)
+    nodes = [f"n{i:02}" for i in range(25)]
+    links = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(45)} | {(f"c{i}", f"c{i + 1}") for i in range(6)}
+    graph = spark.createDataFrame([(a, b, ["r"]) for a, b in links], "subject string, object string, relations array<string>")
+    asked = [(1, n) for n in nodes[:8]] + [(2, "c0"), (2, "c3"), (2, "c5"), (2, "c6"), (3, "c0")]
+    matched = spark.createDataFrame(asked, "query_id long, node string")
+
+    def shortest(a, b):
+        paths = [(a,)]
+        for _ in range(6):
+            hit = sorted(p for p in paths if p[-1] == b and len(p) > 1)
+            if hit:
+                return hit[0]
+            paths = [p + (y,) for p in paths for x, y in links if x == p[-1] and y not in p]
+        return next(iter(sorted(p for p in paths if p[-1] == b and len(p) > 1)), None)
+
+    for bound in (1, 2, 3, 5, 6):
+        got = {(r.query_id, r.source, r.target): tuple(r.inner) for r in kg.paths(matched, graph, bound).collect()}
+        want = {}
+        for q, a in asked:
+            for p, b in asked:
+                if q == p and a != b and (found := shortest(a, b)) and len(found) - 1 <= bound:
+                    assert all(step in links for step in pairwise(found))
+                    want[q, a, b] = found[1:-1]
+        assert got == want
+    assert kg.paths(matched, graph, 0).count() == 0
+
+
+def test_a_prompt_that_fails_costs_no_other_its_answer(spark):
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "id long, prompt string").coalesce(1)
+
+    def model(prompts):
+        if "p7" in prompts or "p31" in prompts:
+            raise RuntimeError("bad prompt")
+        return [p.upper() for p in prompts]
+
+    got = {r.id: (r.said, r.lost) for r in agent.call_model(rows, "prompt", "said", model, attempts=1, failed="lost").collect()}
+    assert {i for i, (_, lost) in got.items() if lost} == {7, 31} and all(got[i] == (f"P{i}", False) for i in got if i not in (7, 31))
+    short = agent.call_model(rows.limit(3), "prompt", "said", lambda p: ["x"] * min(len(p), 1), attempts=1)
+    assert [r.said for r in short.collect()] == ["x"] * 3  # too few answers fail, too
+
+
+def test_a_chunk_whose_call_failed_is_taken_up_again(spark, tmp_path):
+    chunks = spark.createDataFrame([("1", "d", "one"), ("2", "d", "two")], "chunk_id string, source string, content string")
+    said = '[{"subject": "text", "relation": "is", "object": "short"}]'
+
+    def down(prompts):
+        if any("two" in p for p in prompts):
+            raise RuntimeError("down")
+        return [said] * len(prompts)
+
+    path = str(tmp_path / "kg")
+    first = agent.run_kg_build(chunks, path, down).first()
+    assert (first.pending, first.failed, first.total_triples) == (1, 0, 1)
+    second = agent.run_kg_build(chunks, path, lambda p: [said] * len(p)).first()
+    assert (second.pending, second.total_triples) == (0, 2)
+
+
+def test_rewrites_are_asked_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(prompts):
+        import uuid
+
+        if "改写" in prompts[0]:
+            for _ in prompts:
+                (calls / uuid.uuid4().hex).write_text("")
+            return [f"zzz {uuid.uuid4().hex[:6]}" for _ in prompts]  # another answer each time
+        return [""] * len(prompts)
+
+    chunks = spark.createDataFrame([(1, "s", "alpha beta"), (2, "s", "gamma")], "chunk_id long, source string, content string")
+    queries = spark.createDataFrame([(1, "nothing"), (2, "none")], "query_id long, query string")
+    run = agent.run_queries(queries, search.build_index(chunks), threshold=3.0, model=model)
+    asked = sorted((r.query_id, r.query) for r in run.log.filter("attempt = 2").collect())
+    assert len(list(calls.iterdir())) == 2 and len(asked) == 2
+    assert asked == sorted((r.query_id, r.query) for r in run.log.filter("attempt = 2").collect())
+
+
+def test_names_are_looked_up_by_few_keys(spark, sf):
+    """The prefix-filtered join of names: no key is held by a large share of them."""
+    from orrery import registry
+
+    held = registry._tfidf(spark, sf).select(F.col("entity").alias("node")).distinct().filter("length(node) >= 4").withColumn("low_node", F.lower("node"))
+    index = entity_graph.fuzzy_index(held)
+    n, hot = held.count(), index.groupBy("pair", "length", "place").count().agg(F.max("count")).first()[0]
+    every = entity_graph.pair_uses(held).agg(F.max("uses")).first()[0]
+    assert n > 1000 and hot < 0.1 * n and hot < every / 3
