@@ -1,17 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into tags and text. Elements that are page furniture by their tag,
-role or class (menus, headers and footers of the page, sidebars, notices,
-adverts, forms, reader comments) and everything without visible text leave empty
-lines behind. Block-level tags part the rest into lines. The lengths of
-``WINDOW`` neighbouring lines are summed; where the sum leaves zero and surges to
-at least ``SURGE`` characters (or to the page's highest sum, if that is less) a
-run of text opens, where it dives to zero the run ends. On every page the text is
-what lies between the first surge and the last dive, with the headings right
-before. Elements only decide which lines count zero: furniture does, and on pages
-with text in an ``article`` or ``main`` element all lines outside of it, while
-furniture inside of it goes without leaving a gap; elsewhere lines of mostly links
-open nothing.
+A page is cut into tags and text, block-level tags part the text into lines. What
+is page furniture by its tag, role or class goes: menus, headers and footers of the
+page and comment sections leave ``WINDOW`` empty lines behind, as do the ends of an
+``article`` or ``main`` element; adverts, asides, forms and share bars, which stand
+inside of texts, too, leave none. Lines outside of an article whose words are all
+links count zero. The lengths of ``WINDOW`` neighbouring lines are summed; where the
+sum leaves zero and surges to at least ``SURGE`` characters (or to the page's highest
+sum, if that is less) a run of text opens, where it dives to zero the run ends. A
+line of an article weighs ``SURGE`` more than its characters, so that none is too
+short. On every page the text is all that lies between the first surge and the last
+dive, with the headings right before: elements only make lines count zero, and text
+beside an article counts if it surges.
+
+Reader comments are known by their names, and as articles inside of an article.
 
 Defined results: null and empty html give an empty text; html without any
 markup is its own text; unclosed elements end with their parent or the page; an
@@ -35,7 +37,6 @@ from . import common
 
 WINDOW = 3
 SURGE = 80
-LINKS = 0.5
 
 #: Fixed lists of HTML element names and of furniture's usual names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,9 +50,15 @@ ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 #: Names that mean furniture as any part of a class or id, and those that do as the
 #: whole of it, or with a word of BOXES (``related-posts``, not ``related-work``).
+#: PAGE is the part of NAMES that parts a page's text from the rest of it.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall sharing toolbar pagination pager comments commentlist disqus".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall sharing toolbar pagination pager comments commentlist disqus responses feedback".split()
 )
+PAGE = frozenset("sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar pagination pager comments commentlist disqus responses feedback".split())
+PAGE_TAGS = frozenset("nav footer header menu dialog".split())
+PAGE_ROLES = frozenset("navigation banner contentinfo complementary menu menubar".split())
+#: Elements of running text, which a name of WEAK says nothing about.
+TEXT_TAGS = frozenset("p section blockquote pre figure table h1 h2 h3 h4 h5 h6".split())
 WEAK = frozenset("promo promotion banner side menu notice notices notification alert share social related recommended recommendations widget comment reply replies respond skip".split())
 BOXES = frozenset("area bar block body box buttons column content form icons item items links list module panel posts section stories widget wrap wrapper container link to".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,59 +74,76 @@ _BODY = re.compile(r"<body[\s>]", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _named(word: str) -> bool:
+#: What an element is: text, furniture that may stand in a text, or furniture of the page.
+TEXT, IN_BODY, OF_PAGE = 0, 1, 2
+
+
+def _named(word: str, tag: str = "div") -> int:
     """Whether a class or id says that its element is furniture."""
     parts = _PART.findall(word)
-    return not NAMES.isdisjoint(parts) or any(p in WEAK for p in parts) and all(p in WEAK or p in BOXES for p in parts)
+    if not NAMES.isdisjoint(parts):
+        return IN_BODY if PAGE.isdisjoint(parts) else OF_PAGE
+    return IN_BODY if tag not in TEXT_TAGS and any(p in WEAK for p in parts) and all(p in WEAK or p in BOXES for p in parts) else TEXT
 
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True
+        return OF_PAGE if tag in PAGE_TAGS else IN_BODY
+    if tag == "article" and in_article:  # a reader's comment
+        return OF_PAGE
     if not attrs.strip() or tag in KEEPS:
-        return False
+        return TEXT
     if re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", attrs):
-        return True
+        return IN_BODY
+    found = TEXT
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and any(_named(word) for word in value.lower().split()):
-            return True
-        if name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+        if name in ("class", "id"):
+            found = max([found, *(_named(word, tag) for word in value.lower().split())])
+        if name == "role" and value.strip().lower() in ROLES:
+            found = max(found, OF_PAGE if value.strip().lower() in PAGE_ROLES else IN_BODY)
+        if name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value):
+            found = max(found, IN_BODY)
+    return found
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in the article, in a heading) of each line; furniture
-    outside an article leaves ``WINDOW`` empty lines."""
+    """(text, letters and digits outside of links, in the article, in a heading) of each
+    line; furniture of the page outside an article, and an article's ends, leave
+    ``WINDOW`` empty lines."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # (tag, hides)
-    hidden = article = links = headings = 0
+    stack: list[tuple[str, int]] = []  # (tag, what of it is hidden)
+    hidden = article = nested = links = headings = 0
     opened: Counter[str] = Counter()
     never: set[str] = set()  # elements that nothing closes from here on
     text: list[str] = []
-    linked = 0
+    free = 0
     pos, end = 0, len(page)
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal free
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, linked, article > 0, headings > 0))
+            out.append((line, free, article > 0, headings > 0))
         text.clear()
-        linked = 0
+        free = 0
 
     def gap() -> None:
         if not article:
             out.extend([("", 0, False, False)] * WINDOW)
 
     def pop_to(k: int) -> None:
-        nonlocal hidden, article, links, headings
+        nonlocal hidden, article, nested, links, headings
         while len(stack) > k:
             tag, hides = stack.pop()
             opened[tag] -= 1
-            hidden -= hides
+            hidden -= hides > 0
             article -= tag in KEEPS_TEXT
+            nested -= tag == "article"
+            if tag in KEEPS_TEXT and not hidden:
+                gap()
+            if hides == OF_PAGE:
+                gap()
             links -= tag == "a"
             headings -= tag in HEADINGS
 
@@ -143,8 +167,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 if not hidden:
                     got = entities.unescape(raw)
                     text.append(got)
-                    if links:
-                        linked += len(got.strip())
+                    if not links and article == 0:  # inside an article all lines count
+                        free += sum(map(str.isalnum, got))
             continue
         closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag in BLOCK and not hidden:
@@ -152,10 +176,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if closing:
             k = last_open((tag,))
             if k is not None:
-                was = hidden
                 pop_to(k)
-                if was and not hidden:
-                    gap()
             continue
         if tag in RAW:
             if attrs.rstrip().endswith("/") and tag in ("svg", "math"):
@@ -176,14 +197,16 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             k = last_open((("p",) if tag in ENDS_P else ()) + ITEMS.get(tag, ()), HOLDS)
             if k is not None:
                 pop_to(k)
-        hides = not hidden and _furniture(tag, attrs, article > 0)
+        hides = TEXT if hidden else _furniture(tag, attrs, nested > 0 if tag == "article" else article > 0)
         if hides:
             close_line()
+        if hides == OF_PAGE or tag in KEEPS_TEXT and not hidden:
             gap()
         stack.append((tag, hides))
         opened[tag] += 1
-        hidden += hides
+        hidden += hides > 0
         article += tag in KEEPS_TEXT
+        nested += tag == "article"
         links += tag == "a"
         headings += tag in HEADINGS
     close_line()
@@ -211,15 +234,17 @@ def runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
     return out
 
 
+def weights(rows: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """What each line counts for: its characters and in an article ``SURGE`` more;
+    nothing if it is empty, or if it is outside and has no word that isn't a link."""
+    return [len(row[0]) + SURGE if row[2] and row[0] else len(row[0]) if row[1] else 0 for row in rows]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    if any(row[0] and row[2] for row in rows):  # what is outside the article counts zero
-        rows = [row if row[2] else ("", 0, False, False) for row in rows]
-        lengths = [len(row[0]) for row in rows]
-    else:
-        lengths = [len(row[0]) if row[1] <= LINKS * len(row[0]) else 0 for row in rows]
+    lengths = weights(rows)
     sums = window_sums(lengths)
     kept = runs(lengths, surge=min(SURGE, max(sums, default=0)))
     if not kept:
