@@ -42,7 +42,10 @@ def best_words(post: DataFrame, n: DataFrame, top_n: int = params.GRAPH_ENTITY_T
     words = storage.written(words, "entity-idf")
     words = storage.written(words.filter(T.is_valid_entity(F.col("entity"))), "entity-names")
     rows = post.join(session.small(words), "term").select(name, "entity", F.round(F.col("tf") / F.col("length") * F.col("idf"), 6).alias("weight"))
-    return _top(rows, top_n, name)
+    # at most two words, by the case of their first letter, are one entity: twice as many
+    # rows have all the best, and this limit is taken before the shuffle
+    near = F.row_number().over(W.partitionBy(name).orderBy(F.desc("weight"), "entity"))
+    return _top(rows.withColumn("near", near).filter(F.col("near") <= 2 * top_n), top_n, name)
 
 
 def entity_pos_counts(chunks: DataFrame, name: str = "chunk_id") -> DataFrame:

@@ -56,45 +56,38 @@ def paths(matched: DataFrame, graph: DataFrame, max_hop: int = params.KG_MAX_HOP
     nodes that a path of at most max_hop edges joins, with the inner nodes of the
     shortest one (of several, that whose nodes sort first) and the first of these.
 
-    Sources and targets are expanded from both sides, each for all queries at once;
-    every round writes its frontier, keeps for each node reached its first path, and
-    leaves out what earlier rounds reached. A pair is done when its sides meet; only
-    ends of pairs still open go on."""
+    Sources and targets are expanded from both sides, for all queries at once; every
+    round writes its frontier, keeps for each node reached its first path, and leaves
+    out what earlier rounds reached. Pairs appear where their sides meet: pairs that
+    no path joins are never made."""
     e = storage.written(graph.select("subject", "object").distinct(), "path-edges")
-    own = matched.select("query_id", F.col("node").alias("source"))
-    pairs = storage.written(own.join(matched.select("query_id", F.col("node").alias("target")), "query_id").filter("source <> target").distinct(), "path-pairs")
-    open_ = storage.written(pairs.select("source", "target").distinct(), "path-open")
     none = F.array().cast("array<string>")
-    forth = [storage.written(open_.select("source").distinct().select("source", F.col("source").alias("node"), none.alias("inner")), "path-0")]
-    back = [storage.written(open_.select("target").distinct().select("target", F.col("target").alias("node"), none.alias("inner")), "path-0")]
-    found = None
+    ends = lambda name: storage.written(matched.select("query_id", F.col("node").alias(name), "node", none.alias("inner")).distinct(), "path-ends")
+    forth, back, found = [ends("source")], [ends("target")], None
     for hops in range(1, max_hop + 1):
-        if open_.isEmpty():
-            break
         if len(forth) == len(back):
-            forth.append(_further(forth, e.select(F.col("subject").alias("node"), F.col("object").alias("next")), "source", open_))
+            forth.append(_further(forth, e.select(F.col("subject").alias("node"), F.col("object").alias("next")), "source"))
         else:
-            back.append(_further(back, e.select(F.col("object").alias("node"), F.col("subject").alias("next")), "target", open_))
+            back.append(_further(back, e.select(F.col("object").alias("node"), F.col("subject").alias("next")), "target"))
         a, b = forth[hops - hops // 2], back[hops // 2]
         middle = F.array("node") if hops > 1 else none
-        met = open_.join(a.withColumnRenamed("inner", "first"), "source").join(b.withColumnRenamed("inner", "last"), ["target", "node"])
-        met = met.groupBy("source", "target").agg(F.min(F.concat("first", middle, "last")).alias("inner"))
+        met = a.withColumnRenamed("inner", "first").join(b.withColumnRenamed("inner", "last"), ["query_id", "node"]).filter("source <> target")
+        met = met.groupBy("query_id", "source", "target").agg(F.min(F.concat("first", middle, "last")).alias("inner"))
+        if found is not None:
+            met = met.join(found.select("query_id", "source", "target"), ["query_id", "source", "target"], "left_anti")
         met = storage.written(met, "path-met")
         found = met if found is None else found.unionByName(met)
-        open_ = storage.written(open_.join(met, ["source", "target"], "left_anti"), "path-open")
     if found is None:
-        found = open_.limit(0).withColumn("inner", none)
-    return pairs.join(found, ["source", "target"]).select("query_id", "source", "target", F.get("inner", F.lit(0)).alias("mid"), "inner")
+        found = forth[0].select("query_id", "source", F.col("node").alias("target"), "inner").limit(0)
+    return found.select("query_id", "source", "target", F.get("inner", F.lit(0)).alias("mid"), "inner")
 
 
-def _further(layers: list[DataFrame], step: DataFrame, end: str, open_: DataFrame) -> DataFrame:
-    """The next layer of one side: (end, node, inner), inner in the path's direction."""
-    last = layers[-1].join(open_.select(end).distinct(), end, "left_semi")
-    on = F.col("node") == F.col(end)  # an end itself is no inner node
-    inner = F.when(on, F.col("inner")).otherwise(F.concat("inner", F.array("node")) if end == "source" else F.concat(F.array("node"), "inner"))
-    out = last.join(step, "node").select(end, F.col("next").alias("node"), inner.alias("inner")).groupBy(end, "node").agg(F.min("inner").alias("inner"))
+def _further(layers: list[DataFrame], step: DataFrame, end: str) -> DataFrame:
+    """The next layer of one side: (query_id, end, node, inner), inner in the path's direction."""
+    inner = F.when(F.col("node") == F.col(end), F.col("inner")).otherwise(F.concat("inner", F.array("node")) if end == "source" else F.concat(F.array("node"), "inner"))  # an end is no inner node
+    out = layers[-1].join(step, "node").select("query_id", end, F.col("next").alias("node"), inner.alias("inner")).groupBy("query_id", end, "node").agg(F.min("inner").alias("inner"))
     for seen in layers:
-        out = out.join(seen.select(end, "node"), [end, "node"], "left_anti")
+        out = out.join(seen.select("query_id", end, "node"), ["query_id", end, "node"], "left_anti")
     return storage.written(out, "path-layer")
 
 

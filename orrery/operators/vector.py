@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +50,59 @@ BLOCK = 4096
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K) -> DataFrame:
     """Exact top k of (query_id, vec) against (chunk_id, vec). Every pair is
-    scored, as exact search must be. Queries are cut into blocks by a hash, a block
-    being a table of bounded size that is sent to the vectors; partial top-k limits
-    keep the shuffle at k rows a query and task."""
-    q = queries.select("query_id", F.col("vec").alias("query_vec"))
+    scored, as exact search must be: a block of queries, chosen by a hash, is a matrix
+    of bounded size that is sent to the vectors, whose Arrow batches are multiplied
+    with it and hand on k rows a query. Vectors that are null, zero, hold a null or
+    have another length than the block's first query are never found."""
+    q = queries.select("query_id", F.col("vec").cast("array<double>").alias("query_vec"))
     n = q.count()
     blocks = max(1, -(-n // BLOCK))
     if blocks > 1:
         q = storage.written(q.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-blocks")
-    sim = F.try_divide(dot(F.col("query_vec"), F.col("vec")), norm(F.col("query_vec")) * norm(F.col("vec")))  # null where a vector is zero
-    out = None
+    rows, out = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")), None
+    schema = q.select("query_id").limit(0).join(rows.select("chunk_id", F.lit(0.0).alias("score")).limit(0)).schema
     for b in range(blocks):
         own = q if blocks == 1 else q.filter(F.col("__block") == b).drop("__block")
-        scored = vectors.select("chunk_id", "vec").join(F.broadcast(own)).select("query_id", "chunk_id", F.round(sim, 6).alias("score"))  # about BLOCK rows
-        part = ranking.top_k(scored.filter("score is not null"), k, "vector")
+        scored = rows.mapInArrow(_scored(own.toArrow(), k), schema)  # about BLOCK queries
+        part = ranking.top_k(scored.withColumn("score", F.round("score", 6)), k, "vector")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def unit_rows(column: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, which): the usable vectors of a column at unit length, and their places."""
+    lengths = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), nan=-1)
+    at = np.flatnonzero(lengths == dims) if dims else np.zeros(0, np.int64)
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(at), dims) if len(at) else np.zeros((0, dims))
+    size = np.sqrt((m * m).sum(1))
+    good = np.isfinite(size) & (size > 0)
+    return m[good] / size[good][:, None], at[good]
+
+
+def _scored(asked: pa.Table, k: int):
+    """For mapInArrow: each batch's k best of every query, by rounded score and id."""
+    held = asked["query_vec"].combine_chunks()
+    lengths = [n for n in pa.compute.list_value_length(held).to_pylist() if n]
+    q, which = unit_rows(held, lengths[0] if lengths else 0)
+    ids = asked["query_id"].combine_chunks().take(pa.array(which))
+
+    def run(batches):
+        for b in batches:
+            v, at = unit_rows(b["vec"], q.shape[1])
+            if not len(v) or not len(q):
+                continue
+            order = pa.compute.sort_indices(b["chunk_id"].take(pa.array(at))).to_numpy()
+            v, at = v[order], at[order]  # by id, for ties
+            sims = v @ q.T
+            rounded = np.floor(np.abs(sims) * 1e6 + 0.5) * np.sign(sims)
+            best = np.argsort(-rounded, axis=0, kind="stable")[:k]
+            column = np.broadcast_to(np.arange(len(q)), best.shape)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(column.ravel())), b["chunk_id"].take(pa.array(at[best.ravel()])), pa.array(sims[best, column].ravel())], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def search_lsh(queries: DataFrame, vectors: DataFrame, k: int = params.VECTOR_TOP_K, *, radius: float = math.inf, length: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
     """Approximate top k through bucketed random projections; queries may be many.
     The buckets choose the candidates, of whatever distance by default; queries

@@ -415,17 +415,19 @@ def q_retrieve_and_generate(spark, d):
     return agent.retrieve_and_generate(asked(spark, d), index, found=q_ce_rerank(spark, d))
 
 
-def _doc_records(spark, d) -> DataFrame:
+def _doc_records(spark, d, post: DataFrame | None = None) -> DataFrame:
     """Triple records of documents: each one's best words, chained."""
-    best = entity_graph.entity_tfidf(chunks(spark, d), 4)
+    best = entity_graph.entity_tfidf(chunks(spark, d), 4, post=post)
     e = best.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "entity"))), lambda x: x["entity"]).alias("e"))
     pairs = F.transform(F.slice("e", 1, F.greatest(F.size("e") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("subject"), F.lit("near").alias("relation"), F.get("e", i + 1).alias("object")))
     return e.join(tab(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc")), "chunk_id").select("chunk_id", "source_doc", pairs.alias("triples"))
 
 
 def _index(spark, d) -> search.Index:
-    """All four routes over the documents."""
-    return search.build_index(chunks(spark, d), graph=True, triples=storage.written(kg.clean_triples(_doc_records(spark, d)), "triples"))
+    """All four routes over the documents, whose words are counted once."""
+    index = search.build_index(chunks(spark, d), graph=True)
+    index.triples = storage.written(kg.clean_triples(_doc_records(spark, d, index.words.postings)), "triples")
+    return index
 
 
 def entities_sql(tag: str, rows: str, top: int) -> str:

@@ -62,7 +62,8 @@ hy AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id
 @query(_six_sql())
 def q_run_evaluation_graph(spark, d):
     """Six stages, the knowledge graph's route among them."""
-    index = search.build_index(R.chunks(spark, d), triples=storage.written(kg.clean_triples(R._doc_records(spark, d)), "triples"))
+    index = search.build_index(R.chunks(spark, d))
+    index.triples = storage.written(kg.clean_triples(R._doc_records(spark, d, index.words.postings)), "triples")
     cases = _cases(spark, d)
     found = {k: storage.written(v, "route") for k, v in search.routes(cases.select("query_id", "query"), index).items()}
     return evaluate.run_evaluation(found, cases, R.golden(spark, d), _chunks(spark, d))[1]
