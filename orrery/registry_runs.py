@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import registry as R
 from . import storage
-from .operators import entity_graph, ivf, kg, ranking, rerank, segment, vector
+from .operators import entity_graph, ivf, kg, open_relations, ranking, rerank, segment, vector
 from .plans import agent, evaluate, search, segments
 from .sources import files, sinks
 from .streaming import incremental
@@ -280,6 +280,30 @@ def q_normalize_triple(spark, d):
     return rows.select("chunk_id", F.explode("t").alias("t")).select("chunk_id", "t.*")
 
 
+# -------------------------------------------------------- triples without a model
+
+
+def _relations_sql() -> str:
+    o = open_relations
+    return rf"""WITH se AS (SELECT doc_id AS chunk_id, source AS source_doc, unnest(x) AS t, generate_subscripts(x, 1) AS s FROM (SELECT doc_id, source, {R.SENT.format("text")} AS x FROM documents)),
+wo AS MATERIALIZED (SELECT chunk_id, source_doc, s, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT chunk_id, source_doc, s, {R.TOK.format("t")} AS w FROM se)),
+ns AS (SELECT count(DISTINCT (chunk_id, s)) AS n FROM wo),
+ar AS MATERIALIZED (SELECT low FROM (SELECT lower(word) AS low, count(DISTINCT (chunk_id, s)) AS df FROM wo GROUP BY 1), ns WHERE length(low) >= {o.LETTERS} AND df <= greatest(1.0, {o.SHARE} * n) AND NOT regexp_matches(low, '^[0-9]+$')),
+ma AS (SELECT wo.*, low IS NOT NULL AS is_arg FROM wo LEFT JOIN ar ON low = lower(word)),
+tu AS (SELECT *, coalesce((is_arg <> lag(is_arg) OVER (PARTITION BY chunk_id, s ORDER BY i))::INT, 1) AS turn FROM ma),
+rn AS (SELECT *, sum(turn) OVER (PARTITION BY chunk_id, s ORDER BY i) AS run FROM tu),
+rs AS (SELECT chunk_id, source_doc, s, run, any_value(is_arg) AS is_arg, count(*) AS size, string_agg(word, ' ' ORDER BY i) AS said FROM rn GROUP BY ALL),
+ah AS (SELECT *, lead(said) OVER w AS said_1, lead(size) OVER w AS size_1, lead(said, 2) OVER w AS said_2, lead(size, 2) OVER w AS size_2 FROM rs WINDOW w AS (PARTITION BY chunk_id, s ORDER BY run)),
+fo AS MATERIALIZED (SELECT chunk_id, source_doc, said AS subject, lower(said_1) AS relation, said_2 AS object, lower(said) AS a, lower(said_2) AS b FROM ah WHERE is_arg AND size <= {o.SPAN} AND size_1 <= {o.PHRASE} AND size_2 <= {o.SPAN} AND lower(said) <> lower(said_2)),
+sd AS (SELECT relation, a, b, count(*) AS evidence FROM fo GROUP BY ALL), jo AS (SELECT relation, count(*) AS support FROM sd GROUP BY 1 HAVING count(*) >= {o.SUPPORT})
+SELECT chunk_id, source_doc, subject, relation, object, support, evidence, round(1 - pow(1 - support::DOUBLE / (support + {o.SUPPORT}), evidence), 4) AS confidence FROM fo JOIN sd USING (relation, a, b) JOIN jo USING (relation)"""
+
+
+@query(_relations_sql())
+def q_open_relations(spark, d):
+    return open_relations.extracted(R.chunks(spark, d))
+
+
 # ------------------------------------------------------------ unspaced text
 
 
