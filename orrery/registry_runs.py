@@ -11,7 +11,7 @@ from . import storage
 from .operators import entity_graph, ivf, kg, open_relations, ranking, rerank, segment, vector
 from .plans import agent, evaluate, search, segments
 from .sources import files, sinks
-from .streaming import incremental
+from .streaming import conversations, incremental
 
 query, tab = R.query, R.tab
 
@@ -505,6 +505,18 @@ def q_incremental(spark, d):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT conv_id, count(DISTINCT turn) AS n_turns, sum(length(text))::BIGINT AS n_chars, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, false AS closed FROM conversations GROUP BY 1")
+def q_state_over_turns(spark, d):
+    """Turns in two shuffled parts, the first arriving again with the second; the stream
+    is stopped between them and taken up from its checkpoint."""
+    src, out, mark = (storage.fresh(spark, n) for n in ("turns", "states", "progress"))
+    turns = tab(spark, d, "conversations").withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)))
+    for parts in ([0], [0, 1]):
+        turns.filter(F.col("part").isin(parts)).drop("part").write.mode("append").json(src)
+        conversations.replay(spark.readStream.schema("conv_id long, turn long, role string, text string").json(src), out, mark)
+    return conversations.latest(spark.read.parquet(out))
+
+
 @query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n FROM documents")
 def q_kg_build(spark, d):
     """The build run twice over whole texts with a model for tests: the second run finds nothing to do."""
