@@ -168,8 +168,9 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: st
             ends = batch.column(1).offsets.to_numpy()
             flat, y = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(0).to_pylist()
             for k in range(batch.num_rows):
-                held += int(ends[k + 1] - ends[k])
-                if held <= SAMPLE_FEATURES:
+                more = int(ends[k + 1] - ends[k])
+                if held + more <= SAMPLE_FEATURES:  # one very long document leaves room for those after it
+                    held += more
                     own.append(flat[ends[k] : ends[k + 1]].copy())
                     marks.append(y[k])
         y = np.array(marks, float)
