@@ -10,7 +10,7 @@ from . import registry as R
 from . import storage
 from .operators import entity_graph, ivf, kg, open_relations, ranking, rerank, segment, vector
 from .plans import agent, evaluate, search, segments
-from .sources import files, sinks
+from .sources import files, json_document, sinks
 from .streaming import conversations, incremental
 
 query, tab = R.query, R.tab
@@ -437,6 +437,15 @@ def q_sink_json(spark, d):
     return spark.read.schema(docs.schema).json(path)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_sink_document(spark, d):
+    """Documents as one pretty JSON document, a case for each half, the first written twice."""
+    path, docs = storage.fresh(spark, "document"), tab(spark, d, "documents")
+    for half in (0, 1, 0):
+        json_document.sink_document(docs.filter(F.col("doc_id") % 2 == half), path, f"half {half}")
+    return json_document.read_document(spark, path, docs.schema)
+
+
 @query("SELECT doc_id, n_chars FROM documents")
 def q_sink_append_jsonl(spark, d):
     path, docs = storage.fresh(spark, "append"), tab(spark, d, "documents").select("doc_id", "n_chars")
