@@ -4,14 +4,14 @@ scratch folder and the word pattern that all contracts use."""
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: A word of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it, by
-    ``spark.checkpoint.dir`` or ``setCheckpointDir``. Only a local session may go
-    without: driver and executors are one process there, and a folder is set."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not re.match(r"local($|\[)", context.master):
-        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
