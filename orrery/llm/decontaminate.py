@@ -31,7 +31,8 @@ slab's words, pieces and tries, which the driver builds in array operations, are
 what is broadcast, about ``(16 + 40 * repetitions / words an item)`` bytes a word:
 under 300 MB for the shortest items, 30 MB for those of 50 words.
 
-Defined results: null and empty texts and items match nothing, nor do items of
+Defined results: documents are searched whole, very long ones in batches of windows
+of bounded size; null and empty texts and items match nothing, nor do items of
 fewer than ``least_words`` words (1 by default; a one-word item is found wherever
 its word is, so corpora are cleaned with ``LEAST_WORDS``); an item matches with at
 most ``MOST_EDITS`` of its words in edits, so very short ones must be exact; per

@@ -10,7 +10,8 @@ part. No window ever holds more than a segment, or the segment sums of a source.
 Sources themselves, if there are many, are range-sorted and given prefix sums in
 the same way, ``SOURCE_ROWS`` to a window.
 
-Defined results: null text has size 0; null sources are one source, sorted last;
+Defined results: null and empty texts have size 0; texts are counted whole, however
+long, and don't move; null sources are one source, sorted last;
 null and repeated ids are separate documents, ordered by key, id and size (ties
 beyond that are equal rows, whose order can't show); a source of size 0 takes
 nothing; an empty table gives no rows; other columns are ignored.

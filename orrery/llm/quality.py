@@ -10,7 +10,9 @@ group's fence, a counted one by more than a standard deviation of such a count
 (``NOISE``), so a single symbol in a group without any is no outlier. A group of fewer than ``LEAST_GROUP`` rows takes its language's
 fences; rates are not compared across languages.
 
-Defined results: null text has no words and fails the base rules; null lang or
+Defined results: null and empty texts have no words and fail the base rules; a text
+is one row, and its windows one sorted array of it, about 50 bytes a word (a text of
+10 MB: 100 MB); null lang or
 source form groups of their own; a fence is a value of its group or lies beyond
 one, so a uniform group rejects nothing, nor does a language of fewer rows than
 make a tail (under ten at 0.9); repeated ids are separate rows; an empty table gives

@@ -13,8 +13,9 @@ two) a Benjamini-Hochberg step-up at ``FDR`` decides which tokens are found not
 random; the rest are added as ``random`` spans. The step-up reads a bounded
 histogram of p-values, not the candidates.
 
-Defined results: null text is empty and has no spans; null and repeated ids are
-separate rows; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts have no spans; texts are scanned whole, a row's
+memory being a few times its text and its tokens; null and repeated ids are separate
+rows; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ is joined by a task of its own, so no group is bounded by one task's memory.
 Components come from minimum labels with pointer jumping, each round written to
 the shared folder.
 
-Defined results: null text is an empty one; a text of no words has the
+Defined results: null text is an empty one; very long texts are hashed whole where
+they are, in memory that is a few times the text; a text of no words has the
 fingerprint zero and is linked like any other; fewer words than a shingle give
 one shingle of all of them; repeated ids are separate rows with one component;
 a null id is a document of its own that takes part in links but is never chosen as

@@ -401,6 +401,12 @@ def test_op10(spark, odd, empty):
     assert secrets.found(empty).count() == 0
 
 
+def test_op10_takes_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "token=abcdef1", "a", 2, "x"), (None, None, None, None, None), (1, "token=abcdef1", "b", 3, "y")], "doc_id long, text string, spans string, kind int, base string")
+    got = secrets.found(rows).collect()
+    assert sorted((r.doc_id or 0, [(s.start, s.end) for s in r.base]) for r in got) == [(0, []), (1, [(0, 13)]), (1, [(0, 13)])]
+
+
 # -------------------------------------------------------------- registry
 
 
