@@ -117,7 +117,9 @@ def train(own: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALPHA, l1
     often = np.zeros(size, np.int32)
     for x in own:
         often[x] += 1
-    own = [x[often[x] >= least] for x in own]
+    for i, x in enumerate(own):  # one after the other, so that two copies of all are never held
+        own[i] = x[often[x] >= least]
+    del often
     bias_n = 1.0
 
     def weights(zi, ni):
@@ -135,7 +137,9 @@ def train(own: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALPHA, l1
             more = ni + g * g
             z[x] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / alpha * w
             n[x] = more
-    return weights(z, n), bias
+    out, seen = np.zeros(size), np.flatnonzero(n)
+    out[seen] = weights(z[seen], n[seen])
+    return out, bias
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "toxic") -> DataFrame:
@@ -179,6 +183,7 @@ def model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: st
             at, w, b = [], [], float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         else:
             dense, b = train(own, y)
+            own.clear()
             at = np.flatnonzero(dense)
             w = dense[at]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([b, *w], pa.float64())], ["feature", "weight"])
