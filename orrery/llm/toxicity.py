@@ -110,7 +110,8 @@ def batches_of(texts: list[str | None]):
 
 
 def train(own: list[np.ndarray], labels: np.ndarray, *, alpha: float = ALPHA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least: int = INCLUDE_FROM) -> tuple[np.ndarray, float]:
-    """(weights, bias) after ``epochs`` passes over the documents' features, in the given order."""
+    """(weights, bias) after ``epochs`` passes over the documents' features, in the given
+    order. Features rarer than ``least`` are taken out of the list given."""
     size = 1 << HASH_BITS
     z, n = np.zeros(size), np.zeros(size)
     bias = float(np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6)))
