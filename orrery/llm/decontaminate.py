@@ -34,7 +34,10 @@ under 300 MB for the shortest items, 30 MB for those of 50 words.
 Defined results: documents are searched whole, very long ones in batches of windows
 of bounded size; null and empty texts and items match nothing, nor do items of
 fewer than ``least_words`` words (1 by default; a one-word item is found wherever
-its word is, so corpora are cleaned with ``LEAST_WORDS``); an item matches with at
+its word is, so corpora are cleaned with ``LEAST_WORDS``) unless ``short_lines``
+is set: such an item then matches exactly, where its words are all the words of one
+line or of several lines in a row, since within a sentence a few words are no sign
+of the benchmark; an item matches with at
 most ``MOST_EDITS`` of its words in edits, so very short ones must be exact; per
 document row and item the window with the fewest edits is reported, the first of
 several; repeated document ids are searched as separate rows, repeated items as
@@ -166,7 +169,7 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
 class Index:
     """The items of one slab: symbols, pieces, repetitions by class of size."""
 
-    def __init__(self, ids: list, texts: list[str | None], least_words: int = 1):
+    def __init__(self, ids: list, texts: list[str | None], least_words: int = 1, short_lines: bool = False):
         h, ends = word_hashes(texts)
         self.vocab = np.unique(h)
         self.oov = len(self.vocab)
@@ -175,9 +178,11 @@ class Index:
         self.ids = ids
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.most = (self.sizes * MOST_EDITS).astype(np.int64)
-        # pieces: item, first word, words
-        rows = []
+        # pieces: item, first word, words; short: the items looked for as whole lines
+        rows, self.short = [], {}
         for i, n in enumerate(self.sizes.tolist()):
+            if short_lines and 0 < n < least_words:
+                self.short.setdefault(n, {}).setdefault(self.words[i].tobytes(), []).append(i)
             if n >= max(1, least_words):
                 k = -(-n // PIECE)
                 cuts = [n * c // k for c in range(k + 1)]
@@ -269,13 +274,31 @@ class Index:
         i = self.pieces[k, 0]
         part = self.pieces[k, 2] < self.sizes[i]
         whole = self._wholes(doc[part], i[part], s[part] - self.pieces[k[part], 1], sym, first)
-        doc, i, s, length, edits = (np.concatenate([a[~part], b]) for a, b in zip((doc, i, s, length, edits), whole, strict=True))
+        lines = self._lines(texts, sym, ends)
+        doc, i, s, length, edits = (np.concatenate([a[~part], b, c]) for a, b, c in zip((doc, i, s, length, edits), whole, lines, strict=True))
         order = np.lexsort((s, edits, i, doc))
         doc, i, s, length, edits = (v[order] for v in (doc, i, s, length, edits))
         best = np.ones(len(doc), bool)
         best[1:] = (doc[1:] != doc[:-1]) | (i[1:] != i[:-1])
         return doc[best], i[best], s[best] - first[doc[best]], length[best], edits[best]
 
+    def _lines(self, texts: list[str | None], sym: np.ndarray, ends: np.ndarray):
+        """Rows of the short items whose words are all those of lines in a row."""
+        out = [[] for _ in range(5)]
+        if self.short:
+            # newlines part words, so the words of the lines are those of the texts
+            stops = np.unique(word_hashes([line for t in texts for line in (t or "").split("\n")])[1])
+            starts = np.unique(np.concatenate([[0], stops]))
+            owner = np.searchsorted(ends, starts, side="right")
+            limit = np.append(ends, 0)[owner]  # nothing behind the last word
+            for n, items in self.short.items():
+                for at in np.flatnonzero((starts + n <= limit) & np.isin(starts + n, stops)).tolist():
+                    begin = int(starts[at])
+                    for item in items.get(sym[begin : begin + n].tobytes(), ()):
+                        for a, v in zip(out, (int(owner[at]), item, begin, n, 0), strict=True):
+                            a.append(v)
+        return [np.array(a, np.int64) for a in out]
+
     @staticmethod
     def _aligned(k: np.ndarray, words, sizes: np.ndarray, most: np.ndarray, sym, start, stop):
         """Edits and window words of each (piece, start), those of one size together."""
@@ -353,14 +376,14 @@ def edit_distances(x: np.ndarray, sym: np.ndarray, start: np.ndarray, stop: np.n
     return row[np.arange(m), end], n + end - band
 
 
-def _slabs(benchmark: DataFrame, least_words: int):
+def _slabs(benchmark: DataFrame, least_words: int, short_lines: bool):
     """The benchmark's indexes, each of about SLAB_WORDS words, broadcast."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     words = items.agg(F.coalesce(F.sum(common.word_count(F.col("text"))), F.lit(0))).first()[0]
     n = max(1, -(-words // SLAB_WORDS))
     for slab in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == slab).orderBy("item_id", "text").collect()  # a slab's words
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least_words))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least_words, short_lines))
 
 
 def _searched(batch: pa.RecordBatch, column: int, index: Index):
@@ -375,7 +398,7 @@ def _searched(batch: pa.RecordBatch, column: int, index: Index):
             lo, held = k + 1, 0
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", least_words: int = 1) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", least_words: int = 1, short_lines: bool = False) -> DataFrame:
     """The named columns of each document that holds an item, with item_id,
     start_word, n_words (of the window), edits and item_words."""
     found = docs.sparkSession.createDataFrame([], COLUMNS).schema
@@ -401,13 +424,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col:
 
         return run
 
-    for sent in _slabs(benchmark, least_words):
+    for sent in _slabs(benchmark, least_words, short_lines):
         part = picked.mapInArrow(common.trimmed(searcher(sent)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = 1) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = 1, short_lines: bool = False) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     columns, schema = docs.columns, docs.schema
 
@@ -421,10 +444,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_w
 
         return run
 
-    for sent in _slabs(benchmark, least_words):
+    for sent in _slabs(benchmark, least_words, short_lines):
         docs = docs.mapInArrow(common.trimmed(keeper(sent)), schema)
     return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"], least_words=LEAST_WORDS)
+    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"], least_words=LEAST_WORDS, short_lines=True)

@@ -97,3 +97,34 @@ def test_slabs_find_the_same(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in d.matches(frame, bench, names).collect()) == want
     kept = d.clean(frame, bench, least_words=d.LEAST_WORDS)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [50, 50, 51, 51]
+
+
+def test_short_items_match_whole_lines(spark):
+    """Items below LEAST_WORDS words, by brute force over all runs of lines."""
+    rng = np.random.default_rng(6)
+    items = [(1, "w1"), (2, "W1 w2"), (3, "w2\nw3 w1"), (4, "w1 w2 w3 w4"), (5, "w3, w3."), (6, " \n"), (7, None), (8, "w1 w2 w3 w4 w5 w6 w7 w8"), (9, "w1 w2")]
+    texts = ["\n".join(" ".join(f"w{v}" for v in rng.integers(1, 5, int(rng.integers(0, 4)))) for _ in range(int(rng.integers(0, 9)))) for _ in range(200)]
+    texts += [None, "", "\n\n", "w1", "a w1 w2 here", "w1\n\nw2", "x\nw1 w2 w3\nw4\ny", "x " * 50_000 + "\nw1 w2\n" + "y " * 50_000, "w1\r\nw2\r\n", "w1 w2 w3 w4 w5 w6 w7 w9"]
+
+    def words(t):
+        return (t or "").lower().replace(",", " ").replace(".", " ").split()
+
+    want = set()
+    for k, t in enumerate(texts):
+        lines = [w for w in map(words, (t or "").split("\n")) if w]
+        for i, item in items:
+            if 0 < len(words(item)) < d.LEAST_WORDS:
+                places = [sum(map(len, lines[:a])) for a in range(len(lines)) for b in range(a + 1, min(len(lines), a + 4) + 1) if sum(lines[a:b], []) == words(item)]
+                if places:
+                    want.add((k, i, places[0], len(words(item)), 0))
+    want.add((len(texts) - 1, 8, 0, 7, 1))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = d.matches(frame, bench, ["doc_id"], least_words=d.LEAST_WORDS, short_lines=True).collect()
+    assert {(r.doc_id, r.item_id, r.start_word, r.n_words, r.edits) for r in rows if r.item_id != 8 or r.doc_id == len(texts) - 1} == want and len({r.item_id for r in rows}) >= 5
+    hit = {r.doc_id for r in rows}
+    kept = d.clean(frame, bench, least_words=d.LEAST_WORDS, short_lines=True)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - hit
+    assert {200, 201, 202, 204} <= set(range(len(texts))) - hit
+    # without short_lines, as before
+    assert {r.item_id for r in d.matches(frame, bench, ["doc_id"], least_words=d.LEAST_WORDS).collect()} <= {8}
