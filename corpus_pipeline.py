@@ -28,8 +28,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no item of ``benchmark`` of ``LEAST_WORDS`` or more is found."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), least_words=decontaminate.LEAST_WORDS)
+    """Documents in which no item of ``benchmark`` is found; items of fewer than
+    ``LEAST_WORDS`` words are found where they are whole lines."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), least_words=decontaminate.LEAST_WORDS, short_lines=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
