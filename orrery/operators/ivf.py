@@ -222,6 +222,26 @@ def search(queries: DataFrame, index: Index, k: int = params.VECTOR_TOP_K, fill:
     return out.join(full, "query_id", "left_semi").unionByName(vector.search(rest, index.table(spark, "vectors"), k))
 
 
+def kept(batches, tables: np.ndarray, base: np.ndarray, by_cell: dict[int, np.ndarray], depth: int):
+    """(q, chunk_id, cell, score): of each piece of the codes the ``depth`` best of
+    every query that probes their cells, whichever cells these are."""
+    slices = np.arange(tables.shape[1])
+    for b in (p for whole in batches for p in vector.blocks_of(whole)):
+        cells, ids = b["cell"].to_numpy(), b["chunk_id"]
+        codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        held = [(int(c), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+        for start in range(0, len(tables), vector.COLUMNS):
+            part = tables[start : start + vector.COLUMNS]
+            got = np.full((len(part), b.num_rows), -np.inf, np.float32)
+            for c, at in held:
+                who = by_cell.get(c, np.zeros(0, np.int64))
+                who = who[(who >= start) & (who < start + len(part))]
+                if len(who):
+                    got[np.ix_(who - start, at)] = base[who, c][:, None] + part[who - start][:, slices, codes[at]].sum(2)
+            query, row = vector.best(got, depth)
+            yield pa.RecordBatch.from_arrays([pa.array((query + start).astype(np.int32)), ids.take(pa.array(row)), pa.array(cells[row].astype(np.int32)), pa.array(got[query, row].astype(np.float64))], ["q", "chunk_id", "cell", "score"])
+
+
 def _block(q: DataFrame, index: Index, k: int) -> DataFrame:
     spark = q.sparkSession
     held = q.collect()  # about BLOCK queries
@@ -236,29 +256,15 @@ def _block(q: DataFrame, index: Index, k: int) -> DataFrame:
     depth = index.depth
 
     def scored(batches):
-        tables, base, by_cell = sent.value
-        for b in batches:
-            cells, ids = b["cell"].to_numpy(), b["chunk_id"]
-            codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            who, which, what = [], [], []
-            for c in np.unique(cells):
-                at = np.flatnonzero(cells == c)
-                for one in by_cell.get(int(c), ()):
-                    got = base[one, c] + tables[one][np.arange(codes.shape[1]), codes[at]].sum(1)
-                    best = at[np.argpartition(-got, depth - 1)[:depth]] if len(at) > depth else at
-                    who.append(np.full(len(best), one, np.int32))
-                    which.append(best)
-                    what.append(got[np.searchsorted(at, best)])
-            if who:
-                which = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), ids.take(pa.array(which)), pa.array(cells[which].astype(np.int32)), pa.array(np.concatenate(what).astype(np.float64))], ["q", "chunk_id", "cell", "score"])
+        return kept(batches, *sent.value, depth)
 
     codes = _pruned(index.table(spark, "codes"), list(by_cell)).select("chunk_id", "code", "cell")
     schema = codes.select(F.lit(0).alias("q"), "chunk_id", F.col("cell").cast("int").alias("cell"), F.lit(0.0).alias("score")).schema
     order = ranking.W.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
     near = codes.mapInArrow(scored, schema).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= depth)
     asked = spark.createDataFrame([(i, r.query_id, [float(x) for x in r.vec]) for i, r in enumerate(held)], q.select(F.lit(0).alias("q"), "query_id", F.col("vec").alias("query_vec")).schema)
-    near = near.select("q", "chunk_id", "cell").join(F.broadcast(asked), "q")  # about BLOCK rows
+    near = storage.written(near.select("q", "chunk_id", "cell"), "ivf-near")  # counted, then joined
+    near = near.join(F.broadcast(asked), "q")  # about BLOCK rows
     vectors = _pruned(index.table(spark, "vectors"), list(by_cell)).withColumn("cell", F.col("cell").cast("int"))
     sim = F.try_divide(vector.dot(F.col("query_vec"), F.col("vec")), vector.norm(F.col("query_vec")) * vector.norm(F.col("vec")))
     exact = vectors.join(session.small(near), ["cell", "chunk_id"]).select("query_id", "chunk_id", F.round(sim, 6).alias("score"))

@@ -1,9 +1,11 @@
 """What keeps large tables in bounds: nothing but what is needed leaves a task."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from orrery.operators import vector
+from orrery.functions.batches import pieces
+from orrery.operators import bm25, ivf, vector
 
 
 def test_lsh_pairs_are_no_rows(spark, monkeypatch):
@@ -33,6 +35,39 @@ def test_the_best_rows_of_a_product():
     sims = np.round(rng.random((6, 40)), 1)
     sims[rng.random(sims.shape) < 0.2] = -np.inf
     sims[5] = -np.inf
-    query, row = vector._best(sims, 7)
+    query, row = vector.best(sims, 7)
     want = [(i, j) for i in range(6) for j in sorted((j for j in range(40) if sims[i, j] > -np.inf), key=lambda j: (-sims[i, j], j))[:7]]
     assert list(zip(query.tolist(), row.tolist())) == want
+
+
+def test_pieces_hold_a_bounded_number_of_words(spark):
+    lists = [["a"] * n for n in (3, 0, 2, 9, 1, 1, 1, 0)]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "w": pa.array(lists, pa.list_(pa.string()))})
+    got = list(pieces([batch.slice(1), batch.slice(0, 0)], 1, most=3))
+    assert [b["i"].to_pylist() for b in got] == [[1, 2], [3], [4, 5, 6, 7]]
+    assert [len(b["w"].flatten()) for b in got] == [2, 9, 3]
+    texts = spark.createDataFrame([(i, "one two two " * 400) for i in range(400)], "chunk_id int, content string").coalesce(1)
+    sizes = bm25.postings(texts).agg(F.count("*")).first()
+    assert sizes[0] == 800
+
+
+def test_ivf_candidates_of_a_batch_are_no_more_than_the_depth(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 8)))], "chunk_id int, vec array<double>").coalesce(1)
+    index = ivf.build(v, f"{tmp_path}/ivf", cells=20, k=5)
+    index.probes, index.depth = 20, 30  # all cells, each of fewer rows than the depth
+    q = v.filter("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    found, seen = [], spark.sparkContext.accumulator(0)
+    kept = ivf.kept
+
+    def counted(batches, *args):
+        for b in kept(batches, *args):
+            seen.add(b.num_rows)
+            yield b
+
+    ivf.kept = counted
+    try:
+        found = ivf.search(q, index, 5, fill=False).collect()
+    finally:
+        ivf.kept = kept
+    assert len(found) == 200 and seen.value <= 40 * 30 * spark.sparkContext.defaultParallelism
