@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,60 @@ def runs(texts: DataFrame, pattern: str = UNSPACED) -> DataFrame:
 
 def ngrams(found: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(gram, n) of up to longest + 1 letters, the last for neighbours, runs edged;
-    those rarer than ``least`` are left out, single letters never."""
-    edged = F.concat(F.lit(EDGE), F.col("run"), F.lit(EDGE))
-    size = F.length(edged)
-    each = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest + 1), size - i + 1)), lambda k: F.substring(edged, i, k))))
-    count = found.select(F.explode(each).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    those rarer than ``least`` are left out, single letters never. Tasks count
+    the n-grams of some runs at a time as numbers, so that a row is a distinct n-gram
+    of many runs and not each one's place."""
+    edged = found.select(F.concat(F.lit(EDGE), F.col("run"), F.lit(EDGE)).alias("run"), "n")
+
+    def counted(batches):
+        for b in batches:
+            for runs, n in _some(b):
+                yield from _grams(runs, n, longest + 1)
+
+    count = edged.mapInArrow(counted, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return count.filter((F.col("n") >= least) | (F.length("gram") == 1))
 
 
+#: Letters whose n-grams are counted at once.
+LETTERS = 1 << 20
+#: Letters that one number holds.
+PACKED = 3
+
+
+def _some(b: pa.RecordBatch):
+    """(runs, n) of a batch, in parts of about ``LETTERS`` letters, one run at least."""
+    sizes = np.cumsum(pa.compute.utf8_length(b["run"]).to_numpy())
+    start = 0
+    while start < b.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + LETTERS, side="right")))
+        yield b["run"].slice(start, stop - start), b["n"].slice(start, stop - start).to_numpy()
+        start = stop
+
+
+def _grams(runs: pa.Array, n: np.ndarray, longest: int):
+    """Batches (gram, n): the n-grams of one to ``longest`` letters of runs that occur
+    n times each. An n-gram is one number for every ``PACKED`` of its letters."""
+    letters = np.frombuffer("".join(runs.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = pa.compute.utf8_length(runs).to_numpy()
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # letters to the run's end
+    times = np.repeat(n, lengths)
+    packed = [letters]  # of one, two and three letters from each place on
+    for k in range(1, PACKED):
+        packed.append((packed[-1] << 21) | np.concatenate([letters[k:], np.zeros(min(k, len(letters)), np.int64)]))
+    for k in range(1, longest + 1):
+        at = np.flatnonzero(left >= k)
+        if not len(at):
+            return
+        cuts = [(i, min(PACKED, k - i)) for i in range(0, k, PACKED)]
+        names = [f"k{i}" for i, _ in cuts]
+        table = pa.table({**{f"k{i}": packed[size - 1][at + i] for i, size in cuts}, "n": times[at]})
+        sums = table.group_by(names, use_threads=False).aggregate([("n", "sum")])
+        codes = [(sums[name].to_numpy() >> (21 * (size - 1 - j))) & 0x1FFFFF for name, (_, size) in zip(names, cuts, strict=True) for j in range(size)]
+        text = np.ascontiguousarray(np.stack(codes, 1).astype("<u4")).view(f"<U{k}").ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), sums["n_sum"].combine_chunks().cast(pa.int64())], ["gram", "n"])
+
+
 def _repeated(grams: DataFrame, inner, name: str) -> DataFrame:
     """(gram, name): the sum of c log c over the letters next to each n-gram on one
     side, c being how often one stands there."""

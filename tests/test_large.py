@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orrery.functions.batches import pieces
-from orrery.operators import bm25, ivf, vector
+from orrery.operators import bm25, ivf, segment, vector
 
 
 def test_lsh_pairs_are_no_rows(spark, monkeypatch):
@@ -71,3 +71,16 @@ def test_ivf_candidates_of_a_batch_are_no_more_than_the_depth(spark, tmp_path):
     finally:
         ivf.kept = kept
     assert len(found) == 200 and seen.value <= 40 * 30 * spark.sparkContext.defaultParallelism
+
+
+def test_ngrams_are_counted_before_they_leave_a_task():
+    runs, n = ["\x01abcabca\x01", "\x01\U0001f600日本a\x01", "\x01x\x01", "\x01abcabca\x01"], [2, 1, 5, 3]
+    want = {}
+    for r, c in zip(runs, n, strict=True):
+        for i in range(len(r)):
+            for k in range(1, min(6, len(r) - i) + 1):
+                want[r[i : i + k]] = want.get(r[i : i + k], 0) + c
+    batch = pa.RecordBatch.from_pydict({"run": runs, "n": pa.array(n, pa.int64())})
+    got = [g for part in segment._some(batch) for b in segment._grams(*part, 6) for g in zip(b["gram"].to_pylist(), b["n"].to_pylist(), strict=True)]
+    assert len(got) == len(want) and dict(got) == want  # each n-gram is one row
+    assert list(segment._some(batch.slice(0, 0))) == [] and list(segment._grams(pa.array([], pa.string()), np.zeros(0, np.int64), 6)) == []
