@@ -84,3 +84,35 @@ def test_ngrams_are_counted_before_they_leave_a_task():
     got = [g for part in segment._some(batch) for b in segment._grams(*part, 6) for g in zip(b["gram"].to_pylist(), b["n"].to_pylist(), strict=True)]
     assert len(got) == len(want) and dict(got) == want  # each n-gram is one row
     assert list(segment._some(batch.slice(0, 0))) == [] and list(segment._grams(pa.array([], pa.string()), np.zeros(0, np.int64), 6)) == []
+
+
+def test_bm25_pairs_of_common_words_are_no_rows(spark, monkeypatch):
+    """A word that all chunks and all queries have: tasks hand on k rows a query."""
+    from orrery.operators import ranking
+    from orrery.plans import sweep
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["common", *rng.choice(["a", "b", "c", "d", "e"], 6)]) + "." for _ in range(300)]
+    queries = [("common " + " ".join(rng.choice(["a", "b", "c", "d"], 1 + i % 3))).strip() for i in range(10)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    ranked, seen = ranking.top_k, []
+
+    def counted(scores, k, route):
+        seen.append((k, scores.count()))
+        return ranked(scores, k, route)
+
+    monkeypatch.setattr(ranking, "top_k", counted)
+    index = bm25.build(chunks)
+    got = bm25.search(asked, index, 5).collect()
+    idf, avgdl = {r.term: r.idf for r in index.terms.collect()}, index.stats.first().avgdl
+    for i, q in enumerate(queries):
+        scores = []
+        for c, t in enumerate(texts):
+            words = t[:-1].split()
+            gain = lambda w: words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / avgdl))  # noqa: B023, E731
+            scores.append((-round(sum(idf[w] * gain(w) for w in q.split() if w in words), 6), c))
+        want = [(c, -s) for s, c in sorted(scores)[:5] if s < 0]
+        assert [(r.chunk_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == want
+    sweep.search(chunks.selectExpr("concat(chunk_id, '.txt') as source", "content as text"), asked, [(8, 2), (16, 2)])
+    assert len(seen) == 5 and all(n <= k * 10 * spark.sparkContext.defaultParallelism for k, n in seen)
