@@ -116,3 +116,32 @@ def test_bm25_pairs_of_common_words_are_no_rows(spark, monkeypatch):
         assert [(r.chunk_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == want
     sweep.search(chunks.selectExpr("concat(chunk_id, '.txt') as source", "content as text"), asked, [(8, 2), (16, 2)])
     assert len(seen) == 5 and all(n <= k * 10 * spark.sparkContext.defaultParallelism for k, n in seen)
+
+
+def test_graph_pairs_are_no_rows(spark, monkeypatch):
+    """Queries of more than one number's marks, ties, and one that reaches nothing of weight."""
+    from orrery.operators import entity_graph, ranking
+
+    rng = np.random.default_rng(5)
+    hops = [(q, f"e{e}", int(rng.integers(0, 3))) for q in range(70) for e in range(9) if rng.random() < 0.7] + [(99, "none", 0)]
+    held = [(c, f"e{e}", float(np.round(rng.integers(0, 4) / 4, 6))) for c in range(200) for e in range(9) if rng.random() < 0.4] + [(500, "none", 0.0)]
+    h, ec = spark.createDataFrame(hops, "query_id int, entity string, hop int"), spark.createDataFrame(held, "chunk_id int, entity string, weight double")
+    sums = {}
+    for q, e, hop in hops:
+        for c, f, w in held:
+            if e == f:
+                sums.setdefault(q, {}).setdefault(c, 0.0)
+                sums[q][c] += w / (1 + hop)
+    want = {(q, c): round(s / max(by.values()), 6) for q, by in sums.items() if max(by.values()) > 0 for c, s in by.items()}
+    assert {(r.query_id, r.chunk_id): r.score for r in entity_graph.score_graph_chunks(h, ec).collect()} == want and 99 not in {q for q, _ in want}
+    ranked, seen = ranking.top_k, []
+
+    def counted(scores, k, route):
+        seen.append(scores.count())
+        return ranked(scores, k, route)
+
+    monkeypatch.setattr(ranking, "top_k", counted)
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in entity_graph.best_graph_chunks(h, ec, 4).collect())
+    best = {q: sorted((-s, c) for (p, c), s in want.items() if p == q)[:4] for q in sums}
+    assert got == [(q, i + 1, c) for q in sorted(best) for i, (_, c) in enumerate(best[q])]
+    assert seen[0] <= 4 * 70 * 2 * spark.sparkContext.defaultParallelism < len(want)
