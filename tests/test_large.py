@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from orrery import storage
 from orrery.functions.batches import pieces
-from orrery.operators import bm25, ivf, segment, vector
+from orrery.operators import bm25, ivf, kg, segment, vector
 
 
 def test_lsh_pairs_are_no_rows(spark, monkeypatch):
@@ -145,3 +146,34 @@ def test_graph_pairs_are_no_rows(spark, monkeypatch):
     best = {q: sorted((-s, c) for (p, c), s in want.items() if p == q)[:4] for q in sums}
     assert got == [(q, i + 1, c) for q in sorted(best) for i, (_, c) in enumerate(best[q])]
     assert seen[0] <= 4 * 70 * 2 * spark.sparkContext.defaultParallelism < len(want)
+
+
+def test_paths_write_no_row_for_each_query_and_source_of_a_node(spark, monkeypatch):
+    nodes = [f"n{i:03}" for i in range(700)]
+    links = {(a, b) for i, a in enumerate(nodes) for b in (nodes[(i + 1) % 700], nodes[i * 2 % 700])} | {(nodes[0], b) for b in nodes[1:700:2]}
+    graph = spark.createDataFrame([(a, b, ["r"]) for a, b in links], "subject string, object string, relations array<string>")
+    asked = [(q, n) for q in range(550) for n in (nodes[0], nodes[q + 150])]  # two blocks of targets
+    sizes, old = [], storage.written
+
+    def counted(df, name):
+        out = old(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(kg.storage, "written", counted)
+    got = {(r.query_id, r.source, r.target): tuple(r.inner) for r in kg.paths(spark.createDataFrame(asked, "query_id long, node string"), graph, 3).collect()}
+    step, best = {}, {}
+    for a, b in links:
+        step.setdefault(a, set()).add(b)
+    for a in nodes:
+        best[a], front = {a: ()}, [a]
+        for _ in range(3):
+            found = {}
+            for x in front:
+                for y in step[x] - best[a].keys():
+                    found[y] = min(found.get(y, ("~",)), best[a][x] + (x,) * (x != a))
+            best[a] |= found
+            front = list(found)
+    want = {(q, a, b) for q in range(550) for a, b in ((nodes[0], nodes[q + 150]), (nodes[q + 150], nodes[0])) if b in best[a]}
+    assert got == {(q, a, b): best[a][b] for q, a, b in want}
+    assert max(sizes) <= 2 * len(links)
