@@ -177,3 +177,32 @@ def test_paths_write_no_row_for_each_query_and_source_of_a_node(spark, monkeypat
     want = {(q, a, b) for q in range(550) for a, b in ((nodes[0], nodes[q + 150]), (nodes[q + 150], nodes[0])) if b in best[a]}
     assert got == {(q, a, b): best[a][b] for q, a, b in want}
     assert max(sizes) <= 2 * len(links)
+
+
+def test_hops_by_marks_are_those_of_pairs(spark, monkeypatch):
+    """More queries than one number has bits; no rows of pairs of entities or of (query, entity)."""
+    from orrery.operators import entity_graph
+
+    rng = np.random.default_rng(6)
+    held = [(c, f"e{e}", 0.5) for c in range(60) for e in rng.choice(200, 3, replace=False)] + [(60, f"hub{i}", 1.0) for i in range(40)]
+    seeds = [(q, f"e{e}") for q in range(130) for e in rng.choice(200, 2)] + [(q, "hub0") for q in range(130)] + [(7, "none")]
+    ec, s = spark.createDataFrame(held, "chunk_id int, entity string, weight double"), spark.createDataFrame(seeds, "query_id int, entity string")
+    edges = entity_graph.cooccurrence(ec).collect()
+    pairs = spark.createDataFrame(edges, "a string, b string, weight long")
+    sizes, old = [], storage.written
+
+    def counted(df, name):
+        out = old(df, name)
+        sizes.append(out.count())
+        return out
+
+    for hops in (1, 3):
+        want = {(r.query_id, r.entity): r.hop for r in entity_graph.khop(s, pairs, hops).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(entity_graph.storage, "written", counted)
+            got = entity_graph.reached(s, ec, hops)
+            place = {(r.block, r.place): r.query_id for r in got.queries.collect()}
+            rows = got.marks.collect()
+        found = [(place[r.block, i], r.entity, r.hop) for r in rows for i in range(64) if r.mark >> i & 1]
+        assert {(q, e): h for q, e, h in found} == want and len(found) == len(want)
+    assert max(sizes) < min(len(edges), len(want))
