@@ -206,3 +206,27 @@ def test_hops_by_marks_are_those_of_pairs(spark, monkeypatch):
         found = [(place[r.block, i], r.entity, r.hop) for r in rows for i in range(64) if r.mark >> i & 1]
         assert {(q, e): h for q, e, h in found} == want and len(found) == len(want)
     assert max(sizes) < min(len(edges), len(want))
+
+
+def test_a_chunks_common_words_are_weighed_where_they_lie(spark, monkeypatch):
+    """The commonest words stay with their chunks, the others are joined; the rows are the same."""
+    from orrery.operators import entity_graph
+
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join([*rng.choice(["aa", "Aa", "bb", "cc", "12", "x"], 9), *(f"w{j}" for j in rng.zipf(1.5, 12) if j < 500)])) for i in range(60)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string")
+    shown = lambda: sorted((r.chunk_id, r.entity, r.weight) for r in entity_graph.entity_tfidf(chunks, 4).collect())
+    want, seen, small = shown(), [], entity_graph.session.small
+
+    def sent(df, *args):
+        seen.append(sorted(r.term for r in df.collect()) if "term" in df.columns else [])
+        return small(df, *args)
+
+    common = entity_graph._common
+    monkeypatch.setattr(entity_graph, "_common", lambda words: common(words, 8))
+    monkeypatch.setattr(entity_graph.session, "small", sent)
+    assert shown() == want
+    assert 1 <= len(seen[0]) <= 8 and "aa" in seen[0]
+    words = spark.range(1, 1001).selectExpr("cast(id as string) as term", "id as df")
+    assert common(words, 1000) == 0 and 800 <= words.filter(F.col("df") > common(words, 1000 - 1)).count() <= 999
+    assert 50 <= words.filter(F.col("df") > common(words, 100)).count() <= 100
