@@ -1,7 +1,7 @@
 """A stored index that grows: segments, tombstones and a manifest.
 
-``add`` writes the new chunks as a segment of its own: chunks, postings sorted by
-term, vectors, name-like words, triples, and the segment's statistics. ``delete``
+``add`` writes the new chunks as a segment of its own: chunks, postings, vectors,
+name-like words, triples, and the segment's statistics. ``delete``
 writes a tombstone: the ids that go, and what their rows take from the statistics.
 Both end by naming themselves in a new manifest, which is moved into place and never
 over another one: a change that is lost on the way leaves nothing visible, and of
@@ -9,7 +9,7 @@ two writers one fails. Term counts are sums over segments less those of tombston
 so nothing is counted again.
 
 ``index`` joins the live segments to one ``search.Index``. What depends on the whole
-corpus (idf, the best entities of a chunk, co-occurrence) is worked out once for a
+corpus (idf, the best entities of a chunk) is worked out once for a
 manifest from the stored counts, no text being read, and stored under its number.
 ``compact`` writes the smallest segments as one, without what is dead; ``vacuum``
 removes what the last manifest doesn't name.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session, storage
+from ..functions import text as T
 from ..operators import bm25, entity_graph, kg, vector
 from . import search
 
@@ -127,8 +128,9 @@ class Store:
     def _write_sums(self, folder: str, chunks: DataFrame, post: DataFrame) -> None:
         """The statistics of rows (with ``seg``): document counts by term, and totals."""
         post.groupBy("seg", "term").agg(F.count("*").alias("df")).write.parquet(f"{self.path}/{folder}/terms")
-        texts = chunks.groupBy("seg").agg(F.count("*").alias("n_chunks"), F.count("content").alias("n_texts"))
-        tokens = post.groupBy("seg", "chunk_id").agg(F.first("length").cast("long").alias("length")).groupBy("seg").agg(F.count("*").alias("n_counted"), F.sum("length").alias("n_tokens"))
+        counted = F.count_if(F.coalesce(F.col("content").rlike(T.TOKEN), F.lit(False)))
+        texts = chunks.groupBy("seg").agg(F.count("*").alias("n_chunks"), F.count("content").alias("n_texts"), counted.alias("n_counted"))
+        tokens = post.groupBy("seg").agg(F.sum("tf").alias("n_tokens"))
         texts.join(tokens, "seg", "left").na.fill(0).write.parquet(f"{self.path}/{folder}/totals")
 
     def _tomb(self, m: Manifest, number: int, ids: DataFrame) -> tuple[int, str] | None:
@@ -152,12 +154,14 @@ class Store:
         are left out; of several with one id the one whose content sorts first stays."""
         m = self.manifest()
         order = F.struct(F.coalesce("content", F.lit("")), F.coalesce("source", F.lit("")))
-        twice = chunks.filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min_by(F.struct(*[c for c in chunks.columns if c != "chunk_id"]), order).alias("r"))
-        rows = storage.written(twice.select("chunk_id", "r.*"), "segment-chunks")
+        rows = storage.written(chunks.filter("chunk_id IS NOT NULL"), "segment-chunks")
+        twice = storage.written(rows.groupBy("chunk_id").count().filter("count > 1").select("chunk_id"), "segment-twice")
+        if not twice.isEmpty():
+            first = rows.join(session.small(twice), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(F.struct(*[c for c in chunks.columns if c != "chunk_id"]), order).alias("r"))
+            rows = storage.written(rows.join(session.small(twice), "chunk_id", "left_anti").unionByName(first.select("chunk_id", "r.*")), "segment-chunks")
         tomb = self._tomb(m, m.last + 1, rows)
-        post = bm25.postings(rows).repartitionByRange("term").sortWithinPartitions("term")
         clean = None if triples is None else kg.clean_triples(triples.join(rows.select("chunk_id"), "chunk_id", "left_semi"))
-        seg = self._write_segment(m.last + 2, {"chunks": rows, "postings": post, "vectors": vector.embed(rows), "named": entity_graph.named_words(rows), "triples": clean})
+        seg = self._write_segment(m.last + 2, {"chunks": rows, "postings": bm25.postings(rows), "vectors": vector.embed(rows), "named": entity_graph.named_words(rows), "triples": clean})
         return self._commit(m, m.last + 2, [*m.segments, seg], [*m.tombs, tomb] if tomb else m.tombs)
 
     def delete(self, ids: DataFrame) -> Manifest:
@@ -176,7 +180,6 @@ class Store:
         merged = {n for n, _ in sorted(m.segments, key=lambda s: (-sizes[s[0]], s[0]))[fan - 1 :]}
         tables = {t: self.live(t, m, merged) for t in ("chunks", "postings", "vectors", "named", "triples")}
         tables = {t: df.drop("seg") for t, df in tables.items() if df is not None}
-        tables["postings"] = tables["postings"].repartitionByRange("term").sortWithinPartitions("term")
         seg = self._write_segment(m.last + 1, tables)
         rest = [s for s in m.segments if s[0] not in merged]
         tombs = [t for t in m.tombs if any(n < t[0] for n, _ in rest)]
@@ -215,6 +218,6 @@ class Store:
         if graph:
             texts = totals.select(F.col("n_texts").alias("n"))
             ec = self._view(m, "entities", lambda: entity_graph.entities_of(post, self.live("named", m).drop("seg"), texts))
-            edges = self._view(m, "edges", lambda: entity_graph.cooccurrence(ec))
+            edges = entity_graph.cooccurrence(ec)
         triples = self.live("triples", m)
         return search.Index(chunks, vectors, bm25.Index(post, terms, stats), ec, edges, None if triples is None else triples.drop("seg"))

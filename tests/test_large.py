@@ -208,6 +208,37 @@ def test_hops_by_marks_are_those_of_pairs(spark, monkeypatch):
     assert max(sizes) < min(len(edges), len(want))
 
 
+def test_the_graph_route_makes_no_edges(spark, monkeypatch, tmp_path):
+    """Neither an index nor a search over it writes pairs of entities; rows with their own id are not grouped."""
+    from orrery.operators import entity_graph
+    from orrery.plans import search, segments
+
+    texts = [(i, "s", f"Alpha{i % 5} Beta{i % 7} meets Gamma{i % 3} here") for i in range(40)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, source string, content string")
+    asked = spark.createDataFrame([(1, "Alpha1 Beta2"), (2, "Gamma0 Alpha4 Beta6")], "query_id long, query string")
+    names, old = [], storage.written
+
+    def noted(df, name):
+        names.append(name)
+        return old(df, name)
+
+    def none(*args, **kwargs):
+        raise AssertionError("hops are taken over pairs of entities")
+
+    monkeypatch.setattr(storage, "written", noted)
+    monkeypatch.setattr(entity_graph, "khop", none)
+    shown = lambda r: sorted((x.query_id, x["rank"], x.chunk_id, x.score) for x in r.collect())
+    index = search.build_index(chunks, graph=True)
+    want = shown(search.routes(asked, index)["graph"])
+    store = segments.Store(spark, str(tmp_path))
+    store.add(chunks.filter("chunk_id < 25"))
+    store.add(chunks.filter("chunk_id >= 25"))
+    grown = store.index(graph=True)
+    assert shown(search.routes(asked, grown)["graph"]) == want and {q for q, *_ in want} == {1, 2}
+    assert "edges" not in names and not list(tmp_path.glob("views/*/edges")) and names.count("segment-chunks") == 2
+    assert sorted(tuple(r) for r in grown.edges.collect()) == sorted(tuple(r) for r in entity_graph.cooccurrence(index.entities).collect())
+
+
 def test_a_chunks_common_words_are_weighed_where_they_lie(spark, monkeypatch):
     """The commonest words stay with their chunks, the others are joined; the rows are the same."""
     from orrery.operators import entity_graph
