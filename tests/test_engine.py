@@ -2,11 +2,12 @@
 
 import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from orrery import session, storage
+from orrery import registry_runs, session, storage
 from orrery.functions import text as T
 from orrery.operators import bm25, chunking, entity_graph, kg, metrics, ranking, vector
 from orrery.plans import agent, evaluate, search
@@ -148,6 +149,21 @@ def test_deep_dive_and_latency(spark, world):
     assert stages == {"bm25_search_ms", "vector_search_ms", "graph_search_ms", "rrf_fusion_ms", "ce_rerank_ms", "total"}
 
 
+def test_latency_of_all_routes_and_cases(spark, world, sf, monkeypatch):
+    """The query times the graph's route as well, each case alone, and a stage's time
+    is that of all its jobs, those that run while its plan is made among them."""
+    chunks, cases, golden, index = world
+    asked, plain = [], search.bm25.search
+    monkeypatch.setattr(search.bm25, "search", lambda q, *a, **b: (time.sleep(2), asked.append(q.count()), plain(q, *a, **b))[2])
+    rows = {r.stage: r for r in evaluate.latency_profile(cases, index, runs=1, batches=3).collect()}
+    assert asked == [1, 1, 1] and rows["bm25_search_ms"].min_ms >= 2000
+    held = {}
+    monkeypatch.setattr(search, "build_index", lambda c, graph=False, triples=None: held.update(graph=graph))
+    monkeypatch.setattr(evaluate, "latency_profile", lambda c, i, **how: held.update(how, n=c.count()))
+    registry_runs.q_latency_profile(spark, sf)
+    assert held["graph"] and held["runs"] == 1 and held["batches"] == held["n"] == 40
+
+
 def test_judged_answers(spark, world):
     chunks, cases, golden, index = world
     details, summary = evaluate.run_llm_evaluation(cases, index, lambda ps: ['{"score": 0.5, "reason": "r"}' if "JSON" in p else "said" for p in ps])
