@@ -6,7 +6,7 @@ from itertools import groupby
 
 from pyspark.sql import functions as F
 
-from orrery import registry
+from orrery import registry, storage
 from orrery.operators import kg, open_relations as o
 
 WORD = re.compile(r"[^\W_]+")
@@ -58,3 +58,15 @@ def test_said_triples_are_found_and_searched(spark):
     assert [r.chunk_id for r in kg.search(asked, triples, chunks.select("chunk_id", "source")).orderBy("rank").collect()] == [1]
     assert o.extracted(chunks.limit(0)).count() == 0 and o.records(got, 0.99).count() == 0
     assert got.filter(F.col("relation") != F.lower("relation")).isEmpty()
+
+
+def test_no_word_is_written(spark, monkeypatch):
+    """A sentence's runs are found in its own row: tables hold candidates and relations, not words."""
+    texts = [f"Quito{i} was built before Lagos{i}. It was so! x{i} 12345 of the Tallinn{i}" for i in range(40)]
+    rows = [(i, f"d{i}", t) for i, t in enumerate(texts)]
+    held, plainly = {}, storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: held.setdefault(name, plainly(df, name)))
+    got = sorted(tuple(r) for r in o.extracted(spark.createDataFrame(rows, "chunk_id long, source string, content string"), 0.05, 3).collect())
+    want = plain(rows, 0.05, 3)
+    assert [g[:7] for g in got] == [w[:7] for w in want] and len(got) == 40
+    assert sum(df.count() for df in held.values()) <= 2 * len(got) and not any("i" in df.columns or "word" in df.columns for df in held.values())
