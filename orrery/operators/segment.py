@@ -74,21 +74,32 @@ LETTERS = 1 << 20
 PACKED = 3
 
 
-def _some(b: pa.RecordBatch):
-    """(runs, n) of a batch, in parts of about ``LETTERS`` letters, one run at least."""
-    sizes = np.cumsum(pa.compute.utf8_length(b["run"]).to_numpy())
+def _cut(b: pa.RecordBatch, column: str):
+    """A batch in parts of about ``LETTERS`` letters of that column, one row at least."""
+    sizes = np.cumsum(pa.compute.utf8_length(b[column]).to_numpy())
     start = 0
     while start < b.num_rows:
         before = sizes[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(sizes, before + LETTERS, side="right")))
-        yield b["run"].slice(start, stop - start), b["n"].slice(start, stop - start).to_numpy()
+        yield b.slice(start, stop - start)
         start = stop
 
 
+def _some(b: pa.RecordBatch):
+    """(runs, n) of a batch, in parts."""
+    for part in _cut(b, "run"):
+        yield part["run"], part["n"].to_numpy()
+
+
+def _letters(texts: pa.Array) -> np.ndarray:
+    """The letters of all texts, one after another, as numbers."""
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
 def _grams(runs: pa.Array, n: np.ndarray, longest: int):
     """Batches (gram, n): the n-grams of one to ``longest`` letters of runs that occur
     n times each. An n-gram is one number for every ``PACKED`` of its letters."""
-    letters = np.frombuffer("".join(runs.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    letters = _letters(runs)
     lengths = pa.compute.utf8_length(runs).to_numpy()
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(letters))  # letters to the run's end
     times = np.repeat(n, lengths)
@@ -149,13 +160,15 @@ def learn(texts: DataFrame, pattern: str = UNSPACED, longest: int = LONGEST, lea
     single = grams.filter((F.length("gram") == 1) & (F.col("gram") != EDGE))
     first = _lexicon(candidates(grams, longest, cohesion, entropy).unionByName(single), pattern, most)
 
+    sent = texts.sparkSession.sparkContext.broadcast(first)  # MOST_WORDS words
+
     def counted(batches):
+        lattice = Lattice(sent.value)
         for b in batches:
-            n: dict[str, int] = {}
-            for run, times in zip(b["run"].to_pylist(), b["n"].to_pylist(), strict=True):
-                for w in best_path(run, first):
-                    n[w] = n.get(w, 0) + times
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["gram", "n"])
+            for part, times in _some(b):
+                lattice.count(_letters(part), pa.compute.utf8_length(part).to_numpy(), times)
+        held = lattice.counted()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
 
     used = found.mapInArrow(counted, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return _lexicon(used, pattern, most)
@@ -177,24 +190,153 @@ def best_path(run: str, lexicon: Lexicon) -> list[str]:
     return out[::-1]
 
 
+#: Entries of a table of next letters; a level that would need more is searched.
+DENSE = 1 << 22
+#: Places of runs, each as long as the longest of them, whose paths are found at once.
+PLACES = 1 << 18
+
+
+class Lattice:
+    """``best_path`` for many runs at once. The words are a tree of letters, a level for
+    each length: from each place on, all runs' letters go down a level together. Runs of
+    about the same length then move on by a letter together."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.unknown = lexicon.unknown
+        words = list(lexicon.words)
+        share = np.array(list(lexicon.words.values()), np.float64)
+        lengths = np.array([len(w) for w in words], np.int64)
+        flat = _letters(pa.array(words, pa.string()))
+        start = np.cumsum(lengths) - lengths
+        used = np.unique(flat)
+        self.size = len(used) + 1  # the last is any other letter
+        self.letter = np.full(0x110000, len(used), np.int32)
+        self.letter[used] = np.arange(len(used))
+        self.levels, node, place = [], np.zeros(len(words), np.int64), np.arange(len(words))
+        for k in range(int(lengths.max(initial=0))):
+            own = place[lengths > k]
+            keys, node[own] = np.unique(node[own] * self.size + self.letter[flat[start[own] + k]], return_inverse=True)
+            shares, names = np.full(len(keys), -np.inf), np.full(len(keys), -1)
+            last = place[lengths == k + 1]
+            shares[node[last]], names[node[last]] = share[last], last
+            above, table = (len(self.levels[-1][0]) if k else 1) * self.size, None
+            if above <= DENSE:
+                table = np.full(above, -1, np.int32)
+                table[keys] = np.arange(len(keys))
+            self.levels.append((keys, table, shares, names))
+        self.words, self.n, self.single = words, np.zeros(len(words), np.int64), {}
+
+    def _shares(self, letters: np.ndarray, left: np.ndarray) -> tuple[list, list]:
+        """For each length, the share and the word (-1: none) from each place on."""
+        ids = self.letter[letters]
+        at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        shares, names = [np.full(len(letters), self.unknown)], [np.full(len(letters), -1, np.int32)]
+        for k, (keys, table, share, name) in enumerate(self.levels):
+            key = node * self.size + ids[at + k]
+            if table is not None:
+                to = table[key].astype(np.int64)
+            else:
+                to = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                to = np.where(keys[to] == key, to, -1)
+            at, node = at[to >= 0], to[to >= 0]
+            if k:
+                shares.append(np.full(len(letters), -np.inf))
+                names.append(np.full(len(letters), -1, np.int32))
+            word = name[node] >= 0
+            shares[k][at[word]], names[k][at[word]] = share[node[word]], name[node[word]]
+            more = left[at] > k + 1
+            at, node = at[more], node[more]
+        return shares, names
+
+    def paths(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """(places where words begin, their lengths, ``_shares``' words) of runs one after
+        another; of equal paths the one that ``best_path`` takes."""
+        lengths = np.asarray(lengths, np.int64)
+        first = np.cumsum(lengths) - lengths
+        left = np.repeat(first + lengths, lengths) - np.arange(len(letters))
+        shares, names = self._shares(letters, left)
+        begins = np.zeros(len(letters), np.int8)  # the length of the word that begins there
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        while len(order):
+            own = order[: max(1, PLACES // int(lengths[order[0]]))]
+            order = order[len(own) :]
+            self._walk(shares, first[own], lengths[own], begins)
+        at = np.flatnonzero(begins)
+        return at, begins[at].astype(np.int64), names
+
+    def _walk(self, shares: list, first: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> None:
+        """Runs by falling length: scores and last words of all runs at each place."""
+        score = np.full((int(lengths[0]) + 1, len(first)), -np.inf)
+        back = np.zeros(score.shape, np.int8)
+        score[0] = 0
+        active = np.searchsorted(-lengths, -np.arange(len(score)), side="right")  # runs so long
+        for end in range(1, len(score)):
+            m = active[end]
+            best, last = score[end, :m], back[end, :m]
+            for k in range(min(len(shares), end), 0, -1):
+                reached = score[end - k, :m] + shares[k - 1][first[:m] + (end - k)]
+                better = reached > best + 1e-12
+                np.copyto(best, reached, where=better)
+                last[better] = k
+        at, run = lengths.copy(), np.arange(len(first))
+        while len(run):
+            size = back[at[run], run]
+            at[run] -= size
+            begins[first[run] + at[run]] = size
+            run = run[at[run] > 0]
+
+    def count(self, letters: np.ndarray, lengths: np.ndarray, times: np.ndarray) -> None:
+        """Adds the words of runs that occur so many times."""
+        at, size, names = self.paths(letters, lengths)
+        n = np.repeat(times, lengths)[at]
+        word = np.full(len(at), -1, np.int64)
+        for k, name in enumerate(names, 1):
+            word[size == k] = name[at[size == k]]
+        np.add.at(self.n, word[word >= 0], n[word >= 0])
+        each, which = np.unique(letters[at[word < 0]], return_inverse=True)  # letters that are no word
+        sums = np.zeros(len(each), np.int64)
+        np.add.at(sums, which, n[word < 0])
+        for c, x in zip(each.tolist(), sums.tolist(), strict=True):
+            self.single[chr(c)] = self.single.get(chr(c), 0) + x
+
+    def counted(self) -> dict[str, int]:
+        at = np.flatnonzero(self.n)
+        return self.single | {self.words[i]: x for i, x in zip(at.tolist(), self.n[at].tolist(), strict=True)}
+
+    def spaced(self, pieces: pa.ListArray) -> list[str]:
+        """Each row's pieces (p, run) as one text: a blank before each word, and one after each run."""
+        ends = pieces.offsets.to_numpy().astype(np.int64)
+        own = pieces.values.slice(ends[0], ends[-1] - ends[0])
+        said, run = own.field("p"), own.field("run").to_numpy(zero_copy_only=False)
+        letters, lengths = _letters(said), pa.compute.utf8_length(said).to_numpy().astype(np.int64)
+        inside = np.repeat(run, lengths)
+        at = np.flatnonzero(inside)[self.paths(letters[inside], lengths[run])[0]]
+        stops = np.cumsum(lengths)
+        places = np.concatenate([at, stops[run]])  # a blank goes before the letter at each
+        text = np.insert(letters, places, 32).astype("<u4").tobytes().decode("utf-32-le")
+        upto = np.concatenate([[0], np.cumsum(lengths + np.bincount(np.repeat(np.arange(len(run)), lengths)[at], minlength=len(run)) + run)])[ends - ends[0]]
+        return [text[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+
 def spaced(df: DataFrame, column: str, lexicon: Lexicon) -> DataFrame:
     """df with blanks between the words of its unspaced runs (and around the runs),
     so that every tokenizer after it sees words; texts without such a run stay as
     they are. Runs are cut out in the JVM; Python sees rows that have one."""
-    has = F.coalesce(F.col(column).rlike(lexicon.pattern), F.lit(False))
+    one = lexicon.pattern[:-1]  # its letters: a part begins in a run or outside, and stays there
+    has = F.coalesce(F.col(column).rlike(one), F.lit(False))
     names, at = df.columns, df.columns.index(column)
-    parts = F.split(F.col(column), f"(?={lexicon.pattern})(?<!{lexicon.pattern[:-1]})|(?<={lexicon.pattern[:-1]})(?!{lexicon.pattern})")
-    rows = df.filter(has).withColumn("__parts", F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(f"^{lexicon.pattern}$").alias("run"))))
+    parts = F.split(F.col(column), f"(?={one})(?<!{one})|(?<={one})(?!{one})")
+    rows = df.filter(has).withColumn("__parts", F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(f"^{one}").alias("run"))))
     sent = df.sparkSession.sparkContext.broadcast(lexicon)  # MOST_WORDS words
 
     def run(batches):
-        for b in batches:
-            texts = []
-            for pieces in b["__parts"].to_pylist():
-                texts.append("".join(f" {' '.join(best_path(x['p'], sent.value))} " if x["run"] else x["p"] for x in pieces))
-            columns = [b.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+        lattice = Lattice(sent.value)
+        for whole in batches:
+            for b in _cut(whole, column):
+                columns = [b.column(i) for i in range(len(names))]
+                columns[at] = pa.array(lattice.spaced(b["__parts"]), pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     done = rows.mapInArrow(run, df.schema)
     return done.unionByName(df.filter(~has))

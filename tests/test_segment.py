@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,28 @@ def test_the_best_path_by_brute_force():
     assert segment.best_path("", segment.Lexicon({}, 1, -1.0)) == []
 
 
+@pytest.mark.parametrize("dense, places", [(1 << 22, 1 << 18), (0, 1), (1 << 22, 7)])
+def test_many_runs_at_once_as_one_by_one(monkeypatch, dense, places):
+    monkeypatch.setattr(segment, "DENSE", dense)
+    monkeypatch.setattr(segment, "PLACES", places)
+    rng = random.Random(4)
+    for _ in range(60):
+        words = {"".join(rng.choice("天地人𝄞") for _ in range(rng.randrange(1, 6))): rng.choice([-1.0, -2.0, -3.0, math.log(rng.random())]) for _ in range(rng.randrange(12))}
+        lex = segment.Lexicon(words, max(map(len, words), default=1), -9.0)
+        runs = ["".join(rng.choice("天地人𝄞x") for _ in range(rng.randrange(14))) for _ in range(20)]
+        times, want = [rng.randrange(1, 9) for _ in runs], {}
+        for r, n in zip(runs, times, strict=True):
+            for w in segment.best_path(r, lex):
+                want[w] = want.get(w, 0) + n
+        lattice = segment.Lattice(lex)
+        for half in (slice(0, 9), slice(9, 20)):
+            lattice.count(segment._letters(pa.array(runs[half])), np.array([len(r) for r in runs[half]]), np.array(times[half]))
+        assert lattice.counted() == want
+        rows = [[{"p": r or "-", "run": bool(r) and rng.random() < 0.6} for r in rng.sample(runs, rng.randrange(5))] for _ in range(6)]
+        column = pa.array([[]] + rows, pa.list_(pa.struct([("p", pa.string()), ("run", pa.bool_())]))).slice(1)
+        assert lattice.spaced(column) == ["".join(f" {' '.join(segment.best_path(x['p'], lex))} " if x["run"] else x["p"] for x in row) for row in rows]
+
+
 def language(rng, n):
     letters = [chr(0x4E00 + i) for i in range(300)]
     words = list({"".join(rng.sample(letters, rng.choice([1, 2, 2, 2, 3]))) for _ in range(n)})
