@@ -261,3 +261,23 @@ def test_a_chunks_common_words_are_weighed_where_they_lie(spark, monkeypatch):
     words = spark.range(1, 1001).selectExpr("cast(id as string) as term", "id as df")
     assert common(words, 1000) == 0 and 800 <= words.filter(F.col("df") > common(words, 1000 - 1)).count() <= 999
     assert 50 <= words.filter(F.col("df") > common(words, 100)).count() <= 100
+
+
+def test_windows_of_a_sweep_are_no_table(spark, monkeypatch):
+    """Sentences are written, and chunks that were found; neither all chunks nor their
+    words or vectors. Each pair's row is that of its own index."""
+    from orrery.plans import evaluate
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    files = [(f"s{i}.txt", " ".join(" ".join(rng.choice(words, 5)) + "." for _ in range(6))) for i in range(60)] + [("a.py", "w1 = 1\n\ndef w2():\n    return w3\n"), ("no.txt", " ")]
+    files = spark.createDataFrame(files, "source string, text string")
+    cases = spark.createDataFrame([(i, " ".join(rng.choice(words, 3)), "x", "") for i in range(4)], "query_id int, query string, category string, golden_answer string")
+    golden = spark.createDataFrame([(i, f"s{j}.txt") for i in range(4) for j in range(i, 60, 4)], "query_id int, source string")
+    held, plainly = {}, storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: held.setdefault(name, plainly(df, name)))
+    full = {(r.chunk_size, r.overlap): r for r in evaluate.full_sweep(files, cases, golden, sizes=(8, 16), overlaps=(2, 8)).collect()}
+    columns = {c for df in held.values() for c in df.columns}
+    assert "sweep-sentences" in held and not {"tf", "vec"} & columns and not {"sweep-chunks", "sweep-postings", "sweep-vectors"} & set(held)
+    monkeypatch.setattr(storage, "written", plainly)
+    assert len(full) == 3 and full[16, 8] == evaluate.rebuild_and_evaluate(files, cases, golden, 16, 8).first()
